@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A run of anything but ASCII white space.
@@ -52,3 +53,20 @@ def word_count(text: Column) -> Column:
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Hash buckets for grouped Python work, from the cluster's own shuffle setting."""
     return max(16, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def numbered(df: DataFrame, parts: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds 0, 1, ... within each combination of ``parts`` without bringing a part into one task.
+
+    Rows are numbered in hash buckets of ``order``; bucket sizes, summed before they are shuffled, give
+    the buckets' offsets. ``df`` must be a written table. Buckets grow with the root of the row count.
+    """
+    n = int(df.count() ** 0.5) + 1
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)))
+    sizes = df.groupBy(*parts, "_b").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*parts).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*(F.col(p).alias(f"_{p}") for p in parts), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    offsets = small(written(offsets))
+    inner = F.row_number().over(W.partitionBy(*parts, "_b").orderBy(*order)) - 1
+    on = [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts] + [F.col("_b") == F.col("_c")]
+    return df.withColumn("_r", inner).join(offsets, on).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_b", "_c", "_r", "_o", *(f"_{p}" for p in parts))
