@@ -50,6 +50,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, though lambdas within the body use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Hash buckets for grouped Python work, from the cluster's own shuffle setting."""
     return max(16, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))

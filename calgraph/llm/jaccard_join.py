@@ -13,9 +13,10 @@ difference of at most d = (100 - p) / (100 + p) * (sizes' sum), so all but d sym
    have no partner there and leaves.
 4. The others keep their d + 1 keys with the fewest sets. Symbols that agree, ordered by that
    frequency, must begin within these, so common passages rarely make candidates.
-5. Small groups of a key give all pairs. In a large one a few leaders are held against all, which
-   costs rows in proportion to the group; what components then still differ goes to the next round,
-   until no pair is open, so no link is lost.
+5. Groups of at most 16 give all pairs. In a larger one a few leaders are held against all, which costs
+   rows in proportion to the group. Then the members outside the group's largest component are held
+   against the others, so many a round, until no two members of different components are untried: no
+   link between components is lost.
 6. Pairs pass the bit sketches' Hamming bound, then the exact test on their texts.
 
 Defined cases: null or blank text has an empty set, size 0 and no links; fewer than five words make one
@@ -36,8 +37,11 @@ from .common import buckets, small, table, written
 from .components import components
 
 SKETCH_BITS = 512
+#: Members of a key's group that may be paired freely; leaders that a larger group is held against in
+#: the first round, and those from its smaller components in each later round.
 ALL_PAIRS = 16
-LEADERS = 8
+FIRST_LEADERS = 4
+LEADERS = 64
 
 
 def band(n: np.ndarray) -> np.ndarray:
@@ -202,7 +206,7 @@ def prefixes(found: DataFrame, classes: DataFrame, percent: int, n_buckets: int)
     return a.cogroup(b).applyInPandas(run, "key long, set_id long, n long")
 
 
-def candidates(members: DataFrame, percent: int, n_buckets: int) -> DataFrame:
+def candidates(members: DataFrame, percent: int, n_buckets: int, first: bool) -> DataFrame:
     """Pairs (a, b) to hold against each other, and with b null the members (a, key, n) that are still open."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,21 +215,20 @@ def candidates(members: DataFrame, percent: int, n_buckets: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         firsts, seconds, rest = [], [], []
         for a, b in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist(), strict=True):
-            leaders = b - a if b - a <= ALL_PAIRS else 0
-            while b - a > 1:
-                if not leaders and label[a] == label[b - 1] and (label[a:b] == label[a]).all():
-                    a = b
-                    break
-                for i in range(a, min(b, a + (leaders or LEADERS))):
-                    other = slice(i + 1, b)
-                    fits = (np.minimum(n[i], n[other]) * 100 >= np.maximum(n[i], n[other]) * percent) & (label[other] != label[i])
-                    hit = ids[other][fits]
-                    firsts.append(np.full(len(hit), ids[i]))
-                    seconds.append(hit)
-                a = b if leaders else min(b, a + LEADERS)
-                break
-            if b - a > 1:
-                rest.append(np.arange(a, b))
+            own, all_pairs = label[a:b], b - a <= ALL_PAIRS
+            if all_pairs or first:
+                leaders = np.arange(a, b if all_pairs else a + FIRST_LEADERS)
+                keep = np.zeros(0, np.int64) if all_pairs else np.arange(a, b)
+            else:
+                names, counts = np.unique(own, return_counts=True)
+                minor = np.flatnonzero(own != names[np.argmax(counts)]) + a
+                leaders = minor[:LEADERS]
+                keep = np.setdiff1d(np.arange(a, b), leaders) if len(minor) > LEADERS else np.zeros(0, np.int64)
+            rest.append(keep)
+            for i in leaders.tolist():
+                hit = np.flatnonzero((np.minimum(n[i], n[a:b]) * 100 >= np.maximum(n[i], n[a:b]) * percent) & (own != label[i])) + a
+                firsts.append(np.full(len(hit), ids[i]))
+                seconds.append(ids[hit])
         x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (firsts, seconds))
         pairs = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "key": 0, "n": 0}).drop_duplicates()
         left = np.concatenate([np.zeros(0, np.int64), *rest])
@@ -274,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda k: wanted.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     edges, labels = None, wanted.select(F.col("set_id").alias("id"), F.col("set_id").alias("label"))
     while True:
-        got = written(candidates(open_.join(labels, open_.set_id == labels.id).select("key", "set_id", "n", "label"), percent, n_buckets))
+        got = written(candidates(open_.join(labels, open_.set_id == labels.id).select("key", "set_id", "n", "label"), percent, n_buckets, edges is None))
         pairs = got.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
         pairs = pairs.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
         links = verified(pairs, texts, percent)
