@@ -6,11 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from calgraph.llm.common import small, table, written
+from calgraph.llm.decontaminate import clean
+from calgraph.llm.jaccard_join import near_duplicates
+from calgraph.llm.mixing import copies
+from calgraph.llm.quality_classifier import classify, learnable
+from calgraph.llm.sharding import shard
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier scores 0.5 or more."""
+    return classify(docs, learnable(table(spark, sf_dir, "labels"))).where("score >= 0.5").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near copies: the one whose id names the group."""
+    stay = near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(small(written(stay)), "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its source's target asks for."""
+    return copies(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals the mix to shards, copies together."""
+    return shard(docs)
+
+
 #: Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
+    ("sharding", shards),
+]
 
 #: The classifier and the joins cannot be put in SQL; tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": run}
+ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
