@@ -13,11 +13,11 @@ difference of at most d = (100 - p) / (100 + p) * (sizes' sum), so all but d sym
    have no partner there and leaves.
 4. The others keep their d + 1 keys with the fewest sets. Symbols that agree, ordered by that
    frequency, must begin within these, so common passages rarely make candidates.
-5. Groups of at most 16 give all pairs. In a larger one a few leaders are held against all, which costs
-   rows in proportion to the group. Then the members outside the group's largest component are held
-   against the others, so many a round, until no two members of different components are untried: no
-   link between components is lost.
-6. Pairs pass the bit sketches' Hamming bound, then the exact test on their texts.
+5. Groups of at most 16 give all pairs. A larger one is held against a few leaders, those with the fewest
+   keys of their own, likely originals. In a second round its members outside its largest component are
+   held against all of other components, so no link between components is lost. The tasks drop pairs
+   whose 512-bit sketches differ in more bits than the sets may, and pass on the rest as packed blocks.
+6. Pairs, each once, take the exact test on their texts.
 
 Defined cases: null or blank text has an empty set, size 0 and no links; fewer than five words make one
 shingle of all words; repeated rows are copies of each other; a null id never becomes a component's id
@@ -37,11 +37,9 @@ from .common import buckets, small, table, written
 from .components import components
 
 SKETCH_BITS = 512
-#: Members of a key's group that may be paired freely; leaders that a larger group is held against in
-#: the first round, and those from its smaller components in each later round.
+#: Members of a key's group that may be paired freely, and leaders that a larger group is held against in the first round.
 ALL_PAIRS = 16
-FIRST_LEADERS = 4
-LEADERS = 64
+FIRST_LEADERS = 3
 
 
 def band(n: np.ndarray) -> np.ndarray:
@@ -96,34 +94,49 @@ def sets(docs: DataFrame, percent: int) -> DataFrame:
             owner = np.repeat(np.arange(rows), n)
             bit = (B.mix64(v + np.uint64(7)) % np.uint64(SKETCH_BITS)).astype(np.int64)
             odd = np.bincount(owner * SKETCH_BITS + bit, minlength=rows * SKETCH_BITS).astype(np.uint8) & 1
-            sketch = np.packbits(odd.reshape(rows, SKETCH_BITS), axis=1, bitorder="little").view(np.int64)
+            sketch = np.packbits(odd.reshape(rows, SKETCH_BITS), axis=1)
             z = [np.zeros(rows, np.int32), np.zeros(rows, np.int32)]
             for low in (0, 1):
                 which = np.flatnonzero((n > 0) & (goes_low(n, percent) if low else True))
                 z[low][:] = np.bincount(pieces(v, first, which, bool(low))[1], minlength=rows)[:rows]
-            words = SKETCH_BITS // 64
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * words + 1, words, dtype=np.int32)), pa.array(sketch.ravel()))
+            ends = np.arange(0, sketch.size + 1, SKETCH_BITS // 8, dtype=np.int32)
+            lists = pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(sketch.tobytes())])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(set_ids(v, first)), pa.array(n.astype(np.int32)), pa.array(z[0]), pa.array(z[1]), lists], names=["id", "set_id", "n", "z", "z_low", "sketch"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set_id long, n int, z int, z_low int, sketch array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set_id long, n int, z int, z_low int, sketch binary")
+
+
+def _cut(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _join(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
 
 def keys(docs: DataFrame, percent: int, n_buckets: int) -> DataFrame:
-    """Blocks of keys: per task and bucket the sets (last bit: the band below), their numbers of keys, and the keys' last 48 bits."""
+    """Blocks of keys: per task and bucket the sets, their numbers of keys, and the keys' last 40 bits.
+
+    A set is named by the first 47 bits of its id and a last bit for the band below.
+    """
 
     def flush(held):
         key, owner = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        bucket = ((key >> np.uint64(48)) % np.uint64(n_buckets)).astype(np.uint16)
+        bucket = ((key >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         key, owner, edges = key[order], owner[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         out = []
         for k in range(n_buckets):
             a, b = edges[k], edges[k + 1]
             if a < b:
+                step = np.arange(b - a)
                 new = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
-                count = np.diff(np.append(new, b - a)).astype(np.uint32)
-                part = key[a:b]
-                out.append((k, owner[a:b][new].tobytes(), count.tobytes(), part.astype(np.uint32).tobytes() + (part >> np.uint64(32)).astype(np.uint16).tobytes()))
+                new = np.flatnonzero((step - np.repeat(new, np.diff(np.append(new, b - a)))) % 255 == 0)
+                count = np.diff(np.append(new, b - a)).astype(np.uint8)
+                out.append((k, _cut(owner[a:b][new], 6), count.tobytes(), _cut(key[a:b], 5)))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names=["bucket", "sets", "counts", "keys"])
 
     def run(batches):
@@ -132,10 +145,11 @@ def keys(docs: DataFrame, percent: int, n_buckets: int) -> DataFrame:
             v, first = B.shingle_sets(data, off, hasher)
             n, ids = np.diff(first), set_ids(v, first)
             fresh = np.array([i for i, x in enumerate(ids.tolist()) if n[i] and x not in seen and not seen.add(x)], np.int64)
+            name = ids.view(np.uint64) >> np.uint64(17) << np.uint64(1)
             for low in (0, 1):
                 rows = fresh[goes_low(n[fresh], percent)] if low else fresh
                 key, row = pieces(v, first, rows, bool(low))
-                held.append((key, ids[row] | low))
+                held.append((key, name[row] | np.uint64(low)))
                 size += len(key)
             if size > 3_000_000:
                 yield flush(held)
@@ -150,8 +164,8 @@ def shared(blocks: DataFrame, n_buckets: int) -> DataFrame:
     """Per bucket of keys, those that two sets or more have, dealt by set."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(x[: 4 * (len(x) // 6)], np.uint32).astype(np.uint64) | (np.frombuffer(x[4 * (len(x) // 6) :], np.uint16).astype(np.uint64) << np.uint64(32)) for x in pdf["keys"]])
-        owner = np.concatenate([np.repeat(np.frombuffer(s, np.int64), np.frombuffer(c, np.uint32)) for s, c in zip(pdf["sets"], pdf["counts"], strict=True)])
+        key = np.concatenate([_join(x, 5) for x in pdf["keys"]])
+        owner = np.concatenate([np.repeat(_join(s, 6), np.frombuffer(c, np.uint8)) for s, c in zip(pdf["sets"], pdf["counts"], strict=True)])
         order = np.argsort(key)
         key, owner = key[order], owner[order]
         same = key[1:] == key[:-1]
@@ -166,76 +180,107 @@ def shared(blocks: DataFrame, n_buckets: int) -> DataFrame:
         size = np.diff(np.append(begin, len(key)))
         m = np.repeat(size, size)
         key, owner, m = key[m > 1], owner[m > 1], m[m > 1]
-        to = (owner >> 1).view(np.uint64) % np.uint64(n_buckets)
+        to = (owner >> np.uint64(1)) % np.uint64(n_buckets)
         order = np.argsort(to, kind="stable")
         key, owner, m, to = key[order], owner[order], m[order], to[order]
         begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-        out = [(int(to[a]), owner[a:b].tobytes(), (key[a:b] | np.uint64(int(pdf["bucket"].iloc[0]) % 32768 << 48)).tobytes(), m[a:b].astype(np.uint32).tobytes()) for a, b in zip(begin.tolist(), np.append(begin[1:], len(to)).tolist(), strict=True)]
+        out = [(int(to[a]), owner[a:b].tobytes(), (key[a:b] | np.uint64(int(pdf["bucket"].iloc[0]) << 40)).tobytes(), m[a:b].astype(np.uint32).tobytes()) for a, b in zip(begin.tolist(), np.append(begin[1:], len(to)).tolist(), strict=True)]
         return pd.DataFrame(out, columns=["to", "sets", "keys", "ms"])
 
     return blocks.groupBy("bucket").applyInPandas(run, "to long, sets binary, keys binary, ms binary")
 
 
 def prefixes(found: DataFrame, classes: DataFrame, percent: int, n_buckets: int) -> DataFrame:
-    """(key, set_id, n): of each set and band the keys that may begin what it shares with a partner."""
+    """(key, set_id, n, alone): of each set and band the keys that may begin what it shares with a partner; alone: its keys that no other set has."""
 
     def run(blocks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         ids, n = own["set_id"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
-        order = np.argsort(ids)
-        ids, n, z = ids[order], n[order], np.stack([own["z"].to_numpy(np.int64)[order], own["z_low"].to_numpy(np.int64)[order]])
-        owner = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in blocks["sets"])])
+        name = ids.view(np.uint64) >> np.uint64(17)
+        order = np.argsort(name)
+        name, ids, n, z = name[order], ids[order], n[order], np.stack([own["z"].to_numpy(np.int64)[order], own["z_low"].to_numpy(np.int64)[order]])
+        owner = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in blocks["sets"])])
         key = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in blocks["keys"])])
         m = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in blocks["ms"])])
         order = np.lexsort((key, m, owner))
         owner, key = owner[order], key[order]
         begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(owner)))
-        low = (owner[begin] & 1).astype(np.int64)
-        at = np.searchsorted(ids, owner[begin] & ~1)
-        keep = bound(n[at], low == 1, percent) + 1 - (z[low, at] - size)
-        rank = np.arange(len(owner)) - np.repeat(begin, size)
-        kept = rank < np.repeat(keep, size)
-        out = [pd.DataFrame({"key": key[kept], "set_id": owner[kept] & ~1, "n": np.repeat(n[at], size)[kept]})]
+        low = (owner[begin] & np.uint64(1)).astype(np.int64)
+        # A name stands for one set, or in rare cases for several, which then all get its keys.
+        left, right = (np.searchsorted(name, owner[begin] >> np.uint64(1), side) for side in ("left", "right"))
+        many = right - left
+        at = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        begin, size, low = np.repeat(begin, many), np.repeat(size, many), np.repeat(low, many)
+        alone = z[low, at] - size
+        keep = np.clip(bound(n[at], low == 1, percent) + 1 - alone, 0, size)
+        row = np.repeat(begin, keep) + np.arange(keep.sum()) - np.repeat(np.cumsum(keep) - keep, keep)
+        out = [pd.DataFrame({"key": key[row], "set_id": np.repeat(ids[at], keep), "n": np.repeat(n[at], keep), "alone": np.repeat(alone, keep)})]
         for k in (0, 1):  # sets with so few non-empty pieces that a partner may share none of them
             odd = (z[k] <= bound(n, np.full(len(n), k == 1), percent)) & (goes_low(n, percent) if k else True)
-            out.append(pd.DataFrame({"key": -1 - (band(n[odd]) - k), "set_id": ids[odd], "n": n[odd]}))
+            out.append(pd.DataFrame({"key": -1 - (band(n[odd]) - k), "set_id": ids[odd], "n": n[odd], "alone": 0}))
         return pd.concat(out)
 
     a = found.groupBy("to")
-    b = classes.withColumn("to", F.expr(f"pmod(shiftrightunsigned(set_id, 1), {n_buckets}L)")).select("to", "set_id", "n", "z", "z_low").groupBy("to")
-    return a.cogroup(b).applyInPandas(run, "key long, set_id long, n long")
+    b = classes.withColumn("to", F.expr(f"pmod(shiftrightunsigned(set_id, 17), {n_buckets}L)")).select("to", "set_id", "n", "z", "z_low").groupBy("to")
+    return a.cogroup(b).applyInPandas(run, "key long, set_id long, n long, alone long")
 
 
 def candidates(members: DataFrame, percent: int, n_buckets: int, first: bool) -> DataFrame:
-    """Pairs (a, b) to hold against each other, and with b null the members (a, key, n) that are still open."""
+    """Blocks of pairs (to, a, b) to hold against each other; in the first round, with to = -1, the keys (a) whose groups need the second.
+
+    members(key, set_id, n, alone, label, sketch).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "set_id"], kind="stable")
+        pdf = pdf.sort_values(["key", "alone", "set_id"], kind="stable")
         key, ids, n, label = (pdf[c].to_numpy() for c in ("key", "set_id", "n", "label"))
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        firsts, seconds, rest = [], [], []
+        firsts, seconds, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for a, b in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist(), strict=True):
             own, all_pairs = label[a:b], b - a <= ALL_PAIRS
             if all_pairs or first:
                 leaders = np.arange(a, b if all_pairs else a + FIRST_LEADERS)
-                keep = np.zeros(0, np.int64) if all_pairs else np.arange(a, b)
+                if not all_pairs:
+                    rest.append(key[a])
             else:
                 names, counts = np.unique(own, return_counts=True)
-                minor = np.flatnonzero(own != names[np.argmax(counts)]) + a
-                leaders = minor[:LEADERS]
-                keep = np.setdiff1d(np.arange(a, b), leaders) if len(minor) > LEADERS else np.zeros(0, np.int64)
-            rest.append(keep)
+                leaders = np.flatnonzero(own != names[np.argmax(counts)]) + a
             for i in leaders.tolist():
-                hit = np.flatnonzero((np.minimum(n[i], n[a:b]) * 100 >= np.maximum(n[i], n[a:b]) * percent) & (own != label[i])) + a
+                total = n[i] + n[a:b]
+                hit = np.flatnonzero((own != label[i]) & (np.minimum(n[i], n[a:b]) * 100 >= np.maximum(n[i], n[a:b]) * percent)) + a
+                apart = np.bitwise_count(sketch[hit] ^ sketch[i]).sum(axis=1)
+                hit = hit[apart * (100 + percent) <= total[hit - a] * (100 - percent)]
                 firsts.append(np.full(len(hit), ids[i]))
                 seconds.append(ids[hit])
-        x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (firsts, seconds))
-        pairs = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "key": 0, "n": 0}).drop_duplicates()
-        left = np.concatenate([np.zeros(0, np.int64), *rest])
-        open_ = pd.DataFrame({"a": ids[left], "b": pd.array([None] * len(left), "Int64"), "key": key[left], "n": n[left]})
-        return pd.concat([pairs.astype({"b": "Int64"}), open_])
+        x, y = np.concatenate(firsts), np.concatenate(seconds)
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        to = (pairs[:, 0] >> 17) % n_buckets
+        out = [(int(k), pairs[to == k, 0].tobytes(), pairs[to == k, 1].tobytes()) for k in np.unique(to)]
+        if rest:
+            out.append((-1, np.array(rest, np.int64).tobytes(), b""))
+        return pd.DataFrame(out, columns=["to", "a", "b"])
+
+    return members.groupBy(F.pmod(F.xxhash64("key"), F.lit(n_buckets)).alias("g")).applyInPandas(run, "to long, a binary, b binary")
+
+
+def unpacked(blocks: DataFrame) -> DataFrame:
+    """Blocks of pairs as rows, each pair once."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.concatenate([np.frombuffer(v, np.int64) for v in pdf[c]]) for c in ("a", "b"))
+        pairs = np.unique(np.stack([x, y], 1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return blocks.where("to >= 0").groupBy("to").applyInPandas(run, "a long, b long")
+
+
+def open_keys(blocks: DataFrame) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for v in pdf["a"])])})
 
-    return members.groupBy(F.pmod(F.xxhash64("key"), F.lit(n_buckets)).alias("g")).applyInPandas(run, "a long, b long, key long, n long")
+    return blocks.where("to < 0").select("a").mapInPandas(run, "key long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +304,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links)."""
     spark = docs.sparkSession
-    n_buckets = min(buckets(spark), 65_536)
+    n_buckets = min(buckets(spark, 1), 8192)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     every = written(sets(docs, percent))
     classes = written(every.where("n > 0").groupBy("set_id").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "z", "z_low", "sketch"))))
@@ -273,20 +318,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(set_ids(*B.shingle_sets(data, off, hasher))), part.column(1)], names=["set_id", "text"])
 
     texts = written(docs.join(reps, "id", "left_semi").select("id", "text").mapInArrow(with_set, "set_id long, text string").groupBy("set_id").agg(F.first("text").alias("text")))
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    side = lambda k: wanted.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    edges, labels = None, wanted.select(F.col("set_id").alias("id"), F.col("set_id").alias("label"))
-    while True:
-        got = written(candidates(open_.join(labels, open_.set_id == labels.id).select("key", "set_id", "n", "label"), percent, n_buckets, edges is None))
-        pairs = got.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-        pairs = pairs.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
-        links = verified(pairs, texts, percent)
-        edges = written(links if edges is None else edges.unionByName(links))
-        known = components(edges)
-        labels = wanted.select(F.col("set_id").alias("id")).join(known, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-        open_ = got.where("b is null").select("key", F.col("a").alias("set_id"), "n")
-        if open_.isEmpty():
-            break
+    sketches = wanted.select("set_id", "sketch", F.col("set_id").alias("label"))
+    got = written(candidates(open_.join(sketches, "set_id"), percent, n_buckets, True))
+    edges = written(verified(unpacked(got), texts, percent))
+    known = components(edges)
+    large = small(written(open_keys(got)))
+    if not large.isEmpty():
+        sketches = wanted.join(known, wanted.set_id == known.id, "left").select("set_id", "sketch", F.coalesce("label", "set_id").alias("label"))
+        more = candidates(open_.join(large, "key", "left_semi").join(sketches, "set_id"), percent, n_buckets, False)
+        known = components(edges.unionByName(written(verified(unpacked(more), texts, percent))))
     member = known.join(wanted.select(F.col("set_id").alias("id"), "rep"), "id")
     lowest = small(written(member.groupBy("label").agg(F.min("rep").alias("low"))))
     near = member.join(lowest, "label").select(F.col("id").alias("set_id"), "low")
