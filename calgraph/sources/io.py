@@ -26,7 +26,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """bank and address from the path, the file's text as code."""
     part = lambda i: F.regexp_extract("_metadata.file_path", r"/(master|slave)/([0-9a-fA-F]+)\.txt$", i)
-    return spark.read.option("wholetext", True).text(path).select(part(1).alias("bank"), F.conv(part(2), 16, 10).cast("long").alias("addr"), F.col("value").alias("code"))
+    return spark.read.text(path, wholetext=True).select(part(1).alias("bank"), F.conv(part(2), 16, 10).cast("long").alias("addr"), F.col("value").alias("code"))
 
 
 def read_export(spark: SparkSession, path: str, bank: str) -> dict[str, DataFrame]:
@@ -42,7 +42,7 @@ def split_pages(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of a JSON map; a missing file is an empty table."""
     try:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
