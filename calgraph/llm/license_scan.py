@@ -61,7 +61,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     units = docs.select(F.col(id_col).alias("id"), F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("line", "unit")).where("length(unit) > 2")
     units = units.select("id", "line", bigrams(F.col("unit")).alias("ub")).withColumn("un", F.size("ub")).where("un > 0").withColumn("band", band(F.col("un")))
-    fits = (F.col("un") * ratio >= F.col("tn")) & (F.col("un") <= F.col("tn") * ratio)
+    fits = (F.col("un") * ratio >= F.col("tn") - 1e-9) & (F.col("un") <= F.col("tn") * ratio + 1e-9)
     pairs = units.join(small(t), "band").where(fits)
     pairs = pairs.withColumn("dice", 2.0 * F.size(F.array_intersect("ub", "tb")) / (F.col("un") + F.col("tn"))).where(F.col("dice") >= threshold)
     return pairs.groupBy("id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count_distinct("line").alias("n_units"), F.min("line").cast("long").alias("first_line")).withColumnRenamed("id", id_col)
