@@ -128,3 +128,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, hasher: Hasher, width: int =
         first = np.concatenate([[0], np.cumsum(new)])[first]
         values = values[new]
     return values, first
+
+
+def bounds(begin: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Start and end of each of the runs that begin there, of n elements in all."""
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), n], strict=True)) if len(begin) else []

@@ -90,7 +90,7 @@ class Searcher:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, edits, start, end) for each item within its budget."""
         hits: dict[int, set[int]] = {}
-        for last, (n, uses) in self.tree.iter(text):
+        for last, (n, uses) in self.tree.iter(text) if self.items else ():
             for at, offset in uses:
                 hits.setdefault(at, set()).add(last + 1 - n - offset)
         out = []

@@ -137,7 +137,7 @@ def repeated(blocks: DataFrame, n_buckets: int) -> DataFrame:
         order = np.argsort(to, kind="stable")
         name, tid, to = name[order], tid[order], to[order]
         begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-        return pd.DataFrame([(int(to[a]), name[a:b].tobytes(), tid[a:b].tobytes()) for a, b in zip(begin.tolist(), np.append(begin[1:], len(to)).tolist(), strict=True)], columns=["to", "keys", "tids"])
+        return pd.DataFrame([(int(to[a]), name[a:b].tobytes(), tid[a:b].tobytes()) for a, b in B.bounds(begin, len(to))], columns=["to", "keys", "tids"])
 
     def by_text(pdf: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
@@ -145,7 +145,7 @@ def repeated(blocks: DataFrame, n_buckets: int) -> DataFrame:
         order = np.lexsort((key, tid))
         key, tid = key[order], tid[order]
         begin = np.flatnonzero(np.concatenate([[True], tid[1:] != tid[:-1]]))
-        return pd.DataFrame({"tid": tid[begin], "keys": [key[a:b].tobytes() for a, b in zip(begin.tolist(), np.append(begin[1:], len(tid)).tolist(), strict=True)]})
+        return pd.DataFrame({"tid": tid[begin], "keys": [key[a:b].tobytes() for a, b in B.bounds(begin, len(tid))]})
 
     found = blocks.groupBy("bucket").applyInPandas(run, "to long, keys binary, tids binary")
     return found.groupBy("to").applyInPandas(by_text, "tid long, keys binary")
@@ -353,8 +353,8 @@ def spans(own: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
         of = np.searchsorted(first, a, "right") - 1
         a, b = a - first[of] + start[of], b - first[of] + start[of]
         t = tid[of]
-        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else []
-        for x, y in zip(begin, np.append(begin[1:], len(t)).astype(int) if len(t) else [], strict=True):
+        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+        for x, y in B.bounds(begin, len(t)):
             out.append((int(t[x]), np.stack([a[x:y], b[x:y]], 1).tobytes()))
     return pd.DataFrame(out, columns=["tid", "spans"])
 
