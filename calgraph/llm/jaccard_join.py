@@ -184,7 +184,7 @@ def shared(blocks: DataFrame, n_buckets: int) -> DataFrame:
         order = np.argsort(to, kind="stable")
         key, owner, m, to = key[order], owner[order], m[order], to[order]
         begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-        out = [(int(to[a]), owner[a:b].tobytes(), (key[a:b] | np.uint64(int(pdf["bucket"].iloc[0]) << 40)).tobytes(), m[a:b].astype(np.uint32).tobytes()) for a, b in zip(begin.tolist(), np.append(begin[1:], len(to)).tolist(), strict=True)]
+        out = [(int(to[a]), owner[a:b].tobytes(), (key[a:b] | np.uint64(int(pdf["bucket"].iloc[0]) << 40)).tobytes(), m[a:b].astype(np.uint32).tobytes()) for a, b in B.bounds(begin, len(to))]
         return pd.DataFrame(out, columns=["to", "sets", "keys", "ms"])
 
     return blocks.groupBy("bucket").applyInPandas(run, "to long, sets binary, keys binary, ms binary")
@@ -237,7 +237,7 @@ def candidates(members: DataFrame, percent: int, n_buckets: int, first: bool) ->
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         firsts, seconds, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-        for a, b in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist(), strict=True):
+        for a, b in B.bounds(begin, len(key)):
             own, all_pairs = label[a:b], b - a <= ALL_PAIRS
             if all_pairs or first:
                 leaders = np.arange(a, b if all_pairs else a + FIRST_LEADERS)
