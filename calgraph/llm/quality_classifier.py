@@ -58,7 +58,7 @@ def counts(data: np.ndarray, off: np.ndarray, hasher: B.Hasher) -> np.ndarray:
             owner = np.repeat(np.arange(rows), np.diff(off))
             same = owner[:-3] == owner[3:]
             out += np.bincount((owner[:-3] * 2 * TERMS + TERMS + gram)[same], minlength=len(out)).astype(np.float32)
-    return out.reshape(rows, 2 * TERMS)
+    return np.minimum(out, 65_535).reshape(rows, 2 * TERMS)
 
 
 def blocks(batches):
@@ -104,7 +104,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def leading(x: np.ndarray) -> np.ndarray:
     """The leading right singular vectors, by subspace iteration from a fixed start."""
-    q = np.random.default_rng(0).standard_normal((x.shape[1], DIMENSIONS + 16))
+    q = np.random.default_rng(0).standard_normal((x.shape[1], DIMENSIONS + 16)).astype(np.float32)
     for _ in range(12):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, turn = np.linalg.eigh((x @ q).T @ (x @ q))
@@ -118,18 +118,21 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
 
     def run(batches):
         for part, c in blocks(batches):
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1], dtype=np.int32)), pa.array(c.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["h", "label", "c"])
+            packed = pa.array([r.tobytes() for r in c.astype(np.uint16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), packed], names=["h", "label", "c"])
 
     texts = docs.join(small(chosen), "id").select(F.xxhash64("id").alias("h"), "text", F.col("label").cast("double").alias("label"))
-    rows = texts.mapInArrow(run, "h long, label double, c array<float>").orderBy("h").limit(sample).toArrow()
+    rows = texts.mapInArrow(run, "h long, label double, c binary").orderBy("h").limit(sample).collect()
     df, n = document_frequencies(docs)
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    if not rows.num_rows:
+    if not rows:
         return {"idf": idf, "axes": np.zeros((2 * TERMS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0), "mean": 0.5}
-    x = weighted(rows.column("c").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, 2 * TERMS), idf)
+    labels = np.array([r["label"] for r in rows])
+    x = np.empty((len(rows), 2 * TERMS), np.float32)
+    for i in range(len(rows)):  # row by row, so that the driver holds the sample once
+        x[i] = weighted(np.frombuffer(rows[i]["c"], np.uint16).astype(np.float32)[None], idf)
+    del rows
     axes = leading(x)
-    labels = rows.column("label").to_numpy()
     return {"idf": idf, "axes": axes, "vectors": unit(x @ axes), "labels": labels, "mean": float(labels.mean())}
 
 
