@@ -85,5 +85,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lost_chars").cast("long").alias("lost_chars"))
 
 
+_SPACE = r"[\x20\x09-\x0D]"
+_BARE = "length(regexp_replace({0}, '" + _SPACE + "+', '', 'g'))"
+_MARKS = f"(length({{0}}) - length(translate({{0}}, '{SYMBOLS}', '')))"
+ORACLE = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM documents),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1) GROUP BY 1),
+l AS (SELECT doc_id, x, len(regexp_extract_all(x, '{WORD}')) AS n, len(x) - len(replace(x, '|', '')) AS bars, {_BARE.format('x')} AS chars, {_MARKS.format('x')} AS marks, regexp_matches(x, '[.!?…:;"''”»)]{_SPACE}*$') AS sentence FROM (SELECT doc_id, unnest(lines) AS x FROM w)),
+k AS (SELECT doc_id, sum(chars) AS kept_chars FROM l WHERE NOT ((NOT sentence AND n < 10) OR bars * 3 >= n OR (n < {MIN_LINE_WORDS} AND NOT sentence) OR regexp_matches(x, '{BOILERPLATE}') OR marks * 10 > chars OR regexp_matches(x, '(?:\\p{{Lu}}{{2,}}\\S*!![\\x20]*){{3}}')) GROUP BY 1),
+m AS (SELECT w.doc_id, len(w) AS n_words, CAST({_BARE.format('t')} AS BIGINT) AS word_chars, CAST({_MARKS.format('t')} AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST({_BARE.format('t')} - coalesce(kept_chars, 0) AS BIGINT) AS lost_chars FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATS} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_chars <= {MAX_LOSS} * word_chars AS kept, lost_chars FROM f
+"""
+
 QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_quality_rules": ORACLE}
