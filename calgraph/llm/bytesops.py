@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer single text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
