@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import numbered, small, table, written
 
 SHARDS = 8
-ROUNDS = 4
+ROUNDS = 6
 #: Capacity during propagation, as a multiple of the mean size.
 SLACK = 1.02
 GROUP = ["g", "size"]
@@ -53,10 +53,15 @@ def propagate(blocks: DataFrame, shards: int, rounds: int) -> DataFrame:
             break
         come, go = ([sum(v for x, v in flow.items() if x[i] == s) for s in range(shards)] for i in (1, 0))
         part = [min(1.0, (room[s] + 0.9 * min(go[s], come[s])) / come[s]) if come[s] else 0.0 for s in range(shards)]
+        quota = [room[s] + 0.9 * min(go[s], come[s]) for s in range(shards)]
         share, draw = _at(part, "to"), F.pmod(F.hash(F.lit(1000 + k), "g", "shard"), F.lit(1 << 20)) / float(1 << 20)
-        large = F.col("w") > cap / 64
-        moved = F.when(F.col("to") == F.col("shard"), 0).when(large, F.floor(F.col("n") * share)).when(draw < share, F.col("n")).otherwise(0).cast("long")
-        wish = wish.withColumn("moved", moved)
+        # Blocks above a 64th of a shard are few; of these the smallest fill the quota first, so that they go whole.
+        large = (F.col("w") > cap / 64) & (F.col("to") != F.col("shard"))
+        before = F.sum(F.when(large, F.col("w")).otherwise(0)).over(W.partitionBy("to").orderBy("w", "g", "shard").rowsBetween(W.unboundedPreceding, -1))
+        big = wish.where(large).withColumn("before", F.coalesce(before, F.lit(0.0)))
+        big = big.withColumn("moved", F.floor(F.least(F.col("w"), F.greatest(F.lit(0.0), _at(quota, "to") - F.col("before"))) / F.col("size")).cast("long")).drop("before")
+        moved = F.when(F.col("to") == F.col("shard"), 0).when(draw < share, F.col("n")).otherwise(0).cast("long")
+        wish = wish.where(~large).withColumn("moved", moved).unionByName(big)
         after = wish.select(*GROUP, "shard", (F.col("n") - F.col("moved")).alias("n"), "members").unionByName(wish.select(*GROUP, F.col("to").alias("shard"), F.col("moved").alias("n"), "members")).where("n > 0")
         after = after.groupBy(*GROUP, "shard").agg(F.sum("n").alias("n"), F.max("members").alias("members"))
         blocks = written(blocks.where("members = 1").unionByName(after, allowMissingColumns=True))
