@@ -31,9 +31,8 @@ def raw_edges(spark: SparkSession, sf: str) -> DataFrame:
     func, item, page = F.format_string("f:%06x", "l_suppkey"), S.node_id("param", F.col("l_partkey")), F.format_string("d:%06x", "l_orderkey")
     k = F.when(F.col("l_returnflag") == "R", "read").when(F.col("l_returnflag") == "A", "write").otherwise("call")
     code = li.select(func.alias("s"), item.alias("d"), k.alias("k"), F.when(F.col("l_linestatus") == "O", "xref").otherwise("scan").alias("o"))
-    named = li.where("l_linenumber <= 2")
-    doc = named.select(page.alias("s"), item.alias("d"), F.lit("documents").alias("k"), F.lit("fr").alias("o"))
-    back = named.select(item.alias("s"), page.alias("d"), F.lit("documented").alias("k"), F.lit("fr").alias("o"))
+    doc = li.select(page.alias("s"), item.alias("d"), F.lit("documents").alias("k"), F.lit("fr").alias("o"))
+    back = li.select(item.alias("s"), page.alias("d"), F.lit("documented").alias("k"), F.lit("fr").alias("o"))
     return code.unionByName(doc).unionByName(back)
 
 
