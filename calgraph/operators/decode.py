@@ -123,5 +123,5 @@ def adjacent_items(items: DataFrame, part: list[str]) -> DataFrame:
 
 def axis_outliers(points: DataFrame, key: str, value: str, most: float) -> DataFrame:
     """Points further from their group's median than ``most`` of it."""
-    mid = points.groupBy(key).agg(F.percentile_approx(value, 0.5).alias("typical"))
+    mid = points.groupBy(key).agg(F.median(value).alias("typical"))
     return points.join(mid, key).where(F.abs(F.col(value) - F.col("typical")) > most * F.abs("typical"))

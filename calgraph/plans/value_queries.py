@@ -275,3 +275,9 @@ def decode_images(spark, sf):
 def axis_outliers(spark, sf):
     p = b.cells(spark, sf).groupBy("label", "vec_id").agg(F.avg("z").alias("v"))
     return D.axis_outliers(p, "label", "v", 0.5).agg((F.count("*") > 0).alias("found"))
+
+
+@query(", g AS (SELECT label, avg(z) AS v, vec_id FROM cells GROUP BY 1, 3), m AS (SELECT label, median(v) AS typical FROM g GROUP BY 1) SELECT label, vec_id, v, typical FROM g JOIN m USING (label) WHERE abs(v - typical) > 0.5 * abs(typical)", views=True)
+def axis_outlier_points(spark, sf):
+    p = b.cells(spark, sf).groupBy("label", "vec_id").agg(F.avg("z").alias("v"))
+    return D.axis_outliers(p, "label", "v", 0.5).select("label", "vec_id", "v", "typical")
