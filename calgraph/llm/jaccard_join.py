@@ -317,7 +317,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for part, data, off in B.chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(set_ids(*B.shingle_sets(data, off, hasher))), part.column(1)], names=["set_id", "text"])
 
-    texts = written(docs.join(reps, "id", "left_semi").select("id", "text").mapInArrow(with_set, "set_id long, text string").groupBy("set_id").agg(F.first("text").alias("text")))
+    # Rows without an id name no class, so all their texts are read.
+    fetched = docs.join(reps, "id", "left_semi").unionByName(docs.where("id IS NULL")).select("id", "text")
+    texts = written(fetched.mapInArrow(with_set, "set_id long, text string").groupBy("set_id").agg(F.first("text").alias("text")))
     sketches = wanted.select("set_id", "sketch", F.col("set_id").alias("label"))
     got = written(candidates(open_.join(sketches, "set_id"), percent, n_buckets, True))
     edges = written(verified(unpacked(got), texts, percent))

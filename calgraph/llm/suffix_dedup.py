@@ -391,7 +391,8 @@ def with_tid(docs: DataFrame) -> DataFrame:
 def _texts_of(docs: DataFrame, classes: DataFrame, tids: DataFrame) -> DataFrame:
     """(tid, text), once for each of the given texts."""
     ids = small(written(tids.join(classes, "tid").select(F.col("rep").alias("id")).distinct()))
-    return with_tid(docs.join(ids, "id", "left_semi")).groupBy("tid").agg(F.first("text").alias("text"))
+    # Rows without an id name no class, so all their texts are read.
+    return with_tid(docs.join(ids, "id", "left_semi").unionByName(docs.where("id IS NULL"))).groupBy("tid").agg(F.first("text").alias("text"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from calgraph.llm.common import small, table, written
 from calgraph.llm.decontaminate import clean
@@ -20,9 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies: the one whose id names the group."""
-    stay = near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(small(written(stay)), "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each group of near copies: the one with the smallest id, or any if none has an id."""
+    columns = docs.columns
+    # Ids may be null or repeated, so rows are known by a key that is written with them.
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = near_duplicates(docs, id_col="_row").join(docs.select("_row", "doc_id"), "_row")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    stay = rows.groupBy("component_id").agg(F.min_by("_row", first).alias("_row")).select("_row")
+    return docs.join(small(written(stay)), "_row", "left_semi").select(*columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
