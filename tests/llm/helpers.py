@@ -38,3 +38,23 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 def frame(spark, rows=None):
     return spark.createDataFrame(odd_rows() if rows is None else rows, SCHEMA)
+
+
+def line_budget(n):
+    """Edits that op3 allows to the shorter of two lines."""
+    return min(5, n // 16 * 16 // 24)
+
+
+def near(a, b, t):
+    """Whether two strings are within t edits: the plain table, but for cells further than t from the diagonal."""
+    if abs(len(a) - len(b)) > t:
+        return False
+    far = t + 1
+    row = {j: j for j in range(t + 1)}
+    for i, x in enumerate(a, 1):
+        last, row = row, {}
+        for j in range(max(0, i - t), min(len(b), i + t) + 1):
+            row[j] = i if j == 0 else min(last.get(j - 1, far) + (x != b[j - 1]), last.get(j, far) + 1, row.get(j - 1, far) + 1)
+        if min(row.values()) > t:
+            return False
+    return row[len(b)] <= t
