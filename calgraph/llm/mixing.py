@@ -17,9 +17,13 @@ The ranking is never gathered: ranks go to sqrt(rows) buckets of a source, the b
 before the shuffle, and only the bucket that holds the threshold is ordered. A decision then compares a
 row with its source's threshold, so texts are not shuffled.
 
-Defined cases: a null or blank text has size 0 and takes nothing; a null source is a source of its own;
-random numbers depend on the id and the seed only, so reruns agree and repeated rows get the same
-decision; an empty table gives an empty result; other columns pass through ``mixed`` unchanged.
+Random numbers depend on the seed, on a hash of id, text and source, and for rows that agree in all of these
+on a copy number, so reruns agree and each row has a draw of its own, with or without an id.
+
+Defined cases: a null or blank text has size 0 and takes nothing; a null source is a source of its own; an
+empty table gives an empty result; other columns pass through unchanged, but in ``mixed`` one that has the
+name of a result is replaced by it. Texts are counted twice, once for the plan and once for the result,
+which costs less than moving or writing them. Sources are expected to be few: they are ordered in one task.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, table, word_count, written
+from .common import numbered, small, table, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -39,10 +43,22 @@ def _source(c: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("z"))
 
 
-def _rank(id_col: str) -> list[Column]:
-    """Random odds of a row, as u and a tie-break."""
-    u = (F.xxhash64(F.lit(SEED), F.col(id_col)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
-    return [u, F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
+def _key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"), _source(source_col))
+
+
+def _draw() -> Column:
+    """Uniform in (0, 1), a number for each key and copy."""
+    return (F.xxhash64(F.lit(SEED), "key", "copy").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
+
+
+def _with_copy(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """Adds copy: 0, 1, ... for rows that share their key. Only these rows are moved."""
+    if repeats is None:
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    again = written(rows.join(repeats, "key", "left_semi").withColumn("place", F.monotonically_increasing_id()))
+    again = numbered(again, ["key"], ["place"], "copy").drop("place")
+    return rows.join(repeats, "key", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(again)
 
 
 def _order(u: Column, p: Column) -> Column:
@@ -65,10 +81,9 @@ def _filled(df: DataFrame, parts: list[str], total: str, size: str, weight: str,
     return df.withColumn(out, F.least(F.col("_f") * F.col(weight), F.col(cap))).drop("_f")
 
 
-def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """Per source and length tier: target, certain copies, p, and the threshold in Pareto's order."""
-    sized = written(docs.select(*(x.alias(n) for x, n in zip(_rank(id_col), ("u", "tie"), strict=True)), _source(source_col).alias("source_key"), word_count(F.col(text_col)).alias("size")))
-    sized = sized.withColumn("tier", _tier(F.col("size")))
+def plan(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+    """Per source and length tier of sized(key, copy, source_key, size): target, certain copies, p, and the threshold in Pareto's order."""
+    sized = sized.withColumn("tier", _tier(F.col("size"))).withColumn("u", _draw())
     tiers = written(sized.groupBy("source_key", "tier").agg(F.sum("size").alias("tier_size"), F.count("*").alias("tier_rows")))
     n = tiers.agg(F.sum("tier_rows")).first()[0] or 0
     all_ = W.partitionBy(F.lit(0))
@@ -76,7 +91,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=W
     sources = tiers.groupBy("source_key").agg(F.sum("tier_size").alias("source_size")).withColumn("w", turn).withColumn("total", F.sum("source_size").over(all_).cast("double"))
     sources = sources.withColumn("cap", F.lit(float(max_copies)) * F.col("source_size")).withColumn("one", F.lit(1.0)).withColumn("none", F.lit(0))
     sources = _filled(sources, ["none"], "total", "one", "w", "cap", "target").select("source_key", "source_size", "target")
-    tiers = tiers.join(F.broadcast(sources) if n == 0 else sources, "source_key").withColumn("v", 1 + F.col("tier") / 8.0).withColumn("cap", F.lit(float(max_copies)))
+    tiers = tiers.join(sources, "source_key").withColumn("v", 1 + F.col("tier") / 8.0).withColumn("cap", F.lit(float(max_copies)))
     tiers = _filled(tiers, ["source_key"], "target", "tier_size", "v", "cap", "expected")
     certain = F.floor(F.col("expected") + 1e-9).cast("int")
     tiers = tiers.withColumn("certain", certain).withColumn("p", F.greatest(F.col("expected") - certain, F.lit(0.0))).withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
@@ -84,21 +99,22 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=W
     tiers = written(tiers.select("source_key", "tier", "source_size", "target", "certain", "p", "rest"))
     m = float(int(n**0.5) + 8)
     ranked = sized.join(small(tiers), ["source_key", "tier"]).where("p > 0 and size > 0").withColumn("place", _order(F.col("u"), F.col("p"))).withColumn("bucket", F.floor(F.col("place") * m))
-    ranked = ranked.select("source_key", "bucket", "place", "tie", "size", "rest")
+    ranked = ranked.select("source_key", "bucket", "place", "key", "copy", "size", "rest")
     sums = ranked.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
     run = F.sum("words").over(W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
     edge = sums.withColumn("run", run).where("run >= rest and run - words < rest").select("source_key", "bucket", (F.col("run") - F.col("words")).alias("before"))
     edge = small(written(edge))
     inside = ranked.join(edge, ["source_key", "bucket"])
-    run = F.col("before") + F.sum("size").over(W.partitionBy("source_key").orderBy("place", "tie").rowsBetween(W.unboundedPreceding, 0))
+    run = F.col("before") + F.sum("size").over(W.partitionBy("source_key").orderBy("place", "key", "copy").rowsBetween(W.unboundedPreceding, 0))
     inside = inside.withColumn("run", run).where("run <= rest")
-    last = inside.groupBy("source_key").agg(F.max(F.struct("place", "tie")).alias("last"), F.max("run").alias("run"))
-    start = F.struct((F.col("bucket") / m).alias("place"), F.lit("").alias("tie"))
+    last = inside.groupBy("source_key").agg(F.max(F.struct("place", "key", "copy")).alias("last"), F.max("run").alias("run"))
+    low = F.lit(-(1 << 63)).cast("long")
+    start = F.struct((F.col("bucket") / m).alias("place"), low.alias("key"), low.alias("copy"))
     full = small(written(edge.join(last, "source_key", "left").select("source_key", F.coalesce("last", start).alias("last"), F.coalesce("run", "before").alias("run"))))
     gap = F.col("rest") - F.col("run")
-    after = ranked.join(full, "source_key").where((F.struct("place", "tie") > F.col("last")) & (F.col("size") < 2 * gap))
-    fill = after.groupBy("source_key").agg(F.min_by(F.struct("place", "tie"), F.struct(F.abs(F.col("size") - gap), "place", "tie")).alias("fill"))
-    everything = F.struct(F.lit(2.0).alias("place"), F.lit("").alias("tie"))
+    after = ranked.join(full, "source_key").where((F.struct("place", "key", "copy") > F.col("last")) & (F.col("size") < 2 * gap))
+    fill = after.groupBy("source_key").agg(F.min_by(F.struct("place", "key", "copy"), F.struct(F.abs(F.col("size") - gap), "place", "key", "copy")).alias("fill"))
+    everything = F.struct(F.lit(2.0).alias("place"), low.alias("key"), low.alias("copy"))
     out = tiers.join(full.drop("run"), "source_key", "left").join(fill, "source_key", "left")
     return written(out.withColumn("last", F.coalesce("last", F.when(F.col("rest") > 0.5, everything))).drop("rest"))
 
@@ -107,21 +123,33 @@ def _tier(size: Column) -> Column:
     return F.floor(F.log2(size + 1.0)).cast("int")
 
 
+def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, **how) -> DataFrame:
+    """(row, size, source_size, target, copies); row holds the input's columns, whose names cannot clash there."""
+    base = [_key(id_col, text_col, source_col).alias("key"), _source(source_col).alias("source_key"), word_count(F.col(text_col).cast("string")).alias("size")]
+    sized = written(docs.select(*base))
+    repeats = written(sized.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    repeats = None if repeats.isEmpty() else small(repeats)
+    how_many = small(plan(_with_copy(sized, repeats), **how))
+    rows = _with_copy(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *base), repeats)
+    rows = rows.withColumn("tier", _tier(F.col("size"))).withColumn("u", _draw()).join(how_many, ["source_key", "tier"])
+    place = F.struct(_order(F.col("u"), F.col("p")).alias("place"), "key", "copy")
+    drawn = (F.col("p") > 0) & (F.coalesce(place <= F.col("last"), F.lit(False)) | F.coalesce(place == F.col("fill"), F.lit(False)))
+    copies = F.when(F.col("size") > 0, F.col("certain") + drawn.cast("int")).otherwise(0)
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents with _size, _source_size, _target and _copies."""
-    how_many = small(plan(docs, id_col, text_col, source_col, **how)).withColumnsRenamed({c: f"_{c}" for c in ("source_key", "tier", "source_size", "target", "certain", "p", "last", "fill")})
-    u, tie = _rank(id_col)
-    docs = docs.withColumn("_size", word_count(F.col(text_col)))
-    docs = docs.join(how_many, (_source(source_col) == F.col("_source_key")) & (_tier(F.col("_size")) == F.col("_tier")))
-    place = F.struct(_order(u, F.col("_p")).alias("place"), tie.alias("tie"))
-    drawn = (F.col("_p") > 0) & (F.col("_size") > 0) & (F.coalesce(place <= F.col("_last"), F.lit(False)) | F.coalesce(place == F.col("_fill"), F.lit(False)))
-    copies = F.col("_certain") + F.coalesce(drawn, F.lit(False)).cast("int")
-    return docs.withColumn("_copies", F.when(F.col("_size") > 0, copies).otherwise(0)).drop("_source_key", "_tier", "_certain", "_p", "_last", "_fill")
+    out = _decided(docs, id_col, text_col, source_col, **how)
+    names = ("size", "source_size", "target", "copies")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in {f"_{n}" for n in names}]
+    return out.select(*own, *(F.col(n).alias(f"_{n}") for n in names))
 
 
-def copies(docs: DataFrame, **columns) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    return mixed(docs, **columns).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    out = _decided(docs, id_col, text_col, source_col, **how).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line with a word is judged by itself: it must end like a sentence or be long enough, must not be
-navigation (short items between bars, or a menu of very few words), must not be boilerplate (rights,
-licence, cookie and similar notices) and must not be mostly symbols. Lines that fail are removed; a
-document that loses more than ``MAX_LOSS`` % of its word characters is rejected. Before that the base
-rules reject documents that are too short or repeat themselves.
-
-Everything is computed within the row. Repeated three-word windows are found by one sort of packed
-numbers, hash above and position below, whose neighbours are then compared; the position takes only as
-many bits as the text needs, and texts of 65,536 words or more sort whole hashes.
+Every line with a word is judged by itself. It fails if
+- it does not end like a sentence (a closing mark or a quote or bracket after one) and has under ten words;
+- it is navigation: a bar for every three words or more, or under three words and no sentence;
+- it is boilerplate (rights, licence, cookie and similar notices);
+- one character in ten or more of its words is a symbol;
+- it shouts: three words in a row in capitals, each followed by two or more exclamation marks.
+Lines that fail are removed; a document that loses more than ``MAX_LOSS`` % of its word characters is
+rejected. Before that the base rules reject documents that are too short or repeat themselves.
+
+Everything is computed within the row, and costly tests run only where a cheap one on the text or the line
+lets them: most texts hold no notice, symbol or bar, and a text whose windows are all distinct has no
+repeats. Repeated three-word windows are found by a sort of their hashes with their places; neighbours with
+equal hashes are compared word by word.
 
 Defined cases: a null or blank text has no words and fails the base rules; lines are split at \\n alone;
-equal lines count from the second on; repeated rows are judged alike; other columns pass through.
+equal lines count from the second on; repeated rows are judged alike; other columns pass through, but one
+that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,70 +24,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, table, word_count, words
+from .common import WORD, let, table
 
-#: Marks that count as symbols, and notices that make a line boilerplate.
+#: Marks that count as symbols, marks that may end a sentence, white space, and what is in every notice that makes a line boilerplate.
 SYMBOLS = "#*$%&|<>"
+ENDS = ".!?\u2026:;\"'\u201d\u00bb)"
+SPACE = " \t\n\x0b\x0c\r"
 BOILERPLATE = r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookies?|subscribe|sign (in|up)|log ?in|click here|read more|javascript|licensed under|released under the)\b|©"
+NOTICES = ("all rights reserved", "terms of ", "privacy policy", "cookie", "subscribe", "sign in", "sign up", "log in", "login", "click here", "read more", "javascript", "licensed under", "released under the", "\u00a9")
+SHOUTING = r"(?:\p{Lu}{2,}\S*!![\x20]*){3}"
 
 MIN_WORDS = 50
 MAX_REPEATS = 50
 MIN_LINE_WORDS = 3
+SHORT_LINE_WORDS = 10
 MAX_LOSS = 50
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "clean_text")
 
 
 def repeat_words(w: Column) -> Column:
     """Words within three-word windows that stand twice or more in the array w."""
-    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
-
-    def doubled(s: Column, name, place) -> Column:
-        """Places, in order, of the elements whose name a neighbour has too."""
-        names = lambda s: F.transform(s, name)
-        pick = lambda s, k: F.filter(F.transform(s, lambda x, j: F.when((F.get(k, j) == F.get(k, j - 1)) | (F.get(k, j) == F.get(k, j + 1)), place(x))), lambda x: x.isNotNull())
-        return F.sort_array(let(s, lambda s: let(names(s), lambda k: pick(s, k))))
+    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
 
-    def packed(h: Column) -> Column:
-        bits = F.length(F.bin(F.size(h).cast("long"))).cast("int")
-        return let(F.call_function("shiftleft", F.lit(1).cast("long"), bits), lambda size: doubled(F.sort_array(F.transform(h, lambda x, i: x - F.pmod(x, size) + i)), lambda x: x - F.pmod(x, size), lambda x: F.pmod(x, size).cast("int")))
+    def same(x: Column, y: Column) -> Column:
+        equal = x["h"] == y["h"]
+        for k in range(3):
+            equal = equal & (F.get(w, x["i"] + k) == F.get(w, y["i"] + k))
+        return F.coalesce(equal, F.lit(False))
 
-    def whole(h: Column) -> Column:
-        return doubled(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda x: x["h"], lambda x: x["i"])
+    def covered(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        twice = lambda s: F.transform(s, lambda x, j: F.when(same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)), x["i"]))
+        places = F.sort_array(F.filter(let(placed, twice), lambda x: x.isNotNull()))
+        return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("p")), lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["p"])).alias("n"), p.alias("p")), lambda s: s["n"])
 
-    at = lambda h: F.when(F.size(h) < 65_536, packed(h)).otherwise(whole(h))
-    covered = lambda at: F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("p")), lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["p"])).alias("n"), p.alias("p")), lambda s: s["n"])
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(w, lambda w: covered(let(hashes(w), at)))).cast("long")
+    some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(some).cast("long")
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, notices: Column | None = None, symbols: Column | None = None) -> Column:
+    """Whether a line fails; notices and symbols: whether its text has any, so that most lines skip these tests."""
+    true = F.lit(True)
     n = F.regexp_count(line, F.lit(WORD))
-    bars = F.regexp_count(line, F.lit(r"\|"))
-    chars = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
-    marks = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    sentence = line.rlike(r"[.!?…:;\"'”»)][\x20\x09-\x0D]*$")
-    punctuation = ~sentence & (n < 10)
-    navigation = (bars * 3 >= n) | ((n < MIN_LINE_WORDS) & ~sentence)
-    shouting = line.rlike(r"(?:\p{Lu}{2,}\S*!![\x20]*){3}")
-    return punctuation | navigation | line.rlike(BOILERPLATE) | (marks * 10 > chars) | shouting
+    sentence = F.substring(F.rtrim(line, F.lit(SPACE)), -1, 1).isin(list(ENDS))
+    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+    layout = ~sentence & (n < SHORT_LINE_WORDS) | line.contains("|") & (bars * 3 >= n) | ~sentence & (n < MIN_LINE_WORDS)
+    marks = F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
+    chars = F.length(line) - F.regexp_count(line, F.lit(r"[\x20\x09-\x0D]"))
+    return layout | (true if notices is None else notices) & line.rlike(BOILERPLATE) | (true if symbols is None else symbols) & (marks * 10 > chars) | line.contains("!!") & line.rlike(SHOUTING)
 
 
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept, and the kept lines as clean_text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("n_words", word_count(F.col(text_col).cast("string"))).withColumn("n_repeat_words", repeat_words(words(F.col(text_col).cast("string"))))
-    out = out.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    bare = lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", ""))
-    clean = F.filter("_lines", lambda x: ~line_fails(x))
-    out = out.withColumn("word_chars", bare(text).cast("long")).withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    # The input's columns go in a struct, so their names cannot clash with those used here.
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULTS)).alias("row"), text.alias("t"))
+    low, lines = F.lower("t"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    notices = F.lit(False)
+    for x in NOTICES:
+        notices = notices | low.contains(x)
+    out = out.select("row", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"), lines.alias("lines"), notices.alias("notices"), F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"))
+    failing = lambda x: line_fails(x, F.col("notices"), F.col("n_symbols") > 0)
+    out = out.select("row", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols", "lines", repeat_words(F.col("w")).alias("n_repeat_words"), F.filter("lines", lambda x: ~failing(x)).alias("good"))
+    out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).withColumn("clean_text", F.array_join("good", "\n"))
+    left = F.length("clean_text") - F.regexp_count("clean_text", F.lit(r"[\x20\x09-\x0D]"))
+    out = out.withColumn("lost_chars", F.when(F.size("good") == F.size("lines"), 0).otherwise(F.col("word_chars") - left).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATS * F.col("n_words")))
-    out = out.withColumn("clean_text", F.array_join(clean, "\n"))
-    out = out.withColumn("lost_chars", F.col("word_chars") - bare(F.col("clean_text")))
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOSS * F.col("word_chars"))).drop("_lines")
+    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOSS * F.col("word_chars")))
+    return out.select("row.*", *RESULTS)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lost_chars").cast("long").alias("lost_chars"))
+    return out.select("doc_id", *(c for c in RESULTS if c != "clean_text"))
 
 
 _SPACE = r"[\x20\x09-\x0D]"

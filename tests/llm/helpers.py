@@ -42,7 +42,7 @@ def frame(spark, rows=None):
 
 def line_budget(n):
     """Edits that op3 allows to the shorter of two lines."""
-    return min(5, n // 16 * 16 // 24)
+    return min(5, n // 32 * 32 // 24)
 
 
 def near(a, b, t):

@@ -109,16 +109,19 @@ def edits(a, b):
 def test_banded_distance(spark):
     rng = np.random.default_rng(4)
     rows = []
-    for _ in range(150):
-        a = "".join(rng.choice(list("abé\U0001f600"), rng.integers(0, 12)))
+    for _ in range(200):
+        a = "".join(rng.choice(list("abé\U0001f600"), rng.integers(0, 60)))
         b = list(a)
-        for _ in range(rng.integers(0, 4)):
+        for _ in range(rng.integers(0, 8)):
             p = int(rng.integers(0, len(b) + 1))
             b[p : p + int(rng.integers(0, 2))] = rng.choice(list("abé"), rng.integers(0, 2)).tolist()
         rows.append((a, "".join(b)))
     df = spark.createDataFrame(rows, "x string, y string")
-    for r in df.select("x", "y", line_dedup.distance(F.col("x"), F.col("y")).alias("d")).collect():
-        assert min(r.d, 3) == min(edits(r.x, r.y), 3), r
+    letters = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    ok = [line_dedup.within(F.col("x"), F.col("y"), F.lit(t)).alias(f"t{t}") for t in (0, 2, 5)]
+    for r in df.select("x", "y", line_dedup.banded(letters("x"), letters("y")).alias("d"), *ok).collect():
+        d = edits(r.x, r.y)
+        assert (min(r.d, 6), r.t0, r.t2, r.t5) == (min(d, 6), d <= 0, d <= 2, d <= 5), r
 
 
 def test_line_dedup_against_plain(spark, empty):
