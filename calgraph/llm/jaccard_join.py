@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import buckets, small, table, written
+from .common import parts_of, small, table, written
 from .components import components
 
 SKETCH_BITS = 512
 #: Members of a key's group that may be paired freely, and leaders that a larger group is held against in the first round.
 ALL_PAIRS = 16
 FIRST_LEADERS = 3
+#: Packed keys that a bucket should hold.
+BUCKET_BYTES = 12_000_000
 
 
 def band(n: np.ndarray) -> np.ndarray:
@@ -254,8 +256,9 @@ def candidates(members: DataFrame, percent: int, n_buckets: int, first: bool) ->
                 firsts.append(np.full(len(hit), ids[i]))
                 seconds.append(ids[hit])
         x, y = np.concatenate(firsts), np.concatenate(seconds)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        to = (pairs[:, 0] >> 17) % n_buckets
+        pairs = np.ascontiguousarray(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0).T).T
+        # Dealt by both ids, so that the pairs of a hub go to many tasks.
+        to = (B.mix64(pairs[:, 0].view(np.uint64) ^ B.mix64(pairs[:, 1].view(np.uint64))) % np.uint64(n_buckets)).astype(np.int64)
         out = [(int(k), pairs[to == k, 0].tobytes(), pairs[to == k, 1].tobytes()) for k in np.unique(to)]
         if rest:
             out.append((-1, np.array(rest, np.int64).tobytes(), b""))
@@ -303,11 +306,11 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links)."""
-    spark = docs.sparkSession
-    n_buckets = min(buckets(spark, 1), 8192)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     every = written(sets(docs, percent))
     classes = written(every.where("n > 0").groupBy("set_id").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "z", "z_low", "sketch"))))
+    # A key takes six bytes in a block and some forty while a task sorts its bucket.
+    n_buckets = parts_of((classes.agg(F.sum(F.col("z").cast("long") + F.col("z_low"))).first()[0] or 0) * 6, BUCKET_BYTES)
     open_ = written(prefixes(shared(keys(docs, percent, n_buckets), n_buckets), classes, percent, n_buckets))
     wanted = written(open_.select("set_id").distinct().join(classes, "set_id").select("set_id", "rep", "n", "sketch"))
     reps = small(wanted.select(F.col("rep").alias("id")).distinct())

@@ -105,9 +105,10 @@ def even_out(blocks: DataFrame, shards: int) -> DataFrame:
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Per document: id, size, text_crc32, law, shard, slot (0, 1, ... in the shard), grown_shard (null)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text, F.crc32(text)).alias("g"))
+    base = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(text, F.crc32(text)).alias("g"), F.monotonically_increasing_id().alias("row"))
+    # Written, so the row numbers stand; they tell rows of one id apart.
     base = written(base)
-    first = base.groupBy(*GROUP, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
+    first = base.groupBy(*GROUP, F.pmod(F.xxhash64("id", "row"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
     blocks = written(first.withColumn("members", F.sum("n").over(W.partitionBy(*GROUP))))
     blocks = propagate(blocks, shards, rounds)
     for _ in range(3):
@@ -118,10 +119,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     split = written(counted.where("parts > 1").withColumn("lo", F.coalesce(F.sum("n").over(below), F.lit(0))).select(*GROUP, "shard", "lo", (F.col("lo") + F.col("n")).alias("hi")))
     split_groups = small(written(split.select(*GROUP).distinct()))
     one = base.join(split_groups, GROUP, "left_anti").join(small(written(whole)), GROUP)
-    many = numbered(written(base.join(split_groups, GROUP, "left_semi")), GROUP, ["id"], "k")
+    many = numbered(written(base.join(split_groups, GROUP, "left_semi")), GROUP, ["id", "row"], "k")
     many = many.join(small(split), GROUP).where("k >= lo and k < hi").select(*base.columns, "shard")
     out = written(one.select(*base.columns, "shard").unionByName(many))
-    out = numbered(out, ["shard"], ["id", "g"], "slot")
+    out = numbered(out, ["shard"], ["id", "row"], "slot")
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -1,7 +1,7 @@
 """Removal of every byte that a repeated 200-byte string covers, by suffix arrays in shards.
 
-1. ``stamped``: each text's hash, length and digest. Equal texts are worked on once; a text of 200 bytes
-   or more that stands twice is covered whole.
+1. ``stamped``: each text's hash, length and digest. Texts with one digest are worked on once; a text of 200
+   bytes or more that stands twice is covered whole.
 2. ``anchors``: the smallest 32-gram hash of every 128 consecutive positions (winnowing). Equal strings of
    159 bytes have the same anchor, so a 200-byte string that repeats holds repeated anchors only.
    Distinct (anchor, text) pairs go to hash buckets as packed blocks; a bucket tells which repeat.
@@ -16,6 +16,10 @@
    binary search the keys that other shards have. The hits go back to their shard.
 7. Marked windows become spans per text, and the texts' remaining bytes are hashed.
 
+Windows of different shards are compared by 64-bit hashes, cut to their key range and 56 low bits; within a
+shard the suffix array compares the bytes. Buckets, shards and ranges are counted from measured bytes, up to
+65,535 of each kind.
+
 Defined cases: a null or empty text has no bytes and keeps the digest of none; texts under 200 bytes lose
 nothing; repeated rows are equal texts; a null id is returned like any other; columns besides the id
 and the text are ignored; an empty table gives an empty result.
@@ -32,14 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import buckets, small, table, written
+from .common import parts_of, small, table, written
 
 LENGTH = 200
 GRAM = 32
 WINDOW = 128
 REACH = GRAM + WINDOW - 1
-#: Bytes of segments that a shard holds on average.
+#: Bytes of segments that a shard holds on average, of text whose anchors a bucket holds, and of segments whose windows a key range holds.
 SHARD = 1_200_000
+BUCKET_TEXT = 48_000_000
+RANGE_TEXT = 1_200_000
 LANES = 8192
 
 
@@ -378,49 +384,54 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "tid long, n_removed long, n_spans long, kept string")
 
 
-def with_tid(docs: DataFrame) -> DataFrame:
+def with_digest(docs: DataFrame) -> DataFrame:
     def run(batches):
         for part, data, off in B.chunks(batches):
             raw = data.tobytes()
-            tids = [_tid(hashlib.sha256(raw[a:b]).digest()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), part.column(1)], names=["tid", "text"])
+            digests = [hashlib.sha256(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([d.hexdigest() for d in digests], pa.string()), part.column(1)], names=["sha", "text"])
 
-    return docs.select("id", "text").mapInArrow(run, "tid long, text string")
+    return docs.select("id", "text").mapInArrow(run, "sha string, text string")
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, tids: DataFrame) -> DataFrame:
-    """(tid, text), once for each of the given texts."""
-    ids = small(written(tids.join(classes, "tid").select(F.col("rep").alias("id")).distinct()))
+def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tid, text), once for each of classes(tid, sha, rep); tid tells texts apart, whatever their hashes."""
+    ids = small(written(classes.select(F.col("rep").alias("id")).distinct()))
+    wanted = small(written(classes.select("sha", "tid")))
     # Rows without an id name no class, so all their texts are read.
-    return with_tid(docs.join(ids, "id", "left_semi").unionByName(docs.where("id IS NULL"))).groupBy("tid").agg(F.first("text").alias("text"))
+    fetched = docs.join(ids, "id", "left_semi").unionByName(docs.where("id IS NULL"))
+    return with_digest(fetched).join(wanted, "sha").groupBy("tid").agg(F.first("text").alias("text"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
-    n = min(buckets(spark), 65_536)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     every = written(stamped(docs))
-    classes = written(every.groupBy("tid").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n_bytes").alias("n_bytes")))
-    known = written(repeated(anchors(docs, n), n))
-    found = written(segments(_texts_of(docs, classes, known).join(known, "tid").select("tid", "text", "keys")))
+    # Texts are one if their digests are; from here on a class has a number of its own in place of the short hash.
+    classes = written(every.groupBy("sha").agg(F.first("tid").alias("hash"), F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n_bytes").alias("n_bytes")).withColumn("tid", F.monotonically_increasing_id()))
+    n = parts_of(classes.agg(F.sum("n_bytes")).first()[0] or 0, BUCKET_TEXT)
+    known = written(repeated(anchors(docs, n), n).withColumnRenamed("tid", "hash"))
+    # Texts that share a short hash get each other's anchors too, which only keeps more of them.
+    kept = written(classes.join(known.select("hash"), "hash", "left_semi"))
+    keys = kept.select("tid", "hash").join(known, "hash").select("tid", "keys")
+    found = written(segments(_texts_of(docs, kept).join(keys, "tid").select("tid", "text", "keys")))
     sizes = found.groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes"))
     total = found.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = total // SHARD + 1
     hot = small(written(sizes.where(F.col("bytes") > SHARD // 4).select("anchor", F.ceil(F.col("bytes") / (SHARD // 4)).cast("int").alias("salts"))))
     salt = F.pmod(F.xxhash64("tid", "start"), F.coalesce("salts", F.lit(1)))
     placed = found.join(hot, "anchor", "left").select("tid", "start", "body", F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard"))
-    done = written(placed.groupBy("shard").applyInPandas(shard_work(n), "kind int, part long, shard long, a binary, b binary"))
+    done = written(placed.groupBy("shard").applyInPandas(shard_work(parts_of(total, RANGE_TEXT)), "kind int, part long, shard long, a binary, b binary"))
     hits = done.where("kind = 1").groupBy("part").applyInPandas(merge, "shard long, hits binary")
     covered = done.where("kind = 0").groupBy("shard").cogroup(hits.groupBy("shard")).applyInPandas(spans, "tid long, spans binary")
     copied = F.expr(f"copies > 1 and n_bytes >= {LENGTH}")
     covered = written(covered.groupBy("tid").agg(F.collect_list("spans").alias("spans")).join(classes.where(~copied).select("tid"), "tid", "left_semi"))
-    part = cut_texts(_texts_of(docs, classes, covered.select("tid")).join(covered, "tid").select("tid", "text", "spans"))
+    part = cut_texts(_texts_of(docs, classes.join(covered.select("tid"), "tid", "left_semi")).join(covered, "tid").select("tid", "text", "spans"))
     empty = hashlib.sha256(b"").hexdigest()
     whole = classes.where(copied).select("tid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept"))
-    cut = small(written(part.unionByName(whole)))
+    cut = small(written(part.unionByName(whole).join(classes.select("tid", "sha"), "tid").drop("tid")))
     zero = F.lit(0).cast("long")
-    return every.join(cut, "tid", "left").select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    return every.join(cut, "sha", "left").select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
