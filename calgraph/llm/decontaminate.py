@@ -6,10 +6,12 @@ a look. Piece hits of an item whose diagonals are within k of each other share o
 bit-parallel recurrence (one machine or long integer per column) searches for the nearest occurrence.
 Texts and items are compared with A-Z in lower case and white space as blanks, which keeps positions.
 
-Items travel to the tasks in parts of at most ``PART_CHARS`` characters; a larger benchmark takes several
-passes over the documents, none of which shuffles a text.
+Items travel to the tasks in parts of some ``PART_CHARS`` characters; a larger benchmark takes several
+passes over the documents, none of which shuffles a text. Items that share a piece are each compared where it
+stands, so a piece that many items and documents have in common costs a comparison for each.
 
-Defined cases: null or blank items match nothing; a null text holds nothing; an item that occurs several
+Defined cases: null and blank items match nothing, nor do items of fewer than ``MIN_CHARS`` characters, which
+stand in any text; an item without a budget must not be part of a longer word; item ids are of any type; a null text holds nothing; an item that occurs several
 times in a text is one row with its best place (the first of the nearest); equal items each give a row;
 repeated documents each give their rows; other columns are ignored.
 """
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import table
+from .common import small, table, written
 
 CHARS_PER_EDIT = 16
 PART_CHARS = 4_000_000
+MIN_CHARS = 8
 
 
 def _plain() -> np.ndarray:
@@ -77,7 +80,7 @@ class Searcher:
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
         import ahocorasick
 
-        self.items = [(i, t, len(t) // chars_per_edit) for i, t in ((i, plain(t).strip()) for i, t in items) if t]
+        self.items = [(i, t, len(t) // chars_per_edit) for i, t in ((i, plain(t).strip()) for i, t in items) if len(t) >= MIN_CHARS]
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for at, (_, t, k) in enumerate(self.items):
             for offset, piece in pieces(t, k):
@@ -99,13 +102,18 @@ class Searcher:
             best = None
             runs: list[list[int]] = []
             for d in sorted(diagonals):
-                if runs and d - runs[-1][1] <= k:
+                if k and runs and d - runs[-1][1] <= k:
                     runs[-1][1] = d
                 else:
                     runs.append([d, d])
             for lo, hi in runs:
                 a = max(0, lo - k)
                 window = text[a : hi + len(t) + k]
+                if not k:
+                    # Without a budget the piece is the whole item, and it must not be cut from a word.
+                    inside = any(x.isalnum() and y.isalnum() for x, y in ((text[lo - 1 : lo], t[0]), (t[-1], text[lo + len(t) : lo + len(t) + 1])))
+                    if inside:
+                        continue
                 exact = window.find(t)
                 edits, end = (0, exact + len(t)) if exact >= 0 else nearest(t, window)
                 if edits <= k and (best is None or edits < best[1]):
@@ -117,20 +125,22 @@ class Searcher:
         return out
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Items as (at, item_id, text), numbered in a written table, and its parts."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("length(trim(text)) > 0")
+    items = written(items.withColumn("at", F.monotonically_increasing_id()))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = chars // PART_CHARS + 1
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+    return items, [items.where(F.pmod(F.xxhash64("at"), F.lit(n)) == i) for i in range(n)]
 
 
-def _search(docs: DataFrame, part: DataFrame, chars_per_edit: int, schema, rows, text: str = "text") -> DataFrame:
-    """Runs one part's items over the documents; rows(batch, found) makes the output."""
-    items = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
+def _search(docs: DataFrame, part: DataFrame, chars_per_edit: int, schema, rows) -> DataFrame:
+    """Runs one part's items over docs(..., text); rows(batch, found) makes the output."""
+    items = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.select("at", "text").collect()])
 
     def run(batches):
         searcher, same = Searcher(items.value, chars_per_edit), _plain()
-        for batch, data, off in B.chunks(batches, text):
+        for batch, data, off in B.chunks(batches):
             data = same[data].tobytes()
             yield rows(batch, [searcher.find(data[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
 
@@ -145,20 +155,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         n = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
         flat = [y for x in found for y in x]
         columns = [pa.array([y[i] for y in flat], pa.int64()) for i in range(4)]
-        return pa.RecordBatch.from_arrays([pc.take(batch.column(0), n), *columns], names=["id", "item_id", "edits", "start", "end"])
+        return pa.RecordBatch.from_arrays([pc.take(batch.column(0), n), *columns], names=["id", "at", "edits", "start", "end"])
 
+    items, parts = _items(benchmark, item_col, item_text_col)
     kind = docs.schema["id"].dataType.simpleString()
-    found = [_search(docs, p, chars_per_edit, f"id {kind}, item_id long, edits long, start long, end long", rows) for p in _parts(benchmark, item_col, item_text_col)]
-    return reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
+    found = reduce(DataFrame.unionByName, [_search(docs, p, chars_per_edit, f"id {kind}, at long, edits long, start long, end long", rows) for p in parts])
+    return found.join(small(items.select("at", "item_id")), "at").select(F.col("id").alias(id_col), "item_id", "edits", "start", "end")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    names = docs.columns
-    docs = docs.withColumn("__text__", F.col(text_col).cast("string"))
-    for part in _parts(benchmark, item_col, item_text_col):
-        docs = _search(docs, part, chars_per_edit, docs.schema, lambda batch, found: batch.filter(pa.array([not x for x in found], pa.bool_())), "__text__")
-    return docs.select(*names)
+    # The input's columns go in a struct, so their names cannot clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    for part in _items(benchmark, item_col, item_text_col)[1]:
+        rows = _search(rows, part, chars_per_edit, rows.schema, lambda batch, found: batch.filter(pa.array([not x for x in found], pa.bool_())))
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

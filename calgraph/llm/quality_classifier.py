@@ -7,16 +7,18 @@ document. A labelled sample (at most ``SAMPLE`` rows, those with the smallest ha
 latent space: the leading right singular vectors of its term matrix. The sample's vectors and the
 projection are broadcast; their size depends on the parameters only. Every document is projected in
 blocks, its cosines with all sample vectors are computed exactly, and its ``NEIGHBOURS`` nearest vote
-with their similarity as weight.
+with their cosine as weight (negative ones count as none).
 
 Defined cases: a null or empty text has the zero vector, no similarity to anything, and gets the
 sample's mean label; ties in similarity go to the earlier sample row (by hash order); labels that are
 null or whose document is missing are not used; without any label every score is 0.5; repeated rows are
-scored alike; only the text enters a score.
+scored alike; only the text enters a score; an input column named ``score`` is replaced in ``classify``.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +60,7 @@ def counts(data: np.ndarray, off: np.ndarray, hasher: B.Hasher) -> np.ndarray:
             owner = np.repeat(np.arange(rows), np.diff(off))
             same = owner[:-3] == owner[3:]
             out += np.bincount((owner[:-3] * 2 * TERMS + TERMS + gram)[same], minlength=len(out)).astype(np.float32)
-    return np.minimum(out, 65_535).reshape(rows, 2 * TERMS)
+    return out.reshape(rows, 2 * TERMS)
 
 
 def blocks(batches):
@@ -118,7 +120,8 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
 
     def run(batches):
         for part, c in blocks(batches):
-            packed = pa.array([r.tobytes() for r in c.astype(np.uint16)], pa.binary())
+            # Most counts are zero, so a row is some kilobytes.
+            packed = pa.array([zlib.compress(r.tobytes(), 1) for r in c.astype(np.uint32)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), packed], names=["h", "label", "c"])
 
     texts = docs.join(small(chosen), "id").select(F.xxhash64("id").alias("h"), "text", F.col("label").cast("double").alias("label"))
@@ -130,7 +133,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict:
     labels = np.array([r["label"] for r in rows])
     x = np.empty((len(rows), 2 * TERMS), np.float32)
     for i in range(len(rows)):  # row by row, so that the driver holds the sample once
-        x[i] = weighted(np.frombuffer(rows[i]["c"], np.uint16).astype(np.float32)[None], idf)
+        x[i] = weighted(np.frombuffer(zlib.decompress(rows[i]["c"]), np.uint32).astype(np.float32)[None], idf)
     del rows
     axes = leading(x)
     return {"idf": idf, "axes": axes, "vectors": unit(x @ axes), "labels": labels, "mean": float(labels.mean())}
@@ -142,31 +145,44 @@ def vote(model: dict, c: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
     y = unit(weighted(c, model["idf"]) @ model["axes"])
     sims = y @ model["vectors"].T
     k = min(k, sims.shape[1])
-    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 4
-    total = w.sum(axis=1)
-    share = (w * model["labels"][near]).sum(axis=1)
+    last = np.partition(sims, -k, axis=1)[:, -k, None]
+    above, tied = sims > last, sims == last
+    # Of those that tie for the last places the earlier ones are taken.
+    take = above | tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True))
+    w = np.where(take, np.maximum(sims, 0), 0).astype(np.float64)
+    total, share = w.sum(axis=1), w @ model["labels"]
     return np.where((total > 0) & (c.sum(axis=1) > 0), share / np.maximum(total, 1e-12), model["mean"]).clip(0, 1)
 
 
-def scored(docs: DataFrame, model: dict, text_col: str, name: str = "score") -> DataFrame:
-    """The documents with all their columns and a score."""
+def scored(docs: DataFrame, model: dict, text_col: str) -> DataFrame:
+    """(row, score): the input's columns as a struct, in which their names cannot clash, and a score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.withColumn("__text__", F.col(text_col).cast("string"))
-    schema = kept.withColumn(name, F.lit(0.0)).schema
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = kept.select("row", F.lit(0.0).alias("score")).schema
 
     def run(batches):
         hasher, m = B.Hasher(), held.value
-        for part, data, off in B.chunks(batches, "__text__"):
+        for part, data, off in B.chunks(batches):
             scores = [vote(m, counts(data[off[a] : off[b]], off[a : b + 1] - off[a], hasher)) for a in range(0, part.num_rows, BLOCK) for b in [min(a + BLOCK, part.num_rows)]]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(scores))], names=[*part.schema.names, name])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.concatenate(scores))], names=["row", "score"])
+
+    return kept.mapInArrow(run, schema)
+
 
-    return kept.mapInArrow(run, schema).drop("__text__")
+def learned(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, sample: int) -> dict:
+    return fit(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), labelled, sample)
 
 
 def classify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The documents with score (0 to 1, higher: likelier label 1). ``labelled(id, label)`` holds the rows to learn from."""
-    return scored(docs, fit(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), labelled, sample), text_col)
+    out = scored(docs, learned(docs, labelled, id_col, text_col, sample), text_col)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "score"), "score")
+
+
+def accepted(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """The documents that score ``least`` or more, with their own columns."""
+    out = scored(docs, learned(docs, labelled, id_col, text_col, sample), text_col).where(F.col("score") >= least)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def held_out():

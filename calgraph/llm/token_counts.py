@@ -5,8 +5,8 @@ spans are interval-joined to the sections by binary search in the sections' star
 with the \\n that ends it. A token that crosses a boundary goes to the section that holds most of its
 bytes, the earlier one in a tie, so section counts add up to the text's count.
 
-The vocabulary is a file of base64 tokens and ranks. The driver reads it from ``vocabulary`` and sends
-it to the tasks; it may have at most ``MAX_VOCABULARY`` bytes. Special tokens' strings are ordinary text.
+The vocabulary is a file of base64 tokens and ranks, a path or URI that Spark reads. It is sent to the tasks
+and may have at most ``MAX_VOCABULARY`` bytes. Special tokens' strings are ordinary text.
 
 Defined cases: a null or empty text has no tokens and no sections; repeated rows each give a row; other
 columns are ignored; an empty table gives an empty result.
@@ -15,7 +15,6 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +56,12 @@ def attribute(start: np.ndarray, end: np.ndarray, sections: np.ndarray) -> tuple
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """Per document: id, n_tokens, n_sections, n_crossing, section_tokens (an array in the text's order)."""
-    raw = Path(vocabulary).read_bytes()
-    if len(raw) > MAX_VOCABULARY:
-        raise ValueError(f"the vocabulary has {len(raw)} bytes; {MAX_VOCABULARY} are allowed")
-    held = docs.sparkSession.sparkContext.broadcast(raw)
+    spark = docs.sparkSession
+    file = spark.read.format("binaryFile").load(vocabulary)
+    size_ = file.agg(F.max("length")).first()[0]
+    if size_ > MAX_VOCABULARY:
+        raise ValueError(f"the vocabulary has {size_} bytes; {MAX_VOCABULARY} are allowed")
+    held = spark.sparkContext.broadcast(bytes(file.select("content").first()[0]))
 
     def run(batches):
         coder, size = encoder(held.value, pattern)
