@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,7 +23,7 @@ def empty(spark):
 
 def clash(df):
     """More columns, among them names that the operators use inside."""
-    return df.withColumns({c: F.lit(1) for c in ("id", "size", "key", "h", "n", "shard", "score", "line", "set_id", "tid", "tier", "_size")})
+    return df.withColumns({c: F.lit(1) for c in ("id", "size", "key", "h", "n", "shard", "score", "line", "set_id", "tid", "tier", "_size", "_target", "row", "copies", "label", "lines", "n_words", "__text__", "_row", "component_id")})
 
 
 def by_id(df):
@@ -41,17 +42,23 @@ def bigrams(text):
     return set(zip(w, w[1:]))
 
 
-def test_licences_against_plain_dice(spark):
-    rows = [(i, t, None, None, 0) for i, t in enumerate([None, "", "x", "Released under the MIT License.", "prose here\nreleased UNDER the mit license!!\nmore", "Licensed under the Apache License, Version 2.0", "All rights reserved. All rights reserved.", "nothing of it"])]
+def test_licences_against_plain_dice(spark, empty):
+    mit = license_scan.TEMPLATES[11][1]
+    wrapped = "prose before it\n\n" + mit.replace("free of charge, ", "free of charge,\n").replace("associated ", "associated\n") + "\n\nmore"
+    rows = [(i, t, None, None, 0) for i, t in enumerate([None, "", "x", wrapped, "Copyright 2020 X. All rights reserved. Nothing else. " + "word " * 40, "All rights reserved.", "Released under the MIT License.", "prose here\nreleased UNDER the mit license!!\nmore", "Licensed under the Apache License, Version 2.0", "All rights reserved. All rights reserved.", "nothing of it"])]
     got = {(r.doc_id, r.license): r.dice for r in license_scan.scan(clash(H.frame(spark, rows)), license_scan.template_table(spark)).collect()}
     want = {}
     for i, t, *_ in rows:
-        for unit in [t or "", *(t or "").split("\n")]:
+        t = t or ""
+        for unit in [t, *re.split(r"\n[ \t\r]*\n", t), *t.split("\n"), *re.sub(r"([.!?]) +", "\\1\n", t.replace("\n", " ")).split("\n")]:
             for name, text in license_scan.TEMPLATES:
                 d = plain_dice(bigrams(unit), bigrams(text))
                 if d >= license_scan.THRESHOLD:
                     want[i, name] = max(want.get((i, name), 0), round(d, 6))
-    assert got == pytest.approx(want)
+    assert got == pytest.approx(want) and (3, "MIT") in got and (4, "reserved") in got
+    assert [r.n_units for r in license_scan.scan(H.frame(spark, rows[5:6]), license_scan.template_table(spark)).collect()] == [1]
+    assert license_scan.scan(empty, license_scan.template_table(spark)).count() == 0
+    assert license_scan.scan(H.frame(spark, rows), license_scan.template_table(spark).limit(0)).count() == 0
 
 
 # 2
@@ -180,11 +187,28 @@ def test_classifier_on_held_out_rows(spark):
 
 def test_classifier_odd_cases(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, None), (None, 1), (9999, 0)], "id long, label int")
-    rows = quality_classifier.classify(clash(docs).drop("score"), labels).collect()
+    rows = quality_classifier.classify(clash(docs), labels).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if not r.text}) == 1
     assert {r.score for r in quality_classifier.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_classifier.classify(empty, labels).count() == 0
+    kept = quality_classifier.accepted(clash(docs), labels)
+    assert kept.columns == clash(docs).columns and {r.score for r in kept.collect()} <= {1}
+
+
+def test_votes_against_plain():
+    rng = np.random.default_rng(3)
+    model = {"idf": np.ones(2 * quality_classifier.TERMS, np.float32), "axes": rng.standard_normal((2 * quality_classifier.TERMS, 8)).astype(np.float32), "labels": rng.integers(0, 2, 90).astype(float), "mean": 0.5}
+    one = quality_classifier.unit(rng.standard_normal((30, 8)).astype(np.float32))
+    model["vectors"] = np.concatenate([one, one, one])  # every similarity ties three times
+    c = rng.integers(0, 3, (20, 2 * quality_classifier.TERMS)).astype(np.float32)
+    y = quality_classifier.unit(quality_classifier.weighted(c, model["idf"]) @ model["axes"])
+    for got, v in zip(quality_classifier.vote(model, c, 10), y, strict=True):
+        sims = (v[None] @ model["vectors"].T)[0]
+        near = sorted(range(90), key=lambda i: (-sims[i], i))[:10]
+        w = [max(0.0, float(sims[i])) for i in near]
+        want = sum(x * model["labels"][i] for x, i in zip(w, near, strict=True)) / sum(w) if sum(w) else 0.5
+        assert abs(got - want) < 1e-5
 
 
 # 5
@@ -298,6 +322,10 @@ def test_decontamination(spark, empty):
     assert got == Counter({(0, 1, 0, 0, n): 2, (1, 1, 0, 7, 7 + n): 1, (2, 1, 2, 4, 4 + n): 1, (7, 1, 0, 0, n): 1})
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
+    named = bench.selectExpr("concat('item-', item_id) as item_id", "text")
+    assert {r.item_id for r in decontaminate.contaminated(docs, named).collect()} == {"item-1"}
+    short = spark.createDataFrame([(1, "e"), (2, "fox jumps"), (3, "ox jumps")], "item_id long, text string")
+    assert {r.item_id for r in decontaminate.contaminated(docs, short).collect()} == {2}
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -344,6 +372,23 @@ def test_token_counts_add_up_and_round_trip(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_sections_against_plain_attribution(spark):
+    from pathlib import Path
+
+    texts = ["alpha beta\ngamma  \n\n delta\n", "one\ntwo\nthree", "\n\n\n", "caf\u00e9\n\u00e9t\u00e9 \U0001f600\n x"]
+    coder, size = token_counts.encoder(Path(token_counts.VOCABULARY).read_bytes())
+    got = by_id(token_counts.token_counts(H.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])))
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        section = [raw[:p].count(b"\n") for p in range(len(raw))]
+        counts, at = [0] * (section[-1] + 1), 0
+        for token in coder.encode_ordinary(t):
+            own = section[at : at + size[token]]
+            counts[max(sorted(set(own)), key=own.count)] += 1
+            at += size[token]
+        assert got[i].section_tokens == counts
+
+
 def test_crossing_tokens_go_where_most_of_them_is():
     counts, crossing = token_counts.attribute(np.array([0, 4, 9]), np.array([4, 9, 10]), np.array([0, 6, 9]))
     assert counts.tolist() == [1, 1, 1] and crossing == 1
