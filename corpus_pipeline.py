@@ -7,28 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calgraph.llm.common import small, table, written
+from calgraph.llm.common import discard, made, small, table, written
 from calgraph.llm.decontaminate import clean
 from calgraph.llm.jaccard_join import near_duplicates
 from calgraph.llm.mixing import copies
-from calgraph.llm.quality_classifier import classify, learnable
+from calgraph.llm.quality_classifier import accepted, learnable
 from calgraph.llm.sharding import shard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier scores 0.5 or more."""
-    return classify(docs, learnable(table(spark, sf_dir, "labels"))).where("score >= 0.5").select(*docs.columns)
+    return accepted(docs, learnable(table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: the one with the smallest id, or any if none has an id."""
     columns = docs.columns
     # Ids may be null or repeated, so rows are known by a key that is written with them.
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows = near_duplicates(docs, id_col="_row").join(docs.select("_row", "doc_id"), "_row")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    stay = rows.groupBy("component_id").agg(F.min_by("_row", first).alias("_row")).select("_row")
-    return docs.join(small(written(stay)), "_row", "left_semi").select(*columns)
+    docs = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text", "doc_id", F.monotonically_increasing_id().alias("key")))
+    rows = near_duplicates(docs, id_col="key").join(docs.select("key", "doc_id"), "key")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    stay = rows.groupBy("component_id").agg(F.min_by("key", first).alias("key")).select("key")
+    return docs.join(small(written(stay)), "key", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +60,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, older = table(spark, sf_dir, "documents"), made()
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
+        discard(spark, docs, older)
     return docs
 
 
