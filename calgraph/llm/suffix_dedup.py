@@ -43,7 +43,7 @@ GRAM = 32
 WINDOW = 128
 REACH = GRAM + WINDOW - 1
 #: Bytes of segments that a shard holds on average, of text whose anchors a bucket holds, and of segments whose windows a key range holds.
-SHARD = 1_200_000
+SHARD = 600_000
 BUCKET_TEXT = 48_000_000
 RANGE_TEXT = 1_200_000
 LANES = 8192
