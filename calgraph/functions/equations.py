@@ -28,7 +28,22 @@ _BINARY: dict[type, Callable[[Column, Column], Column]] = {
     ast.Mod: floor_mod,
     ast.Pow: lambda a, b: F.pow(a, b),
 }
-_CALLS: dict[str, Callable[..., Column]] = {"abs": F.abs, "min": F.least, "max": F.greatest, "sqrt": F.sqrt, "round": F.rint}
+
+
+def _all_given(f: Callable[..., Column]) -> Callable[..., Column]:
+    """Null if any argument is: the built-in skips a failed one."""
+
+    def call(*args: Column) -> Column:
+        given = args[0].isNotNull()
+        for a in args[1:]:
+            given = given & a.isNotNull()
+        return F.when(given, f(*args) if len(args) > 1 else args[0])
+
+    return call
+
+
+#: Name, fewest and most arguments, and what it becomes. The second argument of round must be a whole number.
+_CALLS: dict[str, tuple[int, int, Callable[..., Column]]] = {"abs": (1, 1, F.abs), "min": (1, 99, _all_given(F.least)), "max": (1, 99, _all_given(F.greatest)), "sqrt": (1, 1, lambda x: F.when(x >= 0, F.sqrt(x))), "round": (1, 1, F.rint)}
 
 
 def compile_formula(formula: str, **names: Column) -> Column:
@@ -51,8 +66,10 @@ def compile_formula(formula: str, **names: Column) -> Column:
                 return walk(x)
             case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
                 return _BINARY[type(op)](walk(a), walk(b))
-            case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name.lower() in _CALLS:
-                return _CALLS[name.lower()](*map(walk, args))
+            case ast.Call(func=ast.Name(id=name), args=[x, ast.Constant(value=int() as n)], keywords=[]) if name.lower() == "round" and not isinstance(n, bool):
+                return F.bround(walk(x), n)
+            case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name.lower() in _CALLS and _CALLS[name.lower()][0] <= len(args) <= _CALLS[name.lower()][1]:
+                return _CALLS[name.lower()][2](*map(walk, args))
         raise FormulaError(formula)
 
     return walk(tree)

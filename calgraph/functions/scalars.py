@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 # The address map of the two-processor controller.
 BANK_SPLIT = 0x8000
 SLAVE_OFFSET = 0x88000
-CAL_REGIONS = [("cal", 0x88000, 0x8FFFF), ("rawcal", 0x0, 0x7FFF), ("code", 0x8000, 0x7FFFF), ("ram", 0xF0000, 0xFFFFF), ("boot", 0x80000, 0x87FFF)]
+CAL_REGIONS = [("cal", 0x88000, 0x8FFFF), ("rawcal", 0x8000, 0xFFFF), ("code", 0x10000, 0x7FFFF), ("ram", 0xFF0000, 0xFFFFFFFF), ("boot", 0x0, 0x7FFF)]
 #: Names that a disassembler makes up.
-AUTO_PREFIXES = ("FUN_", "DAT_", "LAB_", "SUB_", "UNK_", "PTR_", "switchD_", "caseD_", "thunk_")
+AUTO_PREFIXES = ("FUN_", "DAT_", "LAB_", "SUB_", "UNK_", "SWITCH_", "caseD_")
+#: What an editor's stamp in a description has.
+STAMP = r"\bHW:\d|MatchRatio|BlockFound|Created by find routine|File Orientation"
 
 
 def bank_of(addr: Column) -> Column:
@@ -84,13 +86,14 @@ def description_body(desc: Column) -> Column:
     return F.trim(F.regexp_replace(desc, r"^[^\n]*\n?", ""))
 
 
-def is_tool_metadata(desc: Column, pattern: str = r"(?i)(generated|created|exported) (by|with|on)|^\s*v?\d+\.\d+") -> Column:
+def is_tool_metadata(desc: Column, pattern: str = STAMP) -> Column:
     return F.coalesce(desc.rlike(pattern), F.lit(False))
 
 
 def meaningful_description(first: Column, second: Column) -> Column:
-    text = F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
-    return F.when(~is_tool_metadata(text), text)
+    """The first language's text, else the second's; null if it is empty or a stamp."""
+    text = F.coalesce(first, second)
+    return F.when((text != "") & ~is_tool_metadata(text), text)
 
 
 def short_gloss(desc: Column, most: int = 40) -> Column:
@@ -113,22 +116,38 @@ def alternatives(token: Column) -> Column:
 
 
 def kind_by_prefix(name: Column) -> Column:
-    return F.when(name.startswith("KF_"), "map").when(name.startswith("KL_"), "curve").when(name.startswith("K_"), "constant").when(name.rlike("^[A-Z][A-Z0-9_]*$"), "signal").otherwise("unknown")
+    """What the naming scheme says of a name that no table knows; case matters for signals only."""
+    prefix = lambda p: name.rlike(f"(?i)^{p}_")
+    return F.when(prefix("KF"), "map").when(prefix("KL"), "curve").when(prefix("K"), "constant").when(name.rlike("^[A-Z][A-Z0-9_]*$"), "signal").otherwise("unknown")
+
+
+#: Literals, a decompiler's pseudo-operations and its unnamed addresses and parameters.
+SYMBOL_NOISE = r"^(?:0x[0-9a-fA-F]+|\d+|CONCAT\d+|SUB\d+|SCARRY\d+|ZEXT\d+|SEXT\d+|abs|(?:DAT|UNK|PTR)_[0-9a-fA-F]{6,8}|param_\d+)$"
+#: Interpolations, filters and memory helpers.
+HELPER = r"^(?:(?:kf|kl)[su]_[wb]int$|(?:PT1|IIR)_Filter_\w+$|mem(?:cpy|set|move)|tableLookup$)"
+#: Names that a decompiler gives to locals, registers and returns.
+TEMPORARY = r"^(?:[a-z]{1,2}Var\d+$|local_[0-9a-f]+$|[a-z]Stack_[0-9a-f]+$|p[A-Z]?\w*Var\d+$|unaff_|in_|extraout_|__)"
 
 
 def is_symbol_noise(name: Column) -> Column:
-    return (F.length(name) < 2) | name.rlike(r"^(0x[0-9a-fA-F]+|-?\d+|param_\d+|(DAT|UNK|PTR|FUN|LAB)_[0-9a-fA-F]+|CONCAT\d+|SUB\d+|ZEXT\d+|SEXT\d+|CARRY\d+|unaff_\w+|in_\w+)$")
+    return (F.length(name) < 2) | name.rlike(SYMBOL_NOISE)
 
 
 def is_helper(name: Column) -> Column:
-    return name.rlike(r"^(k[fl][su]_[wb]int|tableLookup|PT1\w*|IIR_Filter_\w*)$")
+    return name.rlike(HELPER)
+
+
+def is_temporary(name: Column) -> Column:
+    return name.rlike(TEMPORARY)
 
 
 def helper_class(name: Column) -> Column:
-    """shape, signed and width of an interpolation helper; a filter has no width."""
+    """shape, signed and width (0 without one) of an interpolation helper, and the kind of a filter; all null for other names."""
     part = lambda i: F.regexp_extract(name, r"^k([fl])([su])_([wb])int$", i)
-    shape = F.when(part(1) == "f", "map").when(part(1) == "l", "curve").when(name == "tableLookup", "table").when(name.rlike("^(PT1|IIR_Filter_)"), "filter")
-    return F.struct(shape.alias("shape"), F.when(part(2) != "", part(2) == "s").alias("signed"), F.when(part(3) == "w", 16).when(part(3) == "b", 8).alias("width"))
+    kind = F.nullif(F.regexp_extract(name, r"^(PT1|IIR)_Filter_\w+$", 1), F.lit(""))
+    shape = F.when(part(1) == "f", "map").when(part(1) == "l", "curve").when(name == "tableLookup", "table").when(kind.isNotNull(), "filter")
+    width = F.when(part(3) == "w", 16).when(part(3) == "b", 8).when(shape.isNotNull(), 0)
+    return F.struct(shape.alias("shape"), F.when(shape.isNotNull(), part(2) == "s").alias("signed"), width.alias("width"), kind.alias("kind"))
 
 
 def out_name(out: Column) -> Column:
@@ -158,6 +177,11 @@ def wire_time_ms(payload: Column, overhead: int = 9, per_byte: float = 1.14583)
     return (payload + overhead) * per_byte
 
 
+def refresh_hz(total_wire_ms: Column) -> Column:
+    """Rate of blocks that are polled in turn, from the sum of their wire times."""
+    return F.try_divide(F.lit(1000.0), total_wire_ms)
+
+
 def segment_time_us(n: Column) -> Column:
     return F.try_divide(F.lit(20e6), n)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,44 +14,61 @@ ITEM = "uid string, offset long, bits int, signed boolean, rows int, cols int, s
 
 def read_values(content: bytes, offset: int, bits: int, signed: bool, count: int, stride: int) -> np.ndarray | None:
     """``count`` big-endian numbers; None if they are not all in the image. A width of 0 means 16, a stride of 0 packed."""
-    bits = bits or 16
-    step, width = max(stride, bits) // 8, bits // 8
-    if offset is None or offset < 0 or offset + step * (count - 1) + width > len(content):
-        return None
-    raw = np.frombuffer(content, np.uint8)
-    at = offset + step * np.arange(count)
-    out = np.zeros(count, np.int64)
-    for i in range(width):
-        out = out << 8 | raw[at + i]
-    return np.where(out >> (bits - 1) == 1, out - (1 << bits), out) if signed else out
+    layout = places(pd.DataFrame([{"offset": offset, "bits": bits, "signed": signed, "rows": 1, "cols": count, "stride": stride}]))
+    raw, ok = gathered(np.frombuffer(content, np.uint8), layout)
+    return raw if ok.all() else None
+
+
+def places(items: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Where every cell of the items stands in an image: one entry a cell, computed once for all images."""
+    whole = lambda c, empty: pd.to_numeric(items[c], errors="coerce").fillna(empty).to_numpy(np.int64)
+    bits, rows, cols = whole("bits", 0), np.maximum(whole("rows", 1), 1), np.maximum(whole("cols", 1), 1)
+    bits = np.where(bits > 0, bits, 16)
+    step, n = np.maximum(whole("stride", 0), bits) // 8, rows * cols
+    item = np.repeat(np.arange(len(items)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.where(items["offset"].isna(), -1, whole("offset", -1))
+    last = start + step * (n - 1) + bits // 8
+    return {"item": item, "row": at // cols[item], "col": at % cols[item], "place": start[item] + step[item] * at, "width": (bits // 8)[item], "signed": items["signed"].fillna(False).to_numpy(bool)[item], "start": start[item], "last": last[item], "first": at == 0}
+
+
+def gathered(image: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The number at each place, and whether its item lies in the image."""
+    ok = (p["start"] >= 0) & (p["last"] <= len(image))
+    out = np.zeros(len(ok), np.int64)
+    if len(image):
+        for i in range(int(p["width"].max(initial=0))):
+            more = ok & (i < p["width"])
+            out = np.where(more, out << 8 | image[np.where(more, p["place"] + i, 0)], out)
+    top = np.left_shift(np.int64(1), p["width"] * 8 - 1)
+    return np.where(p["signed"] & (out >= top), out - 2 * top, out), ok
 
 
 def decode_items(images: DataFrame, items: DataFrame, most: int = 200_000) -> DataFrame:
     """(image, uid, row, col, raw, error) of every item in every image(image, content).
 
     One pass per image: the item table, checked to have at most ``most`` rows, travels to the images, so no
-    image is copied per item.
+    image is copied per item. The places of all cells are computed once a task; an image is one gather.
     """
     rows = items.select("uid", "offset", "bits", "signed", "rows", "cols", "stride").limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"more than {most} items: decode them in parts")
-    held = images.sparkSession.sparkContext.broadcast(rows.to_dict("records"))
+    held = images.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches):
-        for pdf in batches:
-            for image, content in zip(pdf["image"], pdf["content"], strict=True):
-                out = []
-                for x in held.value:
-                    n, c = max(1, int(x["rows"] or 1)), max(1, int(x["cols"] or 1))
-                    v = None if pd.isna(x["offset"]) else read_values(content, int(x["offset"]), int(x["bits"] or 0), bool(x["signed"]), n * c, int(x["stride"] or 0))
-                    if v is None:
-                        out.append(pd.DataFrame({"image": [image], "uid": [x["uid"]], "row": [0], "col": [0], "raw": pd.array([None], "Int64"), "error": ["out of the image"]}))
-                    else:
-                        out.append(pd.DataFrame({"image": image, "uid": x["uid"], "row": np.repeat(np.arange(n), c), "col": np.tile(np.arange(c), n), "raw": pd.array(v, "Int64"), "error": None}))
-                if out:
-                    yield pd.concat(out)
-
-    return images.select("image", "content").mapInPandas(run, "image string, uid string, row int, col int, raw long, error string")
+        p, uid = places(held.value), pa.array(held.value["uid"], pa.string())
+        for batch in batches:
+            for image, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw, ok = gathered(np.frombuffer(content.as_buffer(), np.uint8) if content.is_valid else np.zeros(0, np.uint8), p)
+                keep = ok | p["first"]
+                of = p["item"][keep]
+                numbers = pa.array(raw[keep], pa.int64(), mask=~ok[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([image] * len(of), pa.string()), uid.take(pa.array(of)), *(pa.array(p[c][keep].astype(np.int32)) for c in ("row", "col")), numbers, pa.array(np.where(ok[keep], None, "out of the image"), pa.string())],
+                    names=["image", "uid", "row", "col", "raw", "error"],
+                )
+
+    return images.select("image", "content").mapInArrow(run, "image string, uid string, row int, col int, raw long, error string")
 
 
 def grid(cells: DataFrame, key: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -41,35 +41,28 @@ def integral(i: int | None, error: int, gain: int, low: int, high: int) -> int:
     return max(low, min(high, i + (d or (1 if error > 0 else -1))))
 
 
-TRIGGER, READY, ACTIVE, RESUME = 1, 2, 4, 8
-
-
-def fuel_cut(state: int | None, n: int, pedal: int, cut: int, resume: int) -> int:
-    """State word: overrun triggers, the next sample is ready, above ``cut`` it is active until ``resume``."""
-    state = state or 0
-    if pedal > 0 or n < resume:
-        return RESUME if state & ACTIVE else 0
-    if state & ACTIVE:
-        return state
-    if state & READY and n > cut:
-        return TRIGGER | READY | ACTIVE
-    return TRIGGER | READY if state & TRIGGER else TRIGGER
-
-
 def recursive(samples: DataFrame, columns: list[str], step: Callable, out: str = "y", session: str = "session", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """Adds ``out``: step(previous, *columns) along each session."""
-    schema = samples.schema.fieldNames()
-    typed = samples.selectExpr("*", f"cast(null as bigint) as `{out}`").schema
+    """Adds ``out``: step(previous, *columns) along each session.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        y, ys = None, []
-        for row in zip(*(pdf[c].tolist() for c in columns), strict=True):
-            y = step(y, *row)
-            ys.append(y)
-        return pdf[schema].assign(**{out: pd.Series(ys, index=pdf.index, dtype="int64")})
+    Sessions are dealt to partitions and sorted there; a task carries the last value from one Arrow batch to the
+    next, so a session of any length needs one batch of memory. A sample with a null leaves the value as it is.
+    """
+    dealt = samples.repartition(session).sortWithinPartitions(session, *order)
+    schema = samples.selectExpr("*", f"cast(null as bigint) as `{out}`").schema
 
-    return samples.groupBy(session).applyInPandas(run, typed)
+    def run(batches):
+        here, y = object(), None
+        for batch in batches:
+            ys = []
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in (session, *columns)), strict=True):
+                if name != here:
+                    here, y = name, None
+                if None not in row:
+                    y = step(y, *row)
+                ys.append(y)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ys, pa.int64())], names=[*batch.schema.names, out])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def pt1_filter(samples: DataFrame, x: str, k: int, out: str = "y") -> DataFrame:
@@ -90,7 +83,3 @@ def clamped_integral(samples: DataFrame, error: str, gain: str, low: int, high:
 
 def ramp(samples: DataFrame, x: str, delta: int, out: str = "y") -> DataFrame:
     return recursive(samples, [x], lambda y, v: rate_limited(y, v, delta), out)
-
-
-def fuel_cut_state(samples: DataFrame, n: str, pedal: str, cut: int, resume: int, out: str = "y") -> DataFrame:
-    return recursive(samples, [n, pedal], lambda y, v, p: fuel_cut(y, v, p, cut, resume), out)

@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows from a table in the shared folder, so that a loop's plan does not grow with its levels."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="calgraph-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.io import settled
 
 
 def adjacency(edges: DataFrame, direction: str, origins: list[str] | None = None, dense: DataFrame | None = None, rule: str = "coded") -> DataFrame:
@@ -56,10 +42,28 @@ def ranked_children(steps: DataFrame, most: int) -> DataFrame:
 
 def expand(steps: DataFrame, root: str, depth: int = 3, most: int = 40) -> DataFrame:
     """(level, parent, node, pos, repeated, truncated): a tree in which a node is opened once, at its first place."""
-    children = ranked_children(steps, most)
-    spark = steps.sparkSession
-    tree = spark.range(1).select(F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"), F.lit(root).alias("node"), F.lit(1).alias("pos"), F.lit(False).alias("repeated"), F.lit(False).alias("truncated"), F.lit("").alias("path"))
-    seen = frontier = tree = settled(tree)
+    return _grown(ranked_children(steps, most), root, depth)
+
+
+def ranked_blocks(pairs: DataFrame, scores: DataFrame, most: int) -> DataFrame:
+    """Per block its neighbours pairs(block, next) by falling score, then by id, at most ``most``; truncated tells that there are more."""
+    w = W.partitionBy("parent")
+    s = scores.select(F.col("block").alias("next"), "score")
+    out = pairs.select(F.col("block").alias("parent"), "next").distinct().join(s, "next", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    out = out.withColumn("pos", F.row_number().over(w.orderBy(F.desc("score"), "next"))).withColumn("truncated", F.count("*").over(w) > most)
+    return out.where(F.col("pos") <= most).select("parent", "next", "pos", "truncated")
+
+
+def expand_blocks(pairs: DataFrame, scores: DataFrame, root: str, depth: int = 3, most: int = 24) -> DataFrame:
+    """The tree of blocks, the best scored neighbours first: (level, parent, node, pos, repeated, truncated)."""
+    return _grown(ranked_blocks(pairs, scores, most), root, depth)
+
+
+def _grown(children: DataFrame, root, depth: int) -> DataFrame:
+    children = settled(children)
+    spark, kind = children.sparkSession, children.schema["next"].dataType
+    tree = spark.range(1).select(F.lit(0).alias("level"), F.lit(None).cast(kind).alias("parent"), F.lit(root).cast(kind).alias("node"), F.lit(1).alias("pos"), F.lit(False).alias("repeated"), F.lit(False).alias("truncated"), F.lit("").alias("path"))
+    seen = frontier = settled(tree)
     for level in range(1, depth + 1):
         new = frontier.where("not repeated").select(F.col("node").alias("parent"), "path").join(children, "parent").select(F.lit(level).alias("level"), "parent", F.col("next").alias("node"), "pos", "truncated", F.concat("path", F.format_string("/%05d", "pos")).alias("path"))
         first = F.row_number().over(W.partitionBy("node").orderBy("path")) > 1
@@ -73,7 +77,7 @@ def expand(steps: DataFrame, root: str, depth: int = 3, most: int = 40) -> DataF
 
 def reachable(steps: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, distance) for many roots at once."""
-    steps = steps.select("parent", "next").distinct()
+    steps = settled(steps.select("parent", "next").distinct())
     seen = settled(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("distance")))
     frontier = seen
     for d in range(1, depth + 1):
@@ -131,13 +135,31 @@ def owning_block(edges: DataFrame, functions: DataFrame, scores: DataFrame) -> D
     return near.groupBy("node").agg(F.min_by("block", F.struct(-F.coalesce("score", F.lit(0)), "block")).alias("block"))
 
 
-def block_ports(statements: DataFrame) -> DataFrame:
-    """(block, port, dir, kind): inputs read or called and outputs, each once, in the order of kinds."""
+def symbol_kinds(names: DataFrame, index: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """names(name) with kind and target: by the exact name in index(name, node), then by its lower-cased spelling as a key there, then by prefix.
+
+    nodes(id, t, kind): kind is that of a calibration item, null for others.
+    """
+    names = names.select("name").distinct()
+    if index is None or nodes is None:
+        return names.select("name", S.kind_by_prefix(F.col("name")).alias("kind"), F.lit(None).cast("string").alias("target"))
+    of = lambda c, n: index.select(F.col("name").alias(c), F.col("node").alias(n))
+    found = names.join(of("_x", "_exact"), F.col("name") == F.col("_x"), "left").join(of("_l", "_lower"), F.lower("name") == F.col("_l"), "left")
+    found = found.select("name", F.coalesce("_exact", "_lower").alias("target")).join(nodes.select(F.col("id").alias("target"), "t", F.col("kind").alias("item")), "target", "left")
+    item = F.when(F.col("item").isin("map", "curve"), F.col("item")).otherwise("constant")
+    kind = F.when(F.col("t") == "param", item).when(F.col("t") == "func", "block").when(F.col("t") == "ram", "signal").otherwise(S.kind_by_prefix(F.col("name")))
+    return found.select("name", kind.alias("kind"), F.when(F.col("t").isin("param", "func", "ram"), F.col("target")).alias("target"))
+
+
+def block_ports(statements: DataFrame, index: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(block, port, dir, kind, rank): inputs read or called and outputs, each once, in the order of kinds; alternatives '{A | B}' are ports of their own."""
     ins = statements.select("block", F.explode(F.array_distinct(F.concat("reads", "calls"))).alias("port"), F.lit("in").alias("dir"))
     outs = statements.select("block", S.out_name(F.col("out")).alias("port"), F.lit("out").alias("dir"))
-    kind = S.kind_by_prefix(F.col("port"))
+    ports = ins.unionByName(outs).withColumn("port", F.explode(S.alternatives(F.col("port"))))
+    ports = ports.where(~S.is_symbol_noise(F.col("port")) & ~S.is_helper(F.col("port"))).distinct()
+    kinds = symbol_kinds(ports.select(F.col("port").alias("name")), index, nodes).withColumnRenamed("name", "port")
     rank = F.array_position(F.array(*(F.lit(x) for x in ("map", "curve", "constant", "signal", "block", "unknown"))), F.col("kind"))
-    return ins.unionByName(outs).where(~S.is_symbol_noise(F.col("port")) & ~S.is_helper(F.col("port"))).distinct().withColumn("kind", kind).withColumn("rank", rank)
+    return ports.join(kinds.select("port", "kind"), "port").select("block", "port", "dir", "kind", rank.alias("rank"))
 
 
 def consumers(edges: DataFrame, functions: DataFrame, statements: DataFrame) -> DataFrame:
@@ -149,12 +171,12 @@ def consumers(edges: DataFrame, functions: DataFrame, statements: DataFrame) ->
 
 
 def search(nodes: DataFrame, q: str, limit: int = 60) -> DataFrame:
-    """Exact, prefix, inner and description hits by kind of node, then length of name; pages are left out."""
-    q = q.lower()
+    """Exact, prefix, inner and description hits by kind of node, then length of name; pages are left out. A blank query finds nothing."""
+    q = q.strip().lower()
     name, text = F.lower("name"), F.lower(F.coalesce("description", F.lit("")))
     cls = F.when(name == q, 0).when(name.startswith(q), 1).when(name.contains(q), 2).when(text.contains(q), 3)
     kind = F.when(F.col("t") == "param", 0).when(F.col("t") == "func", 1).otherwise(2)
-    return nodes.where("t != 'frpage'").withColumn("class", cls).where("class is not null").withColumn("kind_rank", kind).orderBy("kind_rank", F.length("name"), "class", "id").limit(limit)
+    return nodes.where(F.lit(q != "") & (F.col("t") != "frpage")).withColumn("class", cls).where("class is not null").withColumn("kind_rank", kind).orderBy("kind_rank", F.length("name"), "class", "id").limit(limit)
 
 
 def top_statements(statements: DataFrame, most: int = 12) -> DataFrame:
@@ -175,15 +197,22 @@ def relevant_statements(statements: DataFrame, signal: str, most: int = 2) -> Da
     return out.where(F.col("pos") <= most).drop("some")
 
 
+#: Unnamed addresses, parameters, temporaries, register parts, pointer walks and peripheral registers.
+STATEMENT_NOISE = r"\b(?:DAT|UNK|PTR)_[0-9a-fA-F]{6,8}\b|\bparam_\d+\b|\b[a-z]{1,3}Var\d+\b|\b\w+_\d+_\d+_\b|\*\s*\(|\b(?:SIM_|TPU_|QSM_|SIM\b)"
+
+
 def statement_noise(statements: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds noise: true for bookkeeping that says nothing about the function. known(name): names in the graph."""
+    """Adds noise: true for bookkeeping that says nothing about the function. known(name): names in the graph.
+
+    A statement that interpolates or names a calibration item is none; a bare constant is one only if the
+    graph does not know its target.
+    """
     text = F.concat_ws(" = ", "out", "expr")
-    keep = (F.size("interp") > 0) | text.rlike(r"\bK[FL]?_")
-    patterns = F.col("out").rlike(r"^(local_|[a-z]Var\d|param_|unaff_)") | F.col("expr").rlike(r"^\s*(return|goto|\w+\(\))\s*$")
-    bare = F.col("expr").rlike(r"^\s*-?(0x[0-9a-fA-F]+|\d+)\s*$")
+    keep = (F.size("interp") > 0) | text.rlike(r"\b(?:KF|KL|K)_[A-Z0-9_]+")
+    bare = text.rlike(r"^\s*[\w.\[\]]+\s*=\s*(?:0x[0-9a-fA-F]+|-?\d+)\s*$")
     k = known.select(F.col("name").alias("_known")).distinct()
     out = statements.join(k, S.out_name(F.col("out")) == F.col("_known"), "left")
-    return out.withColumn("noise", ~keep & (patterns | (bare & F.col("_known").isNull()))).drop("_known")
+    return out.withColumn("noise", ~keep & (text.rlike(STATEMENT_NOISE) | (bare & F.col("_known").isNull()))).drop("_known")
 
 
 def definition_as_of(uses: DataFrame, defs: DataFrame) -> DataFrame:

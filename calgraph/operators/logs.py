@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 ORDER = ["ts", "seq"]
 
 
@@ -167,6 +169,30 @@ def coastdown(samples: DataFrame, run: str, t: str, n: str, low: float, high: fl
     return samples.where(F.col(n).between(low, high)).groupBy(run).agg(F.regr_slope(n, t).alias("slope"), F.count("*").alias("n"))
 
 
+def inertia_ratio(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: the mean slope of each set's runs, how many there are, and old over new, which is the ratio of the inertias."""
+    mean = lambda runs, n: runs.agg(F.avg("slope").alias(f"slope_{n}"), F.count("slope").alias(f"runs_{n}"))
+    both = mean(before, "before").join(F.broadcast(mean(after, "after")))
+    return both.withColumn("ratio", F.try_divide("slope_before", "slope_after"))
+
+
+def channel_delta(samples: DataFrame, a: str, b: str) -> DataFrame:
+    """Per instant of samples(session, ts, signal, value) the value of a less that of b: the amount of intervention."""
+    value = lambda s: F.max(F.when(F.col("signal") == s, F.col("value")))
+    return samples.where(F.col("signal").isin(a, b)).groupBy("session", "ts").agg((value(a) - value(b)).alias("delta"))
+
+
+def refresh_rates(blocks: DataFrame) -> DataFrame:
+    """Per log set of blocks(log_set, payload), polled in turn: the wire time of a round in ms and the rounds a second."""
+    out = blocks.groupBy("log_set").agg(F.sum(S.wire_time_ms(F.col("payload"))).alias("wire_ms"), F.count("*").alias("blocks"))
+    return out.withColumn("hz", S.refresh_hz(F.col("wire_ms")))
+
+
+def scatter_against(scatter: DataFrame, baseline: DataFrame) -> DataFrame:
+    """scatter(session, scatter) less a baseline's, per session of both."""
+    return scatter.join(baseline.select("session", F.col("scatter").alias("base")), "session").withColumn("more", F.col("scatter") - F.col("base"))
+
+
 def cylinder_scatter(samples: DataFrame, cylinders: list[str]) -> DataFrame:
     """Spread over the cylinders per session, from their means."""
     stack = ", ".join(f"'{c}', `{c}`" for c in cylinders)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.io import settled
 
 EDGE = ["s", "d", "k", "o"]
 
@@ -64,23 +65,49 @@ def owner_of(points: DataFrame, ranges: DataFrame, shift: int = 8) -> DataFrame:
 
 
 def name_index(params: DataFrame, functions: DataFrame, ram: DataFrame) -> DataFrame:
-    """name -> node: params by name and base name, then named functions, then RAM; the first wins over all banks."""
+    """name -> node, ord: params by name and base name, then named functions, then RAM; the first wins over all banks. ord: the order in which names were first given."""
     def rows(df: DataFrame, rank: int, base: bool) -> DataFrame:
         names = [F.struct(F.col("name").alias("name"), F.lit(0).alias("sub"))] + ([F.struct(S.base_name(F.col("name")).alias("name"), F.lit(1).alias("sub"))] if base else [])
         return df.withColumn("n", F.explode(F.array(*names))).select(F.col("n.name").alias("name"), "node", F.struct(F.lit(rank).alias("rank"), "ord", F.col("n.sub").alias("sub")).alias("o"))
 
     every = rows(params, 0, True).unionByName(rows(functions, 1, False)).unionByName(rows(ram, 2, False))
-    return first_wins(every.where("name is not null and name != ''"), ["name"], "node", "o")
+    return every.where("name is not null and name != ''").groupBy("name").agg(F.min_by("node", "o").alias("node"), F.min("o").alias("ord"))
 
 
-def resolve_name(names: DataFrame, index: DataFrame, ordered: DataFrame | None = None) -> DataFrame:
-    """names(name, ...) with node: the exact name, else the least (by node) that differs in case only."""
-    low = index.groupBy(F.lower("name").alias("_low")).agg(F.min("node").alias("_any"))
+def resolve_name(names: DataFrame, index: DataFrame) -> DataFrame:
+    """names(name, ...) with node: the exact name, else the first in the index's order (its ord, or the node without one) that differs in case only."""
+    low = index.groupBy(F.lower("name").alias("_low")).agg(F.min_by("node", "ord" if "ord" in index.columns else "node").alias("_any"))
     exact = index.select(F.col("name").alias("_name"), F.col("node").alias("_exact"))
     out = names.join(exact, F.col("name") == F.col("_name"), "left").join(low, F.lower("name") == F.col("_low"), "left")
     return out.withColumn("node", F.coalesce("_exact", "_any")).drop("_name", "_exact", "_low", "_any")
 
 
+def signal_ram_matches(documents: DataFrame, index: DataFrame, ram: DataFrame) -> DataFrame:
+    """Per document of documents(doc, signals) how many of its distinct signals name a node of ram(id)."""
+    named = resolve_name(documents.select("doc", F.explode(F.array_distinct("signals")).alias("name")), index)
+    hit = named.join(ram.select(F.col("id").alias("node")).distinct().withColumn("hit", F.lit(1)), "node", "left")
+    return hit.groupBy("doc").agg(F.count("hit").alias("matches"), F.count("*").alias("signals"))
+
+
+def with_translations(items: DataFrame, translations: DataFrame) -> DataFrame:
+    """items(name, ...) with ja of translations(key, value), null without one; of repeated keys the least value."""
+    one = translations.groupBy(F.col("key").alias("_key")).agg(F.min("value").alias("ja"))
+    return items.join(one, F.col("name") == F.col("_key"), "left").drop("_key")
+
+
+def with_categories(items: DataFrame, categories: DataFrame) -> DataFrame:
+    """items(id, category_ids): per item its categories(id, de, en), in order of their numbers; unknown numbers are dropped."""
+    c = categories.select(F.col("id").alias("category"), "de", "en")
+    rows = items.select("id", F.explode("category_ids").alias("category")).join(F.broadcast(c) if c.limit(10_001).count() <= 10_000 else c, "category")
+    named = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("category", "de", "en"))).alias("categories"))
+    return items.join(named, "id", "left")
+
+
+def missing_names(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Names that were expected and not found: none if the check holds."""
+    return expected.select("name").subtract(found.select("name"))
+
+
 def page_edges(pages: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """pages(page, names): edges both ways, and the unknown nodes that they need."""
     named = resolve_name(pages.select("page", F.explode("names").alias("name")), index)
@@ -110,6 +137,7 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(metric, key, value): nodes by kind, edges by origin and kind and in all, referenced params by bank and in all."""
     long_ = lambda df, metric, key, value: df.select(F.lit(metric).alias("metric"), F.coalesce(F.col(key).cast("string"), F.lit("all")).alias("key"), F.col(value).cast("double").alias("value"))
     kinds = long_(nodes.groupBy("t").count(), "nodes", "t", "count")
+    edges = settled(edges)
     counted = edges.groupingSets([["o"], ["k"], []], "o", "k").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     per_edge = counted.select(F.when(F.col("g") == 1, "edges_by_origin").when(F.col("g") == 2, "edges_by_kind").otherwise("edges").alias("metric"), F.coalesce("o", "k", F.lit("all")).alias("key"), F.col("n").cast("double").alias("value"))
     touched = edges.where("o != 'fr'").select(F.explode(F.array("s", "d")).alias("id")).distinct().withColumn("hit", F.lit(1))
@@ -118,11 +146,18 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kinds.unionByName(per_edge).unionByName(long_(params, "params", "bank", "n")).unionByName(long_(params, "params_referenced", "bank", "hit")).unionByName(long_(params, "params_referenced_pct", "bank", "pct"))
 
 
+ORIGINS = ("fr", "scan", "xref")
+
+
 def agreement(edges: DataFrame) -> DataFrame:
-    """Per node and neighbour the origins that join them; both kinds of evidence, or documents only."""
-    both = edges.select(F.col("s").alias("node"), F.col("d").alias("other"), "o").unionByName(edges.select(F.col("d").alias("node"), F.col("s").alias("other"), "o"))
-    out = both.groupBy("node", "other").agg(F.array_sort(F.collect_set("o")).alias("origins"))
-    return out.withColumn("both", F.array_contains("origins", "fr") & (F.size("origins") > 1)).withColumn("documents_only", F.array_contains("origins", "fr") & (F.size("origins") == 1))
+    """Per node and neighbour the origins that join them; both kinds of evidence, or documents only.
+
+    Origins are few and known, so a set is three bits: nothing is collected.
+    """
+    both = edges.select(F.explode(F.array(F.struct(F.col("s").alias("node"), F.col("d").alias("other")), F.struct(F.col("d").alias("node"), F.col("s").alias("other")))).alias("p"), F.coalesce(*(F.when(F.col("o") == x, 1 << i) for i, x in enumerate(ORIGINS)), F.lit(0)).alias("bit"))
+    out = both.groupBy("p.node", "p.other").agg(F.bit_or("bit").alias("bits"))
+    names = F.filter(F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(ORIGINS))), lambda x: x.isNotNull())
+    return out.select("node", "other", names.alias("origins"), (F.col("bits") > 1).alias("_more"), (F.col("bits") % 2 == 1).alias("_fr")).select("node", "other", "origins", (F.col("_fr") & F.col("_more")).alias("both"), (F.col("_fr") & ~F.col("_more")).alias("documents_only"))
 
 
 def degree(edges: DataFrame) -> DataFrame:

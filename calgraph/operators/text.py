@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,14 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 
 #: Words of the language that are not names.
-KEYWORDS = ["if", "else", "while", "for", "do", "return", "goto", "break", "continue", "switch", "case", "default", "sizeof", "void", "int", "char", "short", "long", "byte", "word", "undefined", "ushort", "uint", "bool", "true", "false"]
-LOCAL = r"^([a-z]{1,2}Var\d+|local_[0-9a-f]+|param_\d+|unaff_\w+|in_\w+|extraout_\w+)$"
+KEYWORDS = [
+    "if", "else", "return", "while", "for", "do", "switch", "case", "break", "continue", "goto", "sizeof", "void", "short", "int", "long", "char", "unsigned", "signed", "float", "double", "static", "const", "struct",
+    "true", "false", "NULL", "bool", "byte", "uint", "ushort", "uchar", "undefined", "undefined1", "undefined2", "undefined4", "undefined8",
+]
+#: Types that a cast may name, and tokens of translated documents that are no names.
+CAST_TYPES = "short|ushort|int|uint|char|uchar|byte|sbyte|undefined\\d?|long|ulong|float|double|bool"
+STOP_WORDS = ["machine_translated", "module_description", "modul_beschreibung", "projekt_mss54", "seite_von", "page_of"]
+MNEMONIC, SIGNAL = r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$", r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)+$"
 
 
 def vocabulary(items: DataFrame, symbols: DataFrame, functions: DataFrame, **shape) -> DataFrame:
@@ -23,7 +30,7 @@ def vocabulary(items: DataFrame, symbols: DataFrame, functions: DataFrame, **sha
     return both.where(S.name_shape(F.col("name"), **shape).isNotNull()).distinct()
 
 
-def learn_names(pages: DataFrame, stop: list[str], pattern: str, least: int = 4) -> DataFrame:
+def learn_names(pages: DataFrame, stop: list[str] = STOP_WORDS, pattern: str = f"{MNEMONIC}|{SIGNAL}", least: int = 4) -> DataFrame:
     """Distinct tokens of pages(text) that match the pattern and are no stop words."""
     token = F.explode(F.split("text", "[^A-Za-z0-9_]+"))
     return pages.select(token.alias("name")).where((F.length("name") >= least) & F.col("name").rlike(pattern) & ~F.col("name").isin(stop)).distinct()
@@ -57,18 +64,56 @@ def drop_concatenations(learned: DataFrame, known: DataFrame, most: int = 1_000_
     return learned.where(~glued("name"))
 
 
+def _trie(names: list[str]) -> dict:
+    """Nested dictionaries by character; the key "" holds a whole name."""
+    root: dict = {}
+    for name in names:
+        node = root
+        for c in name:
+            node = node.setdefault(c, {})
+        node[""] = name
+    return root
+
+
+def _longest(trie: dict, text: str) -> list[str]:
+    """At each place the longest name that starts there, then on from its end; the cost does not grow with the names."""
+    found, at, n = [], 0, len(text)
+    while at < n:
+        node, best, end = trie, None, at
+        while node is not None:
+            best = node.get("", best)
+            if end == n:
+                break
+            node, end = node.get(text[end]), end + 1
+        if best:
+            found.append(best)
+        at += len(best) if best else 1
+    return found
+
+
 def scan_names(pages: DataFrame, names: DataFrame, text: str = "text", out: str = "names", most: int = 1_000_000) -> DataFrame:
     """Names in each page, left to right, the longest first, not overlapping, word boundaries not needed."""
-    held = pages.sparkSession.sparkContext.broadcast(sorted(checked_names(names, most), key=lambda x: (-len(x), x)))
+    held = pages.sparkSession.sparkContext.broadcast(sorted(x for x in checked_names(names, most) if x))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def found(s: pd.Series) -> pd.Series:
-        p = re.compile("|".join(map(re.escape, held.value)) or r"(?!)")
-        return s.map(lambda x: p.findall(x or ""))
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trie = _trie(held.value)
+        for s in batches:
+            yield s.map(lambda x: _longest(trie, x or ""))
 
     return pages.withColumn(out, found(text))
 
 
+def two_pass_names(pages: DataFrame, known: DataFrame, doc: str, most: int = 1_000_000) -> DataFrame:
+    """Pages with the names found after a first pass has learned what stands alone: (all columns, names).
+
+    Learned names glued from others are left out, then all names are scanned for, so that they are found in
+    runs without blanks as well.
+    """
+    learned = drop_concatenations(learn_names(pages), known, most)
+    return scan_names(pages, known.select("name").union(learned).distinct(), most=most)
+
+
 def page_records(scanned: DataFrame) -> DataFrame:
     """Sorted distinct names of a page by shape, its length and an excerpt."""
     unique = F.array_sort(F.array_distinct("names"))
@@ -101,43 +146,111 @@ def declared_locals(listings: DataFrame) -> DataFrame:
 
 
 def call_sites(listings: DataFrame) -> DataFrame:
-    """(func, callee, args) of flat calls."""
-    lines = listings.select("func", F.explode(F.regexp_extract_all("code", F.lit(r"([A-Za-z_]\w*\([^()]*\))"), F.lit(1))).alias("call"))
-    part = lambda i: F.regexp_extract("call", r"^(\w+)\(([^()]*)\)$", i)
-    return lines.select("func", part(1).alias("callee"), F.filter(F.split(part(2), r"\s*,\s*"), lambda x: x != "").alias("args")).where(~F.col("callee").isin(KEYWORDS))
+    """(func, callee, args) of all calls, nested ones too; keywords with brackets are none."""
+    calls = listings.select("func", F.explode(balanced_calls(F.col("code"))).alias("c"))
+    return calls.select("func", "c.callee", "c.args").where(~F.col("callee").isin(KEYWORDS))
+
+
+def _depths(text: str, opening: str, closing: str) -> list[int]:
+    """Per character the open brackets after it."""
+    depth, out = 0, []
+    for c in text:
+        depth += (c in opening) - (c in closing)
+        out.append(depth)
+    return out
+
+
+def _calls_in(text: str) -> list[tuple[str, list[str]]]:
+    """Each call with its arguments, which may hold calls themselves; a call that is not closed is left out."""
+    depth, out = _depths(text, "(", ")"), []
+    for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\(", text):
+        level, start = depth[m.end() - 1], m.end()
+        end = next((i for i in range(start, len(text)) if depth[i] < level), None)
+        if end is not None:
+            cuts = [start - 1, *(i for i in range(start, end) if text[i] == "," and depth[i] == level), end]
+            args = [text[a + 1 : b].strip() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            out.append((m.group(1), [a for a in args if a]))
+    return out
+
+
+CALLS = "array<struct<callee: string, args: array<string>>>"
+
+
+def per_row(kind: str, f: Callable) -> Callable[[Column], Column]:
+    """A small function of a text as a column, in Arrow batches; null for null."""
+
+    @F.pandas_udf(kind)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else f(x))
+
+    return run
+
+
+def balanced_calls(expr: Column) -> Column:
+    """Calls of an expression, nested ones too, with their balanced arguments."""
+    return per_row(CALLS, lambda x: [{"callee": c, "args": a} for c, a in _calls_in(x)])(expr)
+
+
+def interpolations(calls: Column) -> Column:
+    """Of balanced calls those of interpolation helpers and filters: helper, shape, tables (names in the first argument) and axes (the others)."""
+    names = lambda x: F.filter(F.regexp_extract_all(x, F.lit(r"([A-Za-z_]\w*)"), F.lit(1)), lambda y: ~y.isin(KEYWORDS) & ~S.is_temporary(y))
+    known = F.filter(calls, lambda c: S.helper_class(c["callee"])["shape"].isNotNull() & (F.size(c["args"]) > 0))
+    return F.transform(known, lambda c: F.struct(c["callee"].alias("helper"), S.helper_class(c["callee"])["shape"].alias("shape"), names(F.get(c["args"], F.lit(0))).alias("tables"), F.slice(c["args"], F.lit(2), F.size(c["args"])).alias("axes")))
 
 
 def helper_usage(calls: DataFrame) -> DataFrame:
     c = S.helper_class(F.col("callee"))
-    return calls.where(S.is_helper(F.col("callee"))).groupBy("callee", c["shape"].alias("shape")).agg(F.count("*").alias("n"))
+    return calls.where(c["shape"].isNotNull()).groupBy("callee", c["shape"].alias("shape")).agg(F.count("*").alias("n"))
+
+
+def logic_stats(functions: DataFrame, statements: DataFrame) -> DataFrame:
+    """One row: functions, those with statements, statements, interpolations, and statements in which a temporary is left. statements(block, expr, interp)."""
+    names = F.regexp_extract_all("expr", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1))
+    s = statements.agg(F.count_distinct("block").alias("functions_with_statements"), F.count("*").alias("statements"), F.coalesce(F.sum(F.size("interp")), F.lit(0)).cast("long").alias("interpolations"), F.count_if(F.exists(names, S.is_temporary)).alias("unfolded"))
+    return functions.agg(F.count("*").alias("functions")).join(F.broadcast(s))
 
 
 def clean_expression(expr: Column) -> Column:
-    """Without casts and address-of, blanks collapsed; a bitwise and stays."""
-    e = F.regexp_replace(expr, r"\((?:u?(?:int|short|long|char)|byte|word|bool|undefined\d?)\s*\**\)", "")
-    e = F.regexp_replace(e, r"(?<![\w)\]&]\s{0,8})&(?=[A-Za-z_])", "")
-    e = F.regexp_replace(e, r"\.size[A-Z]\b", "")
+    """Without casts, and without address-of and what it takes of a structure; blanks collapsed; a bitwise and stays."""
+    e = F.regexp_replace(expr, r"\s+", " ")
+    e = F.regexp_replace(e, r"\(\s*[A-Za-z_]\w*\s*\*\s*\)\s*", "")
+    e = F.regexp_replace(e, rf"\((?:{CAST_TYPES})\s*\)\s*", "")
+    # An operand to the left, before at most one blank, makes it an operator.
+    e = F.regexp_replace(e, r"(?<![\w)\]&]\s?)&\s*([A-Za-z_]\w*)\s*(?:\.\w+|->\w+)?", "$1")
     return F.trim(F.regexp_replace(e, r"\s+", " "))
 
 
 def calls_of(expr: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(expr, F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)), lambda x: ~x.isin(KEYWORDS))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(expr, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))))
 
 
 def reads_of(expr: Column) -> Column:
     """Names in order of appearance that are neither keywords, temporaries nor calls."""
-    names = F.array_distinct(F.regexp_extract_all(expr, F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)))
-    return F.filter(F.array_except(names, calls_of(expr)), lambda x: ~x.isin(KEYWORDS) & ~x.rlike(LOCAL))
+    names = F.array_distinct(F.regexp_extract_all(expr, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1)))
+    return F.filter(F.array_except(names, calls_of(expr)), lambda x: ~x.isin(KEYWORDS) & ~S.is_temporary(x))
+
+
+#: Comparisons and what holds when they do not; those of two characters are looked for first, and half a shift is none.
+_FLIP = {"==": "!=", "!=": "==", "<=": ">", ">=": "<", "<": ">=", ">": "<="}
+_FIND = {"<": r"(?<!<)<(?![<=])", ">": r"(?<!>)>(?![>=])"}
 
 
-_FLIP = {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
+def _inverted(cond: str) -> str:
+    text = cond.strip()
+    # What stands in brackets is blanked, so only the top level is searched.
+    depth = _depths(text, "([", ")]")
+    top = "".join(c if d == 0 and c not in ")]" else "\0" for c, d in zip(text, depth, strict=True))
+    if "&&" not in top and "||" not in top:
+        for op, other in _FLIP.items():
+            m = re.search(_FIND.get(op, re.escape(op)), top)
+            if m:
+                return f"{text[: m.start()].strip()} {other} {text[m.end() :].strip()}"
+    return f"not ({text})"
 
 
 def invert_guard(cond: Column) -> Column:
-    """One comparison turned round; anything with && or || or none becomes 'not (...)'."""
-    part = lambda i: F.regexp_extract(cond, r"^(.*?[^<>=!])(==|!=|<=|>=|(?<!<)<(?!<)|(?<!>)>(?!>))([^<>=].*)$", i)
-    flipped = F.coalesce(*(F.when(part(2) == a, F.concat(part(1), F.lit(b), part(3))) for a, b in _FLIP.items()), F.concat(F.lit("not ("), cond, F.lit(")")))
-    return F.when(cond.rlike(r"&&|\|\|"), F.concat(F.lit("not ("), cond, F.lit(")"))).otherwise(flipped)
+    """The comparison at the top level turned round; with && or || there, or without one, 'not (...)'."""
+    return per_row("string", _inverted)(cond)
 
 
 def shift_to_scale(expr: Column) -> Column:

@@ -7,7 +7,7 @@ order lines for references; events are log samples, documents text, conversation
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -17,23 +17,38 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Kinds of nodes in the order of their ids, and how an id is shown. Inside, an id is a number: the kind above, the key below.
+KINDS = [("frpage", "d:%06x"), ("func", "f:%06x"), ("param", "p:%05x"), ("ram", "r:%06x")]
+BITS = 48
+
+
+def ident(kind: str, key: str) -> Column:
+    return F.lit([k for k, _ in KINDS].index(kind) << BITS) + F.col(key).cast("long")
+
+
+def shown(c: str | Column) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(*(F.when(F.shiftright(c, BITS) == i, F.format_string(form, c.bitwiseAND(F.lit((1 << BITS) - 1)))) for i, (_, form) in enumerate(KINDS)))
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     bank = lambda k: S.bank_of(F.col(k) * 37 % 65536)
-    p = t(spark, sf, "part").select(S.node_id("param", F.col("p_partkey")).alias("id"), F.lit("param").alias("t"), F.col("p_name").alias("name"), bank("p_partkey").alias("bank"), F.col("p_type").alias("description"))
-    f = t(spark, sf, "supplier").select(F.format_string("f:%06x", "s_suppkey").alias("id"), F.lit("func").alias("t"), F.col("s_name").alias("name"), F.lit("master").alias("bank"), F.lit(None).cast("string").alias("description"))
-    r = t(spark, sf, "customer").select(F.format_string("r:%06x", "c_custkey").alias("id"), F.lit("ram").alias("t"), F.col("c_name").alias("name"), F.lit("slave").alias("bank"), F.col("c_mktsegment").alias("description"))
-    d = t(spark, sf, "orders").select(F.format_string("d:%06x", "o_orderkey").alias("id"), F.lit("frpage").alias("t"), F.col("o_orderpriority").alias("name"), F.lit(None).cast("string").alias("bank"), F.lit(None).cast("string").alias("description"))
-    return p.unionByName(f).unionByName(r).unionByName(d)
+    none = F.lit(None).cast("string")
+    row = lambda name, kind, key, label, bank, text: t(spark, sf, name).select(ident(kind, key).alias("id"), F.lit(kind).alias("t"), F.col(label).alias("name"), bank.alias("bank"), text.alias("description"))
+    p = row("part", "param", "p_partkey", "p_name", bank("p_partkey"), F.col("p_type"))
+    f = row("supplier", "func", "s_suppkey", "s_name", F.lit("master"), none)
+    r = row("customer", "ram", "c_custkey", "c_name", F.lit("slave"), F.col("c_mktsegment"))
+    return p.unionByName(f).unionByName(r).unionByName(row("orders", "frpage", "o_orderkey", "o_orderpriority", none, none))
 
 
 def raw_edges(spark: SparkSession, sf: str) -> DataFrame:
     li = t(spark, sf, "lineitem")
-    func, item, page = F.format_string("f:%06x", "l_suppkey"), S.node_id("param", F.col("l_partkey")), F.format_string("d:%06x", "l_orderkey")
+    func, item, page = ident("func", "l_suppkey"), ident("param", "l_partkey"), ident("frpage", "l_orderkey")
     k = F.when(F.col("l_returnflag") == "R", "read").when(F.col("l_returnflag") == "A", "write").otherwise("call")
-    code = li.select(func.alias("s"), item.alias("d"), k.alias("k"), F.when(F.col("l_linestatus") == "O", "xref").otherwise("scan").alias("o"))
-    doc = li.select(page.alias("s"), item.alias("d"), F.lit("documents").alias("k"), F.lit("fr").alias("o"))
-    back = li.select(item.alias("s"), page.alias("d"), F.lit("documented").alias("k"), F.lit("fr").alias("o"))
-    return code.unionByName(doc).unionByName(back)
+    edge = lambda s, d, k, o: F.struct(s.alias("s"), d.alias("d"), k.alias("k"), o.alias("o"))
+    code = edge(func, item, k, F.when(F.col("l_linestatus") == "O", "xref").otherwise("scan"))
+    # Three edges a line from one scan.
+    return li.select(F.explode(F.array(code, edge(page, item, F.lit("documents"), F.lit("fr")), edge(item, page, F.lit("documented"), F.lit("fr")))).alias("e")).select("e.*")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,15 +77,15 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL = """
-WITH nodes AS (
+WITH RECURSIVE nodes AS (
   SELECT printf('p:%05x', p_partkey) AS id, 'param' AS t, p_name AS name, CASE WHEN p_partkey * 37 % 65536 < 32768 THEN 'slave' ELSE 'master' END AS bank, p_type AS description FROM part
   UNION ALL SELECT printf('f:%06x', s_suppkey), 'func', s_name, 'master', NULL FROM supplier
   UNION ALL SELECT printf('r:%06x', c_custkey), 'ram', c_name, 'slave', c_mktsegment FROM customer
   UNION ALL SELECT printf('d:%06x', o_orderkey), 'frpage', o_orderpriority, NULL, NULL FROM orders),
 edges AS (SELECT DISTINCT * FROM (
   SELECT printf('f:%06x', l_suppkey) AS s, printf('p:%05x', l_partkey) AS d, CASE l_returnflag WHEN 'R' THEN 'read' WHEN 'A' THEN 'write' ELSE 'call' END AS k, CASE l_linestatus WHEN 'O' THEN 'xref' ELSE 'scan' END AS o FROM lineitem
-  UNION ALL SELECT printf('d:%06x', l_orderkey), printf('p:%05x', l_partkey), 'documents', 'fr' FROM lineitem WHERE l_linenumber <= 2
-  UNION ALL SELECT printf('p:%05x', l_partkey), printf('d:%06x', l_orderkey), 'documented', 'fr' FROM lineitem WHERE l_linenumber <= 2)),
+  UNION ALL SELECT printf('d:%06x', l_orderkey), printf('p:%05x', l_partkey), 'documents', 'fr' FROM lineitem
+  UNION ALL SELECT printf('p:%05x', l_partkey), printf('d:%06x', l_orderkey), 'documented', 'fr' FROM lineitem)),
 samples AS (SELECT user_id AS session, epoch_us(ts) / 1e6 AS ts, event_id AS seq, value, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 turns AS (SELECT conv_id AS block, turn AS ord, text AS expr, role, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: len(x) >= 4) AS w FROM conversations),
 statements AS (SELECT block, ord, expr, role, coalesce(w[1], '') AS out, list_distinct(w) AS reads FROM turns),

@@ -170,9 +170,9 @@ def saturation_share(spark, sf):
     return L.saturation_share(b.samples(spark, sf), F.col("value") >= 30).withColumn("share", F.round("share", 6))
 
 
-@query(", m AS (SELECT kind, min(CASE WHEN NOT session > 500 THEN value END) AS low_before, min(CASE WHEN session > 500 THEN value END) AS low_after FROM samples GROUP BY 1) SELECT kind, low_before, low_after FROM m")
+@query(", m AS (SELECT kind, min(CASE WHEN NOT session > 500 THEN value END) AS low_before, min(CASE WHEN session > 500 THEN value END) AS low_after FROM samples GROUP BY 1) SELECT kind, low_before, low_after, round(1 - (10 - low_after) / nullif(10 - low_before, 0), 6) AS shrink, 1 - (10 - low_after) / nullif(10 - low_before, 0) >= 0.3 AS passed FROM m")
 def before_after_gate(spark, sf):
-    return L.before_after(b.samples(spark, sf), "kind", F.col("session") > 500, "value", 10.0).select("kind", "low_before", "low_after")
+    return L.before_after(b.samples(spark, sf), "kind", F.col("session") > 500, "value", 10.0).withColumn("shrink", F.round("shrink", 6))
 
 
 @query("SELECT session, round((count(*) - 1) / nullif(max(ts) - min(ts), 0), 9) AS rate FROM samples GROUP BY 1")
@@ -199,37 +199,70 @@ def _int(spark, sf):
     return b.samples(spark, sf).withColumn("x", (F.col("value") * 100).cast("long"))
 
 
-@query()
+def _walk(step: str, first: str, columns: str = "") -> str:
+    """SQL of a recursive filter: a row a time along each session. ``step`` sees r.y, the value before, and s, the sample."""
+    return f""", s AS (SELECT session, seq, CAST(trunc(value * 100) AS BIGINT) AS x{columns}, k, row_number() OVER (PARTITION BY session ORDER BY ts, seq) AS i FROM samples),
+r AS (SELECT session, i, seq, CAST({first} AS BIGINT) AS y FROM s WHERE i = 1 UNION ALL SELECT s.session, s.i, s.seq, CAST({step} AS BIGINT) FROM r JOIN s ON s.session = r.session AND s.i = r.i + 1) SELECT seq, y FROM r"""
+
+
+_PT1 = "r.y + CASE WHEN {k} = 0 THEN s.x - r.y WHEN floor(({k} * (s.x - r.y) + 128) / 256.0) <> 0 THEN floor(({k} * (s.x - r.y) + 128) / 256.0) ELSE sign(s.x - r.y) END"
+
+
+@query(_walk(_PT1.format(k=64), "x"))
 def pt1_filter(spark, sf):
     return X.pt1_filter(_int(spark, sf), "x", 64).select("seq", "y")
 
 
-@query()
+@query(_walk("r.y + CASE WHEN abs(s.x - r.y) >= 8 THEN trunc((s.x - r.y) / 8.0) ELSE sign(s.x - r.y) END", "x"))
 def iir_filter(spark, sf):
     return X.iir_filter(_int(spark, sf), "x", 8).select("seq", "y")
 
 
-@query()
+@query(_walk(_PT1.format(k="(CASE WHEN s.x > r.y THEN s.k + 1 ELSE 16 END)"), "x"))
 def asymmetric_pt1(spark, sf):
     s = _int(spark, sf).withColumn("up", F.col("k") + 1).withColumn("down", F.lit(16).cast("long"))
     return X.asymmetric_pt1(s, "x", "up", "down").select("seq", "y")
 
 
-@query()
+_MORE = "CASE WHEN {s}.k % 5 = 0 OR {s}.x = 1000 THEN {y} ELSE greatest(-5000, least(5000, {y} + CASE WHEN floor(({s}.x - 1000) * 64 * ({s}.k % 5) / 65536.0) <> 0 THEN floor(({s}.x - 1000) * 64 * ({s}.k % 5) / 65536.0) ELSE sign({s}.x - 1000) END)) END"
+
+
+@query(_walk(_MORE.format(s="s", y="r.y"), _MORE.format(s="s", y="0")))
 def clamped_integral(spark, sf):
     s = _int(spark, sf).withColumn("error", F.col("x") - 1000).withColumn("gain", F.col("k") % 5)
     return X.clamped_integral(s, "error", "gain", -5000, 5000).select("seq", "y")
 
 
-@query()
+@query(_walk("r.y + greatest(-150, least(150, s.x - r.y))", "x"))
 def rate_limited(spark, sf):
     return X.ramp(_int(spark, sf), "x", 150).select("seq", "y")
 
 
-@query()
-def fuel_cut_state(spark, sf):
-    s = _int(spark, sf).withColumn("pedal", (F.col("kind") == "click").cast("long"))
-    return X.fuel_cut_state(s, "x", "pedal", 2440, 800).select("seq", "y")
+@query("SELECT kind AS log_set, round(sum((9 + k) * 1.14583), 4) AS wire_ms, count(*) AS blocks, round(1000 / nullif(sum((9 + k) * 1.14583), 0), 9) AS hz FROM samples GROUP BY 1")
+def refresh_rates(spark, sf):
+    blocks = b.samples(spark, sf).select(F.col("kind").alias("log_set"), F.col("k").alias("payload"))
+    return L.refresh_rates(blocks).select("log_set", F.round("wire_ms", 4).alias("wire_ms"), "blocks", F.round("hz", 9).alias("hz"))
+
+
+@query("SELECT session, CAST(floor(ts / 3600) AS BIGINT) AS ts, round(max(CASE WHEN kind = 'click' THEN value END) - max(CASE WHEN kind = 'view' THEN value END), 6) AS delta FROM samples WHERE kind IN ('click', 'view') GROUP BY 1, 2")
+def channel_delta(spark, sf):
+    s = b.samples(spark, sf).select("session", F.floor(F.col("ts") / 3600).alias("ts"), F.col("kind").alias("signal"), "value")
+    return L.channel_delta(s, "click", "view").withColumn("delta", F.round("delta", 6))
+
+
+@query(", r AS (SELECT session, regr_slope(value, ts - 1704067200) AS slope FROM samples WHERE value BETWEEN 3 AND 50 GROUP BY 1) SELECT round(avg(CASE WHEN session % 2 = 0 THEN slope END) * 1e6, 3) AS slope_before, count(CASE WHEN session % 2 = 0 THEN slope END) AS runs_before, round(avg(CASE WHEN session % 2 = 1 THEN slope END) * 1e6, 3) AS slope_after, count(CASE WHEN session % 2 = 1 THEN slope END) AS runs_after, round(avg(CASE WHEN session % 2 = 0 THEN slope END) / avg(CASE WHEN session % 2 = 1 THEN slope END), 4) AS ratio FROM r")
+def inertia_ratio(spark, sf):
+    runs = L.coastdown(b.samples(spark, sf).withColumn("ts", F.col("ts") - 1704067200), "session", "ts", "value", 3.0, 50.0)
+    out = L.inertia_ratio(runs.where("session % 2 = 0"), runs.where("session % 2 = 1"))
+    return out.select(*(F.round(F.col(c) * 1e6, 3).alias(c) for c in ("slope_before", "slope_after")), "runs_before", "runs_after", F.round("ratio", 4).alias("ratio"))
+
+
+@query(", m AS (SELECT session, k % 6 AS c, avg(value) AS mean, avg(CASE WHEN kind = 'view' THEN value END) AS base FROM samples GROUP BY 1, 2) SELECT session, round(stddev_pop(mean), 6) AS scatter, round(stddev_pop(base), 6) AS base, round(stddev_pop(mean) - stddev_pop(base), 6) AS more FROM m GROUP BY 1 HAVING count(base) > 0")
+def scatter_against_baseline(spark, sf):
+    s = b.samples(spark, sf)
+    wide = lambda s: L.cylinder_scatter(s.select("session", *(F.when(F.col("k") % 6 == i, F.col("value")).alias(f"lu{i}") for i in range(6))), [f"lu{i}" for i in range(6)])
+    out = L.scatter_against(wide(s), wide(s.where("kind = 'view'")))
+    return out.select("session", *(F.round(c, 6).alias(c) for c in ("scatter", "base", "more")))
 
 
 def _stream(spark, sf):

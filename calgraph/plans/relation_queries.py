@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import relations as R
+from ..sources import io
 from . import base as b
 
 QUERIES, ORACLES = {}, {}
@@ -22,6 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _shown(df, *columns):
+    return df.withColumns({c: b.shown(c) for c in columns})
+
+
 @query("""SELECT metric, key, value FROM (
   SELECT 'nodes' AS metric, t AS key, CAST(count(*) AS DOUBLE) AS value FROM nodes GROUP BY t
   UNION ALL SELECT 'edges_by_origin', o, count(*) FROM e GROUP BY o UNION ALL SELECT 'edges_by_kind', k, count(*) FROM e GROUP BY k UNION ALL SELECT 'edges', 'all', count(*) FROM e
@@ -36,7 +43,7 @@ def relation_coverage(spark, sf):
 
 @query("SELECT s, d, k, o FROM edges WHERE s <> d AND s IN (SELECT id FROM nodes) AND d IN (SELECT id FROM nodes)")
 def edge_dedup(spark, sf):
-    return R.dedup_edges(b.raw_edges(spark, sf), b.nodes(spark, sf))
+    return _shown(R.dedup_edges(b.raw_edges(spark, sf), b.nodes(spark, sf)), "s", "d")
 
 
 @query(""", n AS (SELECT name, node, row_number() OVER (PARTITION BY name ORDER BY rank, ord) AS r FROM (
@@ -45,11 +52,12 @@ def edge_dedup(spark, sf):
 SELECT name, node FROM n WHERE r = 1""")
 def name_index(spark, sf):
     part, sup, cus = b.t(spark, sf, "part"), b.t(spark, sf, "supplier"), b.t(spark, sf, "customer")
-    return R.name_index(
+    index = R.name_index(
         part.select(F.col("p_name").alias("name"), S.node_id("param", F.col("p_partkey")).alias("node"), F.col("p_partkey").alias("ord")),
         sup.select(F.col("s_name").alias("name"), F.format_string("f:%06x", "s_suppkey").alias("node"), F.col("s_suppkey").alias("ord")),
         cus.select(F.col("c_name").alias("name"), F.format_string("r:%06x", "c_custkey").alias("node"), F.col("c_custkey").alias("ord")),
     )
+    return index.drop("ord")
 
 
 @query(""", c AS (SELECT bank, addr, node, row_number() OVER (PARTITION BY bank, addr ORDER BY rank, ord, sub) AS r FROM (
@@ -118,18 +126,19 @@ def pair_editions(spark, sf):
 @query(""", b AS (SELECT s AS node, d AS other, o FROM edges UNION ALL SELECT d, s, o FROM edges), g AS (SELECT node, other, list_sort(list_distinct(list(o))) AS os FROM b GROUP BY node, other)
 SELECT node, other, array_to_string(os, ',') AS origins, list_contains(os, 'fr') AND len(os) > 1 AS both, list_contains(os, 'fr') AND len(os) = 1 AS documents_only FROM g""")
 def agreement(spark, sf):
-    return R.agreement(b.edges(spark, sf)).withColumn("origins", F.array_join("origins", ","))
+    return _shown(R.agreement(b.edges(spark, sf)).withColumn("origins", F.array_join("origins", ",")), "node", "other")
 
 
 @query("SELECT d, count(CASE WHEN k = 'call' THEN 1 END) AS call, count(CASE WHEN k = 'read' THEN 1 END) AS read, count(CASE WHEN k = 'write' THEN 1 END) AS write, count(CASE WHEN k = 'documents' THEN 1 END) AS documents FROM edges GROUP BY d")
 def degree(spark, sf):
-    return R.degree(b.edges(spark, sf))
+    return _shown(R.degree(b.edges(spark, sf)), "d")
 
 
-@query("""SELECT id, name FROM nodes WHERE t = 'param' AND id IN (SELECT d FROM edges WHERE o = 'fr') AND id NOT IN (SELECT d FROM edges WHERE o <> 'fr' AND k = 'write')""")
+@query(""", unread AS (SELECT d FROM edges WHERE o = 'fr' EXCEPT SELECT d FROM edges WHERE o = 'xref' AND k = 'read') SELECT id, name FROM nodes JOIN unread ON id = d WHERE t = 'param'""")
 def documented_not_confirmed(spark, sf):
+    """Items on a page that no measured reading confirms."""
     e = b.edges(spark, sf)
-    return R.documents_only_items(e.where("o = 'fr' or k = 'write'"), b.nodes(spark, sf).where("t = 'param'").select("id", "name"))
+    return _shown(R.documents_only_items(e.where("o = 'fr' or (o = 'xref' and k = 'read')"), b.nodes(spark, sf).where("t = 'param'").select("id", "name")), "id")
 
 
 @query(""", c AS (SELECT DISTINCT d AS id FROM edges WHERE k = 'write' AND o = 'xref'), g AS (SELECT DISTINCT name FROM nodes WHERE t = 'param' AND id IN (SELECT d FROM edges WHERE k = 'call' AND o = 'scan')), p AS (SELECT DISTINCT name FROM nodes WHERE t = 'param' AND id IN (SELECT d FROM edges WHERE o = 'fr'))
@@ -137,7 +146,7 @@ SELECT id, name, CASE WHEN name IN (SELECT name FROM g) AND length(name) > 12 TH
 def evidence_grade(spark, sf):
     items, e = b.nodes(spark, sf).where("t = 'param'").select("id", "name"), b.edges(spark, sf)
     touched = lambda cond: items.join(e.where(cond).select(F.col("d").alias("id")).distinct(), "id", "left_semi")
-    return R.evidence_grade(items, touched("k = 'call' and o = 'scan'").where("length(name) > 12"), touched("k = 'write' and o = 'xref'"), touched("o = 'fr'"))
+    return _shown(R.evidence_grade(items, touched("k = 'call' and o = 'scan'").where("length(name) > 12"), touched("k = 'write' and o = 'xref'"), touched("o = 'fr'")), "id")
 
 
 @query("""SELECT least(a.p_partkey, c.p_partkey) AS id1, greatest(a.p_partkey, c.p_partkey) AS id2, CAST(min(levenshtein(upper(replace(a.p_name, '_', '')), upper(replace(c.p_name, '_', '')))) AS INTEGER) AS edits, min(abs(a.p_partkey - c.p_partkey)) AS gap
@@ -165,23 +174,37 @@ _STEPS = """, code AS (SELECT * FROM edges WHERE o <> 'fr'), steps AS (SELECT DI
 
 @query(_STEPS + "SELECT parent, next, o FROM steps")
 def adjacency_downstream(spark, sf):
-    return G.adjacency(b.edges(spark, sf), "downstream")
+    return _shown(G.adjacency(b.edges(spark, sf), "downstream"), "parent", "next")
 
 
 @query(""", code AS (SELECT * FROM edges WHERE o <> 'fr') SELECT DISTINCT parent, next, o FROM (SELECT s AS parent, d AS next, o FROM code WHERE k = 'write' UNION ALL SELECT d, s, o FROM code WHERE k <> 'read' UNION ALL SELECT s, d, o FROM edges WHERE o = 'fr')""")
 def adjacency_upstream(spark, sf):
-    return G.adjacency(b.edges(spark, sf), "upstream")
+    return _shown(G.adjacency(b.edges(spark, sf), "upstream"), "parent", "next")
 
 
 @query(_STEPS + """, m AS (SELECT parent, next, min(CASE o WHEN 'xref' THEN 0 WHEN 'scan' THEN 1 ELSE 2 END) AS rank FROM steps GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY rank, next) AS pos, count(*) OVER (PARTITION BY parent) AS n FROM m)
 SELECT parent, next, rank, CAST(pos AS INTEGER) AS pos, n > 10 AS truncated FROM w WHERE pos <= 10""")
 def rank_children(spark, sf):
-    return G.ranked_children(G.adjacency(b.edges(spark, sf), "downstream"), 10)
+    return _shown(G.ranked_children(G.adjacency(b.edges(spark, sf), "downstream"), 10), "parent", "next")
+
+
+def _tree(children: str, root: str, depth: int) -> str:
+    """SQL of a tree walk, a level at a time. ``children``: (parent, next, pos, truncated)."""
+    out = f", ch AS ({children}), t0 AS (SELECT 0 AS level, CAST(NULL AS {{kind}}) AS parent, {root} AS node, 1 AS pos, false AS repeated, false AS truncated, '' AS path)"
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM t{i}" for i in range(d))
+        out += f""", n{d} AS (SELECT f.node AS parent, next AS node, ch.pos, ch.truncated, f.path || '/' || printf('%05d', ch.pos) AS path FROM t{d - 1} f JOIN ch ON ch.parent = f.node WHERE NOT f.repeated),
+t{d} AS (SELECT {d} AS level, parent, node, pos, node IN ({seen}) OR row_number() OVER (PARTITION BY node ORDER BY path) > 1 AS repeated, truncated, path FROM n{d})"""
+    every = " UNION ALL ".join(f"SELECT level, parent, node, CAST(pos AS INTEGER) AS pos, repeated, truncated FROM t{d}" for d in range(depth + 1))
+    return f"{out} {every}"
 
 
-@query()
+_RANKED = "SELECT parent, next, pos, n > {most} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY rank, next) AS pos, count(*) OVER (PARTITION BY parent) AS n FROM (SELECT parent, next, min(CASE o WHEN 'xref' THEN 0 WHEN 'scan' THEN 1 ELSE 2 END) AS rank FROM steps GROUP BY 1, 2)) WHERE pos <= {most}"
+
+
+@query(_STEPS + _tree(_RANKED.format(most=20), "'f:000001'", 3).format(kind="VARCHAR"))
 def expand_tree(spark, sf):
-    return G.expand(G.adjacency(b.edges(spark, sf), "downstream"), "f:000001", depth=3, most=20)
+    return _shown(G.expand(G.adjacency(b.edges(spark, sf), "downstream"), (1 << b.BITS) + 1, depth=3, most=20), "parent", "node")
 
 
 _CODE = _STEPS.replace("UNION ALL SELECT s, d, o FROM edges WHERE o = 'fr'", "")
@@ -191,13 +214,13 @@ _CODE = _STEPS.replace("UNION ALL SELECT s, d, o FROM edges WHERE o = 'fr'", "")
 SELECT root, node, CAST(min(distance) AS INTEGER) AS distance FROM (SELECT id AS root, id AS node, 0 AS distance FROM r UNION ALL SELECT root, node, 1 FROM l1 UNION ALL SELECT root, node, 2 FROM l2) GROUP BY 1, 2""")
 def reachable(spark, sf):
     steps = G.adjacency(b.edges(spark, sf), "downstream", ["xref", "scan"])
-    return G.reachable(steps, b.nodes(spark, sf).where("t = 'func'"), 2)
+    return _shown(G.reachable(steps, b.nodes(spark, sf).where("t = 'func'"), 2), "root", "node")
 
 
 @query("""SELECT id, t, name, class FROM (SELECT *, row_number() OVER (ORDER BY CASE t WHEN 'param' THEN 0 WHEN 'func' THEN 1 ELSE 2 END, length(name), class, id) AS r FROM (
   SELECT *, CASE WHEN lower(name) = 'red bolt' THEN 0 WHEN starts_with(lower(name), 'red bolt') THEN 1 WHEN contains(lower(name), 'red bolt') THEN 2 WHEN contains(lower(coalesce(description, '')), 'red bolt') THEN 3 END AS class FROM nodes WHERE t <> 'frpage') WHERE class IS NOT NULL) WHERE r <= 60""")
 def search_names(spark, sf):
-    return G.search(b.nodes(spark, sf), "red bolt").select("id", "t", "name", "class")
+    return _shown(G.search(b.nodes(spark, sf), "red bolt").select("id", "t", "name", "class"), "id")
 
 
 _CHAIN = """, writes AS (SELECT DISTINCT block AS src, out AS signal FROM statements WHERE length(out) >= 4), reads AS (SELECT DISTINCT block AS dst, unnest(reads) AS signal FROM statements), chain AS (SELECT src, signal, dst FROM writes JOIN reads USING (signal) WHERE src <> dst)
@@ -216,7 +239,7 @@ def block_neighbours(spark, sf):
 
 @query("SELECT DISTINCT s AS block, d AS next, 'call' AS via FROM edges WHERE k = 'call' AND o <> 'fr'")
 def call_neighbours(spark, sf):
-    return G.block_neighbours(None, b.edges(spark, sf), "call")
+    return _shown(G.block_neighbours(None, b.edges(spark, sf), "call"), "block", "next")
 
 
 def _scored(spark, sf):
@@ -242,19 +265,102 @@ def top_neighbours(spark, sf):
 
 @query(""", sc AS (SELECT printf('f:%06x', s_suppkey) AS block, s_nationkey AS score FROM supplier), n AS (SELECT d AS node, s AS block FROM edges WHERE o <> 'fr'), w AS (SELECT node, n.block, row_number() OVER (PARTITION BY node ORDER BY score DESC, n.block) AS r FROM n JOIN sc ON sc.block = n.block) SELECT node, block FROM w WHERE r = 1""")
 def owning_block(spark, sf):
-    scores = b.t(spark, sf, "supplier").select(F.format_string("f:%06x", "s_suppkey").alias("block"), F.col("s_nationkey").alias("score"))
-    return G.owning_block(b.edges(spark, sf), b.nodes(spark, sf).where("t = 'func'"), scores)
+    scores = b.t(spark, sf, "supplier").select(b.ident("func", "s_suppkey").alias("block"), F.col("s_nationkey").alias("score"))
+    return _shown(G.owning_block(b.edges(spark, sf), b.nodes(spark, sf).where("t = 'func'"), scores), "node", "block")
 
 
-@query(""", x AS (SELECT DISTINCT block, unnest(reads) AS port, 'in' AS dir FROM statements UNION SELECT block, out, 'out' FROM statements) SELECT block, port, dir, 'unknown' AS kind FROM x WHERE length(port) >= 2""")
+_PORTS = """, raw AS (SELECT DISTINCT block, unnest(reads) AS port, 'in' AS dir FROM statements UNION SELECT block, CASE WHEN ord % 2 = 0 THEN upper(out) ELSE 'kf_' || out END, 'out' FROM statements), x AS (SELECT * FROM raw WHERE length(port) >= 2 AND NOT regexp_matches(port, '^(0x[0-9a-fA-F]+|[0-9]+|abs)$')),
+idx AS (SELECT DISTINCT n_name AS name, 'ram' AS t FROM nation UNION SELECT DISTINCT unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')), 'param' FROM part WHERE p_size > 25)
+"""
+
+
+def _names(spark, sf):
+    """A name index and its nodes: words of part names as constants, nations as RAM."""
+    part = b.t(spark, sf, "part").where("p_size > 25").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("name"), F.lit("param").alias("t"))
+    index = part.unionByName(b.t(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("ram").alias("t"))).distinct()
+    index = index.select("name", F.concat("t", F.lit(":"), "name").alias("node"), "t")
+    return index.select("name", "node"), index.select(F.col("node").alias("id"), "t", F.lit(None).cast("string").alias("kind"))
+
+
+def _ported(spark, sf):
+    out = F.when(F.col("ord") % 2 == 0, F.upper("out")).otherwise(F.concat(F.lit("kf_"), "out"))
+    return b.statements(spark, sf).withColumn("out", out).withColumn("calls", F.array().cast("array<string>"))
+
+
+@query(_PORTS + """SELECT block, port, dir, CASE coalesce((SELECT min(t) FROM idx WHERE name = port), (SELECT min(t) FROM idx WHERE name = lower(port)), '') WHEN 'param' THEN 'constant' WHEN 'ram' THEN 'signal' ELSE CASE WHEN starts_with(lower(port), 'kf_') THEN 'map' WHEN starts_with(lower(port), 'kl_') THEN 'curve' WHEN starts_with(lower(port), 'k_') THEN 'constant' WHEN regexp_matches(port, '^[A-Z][A-Z0-9_]*$') THEN 'signal' ELSE 'unknown' END END AS kind FROM x""")
 def block_ports(spark, sf):
-    return G.block_ports(b.statements(spark, sf).withColumn("calls", F.array().cast("array<string>"))).select("block", "port", "dir", "kind")
+    return G.block_ports(_ported(spark, sf), *_names(spark, sf)).select("block", "port", "dir", "kind")
+
+
+@query(_CHAIN.rstrip() + _SCORE.rstrip() + _tree("SELECT block AS parent, next, pos, n > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, next) AS pos, count(*) OVER (PARTITION BY block) AS n FROM (SELECT DISTINCT src AS block, dst AS next, coalesce(score, 0) AS score FROM chain LEFT JOIN score ON score.block = dst)) WHERE pos <= 4", "(SELECT min(conv_id) FROM conversations)", 3).format(kind="BIGINT"))
+def expand_blocks(spark, sf):
+    s = _scored(spark, sf)
+    root = b.t(spark, sf, "conversations").agg(F.min("conv_id")).first()[0]
+    return G.expand_blocks(G.block_neighbours(G.signal_chain(s), None, "signal"), G.block_score(s), root, depth=3, most=4)
+
+
+@query(_CHAIN.rstrip() + ", bare AS (SELECT printf('f:%06x', s_suppkey) AS id FROM supplier WHERE s_suppkey % 3 = 0) SELECT CAST(src AS VARCHAR) AS src, signal, CAST(dst AS VARCHAR) AS dst FROM chain UNION SELECT s, k, d FROM edges WHERE o <> 'fr' AND s IN (SELECT id FROM bare)")
+def fallback_wiring(spark, sf):
+    """The signal chain, and measured edges of functions without statements: those whose key divides by three have none."""
+    chain = G.signal_chain(b.statements(spark, sf)).select(F.col("src").cast("string").alias("src"), "signal", F.col("dst").cast("string").alias("dst"))
+    f = b.t(spark, sf, "supplier").select(b.shown(b.ident("func", "s_suppkey")).alias("id"), F.col("s_suppkey").alias("key"))
+    e = b.edges(spark, sf).where("o != 'fr'").withColumns({c: b.shown(c) for c in ("s", "d")})
+    return G.fallback_wiring(chain, f.select("id"), f.where("key % 3 != 0").select(F.col("id").alias("block")), e)
+
+
+_NOISY = """, st AS (SELECT block, ord, out, CASE ord % 5 WHEN 0 THEN '0x1f' WHEN 1 THEN 'KF_' || upper(out) || ' + 1' WHEN 2 THEN '*(' || out || ' + 4)' WHEN 3 THEN 'DAT_00ff10a' || ord % 10 ELSE out || ' + x' END AS expr FROM statements WHERE out <> '')
+"""
+
+
+@query(_NOISY + "SELECT block, ord, CASE ord % 5 WHEN 0 THEN out NOT IN (SELECT s_name FROM supplier UNION SELECT unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) FROM part) AND NOT out IN ('bolt') WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true ELSE false END AS noise FROM st")
+def statement_noise(spark, sf):
+    s, n = b.statements(spark, sf).where("out != ''"), F.col("ord") % 5
+    expr = F.when(n == 0, F.lit("0x1f")).when(n == 1, F.concat(F.lit("KF_"), F.upper("out"), F.lit(" + 1"))).when(n == 2, F.concat(F.lit("*("), "out", F.lit(" + 4)"))).when(n == 3, F.concat(F.lit("DAT_00ff10a"), (F.col("ord") % 10).cast("string"))).otherwise(F.concat("out", F.lit(" + x")))
+    known = b.t(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("name"))
+    return G.statement_noise(s.withColumn("expr", expr).withColumn("interp", F.array().cast("array<string>")), known.union(spark.sql("SELECT 'bolt' AS name"))).select("block", "ord", "noise")
+
+
+@query(""", ram AS (SELECT DISTINCT lower(n_name) AS name FROM nation), sig AS (SELECT doc_id AS doc, list_distinct(regexp_split_to_array(text, '[^A-Za-z]+')) AS s FROM documents), i AS (SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 4)
+SELECT doc, count(CASE WHEN lower(w) IN (SELECT lower(name) FROM i) THEN 1 END) AS matches, count(*) AS signals FROM (SELECT doc, unnest(s) AS w FROM sig) WHERE length(w) >= 4 GROUP BY doc""")
+def signal_ram_matches(spark, sf):
+    words = lambda name, key: b.t(spark, sf, name).select(F.col(key).alias("doc"), F.filter(F.split("text", "[^A-Za-z]+"), lambda x: F.length(x) >= 4).alias("signals"))
+    ram = words("benchmark", "item_id").select(F.explode("signals").alias("name")).distinct().withColumn("node", F.concat(F.lit("r:"), F.lower("name")))
+    return R.signal_ram_matches(words("documents", "doc_id"), ram, ram.select(F.col("node").alias("id")))
+
+
+@query("SELECT p_partkey AS id, n_name AS ja FROM part LEFT JOIN nation ON p_size = n_nationkey")
+def translations(spark, sf):
+    items = b.t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("name"))
+    keys = b.t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))
+    return R.with_translations(items, keys).select("id", "ja")
+
+
+@query("SELECT p_partkey AS id, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM part LEFT JOIN nation ON n_nationkey IN (p_size, p_partkey % 30) GROUP BY 1")
+def item_categories(spark, sf):
+    items = b.t(spark, sf, "part").select(F.col("p_partkey").alias("id"), S.category_ids(F.array((F.col("p_size") + 1).cast("long"), F.col("p_partkey") % 30 + 1, F.col("p_partkey") % 30 + 1)).alias("category_ids"))
+    c = b.t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("de"), F.col("n_name").alias("en"))
+    return R.with_categories(items, c).select("id", F.array_join(F.transform("categories", lambda x: x["en"]), ",").alias("names"))
+
+
+@query(", w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS name FROM documents) SELECT DISTINCT name FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS name FROM benchmark) WHERE length(name) >= 4 AND name NOT IN (SELECT name FROM w)")
+def missing_names(spark, sf):
+    words = lambda name: b.t(spark, sf, name).select(F.explode(F.split("text", "[^A-Za-z]+")).alias("name")).where("length(name) >= 4")
+    return R.missing_names(words("benchmark"), words("documents"))
+
+
+@query("SELECT t, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT o, count(*) FROM edges GROUP BY 1")
+def written_graph(spark, sf):
+    """The graph written as two tables and read again, counted by partition."""
+    path = f"{io.shared_folder(spark)}/written-graph-{uuid.uuid4().hex}"
+    io.write_graph(b.nodes(spark, sf), b.edges(spark, sf), path)
+    count = lambda name, c: spark.read.parquet(f"{path}/{name}").groupBy(F.col(c).cast("string").alias("t")).agg(F.count("*").alias("n"))
+    return count("nodes", "t").unionByName(count("edges", "o"))
 
 
 @query(""", n AS (SELECT s_name, printf('f:%06x', s_suppkey) AS func, s_nationkey % 4 AS n FROM supplier) SELECT DISTINCT d AS node, s AS func, CAST(coalesce(n.n, 0) AS BIGINT) AS n FROM edges LEFT JOIN (SELECT func, n FROM n WHERE n > 0) n ON n.func = s WHERE o <> 'fr'""")
 def consumers(spark, sf):
-    st = b.t(spark, sf, "supplier").where("s_nationkey % 4 > 0").select(F.format_string("f:%06x", "s_suppkey").alias("block"), F.explode(F.sequence(F.lit(1), F.col("s_nationkey") % 4)).alias("ord"))
-    return G.consumers(b.edges(spark, sf), b.nodes(spark, sf).where("t = 'func'"), st)
+    st = b.t(spark, sf, "supplier").where("s_nationkey % 4 > 0").select(b.ident("func", "s_suppkey").alias("block"), F.explode(F.sequence(F.lit(1), F.col("s_nationkey") % 4)).alias("ord"))
+    return _shown(G.consumers(b.edges(spark, sf), b.nodes(spark, sf).where("t = 'func'"), st), "node", "func")
 
 
 @query(""", r AS (SELECT block, ord, CASE WHEN len(list_filter(reads, lambda x: starts_with(x, 'th'))) > 0 THEN 0 ELSE 2 END AS rank FROM statements), w AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY rank, ord) AS pos, count(*) OVER (PARTITION BY block) AS n FROM r)
@@ -311,7 +417,7 @@ def names_in_both(spark, sf):
 
 @query("SELECT s AS section, d AS node FROM edges WHERE o = 'fr' AND k = 'documents'")
 def page_links(spark, sf):
-    return b.edges(spark, sf).where("o = 'fr' and k = 'documents'").select(F.col("s").alias("section"), F.col("d").alias("node"))
+    return b.edges(spark, sf).where("o = 'fr' and k = 'documents'").select(b.shown("s").alias("section"), b.shown("d").alias("node"))
 
 
 @query("SELECT quality, toxic, count(*) AS n, count(DISTINCT lang) AS langs FROM labels JOIN documents USING (doc_id) GROUP BY CUBE (quality, toxic)")

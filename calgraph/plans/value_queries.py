@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import equations as E
@@ -27,9 +29,11 @@ def query(sql: str | None = None, views: bool = False):
 
 
 @query("""SELECT o_orderkey, CASE WHEN a < 32768 THEN 'slave' ELSE 'master' END AS bank, CASE WHEN a < 32768 THEN a + 557056 ELSE a END AS file_offset, 557056 + a % 32768 AS program_address,
-CASE WHEN a BETWEEN 557056 AND 589823 THEN 'cal' WHEN a BETWEEN 0 AND 32767 THEN 'rawcal' WHEN a BETWEEN 32768 AND 524287 THEN 'code' WHEN a BETWEEN 983040 AND 1048575 THEN 'ram' WHEN a BETWEEN 524288 AND 557055 THEN 'boot' ELSE 'other' END AS region, printf('p:%05x', a) AS id FROM (SELECT o_orderkey, o_orderkey * 7919 % 1100000 AS a FROM orders)""")
+CASE WHEN a BETWEEN 557056 AND 589823 THEN 'cal' WHEN a BETWEEN 32768 AND 65535 THEN 'rawcal' WHEN a BETWEEN 65536 AND 524287 THEN 'code' WHEN a >= 16711680 THEN 'ram' WHEN a < 32768 THEN 'boot' ELSE 'other' END AS region, printf('p:%05x', a) AS id
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 16777215 - o_orderkey * 79 % 90000 ELSE o_orderkey * 7919 % 700000 END AS a FROM orders)""")
 def address_map(spark, sf):
-    a = F.col("o_orderkey") * 7919 % 1100000
+    k = F.col("o_orderkey")
+    a = F.when(k % 4 == 0, 16777215 - k * 79 % 90000).otherwise(k * 7919 % 700000)
     return b.t(spark, sf, "orders").select("o_orderkey", S.bank_of(a).alias("bank"), S.file_offset(a).alias("file_offset"), S.program_address(a).alias("program_address"), S.region_of(a).alias("region"), S.node_id("param", a).alias("id"))
 
 
@@ -40,10 +44,19 @@ def bilingual_names(spark, sf):
     return b.t(spark, sf, "part").select("p_partkey", pair["de"].alias("de"), pair["en"].alias("en"), S.base_name(name).alias("base"))
 
 
-@query("""SELECT DISTINCT w AS token, CASE WHEN length(w) >= 4 AND regexp_matches(w, '^[A-Z][a-z]+$') THEN 'mnemonic' WHEN length(w) >= 4 AND regexp_matches(w, '^[a-z]+$') THEN 'signal' END AS shape FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> ''""")
+_TOKENS = "SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM documents) WHERE w <> ''"
+
+
+@query(f"""SELECT x AS token, CASE WHEN length(x) < 4 OR starts_with(x, 'FUN_') OR starts_with(x, 'DAT_') OR starts_with(x, 'LAB_') OR starts_with(x, 'SUB_') OR starts_with(x, 'UNK_') OR starts_with(x, 'SWITCH_') OR starts_with(x, 'caseD_') THEN NULL WHEN regexp_matches(x, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$') THEN 'mnemonic' WHEN regexp_matches(x, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'signal' END AS shape
+FROM (SELECT DISTINCT CASE length(name) % 5 WHEN 0 THEN 'K_' || upper(name) WHEN 1 THEN 'SWITCH_' || upper(name) WHEN 2 THEN lower(name) || '_1' WHEN 3 THEN 'DAT_' || upper(name) ELSE name END AS x FROM ({_TOKENS}))""")
 def name_shapes(spark, sf):
-    w = b.t(spark, sf, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("token")).where("token != ''").distinct()
-    return w.withColumn("shape", S.name_shape(F.col("token"), "^[A-Z][a-z]+$", "^[a-z]+$"))
+    w, n = F.col("name"), F.length("name") % 5
+    x = F.when(n == 0, F.concat(F.lit("K_"), F.upper(w))).when(n == 1, F.concat(F.lit("SWITCH_"), F.upper(w))).when(n == 2, F.concat(F.lower(w), F.lit("_1"))).when(n == 3, F.concat(F.lit("DAT_"), F.upper(w))).otherwise(w)
+    return _tokens(spark, sf).select(x.alias("token")).distinct().withColumn("shape", S.name_shape(F.col("token")))
+
+
+def _tokens(spark, sf):
+    return b.t(spark, sf, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("name")).where("name != ''").distinct()
 
 
 @query("SELECT p_partkey, p_partkey * 16 AS stated, p_size > 25 AS mismatch, p_type || ' text' AS body FROM part")
@@ -199,16 +212,38 @@ def build_vocabulary(spark, sf):
     return T.vocabulary(named("p_name"), named("p_type"), named("p_brand"), mnemonic="^[A-Z].*$", signal="^[a-z].*$", least=2)
 
 
-@query("SELECT conv_id AS doc, list_sort(list_distinct(flatten(list(regexp_extract_all(text, 'tion|ing|the|ed'))))) AS names FROM conversations GROUP BY 1 HAVING len(flatten(list(regexp_extract_all(text, 'tion|ing|the|ed')))) > 0")
+_VOCABULARY = """v AS (SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z]+')) AS w FROM part UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) FROM benchmark) WHERE length(w) >= 6),
+found AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) FROM v)) AS names FROM documents)"""
+
+
+def _scanned(spark, sf):
+    """Documents scanned for words of parts and of the benchmark."""
+    part, bench = b.t(spark, sf, "part"), b.t(spark, sf, "benchmark")
+    words = part.select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("w")).union(bench.select("text"))
+    names = words.select(F.explode(F.split(F.lower("w"), "[^a-z]+")).alias("name")).where("length(name) >= 6").distinct()
+    return T.scan_names(b.t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"), names)
+
+
+@query(f"WITH {_VOCABULARY} SELECT doc_id AS doc, list_sort(list_distinct(names)) AS names FROM found WHERE len(names) > 0")
 def scan_names(spark, sf):
-    pages = b.t(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), "text")
-    names = spark.sql("SELECT * FROM VALUES ('the'), ('tion'), ('ing'), ('ed') AS v(name)")
-    return T.document_names(T.scan_names(pages, names), "doc")
+    return T.document_names(_scanned(spark, sf), "doc")
+
+
+@query(f"WITH {_VOCABULARY} SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT n) AS names FROM (SELECT doc_id, unnest(CASE WHEN len(names) = 0 THEN [NULL] ELSE names END) AS n FROM found)")
+def extraction_stats(spark, sf):
+    return T.extraction_stats(_scanned(spark, sf), "doc")
 
 
-@query()
+@query(f"WITH {_VOCABULARY} SELECT f.doc_id AS doc, array_to_string(list_sort(list_distinct(list_filter(names, lambda x: regexp_matches(x, '^[a-z]')))), ',') AS signals, CAST(length(trim(coalesce(text, ''))) AS INTEGER) AS chars FROM found f JOIN documents d ON d.doc_id = f.doc_id")
+def page_records(spark, sf):
+    return T.page_records(_scanned(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))).select("doc", F.array_join("signals", ",").alias("signals"), "chars")
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT name FROM ({_TOKENS}) WHERE length(name) >= 2 AND name = lower(name)),
+r AS (SELECT name, 0 AS done FROM n UNION SELECT q.name, q.done + k FROM (SELECT name, done, unnest(range(2, length(name) - done + 1)) AS k FROM r) q WHERE k < length(q.name) AND substring(q.name, q.done + 1, k) IN (SELECT name FROM n))
+SELECT name FROM n WHERE name NOT IN (SELECT name FROM r WHERE done = length(name))""")
 def drop_concatenations(spark, sf):
-    w = b.t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).where("length(name) >= 2").distinct()
+    w = _tokens(spark, sf).where("length(name) >= 2 and name = lower(name)")
     return T.drop_concatenations(w, w)
 
 
@@ -218,40 +253,100 @@ def split_pages(spark, sf):
     return io.split_pages(docs, "doc_id", "body").select("doc_id", F.col("page").cast("long").alias("page"), "text")
 
 
-_CODE = "SELECT doc_id, 'void f(void)' || chr(10) || '{' || chr(10) || '  int iVar' || (doc_id % 10) || ';' || chr(10) || chr(10) || '  N_' || n_chars || ' = kfs_wint(KF_A,' || source || ');' || chr(10) || '}' AS code FROM documents"
+#: Turns of conversations as listings: three of a turn's words in one of five statements.
+_WORDS = """WITH w AS (SELECT conv_id * 1000 + turn AS func, turn % 5 AS k, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: len(x) >= 4) AS w FROM conversations),
+v AS (SELECT func, k, coalesce(w[1], 'aaaa') AS a, coalesce(w[2], 'bbbb') AS b, coalesce(w[3], 'cccc') AS c FROM w)
+"""
+
+
+def _statements(spark, sf):
+    """(func, k, a, b, c, rhs, code)."""
+    w = b.statements(spark, sf).select((F.col("block") * 1000 + F.col("ord")).alias("func"), (F.col("ord") % 5).alias("k"), F.filter(F.split(F.lower("expr"), "[^a-z]+"), lambda x: F.length(x) >= 4).alias("w"))
+    x, y, z = (F.coalesce(F.get("w", F.lit(i)), F.lit(d)) for i, d in enumerate(("aaaa", "bbbb", "cccc")))
+    v = w.select("func", "k", x.alias("a"), y.alias("b"), z.alias("c"))
+    A, B, C, k = F.upper("a"), F.upper("b"), F.upper("c"), F.col("k")
+    rhs = (
+        F.when(k == 0, F.format_string("kfs_wint(&KF_%s.sizeX,g_x(%s,1),(short)N)", B, "c")).when(k == 1, F.format_string("(float)%s + *(Foo *)&%s", "b", C)).when(k == 2, F.format_string("klu_bint({KL_%s | KL_%s},%s)  &  M", B, C, "c"))
+        .when(k == 3, F.format_string("PT1_Filter_US(%s, iVar1)", B)).otherwise(F.format_string("(unsigned)%s & NULL", B))
+    )
+    code = F.concat(F.lit("void fn(void)\n{\n  int iVar"), k.cast("string"), F.lit(";\n  short "), "c", F.lit("[2];\n\n  "), A, F.lit(" = "), rhs, F.lit(";\n  if ("), "a", F.lit(" < 3) {\n  }\n}"))
+    return v.withColumn("rhs", rhs).withColumn("code", code)
 
 
-def _listings(spark, sf):
-    d = b.t(spark, sf, "documents")
-    nl = F.lit("\n")
-    return d.select(F.col("doc_id").alias("func"), "source", F.concat(F.lit("void f(void)"), nl, F.lit("{"), nl, F.lit("  int iVar"), (F.col("doc_id") % 10).cast("string"), F.lit(";"), nl, nl, F.lit("  N_"), F.col("n_chars").cast("string"), F.lit(" = kfs_wint(KF_A,"), "source", F.lit(");"), nl, F.lit("}")).alias("code"))
+_RHS = "CASE k WHEN 0 THEN 'kfs_wint(&KF_' || upper(b) || '.sizeX,g_x(' || c || ',1),(short)N)' WHEN 1 THEN '(float)' || b || ' + *(Foo *)&' || upper(c) WHEN 2 THEN 'klu_bint({KL_' || upper(b) || ' | KL_' || upper(c) || '},' || c || ')  &  M' WHEN 3 THEN 'PT1_Filter_US(' || upper(b) || ', iVar1)' ELSE '(unsigned)' || upper(b) || ' & NULL' END"
 
 
-@query("SELECT doc_id AS func, 4 AS line, 'N_' || n_chars AS lhs, 'kfs_wint(KF_A,' || source || ')' AS rhs FROM documents")
+@query(_WORDS + f"SELECT func, 5 AS line, upper(a) AS lhs, {_RHS} AS rhs FROM v")
 def extract_assignments(spark, sf):
-    return T.assignments(_listings(spark, sf))
+    return T.assignments(_statements(spark, sf))
 
 
-@query("SELECT doc_id AS func, 'iVar' || (doc_id % 10) AS name FROM documents")
+@query(_WORDS + "SELECT func, 'iVar' || k AS name FROM v UNION ALL SELECT func, c FROM v")
 def declared_locals(spark, sf):
-    return T.declared_locals(_listings(spark, sf))
+    return T.declared_locals(_statements(spark, sf))
 
 
-@query("SELECT doc_id AS func, 'kfs_wint' AS callee, 'KF_A,' || source AS args FROM documents UNION ALL SELECT doc_id, 'f', 'void' FROM documents")
+_CALL_ROWS = """x AS (SELECT func, 'fn' AS callee, 'void' AS args FROM v
+UNION ALL SELECT func, 'kfs_wint', '&KF_' || upper(b) || '.sizeX;g_x(' || c || ',1);(short)N' FROM v WHERE k = 0 UNION ALL SELECT func, 'g_x', c || ';1' FROM v WHERE k = 0
+UNION ALL SELECT func, 'klu_bint', '{KL_' || upper(b) || ' | KL_' || upper(c) || '};' || c FROM v WHERE k = 2 UNION ALL SELECT func, 'PT1_Filter_US', upper(b) || ';iVar1' FROM v WHERE k = 3)
+"""
+
+
+@query(_WORDS.rstrip() + ", " + _CALL_ROWS + "SELECT * FROM x")
 def call_sites(spark, sf):
-    return T.call_sites(_listings(spark, sf)).withColumn("args", F.array_join("args", ","))
+    return T.call_sites(_statements(spark, sf)).withColumn("args", F.array_join("args", ";"))
 
 
-@query("SELECT 'kfs_wint' AS callee, 'map' AS shape, count(*) AS n FROM documents")
+@query(_WORDS.rstrip() + ", " + _CALL_ROWS + "SELECT callee, CASE callee WHEN 'kfs_wint' THEN 'map' WHEN 'klu_bint' THEN 'curve' ELSE 'filter' END AS shape, count(*) AS n FROM x WHERE callee IN ('kfs_wint', 'klu_bint', 'PT1_Filter_US') GROUP BY 1")
 def helper_usage(spark, sf):
-    return T.helper_usage(T.call_sites(_listings(spark, sf)))
+    return T.helper_usage(T.call_sites(_statements(spark, sf)))
+
+
+@query(_WORDS + """SELECT func, CASE k WHEN 0 THEN 'map' WHEN 2 THEN 'curve' WHEN 3 THEN 'filter' END AS shape, CASE k WHEN 0 THEN 'KF_' || upper(b) || ',sizeX' WHEN 2 THEN 'KL_' || upper(b) || ',KL_' || upper(c) WHEN 3 THEN upper(b) END AS tables, CASE k WHEN 0 THEN 'g_x(' || c || ',1);(short)N' WHEN 2 THEN c WHEN 3 THEN 'iVar1' END AS axes FROM v WHERE k IN (0, 2, 3)""")
+def found_interpolations(spark, sf):
+    i = _statements(spark, sf).select("func", F.explode(T.interpolations(T.balanced_calls(F.col("rhs")))).alias("i"))
+    return i.select("func", "i.shape", F.array_join("i.tables", ",").alias("tables"), F.array_join("i.axes", ";").alias("axes"))
+
 
+@query(_WORDS + """SELECT func, CASE k WHEN 0 THEN 'kfs_wint(KF_' || upper(b) || ',g_x(' || c || ',1),N)' WHEN 1 THEN b || ' + *' || upper(c) WHEN 2 THEN 'klu_bint({KL_' || upper(b) || ' | KL_' || upper(c) || '},' || c || ') & M' WHEN 3 THEN 'PT1_Filter_US(' || upper(b) || ', iVar1)' ELSE '(unsigned)' || upper(b) || ' & NULL' END AS cleaned,
+CASE k WHEN 0 THEN 'g_x,kfs_wint' WHEN 2 THEN 'klu_bint' WHEN 3 THEN 'PT1_Filter_US' ELSE '' END AS calls, CASE k WHEN 0 THEN 'KF_' || upper(b) || ',sizeX,' || c || ',N' WHEN 1 THEN b || ',Foo,' || upper(c) WHEN 2 THEN 'KL_' || upper(b) || ',KL_' || upper(c) || ',' || c || ',M' WHEN 3 THEN upper(b) ELSE upper(b) END AS reads FROM v WHERE b <> c AND upper(b) NOT IN ('N', 'M')""")
+def expression_reads(spark, sf):
+    s, r = _statements(spark, sf).where("b != c"), F.col("rhs")
+    return s.select("func", T.clean_expression(r).alias("cleaned"), F.array_join(T.calls_of(r), ",").alias("calls"), F.array_join(T.reads_of(r), ",").alias("reads"))
 
-@query("SELECT doc_id, 'KF_A,x' || doc_id || ' & M' AS cleaned, 'x' || doc_id || ' >= ' || n_chars AS inverted, 'a ÷ 256' AS scaled FROM documents")
+
+@query(_WORDS + """SELECT func, CASE k WHEN 0 THEN a || ' << 8 >= 100' WHEN 1 THEN 'not (f(' || a || ' < ' || b || '))' WHEN 2 THEN 'not (' || a || ' && ' || b || ')' WHEN 3 THEN '(' || a || ' & (' || b || '|S)) != 0' ELSE a || '[' || b || ' > 2] < ' || c END AS inverted,
+CASE k WHEN 0 THEN a || ' ÷ 256' ELSE a || ' × ' || CAST(2 ** k AS BIGINT) END AS scaled FROM v""")
 def expression_rewrites(spark, sf):
-    raw = F.concat(F.lit("&KF_A.sizeX,(ushort)x"), F.col("doc_id").cast("string"), F.lit("  &  M"))
-    cond = F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(" < "), F.col("n_chars").cast("string"))
-    return b.t(spark, sf, "documents").select("doc_id", T.clean_expression(raw).alias("cleaned"), T.invert_guard(cond).alias("inverted"), T.shift_to_scale(F.concat(F.lit("a >> "), F.lit("8"))).alias("scaled"))
+    k, say = F.col("k"), F.format_string
+    cond = F.when(k == 0, say("%s << 8 < 100", "a")).when(k == 1, say("f(%s < %s)", "a", "b")).when(k == 2, say("%s && %s", "a", "b")).when(k == 3, say("(%s & (%s|S)) == 0", "a", "b")).otherwise(say("%s[%s > 2] >= %s", "a", "b", "c"))
+    shift = F.when(k == 0, say("%s >> 8", "a")).otherwise(F.concat("a", F.lit(" << "), k.cast("string")))
+    return _statements(spark, sf).select("func", T.invert_guard(cond).alias("inverted"), T.shift_to_scale(shift).alias("scaled"))
+
+
+@query(_WORDS + "SELECT (SELECT count(*) FROM conversations) AS functions, (SELECT count(DISTINCT func) FROM v WHERE k <> 4) AS functions_with_statements, (SELECT count(*) FROM v WHERE k <> 4) AS statements, (SELECT count(*) FROM v WHERE k IN (0, 2, 3)) AS interpolations, (SELECT count(*) FROM v WHERE k = 3) AS unfolded")
+def logic_stats(spark, sf):
+    s = _statements(spark, sf)
+    rows = s.where("k != 4").select(F.col("func").alias("block"), F.col("rhs").alias("expr"), T.interpolations(T.balanced_calls(F.col("rhs"))).alias("interp"))
+    return T.logic_stats(s.select("func"), rows)
+
+
+@query(_WORDS + """SELECT func, CASE k WHEN 0 THEN 'map' WHEN 1 THEN 'curve' WHEN 2 THEN 'constant' WHEN 3 THEN 'signal' ELSE 'unknown' END AS kind, k IN (1, 4) AS noise, CASE k WHEN 0 THEN true ELSE false END AS helper, CASE k WHEN 3 THEN 'documented' ELSE 'derived' END AS confidence, CASE k WHEN 2 THEN a || ';' || b ELSE a END AS alternatives FROM v""")
+def symbol_tests(spark, sf):
+    k, a = F.col("k"), F.col("a")
+    named = F.when(k == 0, F.concat(F.lit("kf_"), a)).when(k == 1, F.concat(F.lit("KL_"), a)).when(k == 2, F.concat(F.lit("k_"), a)).when(k == 3, F.upper(a)).otherwise(a)
+    noise = F.when(k == 1, F.lit("SCARRY4")).when(k == 4, F.lit("abs")).otherwise(F.concat(F.lit("PTR_"), a))
+    helper = F.when(k == 0, F.lit("memcpy")).when(k == 1, F.lit("PT1000")).otherwise(F.concat(F.lit("kfs_"), a))
+    token = F.when(k == 2, F.format_string("{%s | %s}", "a", "b")).otherwise(a)
+    title = F.when(k == 3, F.upper(a)).otherwise(a)
+    return _statements(spark, sf).select("func", S.kind_by_prefix(named).alias("kind"), S.is_symbol_noise(noise).alias("noise"), S.is_helper(helper).alias("helper"), S.confidence(title).alias("confidence"), F.array_join(S.alternatives(token), ";").alias("alternatives"))
+
+
+@query("SELECT doc_id, regexp_matches(t, 'HW:[0-9]|MatchRatio|File Orientation') AS stamp, CASE WHEN t <> '' AND NOT regexp_matches(t, 'HW:[0-9]|MatchRatio|File Orientation') THEN t END AS shown FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'HW:1 ' || lang WHEN 1 THEN lang || ' MatchRatio' WHEN 2 THEN 'created by ' || source ELSE '' END AS t FROM documents)")
+def tool_metadata(spark, sf):
+    n = F.col("doc_id") % 4
+    t = F.when(n == 0, F.concat(F.lit("HW:1 "), "lang")).when(n == 1, F.concat("lang", F.lit(" MatchRatio"))).when(n == 2, F.concat(F.lit("created by "), "source")).otherwise("")
+    return b.t(spark, sf, "documents").select("doc_id", S.is_tool_metadata(t).alias("stamp"), S.meaningful_description(F.lit(None).cast("string"), t).alias("shown"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'value = RAM_' || (doc_id % 16) ELSE 'value = RAM[0x' || lower(to_hex(doc_id % 4096 + 16384)) || ']' END AS expr_named FROM documents")
@@ -271,13 +366,49 @@ def decode_images(spark, sf):
     return out.agg(F.count("raw").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high"))
 
 
-@query(", g AS (SELECT label, avg(z) AS v, vec_id FROM cells GROUP BY 1, 3) SELECT count(*) > 0 AS found FROM g", views=True)
+@query(", g AS (SELECT label, avg(z) AS v, vec_id FROM cells GROUP BY 1, 3), m AS (SELECT label, median(v) AS typical FROM g GROUP BY 1) SELECT label, vec_id, v, typical FROM g JOIN m USING (label) WHERE abs(v - typical) > 0.5 * abs(typical)", views=True)
 def axis_outliers(spark, sf):
     p = b.cells(spark, sf).groupBy("label", "vec_id").agg(F.avg("z").alias("v"))
-    return D.axis_outliers(p, "label", "v", 0.5).agg((F.count("*") > 0).alias("found"))
+    return D.axis_outliers(p, "label", "v", 0.5).select("label", "vec_id", "v", "typical")
 
 
-@query(", g AS (SELECT label, avg(z) AS v, vec_id FROM cells GROUP BY 1, 3), m AS (SELECT label, median(v) AS typical FROM g GROUP BY 1) SELECT label, vec_id, v, typical FROM g JOIN m USING (label) WHERE abs(v - typical) > 0.5 * abs(typical)", views=True)
-def axis_outlier_points(spark, sf):
-    p = b.cells(spark, sf).groupBy("label", "vec_id").agg(F.avg("z").alias("v"))
-    return D.axis_outliers(p, "label", "v", 0.5).select("label", "vec_id", "v", "typical")
+@query("SELECT event_id, round(CASE WHEN value + 0.5 < 2 THEN 0 ELSE least((value + 0.5 - 2) / (30 - 2) * 65535 / (1 + event_id % 3), 65535) END, 4) AS opening, round(least(greatest(value, 0), 40) / 40 * (2 - least(greatest(value, 10), 30) / 20), 9) AS density FROM events")
+def openings(spark, sf):
+    v = F.col("value")
+    at = lambda *x: F.array(*(F.lit(float(i)) for i in x))
+    opening = S.relative_opening(v, F.lit(0.5), 2.0, 30.0, (1 + F.col("event_id") % 3).cast("double"))
+    density = M.density_correction(at(0, 20, 40), at(0, 0.5, 1), v, at(10, 20, 30), at(1.5, 1, 0.5), v)
+    return b.t(spark, sf, "events").select("event_id", F.round(opening, 4).alias("opening"), F.round(density, 9).alias("density"))
+
+
+@query("SELECT vec_id, CAST(row AS INTEGER) AS row, col, round(z, 6) AS z FROM cells", views=True)
+def cells_of_grids(spark, sf):
+    """Cells folded to grids, flattened and unfolded again."""
+    grids = D.grid(b.cells(spark, sf), ["vec_id"]).withColumn("flat", F.flatten("z"))
+    return D.cells_long(grids, ["vec_id"], "flat", 8).select("vec_id", "row", "col", F.round("z", 6).alias("z"))
+
+
+@query("SELECT CAST(a.label AS VARCHAR) AS field, count(*) AS pairs, count(CASE WHEN a.k = c.k THEN 1 END) AS same FROM (SELECT label, vec_id // 2 AS g, vec_id % 3 AS k FROM embeddings WHERE vec_id % 2 = 0) a JOIN (SELECT label, vec_id // 2 AS g, vec_id % 3 AS k FROM embeddings WHERE vec_id % 2 = 1) c ON a.label = c.label AND a.g = c.g GROUP BY 1")
+def mirror_check(spark, sf):
+    e = b.t(spark, sf, "embeddings").select("label", F.floor(F.col("vec_id") / 2).alias("g"), (F.col("vec_id") % 2).alias("bank"), F.unhex(F.hex(F.col("vec_id") % 3)).alias("block"))
+    side = lambda k: e.where(F.col("bank") == k).select(F.concat_ws("/", "label", "g").alias("field"), "block")
+    m = D.mirror_check(side(0), side(1), "field").groupBy(F.substring_index("field", "/", 1).alias("field"))
+    return m.agg(F.count("*").alias("pairs"), F.count_if("equal").alias("same"))
+
+
+@query("SELECT user_id AS session, count(*) AS n, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
+def written_log(spark, sf):
+    """Samples written as CSV with a header and read back with their schema."""
+    path = f"{io.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    e = b.t(spark, sf, "events")
+    e.select(F.col("user_id").cast("string").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.col("event_type").alias("signal"), (F.col("value") * 100).cast("long").alias("raw")).write.option("header", True).csv(path)
+    return io.read_log(spark, path).groupBy(F.col("session").cast("long").alias("session")).agg(F.count("*").alias("n"), F.sum("raw").alias("total"))
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'master' ELSE 'slave' END AS bank, count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def written_listings(spark, sf):
+    """Texts written by bank and address and read back."""
+    path = f"{io.shared_folder(spark)}/listings-{uuid.uuid4().hex}"
+    d = b.t(spark, sf, "documents").select(F.when(F.col("doc_id") % 2 == 0, "master").otherwise("slave").alias("bank"), F.col("doc_id").alias("addr"), F.coalesce("text", F.lit("")).alias("code"))
+    io.write_listings(d, path)
+    return spark.read.parquet(path).groupBy("bank").agg(F.count("*").alias("n"), F.sum(F.octet_length("code")).alias("bytes"))

@@ -9,5 +9,5 @@ def test_outliers_are_held_against_the_exact_median(spark):
 
 
 def test_query_returns_the_points(spark):
-    rows = Q.QUERIES["axis_outlier_points"](spark, "/root/testdata/sf0.001").collect()
+    rows = Q.QUERIES["axis_outliers"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(abs(r.v - r.typical) > 0.5 * abs(r.typical) for r in rows)

@@ -26,6 +26,9 @@ class _Never:
     def cast(self, _):
         return self
 
+    def isNotNull(self):
+        return self
+
 
 def test_addresses(spark):
     assert value(spark, S.file_offset(F.lit(0x0006))) == 0x88006
@@ -52,21 +55,78 @@ def test_lookup_is_clamped(spark):
     assert [value(spark, M.lookup_curve(xs, ys, F.lit(v))) for v in (-5.0, 0.0, 5.0, 10.0, 15.0, 99.0)] == [0, 0, 50, 100, 75, 50]
 
 
-def test_helper_names(spark):
-    assert value(spark, S.helper_class(F.lit("kfs_wint"))).asDict() == {"shape": "map", "signed": True, "width": 16}
-    assert value(spark, S.helper_class(F.lit("klu_bint"))).asDict() == {"shape": "curve", "signed": False, "width": 8}
+@pytest.mark.parametrize("name, shape, signed, width", [("kfs_wint", "map", True, 16), ("kfu_bint", "map", False, 8), ("kls_wint", "curve", True, 16), ("klu_bint", "curve", False, 8), ("tableLookup", "table", False, 0), ("PT1_Filter_US", "filter", False, 0), ("IIR_Filter_US", "filter", False, 0), ("PT1000", None, None, None), ("memcpy", None, None, None)])
+def test_helper_names(spark, name, shape, signed, width):
+    got = value(spark, S.helper_class(F.lit(name)))
+    assert (got.shape, got.signed, got.width) == (shape, signed, width)
+    assert value(spark, S.is_helper(F.lit(name))) == (shape is not None or name == "memcpy")
+
+
+@pytest.mark.parametrize("addr, region", [(0x0, "boot"), (0x100, "boot"), (0x7FFF, "boot"), (0x8000, "rawcal"), (0x9000, "rawcal"), (0xFFFF, "rawcal"), (0x10000, "code"), (0x7FFFF, "code"), (0x80000, "other"), (0x88000, "cal"), (0x8FFFF, "cal"), (0x90000, "other"), (0xF0000, "other"), (0xFF0000, "ram"), (0xFF1000, "ram")])
+def test_regions(spark, addr, region):
+    assert value(spark, S.region_of(F.lit(addr))) == region
+
+
+@pytest.mark.parametrize("name, shape", [("KL_TZ", "mnemonic"), ("SWITCH_A", None), ("FUN_A", None), ("switchD_x", None), ("tz_grund", "signal"), ("A_B", None), ("caseD_A", None)])
+def test_name_shapes(spark, name, shape):
+    assert value(spark, S.name_shape(F.lit(name))) == shape
+
+
+@pytest.mark.parametrize("text, stamp", [("HW:1 x", True), ("MatchRatio 3", True), ("BlockFound", True), ("created by hand", False), ("v1.2", False)])
+def test_stamps(spark, text, stamp):
+    assert value(spark, S.is_tool_metadata(F.lit(text))) == stamp
+
+
+@pytest.mark.parametrize("name, kind", [("kf_abc", "map"), ("KL_X", "curve"), ("k_x", "constant"), ("N", "signal"), ("abc", "unknown")])
+def test_kinds_by_prefix(spark, name, kind):
+    assert value(spark, S.kind_by_prefix(F.lit(name))) == kind
+
 
+@pytest.mark.parametrize("name, noise", [("SCARRY4", True), ("abs", True), ("DAT_00ff10", True), ("DAT_ff", False), ("param_1", True), ("0x1f", True), ("12", True), ("x", True), ("N_MOT", False)])
+def test_symbol_noise(spark, name, noise):
+    assert value(spark, S.is_symbol_noise(F.lit(name))) == noise
 
-@pytest.mark.parametrize("raw, want", [("kls_wint(&KL_X.sizeX,N)", "kls_wint(KL_X,N)"), ("(a != 0) && (b != 0)", "(a != 0) && (b != 0)"), ("(ushort)x  +  1", "x + 1")])
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("kls_wint(&KL_X.sizeX,N)", "kls_wint(KL_X,N)"), ("table = &KF_TZ_VL", "table = KF_TZ_VL"), ("(a != 0) && (b != 0)", "(a != 0) && (b != 0)"), ("(ushort)x  +  1", "x + 1"), ("(float)x", "x"), ("(Foo *)p", "p"),
+        ("ZUSTAND & VL", "ZUSTAND & VL"), ("klu_wint(&curve->sizeX,N)", "klu_wint(curve,N)"),
+    ],
+)
 def test_clean_expression(spark, raw, want):
     assert value(spark, T.clean_expression(F.lit(raw))) == want
 
 
-@pytest.mark.parametrize("raw, want", [("x << 8 < 100", "x << 8 >= 100"), ("a == 0", "a != 0"), ("a && b", "not (a && b)"), ("flag", "not (flag)")])
+@pytest.mark.parametrize("raw, want", [("x << 8 < 100", "x << 8 >= 100"), ("a == 0", "a != 0"), ("a && b", "not (a && b)"), ("flag", "not (flag)"), ("f(a < b)", "not (f(a < b))"), ("(Z & LL) == 0", "(Z & LL) != 0"), ("a <= b", "a > b"), ("f(a && b) > 1", "f(a && b) <= 1"), ("v[i < 2] >= 3", "v[i < 2] < 3")])
 def test_invert_guard(spark, raw, want):
     assert value(spark, T.invert_guard(F.lit(raw))) == want
 
 
+def test_calls_keep_their_nested_arguments(spark):
+    text = "f(g(x),y) + kfs_wint({KF_A | KF_B},N,RF) - h( + open("
+    got = [(c.callee, c.args) for c in value(spark, T.balanced_calls(F.lit(text)))]
+    assert got == [("f", ["g(x)", "y"]), ("g", ["x"]), ("kfs_wint", ["{KF_A | KF_B}", "N", "RF"])]
+    i = value(spark, T.interpolations(T.balanced_calls(F.lit(text))))
+    assert [(x.helper, x.shape, x.tables, x.axes) for x in i] == [("kfs_wint", "map", ["KF_A", "KF_B"], ["N", "RF"])]
+
+
+def test_reads_leave_keywords_and_temporaries_out(spark):
+    assert value(spark, T.reads_of(F.lit("(unsigned)x + NULL + f(iVar1, N)"))) == ["x", "N"]
+    assert value(spark, T.calls_of(F.lit("g(f(a)) + f(b)"))) == ["f", "g"]
+
+
+@pytest.mark.parametrize("formula, raw, want", [("min(5.12/x,3)", 0, None), ("min(5.12/x,3)", 1, 3), ("max(x,2)", 1, 2), ("round(x/3,1)", 1, 0.3), ("round(x)", 2.5, 2), ("sqrt(x)", -1, None)])
+def test_functions_of_formulas(spark, formula, raw, want):
+    assert value(spark, E.compile_formula(formula, x=F.lit(raw))) == (pytest.approx(want) if want is not None else None)
+
+
+@pytest.mark.parametrize("formula", ["round(x,y)", "abs(x,1)", "sqrt()"])
+def test_calls_with_wrong_arguments_are_refused(formula):
+    with pytest.raises(E.FormulaError):
+        E.compile_formula(formula, x=_Never())
+
+
 def test_guard_gloss(spark):
     words = {"B_LL": "idle", "B_VL": "full load"}
     assert value(spark, T.guard_gloss(F.lit("(STATE & (B_LL|B_VL)) != 0"), words)) == "idle or full load"

@@ -71,6 +71,16 @@ def test_filters_equal_a_plain_loop(spark):
                 assert got[s, t] == y
 
 
+def test_filters_take_nulls_and_many_batches(spark):
+    rows = [(1, float(t), t, None if t % 7 == 0 else t * 3) for t in range(30_000)] + [(2, 0.0, 0, None), (2, 1.0, 1, 5)]
+    got = {(r.session, r.seq): r.y for r in X.pt1_filter(spark.createDataFrame(rows, "session long, ts double, seq long, x long"), "x", 64).collect()}
+    y = None
+    for _, _, t, x in rows[:30_000]:
+        y = y if x is None else X.pt1(y, x, 64)
+        assert got[1, t] == y
+    assert got[2, 0] is None and got[2, 1] == 5
+
+
 def test_pt1_moves_at_least_one_step_and_zero_passes():
     assert X.pt1(10, 11, 1) == 11 and X.pt1(10, 9, 1) == 9 and X.pt1(10, 500, 0) == 500 and X.pt1(5, 5, 9) == 5
 
@@ -103,9 +113,13 @@ def test_images_decode_and_bounds(spark):
 
 
 def test_definitions_export_and_listings(spark, tmp_path):
-    (tmp_path / "d.xdf").write_text("""<XDF><XDFCONSTANT uniqueid="0x1"><title>K_A</title><EMBEDDEDDATA mmedaddress="0xBE8" mmedelementsizebits="8"/><MATH equation="x*0.5"/><CATEGORYMEM index="0" category="11"/></XDFCONSTANT>
-<XDFTABLE uniqueid="0x2"><title>KF_B</title><XDFAXIS id="x"><units>rpm</units></XDFAXIS><XDFAXIS id="z"><units>%</units></XDFAXIS></XDFTABLE></XDF>""")
+    (tmp_path / "d.xdf").write_text("""<XDF><XDFHEADER><deftitle>t</deftitle><CATEGORY index="0xA" name="Zuendung (Ignition)"/><CATEGORY index="0xB" name="Last"/></XDFHEADER><XDFCONSTANT uniqueid="0x1"><title>K_A</title><EMBEDDEDDATA mmedaddress="0xBE8" mmedelementsizebits="8"/><MATH equation="x*0.5"/><CATEGORYMEM index="0" category="11"/></XDFCONSTANT>
+<XDFTABLE uniqueid="0x2"><title>KF_B</title><XDFAXIS id="x"><units>rpm</units></XDFAXIS><XDFAXIS id="z"><units>%</units></XDFAXIS></XDFTABLE>
+<XDFTABLE uniqueid="0x3"><title>KF_C</title><XDFAXIS id="x"><EMBEDDEDDATA mmedaddress="0x10" mmedelementsizebits="16"/></XDFAXIS><XDFAXIS id="z"><EMBEDDEDDATA mmedaddress="0x40" mmedelementsizebits="16"/></XDFAXIS></XDFTABLE></XDF>""")
     got = {r.uid: r for r in io.read_definitions(spark, str(tmp_path / "d.xdf")).collect()}
+    assert got["0x3"].address == 0x10 and got["0x3"].data_address == 0x40 and got["0x3"].name == "KF_C" and got["0x1"].data_address == 0xBE8
+    c = {r.id: (r.de, r.en) for r in io.read_categories(spark, str(tmp_path / "d.xdf")).collect()}
+    assert c == {10: ("Zuendung", "Ignition"), 11: ("Last", "Last")}
     assert got["0x1"].address == 0xBE8 and got["0x1"].category_ids == [10] and got["0x1"].kind == "constant" and len(got["0x2"].axes) == 2
     (tmp_path / "e.json").write_text('{"functions": [{"addr": 1, "name": "f", "named": true}], "refs": [{"s": 1, "d": 2, "k": "read", "o": "xref"}]}')
     e = io.read_export(spark, str(tmp_path / "e.json"), "master")
