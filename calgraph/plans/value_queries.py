@@ -372,13 +372,13 @@ def axis_outliers(spark, sf):
     return D.axis_outliers(p, "label", "v", 0.5).select("label", "vec_id", "v", "typical")
 
 
-@query("SELECT event_id, round(CASE WHEN value + 0.5 < 2 THEN 0 ELSE least((value + 0.5 - 2) / (30 - 2) * 65535 / (1 + event_id % 3), 65535) END, 4) AS opening, round(least(greatest(value, 0), 40) / 40 * (2 - least(greatest(value, 10), 30) / 20), 9) AS density FROM events")
+@query("SELECT event_id, round(CASE WHEN value + 0.5 < 2 THEN 0 ELSE least((value + 0.5 - 2) / (30 - 2) * 65535 / (1 + event_id % 3), 65535) END, 7) AS opening, round(least(greatest(value, 0), 40) / 40 * (2 - least(greatest(value, 10), 30) / 20), 9) AS density FROM events")
 def openings(spark, sf):
     v = F.col("value")
     at = lambda *x: F.array(*(F.lit(float(i)) for i in x))
     opening = S.relative_opening(v, F.lit(0.5), 2.0, 30.0, (1 + F.col("event_id") % 3).cast("double"))
     density = M.density_correction(at(0, 20, 40), at(0, 0.5, 1), v, at(10, 20, 30), at(1.5, 1, 0.5), v)
-    return b.t(spark, sf, "events").select("event_id", F.round(opening, 4).alias("opening"), F.round(density, 9).alias("density"))
+    return b.t(spark, sf, "events").select("event_id", F.round(opening, 7).alias("opening"), F.round(density, 9).alias("density"))
 
 
 @query("SELECT vec_id, CAST(row AS INTEGER) AS row, col, round(z, 6) AS z FROM cells", views=True)
