@@ -41,7 +41,9 @@ SKETCH_BITS = 512
 ALL_PAIRS = 16
 FIRST_LEADERS = 3
 #: Packed keys that a bucket should hold.
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 4_000_000
+#: Members of keys that a task compares at once, about.
+GROUP_ROWS = 40_000
 
 
 def band(n: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def shared(blocks: DataFrame, n_buckets: int) -> DataFrame:
         out = [(int(to[a]), owner[a:b].tobytes(), (key[a:b] | np.uint64(int(pdf["bucket"].iloc[0]) << 40)).tobytes(), m[a:b].astype(np.uint32).tobytes()) for a, b in B.bounds(begin, len(to))]
         return pd.DataFrame(out, columns=["to", "sets", "keys", "ms"])
 
-    return blocks.groupBy("bucket").applyInPandas(run, "to long, sets binary, keys binary, ms binary")
+    return blocks.groupBy("bucket").applyInPandas(B.trimmed(run), "to long, sets binary, keys binary, ms binary")
 
 
 def prefixes(found: DataFrame, classes: DataFrame, percent: int, n_buckets: int) -> DataFrame:
@@ -224,7 +226,7 @@ def prefixes(found: DataFrame, classes: DataFrame, percent: int, n_buckets: int)
 
     a = found.groupBy("to")
     b = classes.withColumn("to", F.expr(f"pmod(shiftrightunsigned(set_id, 17), {n_buckets}L)")).select("to", "set_id", "n", "z", "z_low").groupBy("to")
-    return a.cogroup(b).applyInPandas(run, "key long, set_id long, n long, alone long")
+    return a.cogroup(b).applyInPandas(B.trimmed(run), "key long, set_id long, n long, alone long")
 
 
 def candidates(members: DataFrame, percent: int, n_buckets: int, first: bool) -> DataFrame:
@@ -264,7 +266,7 @@ def candidates(members: DataFrame, percent: int, n_buckets: int, first: bool) ->
             out.append((-1, np.array(rest, np.int64).tobytes(), b""))
         return pd.DataFrame(out, columns=["to", "a", "b"])
 
-    return members.groupBy(F.pmod(F.xxhash64("key"), F.lit(n_buckets)).alias("g")).applyInPandas(run, "to long, a binary, b binary")
+    return members.groupBy(F.pmod(F.xxhash64("key"), F.lit(n_buckets)).alias("g")).applyInPandas(B.trimmed(run), "to long, a binary, b binary")
 
 
 def unpacked(blocks: DataFrame) -> DataFrame:
@@ -275,7 +277,7 @@ def unpacked(blocks: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([x, y], 1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return blocks.where("to >= 0").groupBy("to").applyInPandas(run, "a long, b long")
+    return blocks.where("to >= 0").groupBy("to").applyInPandas(B.trimmed(run), "a long, b long")
 
 
 def open_keys(blocks: DataFrame) -> DataFrame:
@@ -324,13 +326,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fetched = docs.join(reps, "id", "left_semi").unionByName(docs.where("id IS NULL")).select("id", "text")
     texts = written(fetched.mapInArrow(with_set, "set_id long, text string").groupBy("set_id").agg(F.first("text").alias("text")))
     sketches = wanted.select("set_id", "sketch", F.col("set_id").alias("label"))
-    got = written(candidates(open_.join(sketches, "set_id"), percent, n_buckets, True))
+    n_groups = parts_of(open_.count(), GROUP_ROWS)
+    got = written(candidates(open_.join(sketches, "set_id"), percent, n_groups, True))
     edges = written(verified(unpacked(got), texts, percent))
     known = components(edges)
     large = small(written(open_keys(got)))
     if not large.isEmpty():
         sketches = wanted.join(known, wanted.set_id == known.id, "left").select("set_id", "sketch", F.coalesce("label", "set_id").alias("label"))
-        more = candidates(open_.join(large, "key", "left_semi").join(sketches, "set_id"), percent, n_buckets, False)
+        more = candidates(open_.join(large, "key", "left_semi").join(sketches, "set_id"), percent, n_groups, False)
         known = components(edges.unionByName(written(verified(unpacked(more), texts, percent))))
     member = known.join(wanted.select(F.col("set_id").alias("id"), "rep"), "id")
     lowest = small(written(member.groupBy("label").agg(F.min("rep").alias("low"))))

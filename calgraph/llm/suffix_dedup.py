@@ -153,8 +153,8 @@ def repeated(blocks: DataFrame, n_buckets: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], tid[1:] != tid[:-1]]))
         return pd.DataFrame({"tid": tid[begin], "keys": [key[a:b].tobytes() for a, b in B.bounds(begin, len(tid))]})
 
-    found = blocks.groupBy("bucket").applyInPandas(run, "to long, keys binary, tids binary")
-    return found.groupBy("to").applyInPandas(by_text, "tid long, keys binary")
+    found = blocks.groupBy("bucket").applyInPandas(B.trimmed(run), "to long, keys binary, tids binary")
+    return found.groupBy("to").applyInPandas(B.trimmed(by_text), "tid long, keys binary")
 
 
 def segments(texts: DataFrame) -> DataFrame:
@@ -421,9 +421,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hot = small(written(sizes.where(F.col("bytes") > SHARD // 4).select("anchor", F.ceil(F.col("bytes") / (SHARD // 4)).cast("int").alias("salts"))))
     salt = F.pmod(F.xxhash64("tid", "start"), F.coalesce("salts", F.lit(1)))
     placed = found.join(hot, "anchor", "left").select("tid", "start", "body", F.pmod(F.xxhash64("anchor", salt), F.lit(shards)).alias("shard"))
-    done = written(placed.groupBy("shard").applyInPandas(shard_work(parts_of(total, RANGE_TEXT)), "kind int, part long, shard long, a binary, b binary"))
-    hits = done.where("kind = 1").groupBy("part").applyInPandas(merge, "shard long, hits binary")
-    covered = done.where("kind = 0").groupBy("shard").cogroup(hits.groupBy("shard")).applyInPandas(spans, "tid long, spans binary")
+    done = written(placed.groupBy("shard").applyInPandas(B.trimmed(shard_work(parts_of(total, RANGE_TEXT))), "kind int, part long, shard long, a binary, b binary"))
+    hits = done.where("kind = 1").groupBy("part").applyInPandas(B.trimmed(merge), "shard long, hits binary")
+    covered = done.where("kind = 0").groupBy("shard").cogroup(hits.groupBy("shard")).applyInPandas(B.trimmed(spans), "tid long, spans binary")
     copied = F.expr(f"copies > 1 and n_bytes >= {LENGTH}")
     covered = written(covered.groupBy("tid").agg(F.collect_list("spans").alias("spans")).join(classes.where(~copied).select("tid"), "tid", "left_semi"))
     part = cut_texts(_texts_of(docs, classes.join(covered.select("tid"), "tid", "left_semi")).join(covered, "tid").select("tid", "text", "spans"))
