@@ -42,8 +42,15 @@ MAX_LOSS = 50
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "clean_text")
 
 
-def repeat_words(w: Column) -> Column:
-    """Words within three-word windows that stand twice or more in the array w."""
+def repeat_words(words: Column) -> Column:
+    """Words within three-word windows that stand twice or more in an array of words.
+
+    The array is bound once: a filter that is pushed below would else compute it again for each window.
+    """
+    return let(words, _repeat_words).cast("long")
+
+
+def _repeat_words(w: Column) -> Column:
     hashes = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
 
     def same(x: Column, y: Column) -> Column:
@@ -59,7 +66,7 @@ def repeat_words(w: Column) -> Column:
         return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("p")), lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["p"])).alias("n"), p.alias("p")), lambda s: s["n"])
 
     some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(some).cast("long")
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(some)
 
 
 def line_fails(line: Column, notices: Column | None = None, symbols: Column | None = None) -> Column:
@@ -84,8 +91,9 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for x in NOTICES:
         notices = notices | low.contains(x)
     out = out.select("row", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"), lines.alias("lines"), notices.alias("notices"), F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"))
-    failing = lambda x: line_fails(x, F.col("notices"), F.col("n_symbols") > 0)
-    out = out.select("row", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols", "lines", repeat_words(F.col("w")).alias("n_repeat_words"), F.filter("lines", lambda x: ~failing(x)).alias("good"))
+    flags = F.struct(F.col("notices").alias("notices"), (F.col("n_symbols") > 0).alias("symbols"))
+    good = let(flags, lambda f: F.filter("lines", lambda x: ~line_fails(x, f["notices"], f["symbols"])))
+    out = out.select("row", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols", "lines", repeat_words(F.col("w")).alias("n_repeat_words"), good.alias("good"))
     out = out.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).withColumn("clean_text", F.array_join("good", "\n"))
     left = F.length("clean_text") - F.regexp_count("clean_text", F.lit(r"[\x20\x09-\x0D]"))
     out = out.withColumn("lost_chars", F.when(F.size("good") == F.size("lines"), 0).otherwise(F.col("word_chars") - left).cast("long"))

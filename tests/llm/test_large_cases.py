@@ -36,7 +36,7 @@ def test_suffix_dedup_over_many_shards_and_ranges(spark, monkeypatch):
 def test_rows_of_one_id_have_draws_of_their_own(spark):
     """Sources meet their targets although all rows share an id, and rows that agree in all do so too."""
     rng = random.Random(1)
-    for ids in ([None], [7], [None, 1, 2]):
+    for ids in ([None], [7, None]):
         rows = [(rng.choice(ids), "w " * rng.randrange(1, 60), "en", rng.choice("abc"), 0) for _ in range(400)] + [(ids[0], "the same text", "en", "c", 0)] * 300
         out = mixing.mixed(H.frame(spark, rows).repartition(3)).collect()
         taken, target = Counter(), {}
