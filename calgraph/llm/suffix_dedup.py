@@ -395,12 +395,11 @@ def with_digest(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(tid, text), once for each of classes(tid, sha, rep); tid tells texts apart, whatever their hashes."""
+    """(sha, text), once for each of classes(sha, rep), and perhaps for more; dealt by sha, the only time that texts are moved."""
     ids = small(written(classes.select(F.col("rep").alias("id")).distinct()))
-    wanted = small(written(classes.select("sha", "tid")))
     # Rows without an id name no class, so all their texts are read.
     fetched = docs.join(ids, "id", "left_semi").unionByName(docs.where("id IS NULL"))
-    return with_digest(fetched).join(wanted, "sha").groupBy("tid").agg(F.first("text").alias("text"))
+    return with_digest(fetched).groupBy("sha").agg(F.first("text").alias("text"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,8 +412,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = written(repeated(anchors(docs, n), n).withColumnRenamed("tid", "hash"))
     # Texts that share a short hash get each other's anchors too, which only keeps more of them.
     kept = written(classes.join(known.select("hash"), "hash", "left_semi"))
-    keys = kept.select("tid", "hash").join(known, "hash").select("tid", "keys")
-    found = written(segments(_texts_of(docs, kept).join(keys, "tid").select("tid", "text", "keys")))
+    keys = kept.select("sha", "tid", "hash").join(known, "hash").select("sha", "tid", "keys")
+    found = written(segments(_texts_of(docs, kept).join(keys, "sha").select("tid", "text", "keys")))
     sizes = found.groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes"))
     total = found.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = total // SHARD + 1
@@ -426,7 +425,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     covered = done.where("kind = 0").groupBy("shard").cogroup(hits.groupBy("shard")).applyInPandas(B.trimmed(spans), "tid long, spans binary")
     copied = F.expr(f"copies > 1 and n_bytes >= {LENGTH}")
     covered = written(covered.groupBy("tid").agg(F.collect_list("spans").alias("spans")).join(classes.where(~copied).select("tid"), "tid", "left_semi"))
-    part = cut_texts(_texts_of(docs, classes.join(covered.select("tid"), "tid", "left_semi")).join(covered, "tid").select("tid", "text", "spans"))
+    named = written(covered.join(classes.select("tid", "sha", "rep"), "tid"))
+    part = cut_texts(_texts_of(docs, named).join(named, "sha").select("tid", "text", "spans"))
     empty = hashlib.sha256(b"").hexdigest()
     whole = classes.where(copied).select("tid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept"))
     cut = small(written(part.unionByName(whole).join(classes.select("tid", "sha"), "tid").drop("tid")))
