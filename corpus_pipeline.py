@@ -24,8 +24,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: the one with the smallest id, or any if none has an id."""
     columns = docs.columns
     # Ids may be null or repeated, so rows are known by a key that is written with them.
-    docs = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text", "doc_id", F.monotonically_increasing_id().alias("key")))
-    rows = near_duplicates(docs, id_col="key").join(docs.select("key", "doc_id"), "key")
+    docs = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.monotonically_increasing_id().alias("key")))
+    rows = near_duplicates(docs.select("key", "row.text"), id_col="key").join(docs.select("key", "row.doc_id"), "key")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     stay = rows.groupBy("component_id").agg(F.min_by("key", first).alias("key")).select("key")
     return docs.join(small(written(stay)), "key", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
