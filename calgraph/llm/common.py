@@ -68,6 +68,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and n * fixed + sum(bytes_) <= most else df
 
 
+def sent(spark: SparkSession, path: str, most: int = 16 << 20):
+    """A broadcast of a file's bytes; Spark reads it, so ``path`` may be any URI that it knows. Raises beyond ``most`` bytes."""
+    file = spark.read.format("binaryFile").load(path)
+    size = file.agg(F.max("length")).first()[0]
+    if size > most:
+        raise ValueError(f"{path} has {size} bytes; {most} are allowed")
+    return spark.sparkContext.broadcast(bytes(file.select("content").first()[0]))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
