@@ -33,6 +33,13 @@ def byte_table(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 def powers(n: int, r: int) -> tuple[np.ndarray, np.ndarray]:
     """r**i and its inverse modulo 2**64 for i up to n; r must be odd."""
     one = np.ones(1, np.uint64)

@@ -8,9 +8,8 @@ memory is the open bins, whatever it reads. Tasks get about ``EACH`` pieces each
 source or text, so a hot source is spread and a task leaves at most a few bins partly filled.
 
 Ids are those of whole texts. The tokenizer drops white space and never merges over it, nor from a letter to the ASCII
-sign after it, so ids of the parts between are kept in a bounded memo and joined; texts with rare white space are cut at
-ASCII white space only, and parts with a special token's opening are not cut further. Tests hold the ids against the
-tokenizer's own.
+sign after it, and lower-cases letter by letter; so ids of the parts between are kept in a bounded memo and joined. Texts
+with rare white space are cut at ASCII white space only. Tests hold the ids against the tokenizer's own.
 
 Defined cases: a null text counts as empty and gives one piece, the end id; rows of one id are documents of their own;
 other columns are ignored; an empty table gives an empty result. Ties in length go by the row's place in the table.
@@ -18,9 +17,9 @@ other columns are ignored; an empty table gives an empty result. Ties in length
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +37,12 @@ OPEN = 1 << 15
 #: Pieces that a task packs.
 EACH = 40_000
 #: Parts whose ids a worker keeps; beyond it starts anew.
-MEMO = 400_000
+MEMO = 800_000
 #: White space besides ASCII's, and signs that Python alone takes for it.
-RARE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+RARE = re.compile("[" + "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
-#: Between a letter and the ASCII sign that follows it.
-SIGN = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~])")
+#: Signs that end a letter's token wherever they follow it.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -52,27 +51,35 @@ class Encoder:
     def __init__(self, file: bytes):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.of, self.parts, self.cores = Tokenizer.from_str(file.decode()), {}, {}
-
-    def cut(self, part: str) -> list[str]:
-        if "<|" in part:
-            return [part]
-        return [x.lower() if x.isascii() else x for x in SIGN.split(part)]
-
-    def learn(self, words: list[list[str]]) -> None:
-        if len(self.parts) > MEMO:
-            self.parts, self.cores = {}, {}
-        new = {p: self.cut(p) for p in set().union(*words).difference(self.parts)}
-        fresh = list({c for cores in new.values() for c in cores}.difference(self.cores))
-        for core, code in zip(fresh, self.of.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.cores[core] = np.array(code.ids, "<u4").tobytes()
-        self.parts.update((p, b"".join([self.cores[c] for c in cores])) for p, cores in new.items())
+        self.of = Tokenizer.from_str(file.decode())
+        self.model, self.letters, self.memo = self.of.model, B.byte_letters(), {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [BLANK.split(t) if RARE.search(t) else t.split() for t in texts]
-        self.learn(words)
-        return [b"".join(map(self.parts.__getitem__, w)) for w in words]
+        out = []
+        for t in texts:
+            words = BLANK.split(t) if RARE.search(t) else t.split()
+            codes = list(map(self.memo.get, words))
+            if None in codes:
+                codes = [self.learned(w) if c is None else c for w, c in zip(words, codes, strict=True)]
+            out.append(b"".join(codes))
+        return out
+
+    def learned(self, part: str) -> bytes:
+        if len(self.memo) > MEMO:
+            self.memo = {}
+        core = part.rstrip(SIGNS)
+        if not core.isalpha() or (not core.isascii() and max(core) > "\xff"):  # also a special token
+            code = array("I", self.of.encode(part, add_special_tokens=False).ids).tobytes()
+        else:
+            low, tail = core.lower(), part[len(core) :]
+            code = self.memo.get(low)
+            if code is None:  # letters alone are one word of the model
+                code = self.memo[low] = array("I", [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            if tail:
+                more = self.memo.get(tail)
+                code += self.learned(tail) if more is None else more
+        self.memo[part] = code
+        return code
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
