@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -77,6 +78,18 @@ def sent(spark: SparkSession, path: str, most: int = 16 << 20):
     return spark.sparkContext.broadcast(bytes(file.select("content").first()[0]))
 
 
+_KEPT: dict = {}
+
+
+def kept(held: list, make):
+    """make(*contents) of broadcast files, one in a Python worker: it stays for the worker's next tasks, so its memo must be bounded."""
+    key = make.__qualname__, *(zlib.crc32(h.value) for h in held)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make(*(h.value for h in held))
+    return _KEPT[key]
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 

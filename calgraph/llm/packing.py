@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import sent, table, written
+from .common import kept, sent, table, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        encode, step = Encoder(held.value), 4 * capacity
+        encode, step = kept([held], Encoder), 4 * capacity
         for part, _, _ in B.chunks(batches):
             rows, number, codes = [], [], []
             for i, code in enumerate(encode(part.column("text").to_pylist())):
