@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +38,22 @@ def learn_names(pages: DataFrame, stop: list[str] = STOP_WORDS, pattern: str = f
     return pages.select(token.alias("name")).where((F.length("name") >= least) & F.col("name").rlike(pattern) & ~F.col("name").isin(stop)).distinct()
 
 
-def splits_into(names: set[str], token: str, least: int = 2) -> bool:
-    """The token is two names or more end to end, itself not counted."""
-    reach = [False] * (len(token) + 1)
-    reach[0] = True
-    for j in range(least, len(token) + 1):
-        reach[j] = any(reach[i] and token[i:j] in names and j - i < len(token) for i in range(j - least + 1))
-    return reach[-1]
+def drop_concatenations(learned: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
+    """Learned names that are not two or more other names of ``least`` letters end to end.
+
+    Each token's inner substrings are joined to the vocabulary, so no side is held whole anywhere; the rows of a token
+    grow with the square of its own length only. A token's found pieces, in order of their start, are then folded into
+    the places that can be reached from its begin.
+    """
+    names = learned.select("name").union(known.select("name")).distinct()
+    token = learned.select(F.col("name").alias("token"), F.length("name").alias("n")).where(F.col("n") >= 2 * least).distinct()
+    starts = token.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("i"))
+    ends = starts.select("*", F.explode(F.sequence(F.col("i") + least, F.col("n"))).alias("j")).where((F.col("i") > 0) | (F.col("j") < F.col("n")))
+    pieces = ends.withColumn("name", F.expr("substring(token, i + 1, j - i)")).join(names, "name", "left_semi")
+    found = pieces.groupBy("token", "n").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("p"))
+    step = lambda at, p: F.when(F.array_contains(at, p["i"]), F.array_union(at, F.array(p["j"]))).otherwise(at)
+    glued = found.where(F.array_contains(F.aggregate("p", F.array(F.lit(0)), step), F.col("n"))).select(F.col("token").alias("name"))
+    return learned.join(glued, "name", "left_anti")
 
 
 def checked_names(names: DataFrame, most: int) -> list[str]:
@@ -53,65 +64,79 @@ def checked_names(names: DataFrame, most: int) -> list[str]:
     return got
 
 
-def drop_concatenations(learned: DataFrame, known: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Learned names that are not glued from others."""
-    held = learned.sparkSession.sparkContext.broadcast(set(checked_names(learned.select("name").union(known.select("name")).distinct(), most)))
+class Scanner:
+    """Names in a text, left to right, the longest of those that start first, not overlapping.
 
-    @F.pandas_udf(T.BooleanType())
-    def glued(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: splits_into(held.value, x))
-
-    return learned.where(~glued("name"))
+    An Aho-Corasick automaton passes over the text once and tells every occurrence; of those with one start the last is
+    the longest. Its cost grows with the text and the occurrences and not with the names.
+    """
 
+    def __init__(self, names: list[str]):
+        self.found = ahocorasick.Automaton()
+        for name in names:
+            self.found.add_word(name, name)
+        self.found.make_automaton()
 
-def _trie(names: list[str]) -> dict:
-    """Nested dictionaries by character; the key "" holds a whole name."""
-    root: dict = {}
-    for name in names:
-        node = root
-        for c in name:
-            node = node.setdefault(c, {})
-        node[""] = name
-    return root
+    def __call__(self, text: str | None) -> list[str]:
+        if not text or not len(self.found):
+            return []
+        at = {end - len(name): name for end, name in self.found.iter(text)}
+        out, to = [], -1
+        for start in sorted(at):
+            if start >= to:
+                out.append(at[start])
+                to = start + len(at[start])
+        return out
 
 
-def _longest(trie: dict, text: str) -> list[str]:
-    """At each place the longest name that starts there, then on from its end; the cost does not grow with the names."""
-    found, at, n = [], 0, len(text)
-    while at < n:
-        node, best, end = trie, None, at
-        while node is not None:
-            best = node.get("", best)
-            if end == n:
-                break
-            node, end = node.get(text[end]), end + 1
-        if best:
-            found.append(best)
-        at += len(best) if best else 1
-    return found
+#: A worker's scanner, kept for its next tasks.
+_SCANNERS: dict[str, Scanner] = {}
 
 
 def scan_names(pages: DataFrame, names: DataFrame, text: str = "text", out: str = "names", most: int = 1_000_000) -> DataFrame:
     """Names in each page, left to right, the longest first, not overlapping, word boundaries not needed."""
-    held = pages.sparkSession.sparkContext.broadcast(sorted(x for x in checked_names(names, most) if x))
+    held, key = pages.sparkSession.sparkContext.broadcast(sorted(x for x in checked_names(names, most) if x)), uuid.uuid4().hex
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = _trie(held.value)
+        if key not in _SCANNERS:
+            _SCANNERS.clear()
+            _SCANNERS[key] = Scanner(held.value)
         for s in batches:
-            yield s.map(lambda x: _longest(trie, x or ""))
+            yield s.map(_SCANNERS[key])
 
     return pages.withColumn(out, found(text))
 
 
-def two_pass_names(pages: DataFrame, known: DataFrame, doc: str, most: int = 1_000_000) -> DataFrame:
+def two_pass_names(pages: DataFrame, known: DataFrame, stop: list[str] = STOP_WORDS, pattern: str = f"{MNEMONIC}|{SIGNAL}", text: str = "text", most: int = 1_000_000) -> DataFrame:
     """Pages with the names found after a first pass has learned what stands alone: (all columns, names).
 
     Learned names glued from others are left out, then all names are scanned for, so that they are found in
     runs without blanks as well.
     """
-    learned = drop_concatenations(learn_names(pages), known, most)
-    return scan_names(pages, known.select("name").union(learned).distinct(), most=most)
+    new = learn_names(pages.select(F.col(text).alias("text")), stop, pattern).join(known.select("name"), "name", "left_anti")
+    return scan_names(pages, known.select("name").union(drop_concatenations(new, known)).distinct(), text, most=most)
+
+
+def learning_stats(pages: DataFrame, known: DataFrame, doc: str, stop: list[str] = STOP_WORDS, mnemonic: str = MNEMONIC, signal: str = SIGNAL, most: int = 1_000_000) -> DataFrame:
+    """One row of figures of both passes over pages(doc, text, lang).
+
+    documents, german (with a page in 'de'), english_only (with 'en' and none in 'de'), pages (not blank), and by shape
+    names known before, learned beside them, discarded as glued, and found on the pages.
+    """
+    shape = lambda c: F.when(F.col(c).rlike(mnemonic), "mnemonics").when(F.col(c).rlike(signal), "signals")
+    new = learn_names(pages, stop, f"{mnemonic}|{signal}").join(known.select("name"), "name", "left_anti")
+    kept = drop_concatenations(new, known)
+    scanned = scan_names(pages.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != ""), known.select("name").union(kept).distinct(), most=most)
+    names = scanned.select(F.explode("names").alias("name")).distinct()
+    tagged = [d.select(shape("name").alias("shape"), F.lit(k).alias("k")) for k, d in (("known", known.select("name").distinct()), ("all", new), ("learned", kept), ("found", names))]
+    by_shape = lambda k, s: F.count_if((F.col("k") == k) & (F.col("shape") == s))
+    figures = [by_shape(k, s).alias(f"{k}_{s}") for k in ("known", "learned", "found") for s in ("mnemonics", "signals")]
+    figures += [(by_shape("all", s) - by_shape("learned", s)).alias(f"discarded_{s}") for s in ("mnemonics", "signals")]
+    union = tagged[0].union(tagged[1]).union(tagged[2]).union(tagged[3])
+    langs = pages.groupBy(doc).agg(F.max((F.col("lang") == "de").cast("int")).alias("de"), F.max((F.col("lang") == "en").cast("int")).alias("en"))
+    docs = langs.agg(F.count("*").alias("documents"), F.count_if(F.col("de") == 1).alias("german"), F.count_if((F.col("en") == 1) & (F.coalesce("de", F.lit(0)) == 0)).alias("english_only"))
+    return docs.join(union.agg(*figures), how="cross").join(scanned.agg(F.count("*").alias("pages")), how="cross")
 
 
 def page_records(scanned: DataFrame) -> DataFrame:

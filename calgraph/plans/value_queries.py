@@ -247,6 +247,41 @@ def drop_concatenations(spark, sf):
     return T.drop_concatenations(w, w)
 
 
+#: Two passes over documents: words of parts are known, words of one letter-pair ending stand for what is learned.
+_LEARNED = """known AS (SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z]+')) AS w FROM part) WHERE length(w) >= 2),
+fresh AS (SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS w FROM documents) WHERE length(w) >= 4 AND regexp_matches(w, '^(?:[A-Z]{2,}|[a-z]+(?:tion|heit|ing))$') AND w <> 'nothing' AND w NOT IN (SELECT name FROM known)),
+every AS (SELECT name FROM known UNION SELECT name FROM fresh),
+reach AS (SELECT name, 0 AS done FROM fresh UNION SELECT q.name, q.done + k FROM (SELECT name, done, unnest(range(2, length(name) - done + 1)) AS k FROM reach) q WHERE k < length(q.name) AND substring(q.name, q.done + 1, k) IN (SELECT name FROM every)),
+learned AS (SELECT name FROM fresh WHERE name NOT IN (SELECT name FROM reach WHERE done = length(name))),
+found AS (SELECT doc_id, lang, text, regexp_extract_all(coalesce(text, ''), (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) FROM (SELECT name FROM known UNION SELECT name FROM learned))) AS names FROM documents),
+pages AS (SELECT * FROM found WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')"""
+_LEARN = {"stop": ["nothing"]}
+_UPPER, _LOWER = "^[A-Z]{2,}$", "^[a-z]+(?:tion|heit|ing)$"
+
+
+def _known(spark, sf):
+    words = F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), "[^a-z]+"))
+    return b.t(spark, sf, "part").select(words.alias("name")).where("length(name) >= 2").distinct()
+
+
+@query(f"WITH RECURSIVE {_LEARNED} SELECT doc_id AS doc, list_sort(list_distinct(names)) AS names FROM found WHERE len(names) > 0")
+def two_pass_names(spark, sf):
+    pages = b.t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return T.document_names(T.two_pass_names(pages, _known(spark, sf), pattern=f"{_UPPER}|{_LOWER}", **_LEARN), "doc")
+
+
+@query(f"""WITH RECURSIVE {_LEARNED}, n AS (SELECT DISTINCT unnest(names) AS name FROM pages),
+tagged AS (SELECT 'known' AS k, name FROM known UNION ALL SELECT 'all', name FROM fresh UNION ALL SELECT 'learned', name FROM learned UNION ALL SELECT 'found', name FROM n),
+s AS (SELECT k, CASE WHEN regexp_matches(name, '{_UPPER}') THEN 'm' WHEN regexp_matches(name, '{_LOWER}') THEN 's' END AS s FROM tagged),
+d AS (SELECT doc_id, bool_or(lang = 'de') AS de, bool_or(lang = 'en') AS en FROM documents GROUP BY 1)
+SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM d WHERE de) AS german, (SELECT count(*) FROM d WHERE en AND NOT coalesce(de, false)) AS english_only, (SELECT count(*) FROM pages) AS pages,
+{", ".join(f"count(*) FILTER (k = '{k}' AND s = '{x[0]}') AS {k}_{x}" for k in ("known", "learned", "found") for x in ("mnemonics", "signals"))},
+{", ".join(f"count(*) FILTER (k = 'all' AND s = '{x[0]}') - count(*) FILTER (k = 'learned' AND s = '{x[0]}') AS discarded_{x}" for x in ("mnemonics", "signals"))} FROM s""")
+def learning_stats(spark, sf):
+    pages = b.t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", "lang")
+    return T.learning_stats(pages, _known(spark, sf), "doc", mnemonic=_UPPER, signal=_LOWER, **_LEARN)
+
+
 @query("SELECT doc_id, p AS page, t AS text FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE trim(regexp_replace(t, '\\s+', ' ', 'g')) <> ''")
 def split_pages(spark, sf):
     docs = b.t(spark, sf, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("body"))

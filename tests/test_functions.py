@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,8 +143,54 @@ def test_scanner_takes_the_longest_name_first(spark):
     assert got == [["KL_TZ_START_TMOT", "KF_TZ_LL", "KF_TZ_GRUND", "KL_TZ_START_N", "nrftm"], [], []]
 
 
-def test_glued_names_are_split():
-    names = {"B_AFR", "B_LLR_HALT", "K_LLR_TAU", "B_AFRB_LLR_HALT"}
-    assert T.splits_into(names, "B_AFRB_LLR_HALT")
-    assert not T.splits_into(names, "B_AFR")
-    assert not T.splits_into(names, "K_MD_TZ_CONTROL")
+def test_scanner_against_plain():
+    """Every place and length looked up, the leftmost and then the longest taken."""
+    rng = random.Random(2)
+    for _ in range(2000):
+        names = {"".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(8))}
+        text = "".join(rng.choice("abcé\U0001f600") for _ in range(rng.randrange(25)))
+        want, at = [], 0
+        while at < len(text):
+            fit = next((text[at : at + n] for n in range(5, 0, -1) if text[at : at + n] in names), None)
+            want += [fit] if fit else []
+            at += len(fit or "x")
+        assert T.Scanner(sorted(names))(text) == want
+    assert T.Scanner([])("abc") == [] and T.Scanner(["a"])(None) == []
+
+
+def test_scanning_does_not_slow_with_the_names():
+    text = " ".join(f"word{i % 977}" for i in range(100_000))
+    took = []
+    for n in (4, 100_000):
+        scan = T.Scanner([f"name_{i:06}" for i in range(n)])
+        began = time.perf_counter()
+        scan(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0] + 0.2
+
+
+def splits_into(names, token, least=2):
+    reach = [True] + [False] * len(token)
+    for j in range(least, len(token) + 1):
+        reach[j] = any(reach[i] and token[i:j] in names and j - i < len(token) for i in range(j - least + 1))
+    return reach[-1]
+
+
+def test_glued_names_are_dropped(spark):
+    one = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    known, learned = ["B_AFR", "B_LLR_HALT", "K_LLR_TAU", "x"], ["B_AFRB_LLR_HALT", "B_AFR", "K_MD_TZ_CONTROL", "B_AFRB_LLR_HALTK_LLR_TAU", "xx", "B_AFRx"]
+    assert sorted(r.name for r in T.drop_concatenations(one(learned), one(known)).collect()) == ["B_AFR", "B_AFRx", "K_MD_TZ_CONTROL", "xx"]
+    rng = random.Random(7)
+    names = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(60)})
+    assert sorted(r.name for r in T.drop_concatenations(one(names[::2]), one(names)).collect()) == [n for n in names[::2] if not splits_into(set(names), n)]
+    assert T.drop_concatenations(one([]), one([])).count() == 0
+
+
+def test_second_pass_finds_names_in_glued_runs(spark):
+    pages = spark.createDataFrame([(1, "the K_LLR_TAU and n_mot stand alone", "de"), (1, "  ", "de"), (2, "K_LLR_TAUn_motKF_TZ and K_LLR_TAUKF_TZ", "en"), (3, None, "en")], "doc long, text string, lang string")
+    known = spark.createDataFrame([("KF_TZ",)], "name string")
+    got = {r.text: r.names for r in T.two_pass_names(pages, known).collect()}
+    assert got["the K_LLR_TAU and n_mot stand alone"] == ["K_LLR_TAU", "n_mot"]
+    assert got["K_LLR_TAUn_motKF_TZ and K_LLR_TAUKF_TZ"] == ["K_LLR_TAU", "n_mot", "KF_TZ", "K_LLR_TAU", "KF_TZ"] and got[None] == []
+    row = T.learning_stats(pages, known, "doc").first().asDict()
+    assert row == {"documents": 3, "german": 1, "english_only": 2, "pages": 2, "known_mnemonics": 1, "known_signals": 0, "learned_mnemonics": 1, "learned_signals": 1, "discarded_mnemonics": 1, "discarded_signals": 0, "found_mnemonics": 2, "found_signals": 1}
