@@ -89,18 +89,52 @@ def reachable(steps: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def signal_chain(statements: DataFrame) -> DataFrame:
-    """(src, signal, dst): a block that writes a signal and another that reads it. statements(block, out, reads)."""
-    writes = statements.select(F.col("block").alias("src"), S.out_name(F.col("out")).alias("signal")).where(~S.is_symbol_noise(F.col("signal"))).distinct()
-    reads = statements.select(F.col("block").alias("dst"), F.explode("reads").alias("signal")).where(~S.is_symbol_noise(F.col("signal")) & ~S.is_helper(F.col("signal"))).distinct()
-    return writes.join(reads, "signal").where("src != dst").select("src", "signal", "dst")
+#: Pairs that a task makes of one signal.
+PAIRS = 65_536
 
 
-def fallback_wiring(chain: DataFrame, blocks: DataFrame, statements: DataFrame, edges: DataFrame) -> DataFrame:
-    """The chain, and measured edges for blocks that have no statements."""
-    bare = blocks.join(statements.select(F.col("block").alias("id")).distinct(), "id", "left_anti")
-    extra = edges.where("o != 'fr'").join(bare.select(F.col("id").alias("s")), "s", "left_semi").select(F.col("s").alias("src"), F.col("k").alias("signal"), F.col("d").alias("dst"))
-    return chain.unionByName(extra).distinct()
+def signal_links(statements: DataFrame, functions: DataFrame, edges: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame:
+    """(block, signal, dir), each once: who writes and who reads a signal.
+
+    Statements(block, out, reads) say it where a block has any: of what they assign and read, names that are signals. A
+    function(id) without statements has it from its measured edges to RAM nodes: a write writes the node's name, every
+    other kind reads it. nodes(id, t, name, kind), index(name, node).
+    """
+    out = statements.select("block", S.out_name(F.col("out")).alias("signal"), F.lit("write").alias("dir"))
+    reads = statements.select("block", F.explode("reads").alias("signal"), F.lit("read").alias("dir")).where(~S.is_helper(F.col("signal")))
+    said = out.unionByName(reads).where(~S.is_symbol_noise(F.col("signal"))).distinct()
+    kinds = symbol_kinds(said.select(F.col("signal").alias("name")), index, nodes).where("kind = 'signal'").select(F.col("name").alias("signal"))
+    return said.join(kinds, "signal", "left_semi").unionByName(ram_links(statements, functions, edges, nodes))
+
+
+def ram_links(statements: DataFrame, functions: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(block, signal, dir) of functions without statements, by their measured edges to RAM nodes."""
+    bare = functions.select(F.col("id").alias("s")).join(statements.select(F.col("block").alias("s")), "s", "left_anti")
+    ram = nodes.where("t = 'ram'").select(F.col("id").alias("d"), F.col("name").alias("signal"))
+    way = F.when(F.col("k") == "write", "write").otherwise("read").alias("dir")
+    return edges.where("o != 'fr'").join(bare, "s", "left_semi").join(ram, "d").select(F.col("s").alias("block"), "signal", way).distinct()
+
+
+def signal_classes(links: DataFrame) -> DataFrame:
+    """(signal, writers, readers, pairs): a signal's chain without its pairs; pairs leave out a block with itself."""
+    both = links.groupBy("signal", "block").agg(F.max((F.col("dir") == "write").cast("long")).alias("w"), F.max((F.col("dir") == "read").cast("long")).alias("r"))
+    return both.groupBy("signal").agg(F.sum("w").alias("writers"), F.sum("r").alias("readers"), F.sum(F.col("w") * F.col("r")).alias("same")).select("signal", "writers", "readers", (F.col("writers") * F.col("readers") - F.col("same")).alias("pairs"))
+
+
+def signal_chain(links: DataFrame, most: int | None = None, each: int = PAIRS) -> DataFrame:
+    """(src, signal, dst): a block that writes a signal and another that reads it.
+
+    The pairs of a signal are dealt over sub-keys, some ``each`` pairs to one: its writers are dealt by their hash, its
+    readers are sent to every sub-key, so a hub is no single task. With ``most``, signals of more pairs give none; they
+    stay in ``signal_classes``.
+    """
+    sizes = signal_classes(links).where("pairs > 0")
+    sizes = sizes if most is None else sizes.where(F.col("pairs") <= most)
+    keys = sizes.select("signal", F.least("writers", F.ceil(F.col("writers") * F.col("readers") / each)).cast("int").alias("keys"))
+    dealt = links.join(keys, "signal")
+    writes = dealt.where("dir = 'write'").select(F.col("block").alias("src"), "signal", F.pmod(F.xxhash64("block"), F.col("keys")).cast("int").alias("key"))
+    reads = dealt.where("dir = 'read'").select(F.col("block").alias("dst"), "signal", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"))
+    return writes.join(reads, ["signal", "key"]).where("src != dst").select("src", "signal", "dst")
 
 
 def block_neighbours(chain: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
@@ -151,15 +185,35 @@ def symbol_kinds(names: DataFrame, index: DataFrame | None = None, nodes: DataFr
     return found.select("name", kind.alias("kind"), F.when(F.col("t").isin("param", "func", "ram"), F.col("target")).alias("target"))
 
 
-def block_ports(statements: DataFrame, index: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
-    """(block, port, dir, kind, rank): inputs read or called and outputs, each once, in the order of kinds; alternatives '{A | B}' are ports of their own."""
-    ins = statements.select("block", F.explode(F.array_distinct(F.concat("reads", "calls"))).alias("port"), F.lit("in").alias("dir"))
-    outs = statements.select("block", S.out_name(F.col("out")).alias("port"), F.lit("out").alias("dir"))
-    ports = ins.unionByName(outs).withColumn("port", F.explode(S.alternatives(F.col("port"))))
-    ports = ports.where(~S.is_symbol_noise(F.col("port")) & ~S.is_helper(F.col("port"))).distinct()
-    kinds = symbol_kinds(ports.select(F.col("port").alias("name")), index, nodes).withColumnRenamed("name", "port")
-    rank = F.array_position(F.array(*(F.lit(x) for x in ("map", "curve", "constant", "signal", "block", "unknown"))), F.col("kind"))
-    return ports.join(kinds.select("port", "kind"), "port").select("block", "port", "dir", "kind", rank.alias("rank"))
+PORT_KINDS = ["map", "curve", "constant", "signal", "block", "unknown"]
+
+
+def block_ports(statements: DataFrame, functions: DataFrame, edges: DataFrame, nodes: DataFrame, index: DataFrame) -> DataFrame:
+    """(block, port, dir, kind, alternative, target, rank): inputs and outputs, each once, in the order of kinds.
+
+    Inputs are what statements(block, ord, out, expr, reads, calls) read, and of what they call the blocks; a read is an
+    alternative if the first statement that reads it names it in braces, as in {A | B}. A function(id) without any such
+    port has its measured edges' ends but pages: a write is an output, an edge of the scan an alternative. Of several
+    edges to one name the greatest (o, d) counts.
+    """
+    braced = F.flatten(F.transform(F.regexp_extract_all("expr", F.lit(r"\{([^{}]+)\}"), F.lit(1)), lambda x: F.transform(F.split(x, r"\|"), lambda y: F.trim(y))))
+    row = lambda port, dir_, called, alternative: statements.select("block", "ord", port.alias("port"), F.lit(dir_).alias("dir"), F.lit(called).alias("called"), alternative.alias("pieces"))
+    none = F.array().cast("array<string>")
+    reads, calls = (row(F.explode(c), "in", c == "calls", p).where(~S.is_helper(F.col("port"))) for c, p in (("reads", braced), ("calls", none)))
+    outs = row(S.out_name(F.col("out")), "out", False, none)
+    said = reads.unionByName(calls).unionByName(outs).where(~S.is_symbol_noise(F.col("port")))
+    kinds = symbol_kinds(said.select(F.col("port").alias("name")), index, nodes).withColumnRenamed("name", "port")
+    known = said.join(kinds, "port").where("not called or kind = 'block'")
+    first = F.struct("ord", "called")
+    found = known.groupBy("block", "port", "dir", "kind", "target").agg(F.min_by(F.coalesce(F.array_contains("pieces", F.col("port")), F.lit(False)), first).alias("alternative"))
+    bare = functions.select(F.col("id").alias("s")).join(found.select(F.col("block").alias("s")), "s", "left_anti")
+    ends = nodes.where("t != 'frpage'").select(F.col("id").alias("d"), F.col("name").alias("port"))
+    seen = edges.where("o != 'fr'").join(bare, "s", "left_semi").join(ends, "d").withColumn("dir", F.when(F.col("k") == "write", "out").otherwise("in"))
+    seen = seen.groupBy(F.col("s").alias("block"), "port", "dir").agg(F.max(F.struct("o", "d")).alias("e")).select("block", "port", "dir", (F.col("e.o") == "scan").alias("alternative"), F.col("e.d").alias("target"))
+    drawn = seen.join(symbol_kinds(seen.select(F.col("port").alias("name")), index, nodes).select(F.col("name").alias("port"), "kind"), "port")
+    rank = F.array_position(F.array(*map(F.lit, PORT_KINDS)), F.col("kind"))
+    columns = ["block", "port", "dir", "kind", "alternative", "target"]
+    return found.select(*columns).unionByName(drawn.select(*columns)).withColumn("rank", rank)
 
 
 def consumers(edges: DataFrame, functions: DataFrame, statements: DataFrame) -> DataFrame:

@@ -146,7 +146,9 @@ def page_records(scanned: DataFrame) -> DataFrame:
 
 
 def document_names(pages: DataFrame, doc: str) -> DataFrame:
-    return pages.select(doc, F.explode("names").alias("name")).distinct().groupBy(doc).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """Sorted distinct names of each document that has any; a page sends its distinct names as one row."""
+    names = pages.select(doc, F.array_distinct("names").alias("names")).where(F.size("names") > 0)
+    return names.groupBy(doc).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
 
 
 def extraction_stats(pages: DataFrame, doc: str) -> DataFrame:

@@ -223,18 +223,69 @@ def search_names(spark, sf):
     return _shown(G.search(b.nodes(spark, sf), "red bolt").select("id", "t", "name", "class"), "id")
 
 
-_CHAIN = """, writes AS (SELECT DISTINCT block AS src, out AS signal FROM statements WHERE length(out) >= 4), reads AS (SELECT DISTINCT block AS dst, unnest(reads) AS signal FROM statements), chain AS (SELECT src, signal, dst FROM writes JOIN reads USING (signal) WHERE src <> dst)
+#: Conversations as the statements of every other function, with words as maps, signals or names of no kind; functions' edges to RAM from order lines.
+_WIRED = """, raw AS (SELECT printf('f:%06x', 2 * conv_id) AS block, turn AS ord, list_transform(w, lambda x: CASE length(x) % 3 WHEN 0 THEN 'kf_' || x WHEN 1 THEN x ELSE upper(x) END) AS n, conv_id, role, text FROM (SELECT conv_id, turn, role, text, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 4) AS w FROM conversations)),
+wired AS (SELECT block, ord, role, coalesce(n[1], '') AS out, list_distinct(n) AS reads, CASE WHEN ord % 2 = 0 THEN '{' || array_to_string(list_distinct(n), ' | ') || '}' ELSE text END AS expr, [printf('Supplier#%09d', conv_id), 'Supplier#000000000', 'NO_BLOCK', 'abs'] AS calls FROM raw),
+idx AS (SELECT DISTINCT c_name AS name, 'ram' AS t, printf('r:%06x', c_custkey) AS id FROM customer UNION ALL SELECT w, 'param', min(printf('p:%05x', p_partkey)) FROM (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS w FROM part WHERE p_size > 25) GROUP BY 1 UNION ALL SELECT s_name, 'func', printf('f:%06x', s_suppkey) FROM supplier),
+named AS (SELECT n.name, coalesce(e.t, l.t) AS t, coalesce(e.id, l.id) AS id FROM (SELECT DISTINCT unnest(reads) AS name FROM wired UNION SELECT out FROM wired UNION SELECT DISTINCT unnest(calls) FROM wired UNION SELECT name FROM nodes) n LEFT JOIN idx e ON e.name = n.name LEFT JOIN idx l ON l.name = lower(n.name)),
+kinds AS (SELECT name, id AS target, CASE t WHEN 'param' THEN 'constant' WHEN 'ram' THEN 'signal' WHEN 'func' THEN 'block' ELSE CASE WHEN regexp_matches(name, '^kf_', 'i') THEN 'map' WHEN regexp_matches(name, '^kl_', 'i') THEN 'curve' WHEN regexp_matches(name, '^k_', 'i') THEN 'constant' WHEN regexp_matches(name, '^[A-Z][A-Z0-9_]*$') THEN 'signal' ELSE 'unknown' END END AS kind FROM named),
+wires AS (SELECT DISTINCT printf('f:%06x', l_suppkey) AS s, printf('r:%06x', o_custkey) AS d, CASE l_returnflag WHEN 'R' THEN 'read' WHEN 'A' THEN 'write' ELSE 'call' END AS k, CASE l_linestatus WHEN 'O' THEN 'xref' ELSE 'scan' END AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+ram AS (SELECT DISTINCT s AS block, name AS signal, CASE k WHEN 'write' THEN 'write' ELSE 'read' END AS dir FROM wires JOIN nodes ON nodes.id = d AND t = 'ram' WHERE s NOT IN (SELECT block FROM wired)),
+links AS (SELECT block, signal, dir FROM (SELECT block, out AS signal, 'write' AS dir FROM wired UNION SELECT block, unnest(reads), 'read' FROM wired) WHERE length(signal) >= 2 AND signal IN (SELECT name FROM kinds WHERE kind = 'signal') UNION SELECT * FROM ram)
 """
+_CHAIN = _WIRED.rstrip() + """, chain AS (SELECT w.block AS src, signal, r.block AS dst FROM links w JOIN links r USING (signal) WHERE w.dir = 'write' AND r.dir = 'read' AND w.block <> r.block)
+"""
+
+
+def _wired(spark, sf):
+    """statements, functions, edges, nodes and index, as in the SQL above."""
+    c = b.t(spark, sf, "conversations")
+    w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 4)
+    name = F.transform(w, lambda x: F.when(F.length(x) % 3 == 0, F.concat(F.lit("kf_"), x)).when(F.length(x) % 3 == 1, x).otherwise(F.upper(x)))
+    c = c.select((F.col("conv_id") * 2).alias("key"), "conv_id", F.col("turn").alias("ord"), "role", "text", name.alias("n"))
+    reads = F.array_distinct("n")
+    expr = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("{"), F.array_join(reads, " | "), F.lit("}"))).otherwise(F.col("text"))
+    calls = F.array(F.format_string("Supplier#%09d", "conv_id"), F.lit("Supplier#000000000"), F.lit("NO_BLOCK"), F.lit("abs"))
+    said = c.select(b.ident("func", "key").alias("block"), "ord", "role", F.coalesce(F.get("n", F.lit(0)), F.lit("")).alias("out"), reads.alias("reads"), expr.alias("expr"), calls.alias("calls"))
+    nodes = b.nodes(spark, sf)
+    lines = b.t(spark, sf, "lineitem").join(b.t(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    k = F.when(F.col("l_returnflag") == "R", "read").when(F.col("l_returnflag") == "A", "write").otherwise("call")
+    edges = lines.select(b.ident("func", "l_suppkey").alias("s"), b.ident("ram", "o_custkey").alias("d"), k.alias("k"), F.when(F.col("l_linestatus") == "O", "xref").otherwise("scan").alias("o")).distinct()
+    words = b.t(spark, sf, "part").where("p_size > 25").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("name"), b.ident("param", "p_partkey").alias("node")).groupBy("name").agg(F.min("node").alias("node"))
+    index = nodes.where("t in ('ram', 'func')").select("name", F.col("id").alias("node")).unionByName(words)
+    return said, nodes.where("t = 'func'").select("id"), edges, nodes.withColumn("kind", F.lit(None).cast("string")), index
+
+
+@query(_WIRED + "SELECT * FROM links")
+def signal_links(spark, sf):
+    """Who writes and reads a signal: by statements, and by edges to RAM for functions that have none."""
+    return _shown(G.signal_links(*_wired(spark, sf)), "block")
+
+
+@query(_WIRED + "SELECT block, signal, dir FROM ram")
+def fallback_wiring(spark, sf):
+    """The links of functions without statements."""
+    said, functions, edges, nodes, _ = _wired(spark, sf)
+    return _shown(G.ram_links(said, functions, edges, nodes), "block")
+
+
+@query(_CHAIN + "SELECT l.signal, count(DISTINCT block) FILTER (dir = 'write') AS writers, count(DISTINCT block) FILTER (dir = 'read') AS readers, coalesce((SELECT count(*) FROM chain c WHERE c.signal = l.signal), 0) AS pairs FROM links l GROUP BY l.signal")
+def signal_classes(spark, sf):
+    return G.signal_classes(G.signal_links(*_wired(spark, sf)))
 
 
 @query(_CHAIN + "SELECT * FROM chain")
 def signal_chain(spark, sf):
-    return G.signal_chain(b.statements(spark, sf))
+    return _shown(_chained(spark, sf), "src", "dst")
+
+
+def _chained(spark, sf):
+    return G.signal_chain(io.settled(G.signal_links(*_wired(spark, sf))))
 
 
 @query(_CHAIN + "SELECT src AS block, dst AS next, min(signal) AS via FROM chain GROUP BY 1, 2")
 def block_neighbours(spark, sf):
-    return G.block_neighbours(G.signal_chain(b.statements(spark, sf)), b.edges(spark, sf), "signal")
+    return _shown(G.block_neighbours(_chained(spark, sf), None, "signal"), "block", "next")
 
 
 @query("SELECT DISTINCT s AS block, d AS next, 'call' AS via FROM edges WHERE k = 'call' AND o <> 'fr'")
@@ -243,24 +294,24 @@ def call_neighbours(spark, sf):
 
 
 def _scored(spark, sf):
-    s = b.statements(spark, sf)
+    s = b.statements(spark, sf).withColumn("block", F.col("block") * 2).withColumn("block", b.ident("func", "block"))
     return s.withColumn("interp", F.filter("reads", lambda x: x.startswith("th"))).withColumn("named", F.col("role") == "system")
 
 
-_SCORE = """, score AS (SELECT block, CAST(sum(CASE WHEN len(list_filter(reads, lambda x: starts_with(x, 'th'))) > 0 THEN 10 ELSE 0 END) + max(CASE WHEN role = 'system' THEN 3 ELSE 0 END) + least(count(*), 5) AS BIGINT) AS score FROM statements GROUP BY block)
+_SCORE = """, score AS (SELECT printf('f:%06x', 2 * block) AS block, CAST(sum(CASE WHEN len(list_filter(reads, lambda x: starts_with(x, 'th'))) > 0 THEN 10 ELSE 0 END) + max(CASE WHEN role = 'system' THEN 3 ELSE 0 END) + least(count(*), 5) AS BIGINT) AS score FROM statements GROUP BY block)
 """
 
 
 @query(_SCORE + "SELECT * FROM score")
 def block_score(spark, sf):
-    return G.block_score(_scored(spark, sf))
+    return _shown(G.block_score(_scored(spark, sf)), "block")
 
 
 @query(_CHAIN.rstrip() + _SCORE + """, p AS (SELECT src AS block, dst AS next, min(signal) AS via FROM chain GROUP BY 1, 2), w AS (SELECT p.block, next, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY p.block ORDER BY coalesce(score, 0) DESC, next) AS pos, count(*) OVER (PARTITION BY p.block) AS n FROM p LEFT JOIN score ON score.block = next)
 SELECT block, next, score, CAST(pos AS INTEGER) AS pos, greatest(n - 5, 0) AS hidden FROM w WHERE pos <= 5""")
 def top_neighbours(spark, sf):
-    s = _scored(spark, sf)
-    return G.top_neighbours(G.block_neighbours(G.signal_chain(s), b.edges(spark, sf), "signal"), G.block_score(s)).select("block", "next", "score", "pos", "hidden")
+    pairs = G.block_neighbours(_chained(spark, sf), None, "signal")
+    return _shown(G.top_neighbours(pairs, G.block_score(_scored(spark, sf))).select("block", "next", "score", "pos", "hidden"), "block", "next")
 
 
 @query(""", sc AS (SELECT printf('f:%06x', s_suppkey) AS block, s_nationkey AS score FROM supplier), n AS (SELECT d AS node, s AS block FROM edges WHERE o <> 'fr'), w AS (SELECT node, n.block, row_number() OVER (PARTITION BY node ORDER BY score DESC, n.block) AS r FROM n JOIN sc ON sc.block = n.block) SELECT node, block FROM w WHERE r = 1""")
@@ -269,43 +320,19 @@ def owning_block(spark, sf):
     return _shown(G.owning_block(b.edges(spark, sf), b.nodes(spark, sf).where("t = 'func'"), scores), "node", "block")
 
 
-_PORTS = """, raw AS (SELECT DISTINCT block, unnest(reads) AS port, 'in' AS dir FROM statements UNION SELECT block, CASE WHEN ord % 2 = 0 THEN upper(out) ELSE 'kf_' || out END, 'out' FROM statements), x AS (SELECT * FROM raw WHERE length(port) >= 2 AND NOT regexp_matches(port, '^(0x[0-9a-fA-F]+|[0-9]+|abs)$')),
-idx AS (SELECT DISTINCT n_name AS name, 'ram' AS t FROM nation UNION SELECT DISTINCT unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')), 'param' FROM part WHERE p_size > 25)
-"""
-
-
-def _names(spark, sf):
-    """A name index and its nodes: words of part names as constants, nations as RAM."""
-    part = b.t(spark, sf, "part").where("p_size > 25").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("name"), F.lit("param").alias("t"))
-    index = part.unionByName(b.t(spark, sf, "nation").select(F.col("n_name").alias("name"), F.lit("ram").alias("t"))).distinct()
-    index = index.select("name", F.concat("t", F.lit(":"), "name").alias("node"), "t")
-    return index.select("name", "node"), index.select(F.col("node").alias("id"), "t", F.lit(None).cast("string").alias("kind"))
-
-
-def _ported(spark, sf):
-    out = F.when(F.col("ord") % 2 == 0, F.upper("out")).otherwise(F.concat(F.lit("kf_"), "out"))
-    return b.statements(spark, sf).withColumn("out", out).withColumn("calls", F.array().cast("array<string>"))
-
-
-@query(_PORTS + """SELECT block, port, dir, CASE coalesce((SELECT min(t) FROM idx WHERE name = port), (SELECT min(t) FROM idx WHERE name = lower(port)), '') WHEN 'param' THEN 'constant' WHEN 'ram' THEN 'signal' ELSE CASE WHEN starts_with(lower(port), 'kf_') THEN 'map' WHEN starts_with(lower(port), 'kl_') THEN 'curve' WHEN starts_with(lower(port), 'k_') THEN 'constant' WHEN regexp_matches(port, '^[A-Z][A-Z0-9_]*$') THEN 'signal' ELSE 'unknown' END END AS kind FROM x""")
+@query(_WIRED.rstrip() + """, x AS (SELECT DISTINCT block, port, dir, ord, called, expr FROM (SELECT block, ord, unnest(reads) AS port, 'in' AS dir, false AS called, expr FROM wired UNION ALL SELECT block, ord, unnest(calls), 'in', true, '' FROM wired UNION ALL SELECT block, ord, out, 'out', false, '' FROM wired) WHERE length(port) >= 2 AND port <> 'abs'),
+p AS (SELECT block, port, dir, kind, target, arg_min(contains(expr, '{' || port || ' |') OR contains(expr, '| ' || port || ' |') OR contains(expr, '| ' || port || '}') OR expr = '{' || port || '}', ord * 2 + CAST(called AS INTEGER)) AS alternative FROM x JOIN kinds ON kinds.name = port WHERE NOT called OR kind = 'block' GROUP BY ALL),
+e AS (SELECT s AS block, name AS port, CASE k WHEN 'write' THEN 'out' ELSE 'in' END AS dir, max(o || d) AS od FROM wires JOIN nodes ON nodes.id = d WHERE s NOT IN (SELECT block FROM p) GROUP BY ALL)
+SELECT block, port, dir, kind, alternative, target FROM p UNION ALL SELECT block, port, dir, kind, od[1:4] = 'scan', od[5:] FROM e JOIN kinds ON kinds.name = port""")
 def block_ports(spark, sf):
-    return G.block_ports(_ported(spark, sf), *_names(spark, sf)).select("block", "port", "dir", "kind")
+    return _shown(G.block_ports(*_wired(spark, sf)).drop("rank"), "block", "target")
 
 
-@query(_CHAIN.rstrip() + _SCORE.rstrip() + _tree("SELECT block AS parent, next, pos, n > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, next) AS pos, count(*) OVER (PARTITION BY block) AS n FROM (SELECT DISTINCT src AS block, dst AS next, coalesce(score, 0) AS score FROM chain LEFT JOIN score ON score.block = dst)) WHERE pos <= 4", "(SELECT min(conv_id) FROM conversations)", 3).format(kind="BIGINT"))
+@query(_CHAIN.rstrip() + _SCORE.rstrip() + _tree("SELECT block AS parent, next, pos, n > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, next) AS pos, count(*) OVER (PARTITION BY block) AS n FROM (SELECT DISTINCT src AS block, dst AS next, coalesce(score, 0) AS score FROM chain LEFT JOIN score ON score.block = dst)) WHERE pos <= 4", "(SELECT min(src) FROM chain)", 3).format(kind="VARCHAR"))
 def expand_blocks(spark, sf):
-    s = _scored(spark, sf)
-    root = b.t(spark, sf, "conversations").agg(F.min("conv_id")).first()[0]
-    return G.expand_blocks(G.block_neighbours(G.signal_chain(s), None, "signal"), G.block_score(s), root, depth=3, most=4)
-
-
-@query(_CHAIN.rstrip() + ", bare AS (SELECT printf('f:%06x', s_suppkey) AS id FROM supplier WHERE s_suppkey % 3 = 0) SELECT CAST(src AS VARCHAR) AS src, signal, CAST(dst AS VARCHAR) AS dst FROM chain UNION SELECT s, k, d FROM edges WHERE o <> 'fr' AND s IN (SELECT id FROM bare)")
-def fallback_wiring(spark, sf):
-    """The signal chain, and measured edges of functions without statements: those whose key divides by three have none."""
-    chain = G.signal_chain(b.statements(spark, sf)).select(F.col("src").cast("string").alias("src"), "signal", F.col("dst").cast("string").alias("dst"))
-    f = b.t(spark, sf, "supplier").select(b.shown(b.ident("func", "s_suppkey")).alias("id"), F.col("s_suppkey").alias("key"))
-    e = b.edges(spark, sf).where("o != 'fr'").withColumns({c: b.shown(c) for c in ("s", "d")})
-    return G.fallback_wiring(chain, f.select("id"), f.where("key % 3 != 0").select(F.col("id").alias("block")), e)
+    pairs = io.settled(G.block_neighbours(_chained(spark, sf), None, "signal"))
+    root = pairs.agg(F.min("block")).first()[0]
+    return _shown(G.expand_blocks(pairs, G.block_score(_scored(spark, sf)), root, depth=3, most=4), "parent", "node")
 
 
 _NOISY = """, st AS (SELECT block, ord, out, CASE ord % 5 WHEN 0 THEN '0x1f' WHEN 1 THEN 'KF_' || upper(out) || ' + 1' WHEN 2 THEN '*(' || out || ' + 4)' WHEN 3 THEN 'DAT_00ff10a' || ord % 10 ELSE out || ' + x' END AS expr FROM statements WHERE out <> '')
