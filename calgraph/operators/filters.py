@@ -8,8 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.io import settled
+
+#: Beyond any value.
+FAR = 1 << 61
 
 
 def pt1(y: int | None, x: int, k: int) -> int:
@@ -35,10 +43,11 @@ def rate_limited(y: int | None, x: int, delta: int) -> int:
 def integral(i: int | None, error: int, gain: int, low: int, high: int) -> int:
     """i += error * 64 * gain >> 16, at least one step, clamped; gain 0 freezes."""
     i = i or 0
-    if gain == 0 or error == 0:
-        return i
-    d = error * 64 * gain >> 16
-    return max(low, min(high, i + (d or (1 if error > 0 else -1))))
+    return max(low, min(high, i + integral_shift(error, gain))) if gain and error else i
+
+
+def integral_shift(error: int, gain: int) -> int:
+    return error * 64 * gain >> 16 or (1 if error > 0 else -1)
 
 
 def recursive(samples: DataFrame, columns: list[str], step: Callable, out: str = "y", session: str = "session", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
@@ -77,9 +86,57 @@ def asymmetric_pt1(samples: DataFrame, x: str, k_up: str, k_down: str, out: str
     return recursive(samples, [x, k_up, k_down], lambda y, v, up, down: pt1(y, v, up if y is None or v > y else down), out)
 
 
-def clamped_integral(samples: DataFrame, error: str, gain: str, low: int, high: int, out: str = "y") -> DataFrame:
-    return recursive(samples, [error, gain], lambda y, e, g: integral(y, e, g, low, high), out)
+def composed(samples: DataFrame, columns: list[str], step: Callable, move: Callable, out: str = "y", session: str = "session", order: tuple[str, ...] = ("ts", "seq"), each: int = 1 << 20) -> DataFrame:
+    """``recursive`` for steps that shift a value and then clamp it: a long session is spread over tasks.
+
+    move(*columns) is (shift, low, high), or None if the value stays. Two such steps in a row are one of the same form,
+    so segments of a session (what a task has of it, ``each`` rows at most) are run from their first row: every row gets
+    its step from the segment's begin, and the value it would have if the session began there. Segments' last rows then
+    give their start values in order, some rows a task, and a row's value follows from its segment's.
+    """
+    dealt = samples.repartitionByRange(session, *order).sortWithinPartitions(session, *order)
+    schema = samples.selectExpr("*", *(f"cast(null as bigint) as `__{c}`" for c in ("seg", "s", "l", "h", "y"))).schema
+
+    def run(batches):
+        here, n, seg = object(), 0, (TaskContext.get().partitionId() << 32) - 1
+        for batch in batches:
+            rows = []
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in (session, *columns)), strict=True):
+                if name != here or n >= each:
+                    here, n, seg, s, low, high, y = name, 0, seg + 1, 0, -FAR, FAR, None
+                n += 1
+                if None not in row:
+                    y = step(y, *row)
+                    if to := move(*row):
+                        d, a, b = to
+                        s, low, high = s + d, max(a, min(b, low + d)), max(a, min(b, high + d))
+                rows.append((seg, s, low, high, y))
+            more = [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [()] * 5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__seg", "__s", "__l", "__h", "__y"])
+
+    rows = settled(dealt.mapInArrow(run, schema))
+    at = F.struct(*order)
+    ends = rows.groupBy("__seg").agg(F.max_by(F.struct(F.col(session).alias("k"), "__s", "__l", "__h", "__y"), at).alias("e")).select("__seg", "e.*")
+
+    def starts(pdf):
+        pdf, now, y = pdf.sort_values("__seg"), [], None
+        for s, low, high, first in zip(*(pdf[c].tolist() for c in ("__s", "__l", "__h", "__y")), strict=True):
+            now.append(y)
+            y = max(low, min(high, y + s)) if y is not None else None if first != first or first is None else int(first)
+        return pd.DataFrame({"__seg": pdf["__seg"], "__at": pd.array(now, "Int64")})
+
+    begin = ends.groupBy("k").applyInPandas(starts, "__seg long, __at long")
+    value = F.when(F.col("__at").isNull(), F.col("__y")).otherwise(F.greatest("__l", F.least("__h", F.col("__at") + F.col("__s"))))
+    return rows.join(begin, "__seg").withColumn(out, value).select(*(f"`{c}`" for c in samples.columns), f"`{out}`")
+
+
+def clamped_integral(samples: DataFrame, error: str, gain: str, low: int, high: int, out: str = "y", each: int = 1 << 20) -> DataFrame:
+    def move(e, g):
+        return (integral_shift(e, g), low, high) if e and g else None
+
+    return composed(samples, [error, gain], lambda y, e, g: integral(y, e, g, low, high), move, out, each=each)
 
 
 def ramp(samples: DataFrame, x: str, delta: int, out: str = "y") -> DataFrame:
+    """y + max(-delta, min(delta, x - y)). Steps of this form do not join into one of the same form (each may add a level part), so a session is one task."""
     return recursive(samples, [x], lambda y, v: rate_limited(y, v, delta), out)
