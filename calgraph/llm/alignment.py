@@ -71,7 +71,7 @@ class Aligner:
         self.lone = self.b.piece_to_id(BLANK)
         self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
         self.a_blank, self.b_blank = (np.array([t[:1] == b" " for t in x]) for x in (self.a_bytes, self.b_bytes))
-        self.memo, self.windows = {}, {}
+        self.memo, self.odd, self.windows = {}, set(), {}
 
     def parts(self, text: str) -> list[str]:
         """Of the blank and the text; joined they are it."""
@@ -91,7 +91,7 @@ class Aligner:
         return part, ""
 
     def learn(self, parts: set[str]) -> None:
-        """Ids of both and whether their bytes are the part's, for parts that begin with a blank, a line break or (after letters) a sign."""
+        """Ids of both (in ``odd`` if their bytes are not the part's) for parts that begin with a blank, a line break or (after letters) a sign."""
         cuts = {p: self.cut(p) for p in parts}
         fresh = list({x for two in cuts.values() for x in two if x}.difference(self.memo))
         # B adds the blank itself. A line break merges with nothing, so what follows it is coded as after any other sign.
@@ -106,26 +106,31 @@ class Aligner:
                 a = [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.letters))]
             else:
                 a = self.a.encode(x, add_special_tokens=False).ids
-            same = b"".join([self.a_bytes[k] for k in a]) == data == b"".join([self.b_bytes[k] for k in b])
-            self.memo[x] = array("I", a).tobytes(), array("I", b).tobytes(), same
+            if not b"".join([self.a_bytes[k] for k in a]) == data == b"".join([self.b_bytes[k] for k in b]):
+                self.odd.add(x)
+            self.memo[x] = array("I", a).tobytes(), array("I", b).tobytes()
         for p, (core, tail) in cuts.items():
             if tail:
-                x, y = self.memo[core], self.memo[tail]
-                self.memo[p] = x[0] + y[0], x[1] + y[1], x[2] and y[2]
+                (x, y), (z, w) = self.memo[core], self.memo[tail]
+                self.memo[p] = x + z, y + w
+                if core in self.odd or tail in self.odd:
+                    self.odd.add(p)
 
     def __call__(self, texts: list[str]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
         """Per text: n_a, n_b, n_groups, n_links, digest, distinct pairs, their links."""
         if len(self.memo) > PARTS:
-            self.memo = {}
+            self.memo, self.odd = {}, set()
         parts = [self.parts(t) for t in texts]
         codes = [list(map(self.memo.get, x)) for x in parts]
-        self.learn({p for x, y in zip(parts, codes, strict=True) for p, c in zip(x, y, strict=True) if c is None})
+        holes = [[i for i, c in enumerate(y) if c is None] if None in y else () for y in codes]
+        self.learn({x[i] for x, h in zip(parts, holes, strict=True) for i in h})
         whole = []
-        for i, (t, x, y) in enumerate(zip(texts, parts, codes, strict=True)):
-            y = [self.memo[p] if c is None else c for p, c in zip(x, y, strict=True)]
+        for k, (t, x, y, h) in enumerate(zip(texts, parts, codes, holes, strict=True)):
+            for i in h:
+                y[i] = self.memo[x[i]]
             a, b = b"".join([c[0] for c in y]), b"".join([c[1] for c in y])
-            if a and (all([c[2] for c in y]) or self.spelt(a, self.a_bytes) == f" {t}".encode() == self.spelt(b, self.b_bytes)):
-                whole.append((i, a, b))
+            if a and (not self.odd or self.odd.isdisjoint(x) or self.spelt(a, self.a_bytes) == f" {t}".encode() == self.spelt(b, self.b_bytes)):
+                whole.append((k, a, b))
         out = [(0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
         if whole:
             at, a, b = zip(*whole, strict=True)
@@ -157,25 +162,28 @@ class Aligner:
         if len(self.windows) > WINDOWS:
             self.windows = {}
         values = list(map(self.windows.get, keys))
-        new = {k: w for w, (k, v) in enumerate(zip(keys, values, strict=True)) if v is None}
-        if new:
+        holes = [w for w, v in enumerate(values) if v is None]
+        if holes:
+            new = {keys[w]: w for w in holes}
             w = np.fromiter(new.values(), np.int64, len(new))
             made = dict(zip(new, self.alignments(ids, pieces, x, y, edge[w], edge[w + 1]), strict=True))
-            values = [made[k] if v is None else v for k, v in zip(keys, values, strict=True)]
+            for h in holes:
+                values[h] = made[keys[h]]
             self.windows.update((k, v) for k, v in made.items() if len(k[0]) + len(k[1]) <= 4 * LONG)
         first = np.searchsorted(edge, texts).tolist()
+        links = np.add.reduceat(np.diff(x) * np.diff(y), texts[:-1]).tolist()
         for k, (r, s) in enumerate(zip(first[:-1], first[1:], strict=True)):
-            links, said, pairs, rest = zip(*values[r:s], strict=True)
+            said, pairs, rest = zip(*values[r:s], strict=True)
             pairs, times = np.unique(np.frombuffer(b"".join(pairs), "<i8"), return_counts=True)
             if any(rest):
                 more = sum(filter(None, rest), Counter())
                 more.update(dict(zip(pairs.tolist(), times.tolist(), strict=True)))
                 pairs = np.array(sorted(more), np.int64)
                 times = np.array([more[c] for c in pairs.tolist()])
-            yield n_a[k], n_b[k], int(texts[k + 1] - texts[k]), sum(links), hashlib.sha256(";".join(said).encode()).hexdigest(), pairs, times
+            yield n_a[k], n_b[k], int(texts[k + 1] - texts[k]), links[k], hashlib.sha256(";".join(said).encode()).hexdigest(), pairs, times
 
     def alignments(self, ids, pieces, x, y, begin, end):
-        """Of windows, which are ranges of groups: links, text, pairs as often as linked, and counts of pairs of long groups."""
+        """Of windows, which are ranges of groups: text, pairs as often as linked, and counts of pairs of long groups."""
 
         def spread(begin, n):
             """begin[k], begin[k] + 1, ... for each k."""
@@ -206,8 +214,7 @@ class Aligner:
         for g in np.flatnonzero(~short).tolist():
             ca, cb = (Counter(z[int(m[:g].sum()) :][: int(m[g])].tolist()) for z, m in ((a, na), (b, nb)))
             rest[window[g]] = (rest[window[g]] or Counter()) + Counter({s << 32 | t: i * j for s, i in ca.items() for t, j in cb.items()})
-        links = np.bincount(window, na * nb, len(begin)).astype(np.int64).tolist()
-        return [(links[k], said[k], pairs[cuts[k] : cuts[k + 1]].tobytes(), rest[k]) for k in range(len(begin))]
+        return [(said[k], pairs[cuts[k] : cuts[k + 1]].tobytes(), rest[k]) for k in range(len(begin))]
 
 
 def alignments(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
