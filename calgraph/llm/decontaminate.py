@@ -11,7 +11,8 @@ passes over the documents, none of which shuffles a text. Items that share a pie
 stands, so a piece that many items and documents have in common costs a comparison for each.
 
 Defined cases: null and blank items match nothing, nor do items of fewer than ``MIN_CHARS`` characters, which
-stand in any text; an item without a budget must not be part of a longer word; item ids are of any type; a null text holds nothing; an item that occurs several
+stand in any text; an item without a budget must not be part of a longer word, where its script has blanks between
+words; item ids are of any type; a null text holds nothing; an item that occurs several
 times in a text is one row with its best place (the first of the nearest); equal items each give a row;
 repeated documents each give their rows; other columns are ignored.
 """
@@ -34,6 +35,15 @@ PART_CHARS = 4_000_000
 MIN_CHARS = 8
 
 
+#: Code points of scripts that are written without blanks between words.
+UNSPACED = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+def joins(a: str, b: str) -> bool:
+    """Whether two letters or digits side by side belong to one word; in scripts without blanks that cannot be told, and no word is cut."""
+    return a.isalnum() and b.isalnum() and not any(lo <= ord(c) <= hi for c in (a, b) for lo, hi in UNSPACED)
+
+
 def _plain() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
@@ -111,7 +121,7 @@ class Searcher:
                 window = text[a : hi + len(t) + k]
                 if not k:
                     # Without a budget the piece is the whole item, and it must not be cut from a word.
-                    inside = any(x.isalnum() and y.isalnum() for x, y in ((text[lo - 1 : lo], t[0]), (t[-1], text[lo + len(t) : lo + len(t) + 1])))
+                    inside = any(joins(x, y) for x, y in ((text[lo - 1 : lo], t[0]), (t[-1], text[lo + len(t) : lo + len(t) + 1])))
                     if inside:
                         continue
                 exact = window.find(t)

@@ -73,9 +73,13 @@ def units(text: Column) -> Column:
 
 
 def phrases(templates: DataFrame, threshold: float, most: int = PHRASES) -> list[str] | None:
-    """Bigrams of which every match has one: per template the longest of its bigrams, more than a match may lack. None if they are too many."""
+    """Bigrams of which every match has one: per template the longest of its bigrams, more than a match may lack. None if templates or bigrams are too many."""
+    size = F.size(bigrams(F.col("text")))
+    held = templates.select(plain(F.col("text")), size).where(size > 0).limit(most + 1).collect()
+    if len(held) > most:
+        return None
     found: set[str] = set()
-    for text, n in templates.select(plain(F.col("text")), F.size(bigrams(F.col("text")))).where(F.size(bigrams(F.col("text"))) > 0).limit(most + 1).collect():
+    for text, n in held:
         w = text.split()
         every = sorted({f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True)}, key=lambda x: (-len(x), x))
         found.update(every[: n - math.ceil(threshold / (2 - threshold) * n - 1e-9) + 1])
