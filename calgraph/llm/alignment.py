@@ -37,6 +37,8 @@ from .common import kept, sent, small, table, written
 
 #: Parts and windows that a worker keeps; beyond it the memo starts anew.
 PARTS, WINDOWS = 500_000, 300_000
+#: Set in B's ids, so that an A and a B id tuple end to end are one key of the memo.
+MARK = 1 << 31
 #: A window of more tokens is not kept.
 LONG = 64
 #: A group of more links is counted by its distinct ids.
@@ -52,16 +54,19 @@ SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 class Aligner:
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_str(a.decode()), sentencepiece.SentencePieceProcessor(model_proto=b)
         self.a.encode_special_tokens = True
-        self.model, self.letters = self.a.model, B.byte_letters()
-        byte = {chr(c): k for k, c in self.letters.items()}
+        byte = {chr(c): k for k, c in B.byte_letters().items()}
         vocabulary = self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
             self.a_bytes[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        ranks = {t: k for k, t in enumerate(self.a_bytes) if t and k not in self.a.get_added_tokens_decoder()}
+        #: A's merges on one word, whose ids are the merges' ranks.
+        self.word = tiktoken.Encoding("word", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(BLANK, " ").encode() for k, p in enumerate(pieces)]
         #: Whether ids of parts make up ids of the text: no piece has a blank after another sign, or a line break.
@@ -103,12 +108,12 @@ class Aligner:
             else:
                 b = b[1 if x[0] == "\n" else 2 :]
             if x[0] == " " and x[1:].isalpha() and (x.isascii() or max(x) <= "\xff"):  # letters alone are one word of the model
-                a = [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.letters))]
+                a = self.word.encode_ordinary(x)
             else:
                 a = self.a.encode(x, add_special_tokens=False).ids
             if not b"".join([self.a_bytes[k] for k in a]) == data == b"".join([self.b_bytes[k] for k in b]):
                 self.odd.add(x)
-            self.memo[x] = array("I", a).tobytes(), array("I", b).tobytes()
+            self.memo[x] = array("I", a).tobytes(), array("I", [k | MARK for k in b]).tobytes()
         for p, (core, tail) in cuts.items():
             if tail:
                 (x, y), (z, w) = self.memo[core], self.memo[tail]
@@ -140,13 +145,13 @@ class Aligner:
 
     @staticmethod
     def spelt(ids: bytes, spelling: list[bytes]) -> bytes:
-        return b"".join([spelling[k] for k in memoryview(ids).cast("I")])
+        return b"".join([spelling[k & ~MARK] for k in memoryview(ids).cast("I")])
 
     def aligned(self, a: tuple[bytes, ...], b: tuple[bytes, ...]):
         """Of texts whose ids are given, one row each. As both tokenizers spell each text, their ends meet at each text's end."""
         n_a, n_b = ([len(y) // 4 for y in x] for x in (a, b))
         a, b = b"".join(a), b"".join(b)
-        ids, pieces = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+        ids, pieces = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4") & ~np.uint32(MARK)
         end, other = np.cumsum(self.a_size[ids]), np.cumsum(self.b_size[pieces])
         at = np.searchsorted(other, end)
         i = np.flatnonzero(other[at] == end)
@@ -158,7 +163,7 @@ class Aligner:
         opens[texts[:-1]] = True
         edge = np.append(np.flatnonzero(opens), len(i))
         p, q = (4 * x[edge]).tolist(), (4 * y[edge]).tolist()
-        keys = list(zip([a[r:s] for r, s in zip(p[:-1], p[1:], strict=True)], [b[r:s] for r, s in zip(q[:-1], q[1:], strict=True)], strict=True))
+        keys = [a[r:s] + b[t:u] for r, s, t, u in zip(p[:-1], p[1:], q[:-1], q[1:], strict=True)]
         if len(self.windows) > WINDOWS:
             self.windows = {}
         values = list(map(self.windows.get, keys))
@@ -169,7 +174,7 @@ class Aligner:
             made = dict(zip(new, self.alignments(ids, pieces, x, y, edge[w], edge[w + 1]), strict=True))
             for h in holes:
                 values[h] = made[keys[h]]
-            self.windows.update((k, v) for k, v in made.items() if len(k[0]) + len(k[1]) <= 4 * LONG)
+            self.windows.update((k, v) for k, v in made.items() if len(k) <= 4 * LONG)
         first = np.searchsorted(edge, texts).tolist()
         links = np.add.reduceat(np.diff(x) * np.diff(y), texts[:-1]).tolist()
         for k, (r, s) in enumerate(zip(first[:-1], first[1:], strict=True)):
