@@ -4,8 +4,8 @@ Tokenizer A, byte-level, codes a blank and the text; tokenizer B, of pieces, cod
 Byte offsets where a token of each ends cut both into groups; all pairs of an A and a B token of one group are links.
 
 Whole texts are tokenised first. Neither tokenizer merges over a blank or a line break that follows another sign, so ids
-of the parts that begin there are kept in a bounded memo and joined to the ids of the text; tests hold them against the
-tokenizers. The joined bytes of both are then compared with the text. Shared ends before a token that carries the blank
+of the parts that begin there are kept in a bounded memo and joined to the ids of the text; A's ids of a word of letters come from
+its merges by rank, all others from the tokenizer; tests hold them against the tokenizers. The joined bytes of both are then compared with the text. Shared ends before a token that carries the blank
 in both (verified, their offsets are equal) split a document into windows of token ids, and a window's alignment is kept
 in a memo under its two id tuples. Windows meet only at shared ends, so no group spans two.
 
