@@ -156,20 +156,49 @@ def extraction_stats(pages: DataFrame, doc: str) -> DataFrame:
     return names.agg(F.count_distinct(doc).alias("documents"), F.count_distinct("name").alias("names"))
 
 
+#: A line that assigns, and one that declares (the name is a whole word, not its last letters).
+ASSIGNMENT = r"^\s*([A-Za-z_][\w\.\[\]>-]*?)\s*=\s*(.+?);\s*$"
+DECLARATION = r"^\s*[A-Za-z_]\w*(?:\s+[A-Za-z_]\w*)*\s*\**\s*\b([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*;\s*$"
+
+
 def assignments(listings: DataFrame) -> DataFrame:
-    """(func, line, lhs, rhs) of 'lhs = rhs;' lines of listings(func, code)."""
-    lines = listings.select("func", F.posexplode(F.split("code", "\n")).alias("line", "text"))
-    part = lambda i: F.regexp_extract("text", r"^\s*([^=!<>;]+?)\s*=\s*([^=].*?);\s*$", i)
+    """(func, line, lhs, rhs) of the lines of listings(func, code) that are an assignment to a name, a member or an element.
+
+    Lines with a condition, a type or an operator before the sign are none.
+    """
+    lines = listings.select("func", F.posexplode(F.split("code", "\r?\n")).alias("line", "text"))
+    part = lambda i: F.regexp_extract("text", ASSIGNMENT, i)
     return lines.select("func", "line", part(1).alias("lhs"), part(2).alias("rhs")).where("lhs != ''")
 
 
+def locals_of(code: Column) -> Column:
+    """Names declared in a listing's body, in order, before a condition, return, closing brace, comment or first other line with a '='.
+
+    Other lines do not end the block. Without a brace the whole text is the body; null for null.
+    """
+    body = F.split(F.substring(code, F.instr(code, F.lit("{")) + F.lit(1), F.length(code)), "\r?\n")
+    declared = lambda x: F.regexp_extract(x, DECLARATION, 1)
+    stops = F.transform(body, lambda x: x.rlike(r"^\s*(?:if|return|\}|/\*|//)") | ((declared(x) == "") & F.contains(x, F.lit("="))))
+    first = F.array_position(stops, True)
+    block = F.when(first > 0, F.slice(body, 1, (first - 1).cast("int"))).otherwise(body)
+    return F.array_distinct(F.filter(F.transform(block, declared), lambda x: x != ""))
+
+
 def declared_locals(listings: DataFrame) -> DataFrame:
-    """Names declared before a listing's first statement."""
-    lines = listings.select("func", F.posexplode(F.split("code", "\n")).alias("line", "text"))
-    name = F.regexp_extract("text", r"^\s+[A-Za-z_]\w*\s+\*?([A-Za-z_]\w*)(?:\s*\[\d+\])?;\s*$", 1)
-    stop = F.when(F.col("text").rlike(r"[=(].*;|^\s*(if|while|do|for|return)\b"), F.col("line"))
-    first = lines.groupBy("func").agg(F.min(stop).alias("stop"))
-    return lines.withColumn("name", name).where("name != ''").join(first, "func").where("stop is null or line < stop").select("func", "name").distinct()
+    """(func, name) of the names that listings(func, code) declare, each once."""
+    return listings.select("func", F.explode(locals_of(F.col("code"))).alias("name")).distinct()
+
+
+def listing_statements(listings: DataFrame) -> DataFrame:
+    """(func, line, output, expr, calls, reads) of the assignments that outlive their function, in one pass over listings(func, code).
+
+    Assignments to temporaries and declared locals are left out, and expr, the cleaned right side, reads neither.
+    """
+    rows = listings.select("func", locals_of(F.col("code")).alias("locals"), F.posexplode(F.split("code", "\r?\n")).alias("line", "text"))
+    part = lambda i: F.regexp_extract("text", ASSIGNMENT, i)
+    rows = rows.select("func", "line", "locals", part(1).alias("output"), clean_expression(part(2)).alias("expr"))
+    kept = rows.where((F.col("output") != "") & ~S.is_temporary(F.col("output")) & ~F.array_contains("locals", F.col("output")))
+    return kept.select("func", "line", "output", "expr", calls_of(F.col("expr")).alias("calls"), reads_of(F.col("expr"), F.col("locals")).alias("reads"))
 
 
 def call_sites(listings: DataFrame) -> DataFrame:
@@ -218,9 +247,10 @@ def balanced_calls(expr: Column) -> Column:
     return per_row(CALLS, lambda x: [{"callee": c, "args": a} for c, a in _calls_in(x)])(expr)
 
 
-def interpolations(calls: Column) -> Column:
-    """Of balanced calls those of interpolation helpers and filters: helper, shape, tables (names in the first argument) and axes (the others)."""
-    names = lambda x: F.filter(F.regexp_extract_all(x, F.lit(r"([A-Za-z_]\w*)"), F.lit(1)), lambda y: ~y.isin(KEYWORDS) & ~S.is_temporary(y))
+def interpolations(calls: Column, declared: Column | None = None) -> Column:
+    """Of balanced calls those of interpolation helpers and filters: helper, shape, tables (names in the first argument, without declared locals) and axes (the others)."""
+    own = lambda y: F.lit(False) if declared is None else F.coalesce(F.array_contains(declared, y), F.lit(False))
+    names = lambda x: F.filter(F.regexp_extract_all(x, F.lit(r"([A-Za-z_]\w*)"), F.lit(1)), lambda y: ~y.isin(KEYWORDS) & ~S.is_temporary(y) & ~own(y))
     known = F.filter(calls, lambda c: S.helper_class(c["callee"])["shape"].isNotNull() & (F.size(c["args"]) > 0))
     return F.transform(known, lambda c: F.struct(c["callee"].alias("helper"), S.helper_class(c["callee"])["shape"].alias("shape"), names(F.get(c["args"], F.lit(0))).alias("tables"), F.slice(c["args"], F.lit(2), F.size(c["args"])).alias("axes")))
 
@@ -251,10 +281,12 @@ def calls_of(expr: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(expr, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))))
 
 
-def reads_of(expr: Column) -> Column:
-    """Names in order of appearance that are neither keywords, temporaries nor calls."""
+def reads_of(expr: Column, declared: Column | None = None) -> Column:
+    """Names in order of appearance that are neither keywords, temporaries, declared locals nor calls."""
     names = F.array_distinct(F.regexp_extract_all(expr, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), F.lit(1)))
-    return F.filter(F.array_except(names, calls_of(expr)), lambda x: ~x.isin(KEYWORDS) & ~S.is_temporary(x))
+    names = F.array_except(names, calls_of(expr))
+    names = names if declared is None else F.array_except(names, declared)
+    return F.filter(names, lambda x: ~x.isin(KEYWORDS) & ~S.is_temporary(x))
 
 
 #: Comparisons and what holds when they do not; those of two characters are looked for first, and half a shift is none.
@@ -287,13 +319,24 @@ def shift_to_scale(expr: Column) -> Column:
     return expr
 
 
-def guard_gloss(guard: Column, meanings: dict[str, str]) -> Column:
-    """'(WORD & (A|B)) != 0' in words; null unless every bit is known."""
-    bits = F.split(F.regexp_extract(guard, r"&\s*\(?([A-Z_0-9|\s]+?)\)?\)\s*[!=]= 0", 1), r"\s*\|\s*")
+#: Words whose bits are states of the engine, and the states.
+STATE_WORDS = ["ZUSTAND_MOTOR", "ZUSTAND_MOTOR2", "START_ST", "TPU_ST_M"]
+STATE_BITS = {
+    "LL": "idle (Leerlauf)", "VL": "full load (Vollast)", "TL": "part load (Teillast)", "S": "overrun (Schub)", "Start": "cranking (Start)",
+    "Nachlauf": "after-run (Nachlauf)", "KI.15 aus": "ignition off (Klemme 15 aus)", "Kl15 aus": "ignition off (Klemme 15 aus)",
+}
+
+
+def guard_gloss(guard: Column, meanings: dict[str, str] = STATE_BITS, words: list[str] | None = None) -> Column:
+    """'(WORD & (A|B)) != 0' in words, with or without its outer brackets; null unless every bit is known, and for words not in ``words`` if given."""
+    part = lambda i: F.regexp_extract(guard, r"^\s*\(?\s*([A-Z][A-Z0-9_]*)\s*&\s*\(?([^()]+?)\)?\s*\)?\s*(==|!=)\s*0\s*$", i)
+    bits = F.filter(F.transform(F.split(part(2), r"\|"), F.trim), lambda b: b != "")
     table = F.create_map(*(F.lit(x) for kv in meanings.items() for x in kv))
     text = F.array_join(F.transform(bits, lambda b: F.try_element_at(table, b)), " or ")
-    known = F.forall(bits, lambda b: F.array_contains(F.map_keys(table), b))
-    return F.when(known, F.concat(F.when(guard.rlike(r"==\s*0"), "not ").otherwise(""), text))
+    known = (F.size(bits) > 0) & F.forall(bits, lambda b: F.array_contains(F.map_keys(table), b))
+    if words is not None:
+        known = known & part(1).isin(words)
+    return F.when(known, F.concat(F.when(part(3) == "==", "not ").otherwise(""), text))
 
 
 def resolve_data_names(rows: DataFrame, expr: str, ram: DataFrame) -> DataFrame:

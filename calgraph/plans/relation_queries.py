@@ -293,9 +293,12 @@ def call_neighbours(spark, sf):
     return _shown(G.block_neighbours(None, b.edges(spark, sf), "call"), "block", "next")
 
 
+def _told(spark, sf):
+    return b.statements(spark, sf).withColumn("interp", F.filter("reads", lambda x: x.startswith("th"))).withColumn("named", F.col("role") == "system")
+
+
 def _scored(spark, sf):
-    s = b.statements(spark, sf).withColumn("block", F.col("block") * 2).withColumn("block", b.ident("func", "block"))
-    return s.withColumn("interp", F.filter("reads", lambda x: x.startswith("th"))).withColumn("named", F.col("role") == "system")
+    return _told(spark, sf).withColumn("block", F.col("block") * 2).withColumn("block", b.ident("func", "block"))
 
 
 _SCORE = """, score AS (SELECT printf('f:%06x', 2 * block) AS block, CAST(sum(CASE WHEN len(list_filter(reads, lambda x: starts_with(x, 'th'))) > 0 THEN 10 ELSE 0 END) + max(CASE WHEN role = 'system' THEN 3 ELSE 0 END) + least(count(*), 5) AS BIGINT) AS score FROM statements GROUP BY block)
@@ -393,7 +396,7 @@ def consumers(spark, sf):
 @query(""", r AS (SELECT block, ord, CASE WHEN len(list_filter(reads, lambda x: starts_with(x, 'th'))) > 0 THEN 0 ELSE 2 END AS rank FROM statements), w AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY rank, ord) AS pos, count(*) OVER (PARTITION BY block) AS n FROM r)
 SELECT block, ord, rank, greatest(n - 3, 0) AS hidden, CAST(row_number() OVER (PARTITION BY block ORDER BY ord) AS INTEGER) AS place FROM w WHERE pos <= 3""")
 def top_statements(spark, sf):
-    return G.top_statements(_scored(spark, sf), 3).select("block", "ord", "rank", "hidden", "place")
+    return G.top_statements(_told(spark, sf), 3).select("block", "ord", "rank", "hidden", "place")
 
 
 @query(""", h AS (SELECT block, ord, out = 'that' OR list_contains(reads, 'that') AS hit FROM statements), s AS (SELECT *, bool_or(hit) OVER (PARTITION BY block) AS any_hit FROM h), w AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY ord) AS pos, count(*) OVER (PARTITION BY block) AS n FROM s WHERE hit OR NOT any_hit)

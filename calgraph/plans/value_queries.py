@@ -321,6 +321,69 @@ def declared_locals(spark, sf):
     return T.declared_locals(_statements(spark, sf))
 
 
+#: Whole turns as listings: all their words, the first three declared in five forms, the others in nine lines, after a line that ends the declarations.
+_LISTED = """WITH l AS (SELECT conv_id * 1000 + turn AS func, conv_id + turn AS k, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: len(x) >= 4) AS w FROM conversations),
+d AS (SELECT func, i, w[i] AS w, (k + i) % 5 AS f FROM (SELECT func, k, w, unnest(range(1, least(len(w), 3) + 1)) AS i FROM l)),
+own AS (SELECT DISTINCT func, w AS name FROM d WHERE f <> 4),
+s AS (SELECT func, i + 3 AS line, w[i] AS w, upper(w[i]) AS u, (k + i) % 9 AS f FROM (SELECT func, k, w, unnest(range(4, len(w) + 1)) AS i FROM l)),
+a AS (SELECT func, least(len(w), 3) + 3 AS line, 'STATE' AS lhs, '1' AS rhs FROM l WHERE k % 3 = 1
+UNION ALL SELECT func, line, CASE f WHEN 0 THEN u WHEN 1 THEN 'p->' || u WHEN 5 THEN u || '[2]' WHEN 6 THEN w || '.x' ELSE w END, CASE f WHEN 0 THEN w WHEN 1 THEN '3' WHEN 5 THEN 'f(' || w || ',' || u || ')' WHEN 6 THEN 'a = ' || u ELSE u || ' & (ushort)iVar1' END FROM s WHERE f IN (0, 1, 5, 6, 8))
+"""
+
+
+def _listings(spark, sf):
+    """(func, code)."""
+    w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 4)
+    rows = b.t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("func"), (F.col("conv_id") + F.col("turn")).alias("k"), w.alias("w"))
+    n, say = F.col("k"), F.concat
+
+    def chosen(k, forms):
+        out = F.when(k == 0, forms[0])
+        for i, form in enumerate(forms[1:], 1):
+            out = out.when(k == i, form)
+        return out
+
+    def declared(x, i):
+        return chosen((n + i + 1) % 5, [say(F.lit("  int "), x, F.lit(";")), say(F.lit("  unsigned int "), x, F.lit(";")), say(F.lit("  Foo **"), x, F.lit(";")), say(F.lit("  short "), x, F.lit("[4];")), say(F.lit("  "), x, F.lit("(1);"))])
+
+    def line(x, i):
+        u = F.upper(x)
+        forms = [(u, " = ", x, ";"), ("p->", u, " = 3;"), (u, " += 1;"), ("if (", x, ") ", u, " = 3;"), ("int ", u, " = 4;"), (u, "[2] = f(", x, ",", u, ");"), (x, ".x = a = ", u, ";"), ("if (", x, " == 3) {"), (x, " = ", u, " & (ushort)iVar1;")]
+        return chosen((n + i + 4) % 9, [say(F.lit("  "), *(F.lit(p) if isinstance(p, str) else p for p in form)) for form in forms])
+
+    stop = chosen(n % 3, [F.lit("  // note"), F.lit("  STATE = 1;"), F.lit("  if (STATE) {")])
+    body = F.concat(F.transform(F.slice("w", 1, 3), declared), F.array(stop, F.lit("  int late;")), F.transform(F.slice("w", 4, 1_000_000), line))
+    return rows.select("func", F.concat(F.lit("void fn(void)\n\n{\n"), F.array_join(body, "\n"), F.lit("\n}")).alias("code"))
+
+
+@query(_LISTED + "SELECT func, line, lhs, rhs FROM a")
+def listing_assignments(spark, sf):
+    return T.assignments(_listings(spark, sf)).withColumn("line", F.col("line").cast("long"))
+
+
+@query(_LISTED + "SELECT * FROM own")
+def listing_locals(spark, sf):
+    return T.declared_locals(_listings(spark, sf))
+
+
+@query(_LISTED + """SELECT func, line, lhs AS output, replace(rhs, '(ushort)', '') AS expr, CASE WHEN rhs LIKE 'f(%' THEN 'f' ELSE '' END AS calls,
+array_to_string(list_filter(list_filter(regexp_extract_all(replace(rhs, '(ushort)', ''), '[A-Za-z]\\w*'), lambda x: x NOT IN ('f', 'iVar1')), lambda x: NOT list_contains(coalesce(o.names, []), x)), ',') AS reads
+FROM a LEFT JOIN (SELECT func, list(name) AS names FROM own GROUP BY 1) o USING (func) WHERE NOT list_contains(coalesce(o.names, []), lhs)""")
+def listing_statements(spark, sf):
+    s = T.listing_statements(_listings(spark, sf)).withColumn("line", F.col("line").cast("long"))
+    return s.withColumn("calls", F.array_join("calls", ",")).withColumn("reads", F.array_join("reads", ","))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, (conv_id + turn) % 2 AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN k < 4 THEN CASE n WHEN 0 THEN 'not ' ELSE '' END || CASE k WHEN 0 THEN 'idle (Leerlauf)' WHEN 1 THEN 'cranking (Start) or overrun (Schub)' WHEN 2 THEN 'ignition off (Klemme 15 aus)' ELSE 'after-run (Nachlauf) or idle (Leerlauf)' END END AS gloss FROM w""")
+def guard_words(spark, sf):
+    """Conditions on state bits, two of them with a bit or a word that is none."""
+    forms = ["(ZUSTAND_MOTOR & LL)", "(ZUSTAND_MOTOR & (Start|S))", "ZUSTAND_MOTOR2 & Kl15 aus", "START_ST & (Nachlauf | LL)", "(ZUSTAND_MOTOR & (LL|XX))", "(N_MOTOR & LL)"]
+    k = F.col("conv_id") + F.col("turn")
+    guard = F.concat(F.element_at(F.array(*map(F.lit, forms)), (k % 6 + 1).cast("int")), F.when(k % 2 == 0, " == 0").otherwise(" != 0"))
+    return b.t(spark, sf, "conversations").select("conv_id", "turn", T.guard_gloss(guard, words=T.STATE_WORDS).alias("gloss"))
+
+
 _CALL_ROWS = """x AS (SELECT func, 'fn' AS callee, 'void' AS args FROM v
 UNION ALL SELECT func, 'kfs_wint', '&KF_' || upper(b) || '.sizeX;g_x(' || c || ',1);(short)N' FROM v WHERE k = 0 UNION ALL SELECT func, 'g_x', c || ';1' FROM v WHERE k = 0
 UNION ALL SELECT func, 'klu_bint', '{KL_' || upper(b) || ' | KL_' || upper(c) || '};' || c FROM v WHERE k = 2 UNION ALL SELECT func, 'PT1_Filter_US', upper(b) || ';iVar1' FROM v WHERE k = 3)

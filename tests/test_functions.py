@@ -194,3 +194,45 @@ def test_second_pass_finds_names_in_glued_runs(spark):
     assert got["K_LLR_TAUn_motKF_TZ and K_LLR_TAUKF_TZ"] == ["K_LLR_TAU", "n_mot", "KF_TZ", "K_LLR_TAU", "KF_TZ"] and got[None] == []
     row = T.learning_stats(pages, known, "doc").first().asDict()
     assert row == {"documents": 3, "german": 1, "english_only": 2, "pages": 2, "known_mnemonics": 1, "known_signals": 0, "learned_mnemonics": 1, "learned_signals": 1, "discarded_mnemonics": 1, "discarded_signals": 0, "found_mnemonics": 2, "found_signals": 1}
+
+
+LISTING = """void demo(void)
+
+{
+  KL_10 *curve;
+  unsigned int uPos;
+  Foo **pp;
+  short buf[4];
+  setup(1);
+  ushort uVar1;
+
+  curve = &KL_MD;
+  int late;
+  uVar1 = klu_wint(&curve->sizeX,N);
+  p->x = 3;
+  x += 1;
+  if (a) y = 3;
+  int z = 4;
+  MD[2] = uVar1 + buf + late;
+  return;
+}
+"""
+
+
+def test_listing(spark):
+    rows = spark.createDataFrame([(1, LISTING), (2, None), (3, ""), (4, "int n;\nN = n;")], "func long, code string")
+    assert {(r.func, r.name) for r in T.declared_locals(rows).collect()} == {(1, n) for n in ("curve", "uPos", "pp", "buf", "uVar1")} | {(4, "n")}
+    got = [(r.lhs, r.rhs) for r in T.assignments(rows).where("func = 1").orderBy("line").collect()]
+    assert got == [("curve", "&KL_MD"), ("uVar1", "klu_wint(&curve->sizeX,N)"), ("p->x", "3"), ("MD[2]", "uVar1 + buf + late")]
+    said = [(r.func, r.output, r.expr, r.calls, r.reads) for r in T.listing_statements(rows).orderBy("func", "line").collect()]
+    assert said == [(1, "p->x", "3", [], []), (1, "MD[2]", "uVar1 + buf + late", [], ["late"]), (4, "N", "n", [], [])]
+
+
+def test_tables_of_a_lookup_are_no_locals(spark):
+    i = value(spark, T.interpolations(T.balanced_calls(F.lit("klu_wint(curve | KL_X,N)")), F.array(F.lit("curve"))))
+    assert i[0].tables == ["KL_X"]
+
+
+@pytest.mark.parametrize("guard, want", [("(ZUSTAND_MOTOR & (Start|S)) != 0", "cranking (Start) or overrun (Schub)"), ("ZUSTAND_MOTOR & Kl15 aus == 0", "not ignition off (Klemme 15 aus)"), ("(N & LL) == 0", None), ("(START_ST & (LL|Q)) == 0", None), ("x", None), (None, None)])
+def test_guards_in_words(spark, guard, want):
+    assert value(spark, T.guard_gloss(F.lit(guard).cast("string"), words=T.STATE_WORDS)) == want
