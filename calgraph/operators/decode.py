@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import maps as M
+from ..sources.io import settled
+
 ITEM = "uid string, offset long, bits int, signed boolean, rows int, cols int, stride int"
 
 
@@ -83,7 +86,15 @@ def cells_long(grids: DataFrame, key: list[str], values: str, cols: int) -> Data
 
 
 def extent(cells: DataFrame, key: list[str]) -> DataFrame:
-    return cells.where(F.col("z").isNotNull() & ~F.isnan("z")).groupBy(*key).agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    """The least and greatest number of a grid, and its cells in all; grids without a number are left out."""
+    number = F.when(~F.isnan("z"), F.col("z"))
+    return cells.groupBy(*key).agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n")).where("low is not null")
+
+
+def with_extent(cells: DataFrame, key: list[str]) -> DataFrame:
+    """Cells with the least and greatest number of their grid, by one shuffle; grids without a number are left out."""
+    w, number = W.partitionBy(*key), F.when(~F.isnan("z"), F.col("z"))
+    return cells.withColumns({"low": F.min(number).over(w), "high": F.max(number).over(w)}).where("low is not null")
 
 
 def flat_tables(cells: DataFrame, key: list[str]) -> DataFrame:
@@ -109,6 +120,31 @@ def image_diff(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return x.join(y, [*key, "row", "col"], "full").where(~F.col("z1").eqNullSafe(F.col("z2")))
 
 
+def changed_blocks(a: DataFrame, b: DataFrame, size: int = 4096) -> DataFrame:
+    """(image, blk, content1, content2): blocks of ``size`` bytes that differ between two versions a, b of images(image, content).
+
+    First only digests of blocks are exchanged; the bytes of a block follow if its digests differ. A block that one
+    version lacks is null there.
+    """
+    def blocks(df: DataFrame, i: int) -> DataFrame:
+        places = F.sequence(F.lit(0), F.floor((F.length("content") - 1) / size).cast("int"))
+        return df.where(F.length("content") > 0).select("image", F.explode(places).alias("blk"), "content").select("image", "blk", F.substring("content", F.col("blk") * size + 1, F.lit(size)).alias(f"content{i}"))
+
+    x, y = blocks(a, 1), blocks(b, 2)
+    digest = lambda df, i: df.select("image", "blk", F.sha2(f"content{i}", 256).alias(f"d{i}"))
+    other = settled(digest(x, 1).join(digest(y, 2), ["image", "blk"], "full").where(~F.col("d1").eqNullSafe(F.col("d2"))).select("image", "blk"))
+    return other.join(x, ["image", "blk"], "left").join(y, ["image", "blk"], "left")
+
+
+def changed_words(blocks: DataFrame, size: int = 4096) -> DataFrame:
+    """(image, at, raw1, raw2): the big-endian 16-bit words that differ in changed blocks, by their offset; null where a version has no whole word."""
+    number = lambda c, i: F.when(F.length(c) >= i * 2 + 2, F.conv(F.hex(F.substring(c, i * 2 + 1, F.lit(2))), 16, 10).cast("int"))
+    most = F.greatest(F.coalesce(F.length("content1"), F.lit(0)), F.coalesce(F.length("content2"), F.lit(0)))
+    words = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((most - 1) / 2).cast("int"))))
+    rows = words.select("image", (F.col("blk").cast("long") * size + F.col("i") * 2).alias("at"), number("content1", F.col("i")).alias("raw1"), number("content2", F.col("i")).alias("raw2"))
+    return rows.where(~F.col("raw1").eqNullSafe(F.col("raw2")))
+
+
 def mirror_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key, F.col("block").alias("b1")).join(b.select(key, F.col("block").alias("b2")), key).withColumn("equal", F.col("b1") == F.col("b2"))
 
@@ -143,3 +179,15 @@ def axis_outliers(points: DataFrame, key: str, value: str, most: float) -> DataF
     """Points further from their group's median than ``most`` of it."""
     mid = points.groupBy(key).agg(F.median(value).alias("typical"))
     return points.join(mid, key).where(F.abs(F.col(value) - F.col("typical")) > most * F.abs("typical"))
+
+
+def ratio_outliers(points: DataFrame, key: str, radius: str, angle: str, wheelbase: float, most: float, sketch: int | None = None) -> DataFrame:
+    """Points whose steering ratio, as the bicycle model implies it, is further from their table's typical one than ``most`` of it.
+
+    Adds ``ratio`` and ``typical``. The typical ratio is the exact median; with ``sketch`` it is that of a mergeable
+    KLL sketch of this size, which holds a group of any length in bounded memory: its rank is off by some 2.3 / sketch
+    of the group, and a group of at most ``sketch`` points gives its lower median. Points without a ratio are left out.
+    """
+    rated = points.withColumn("ratio", M.implied_ratio(wheelbase, F.col(radius), F.col(angle))).where("ratio is not null and not isnan(ratio)")
+    mid = F.median("ratio") if sketch is None else F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("ratio", F.lit(sketch)), F.lit(0.5))
+    return rated.join(rated.groupBy(key).agg(mid.alias("typical")), key).where(F.abs(F.col("ratio") - F.col("typical")) > most * F.abs("typical"))

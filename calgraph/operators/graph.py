@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,17 +76,29 @@ def _grown(children: DataFrame, root, depth: int) -> DataFrame:
 
 
 def reachable(steps: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, node, distance) for many roots at once."""
+    """(root, node, distance) for many roots(id) at once: the fewest steps to each node within ``depth``.
+
+    64 roots share a word, so a level's shuffle is bound by nodes times words, and state is one row per node and
+    word. Repeated roots count once; a null root reaches nothing.
+    """
     steps = settled(steps.select("parent", "next").distinct())
-    seen = settled(roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("distance")))
-    frontier = seen
+    # Ids run from 0 in each partition of the written table, so words are full but for the last of a partition.
+    numbered = settled(roots.select(F.col("id").alias("root")).where("root is not null").distinct().withColumn("number", F.monotonically_increasing_id()))
+    at = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("number") % 64).cast("int"))
+    level = settled(numbered.groupBy(F.col("root").alias("node"), F.floor(F.col("number") / 64).alias("word")).agg(F.bit_or(at).alias("new")).withColumn("seen", F.col("new")))
+    found = level.where("new != 0").select("node", "word", "new", F.lit(0).alias("distance"))
     for d in range(1, depth + 1):
-        new = frontier.join(steps, frontier.node == steps.parent).select("root", F.col("next").alias("node")).distinct()
-        frontier = settled(new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(d)))
-        if frontier.isEmpty():
+        step = level.where("new != 0").join(steps, F.col("node") == F.col("parent")).groupBy(F.col("next").alias("node"), "word").agg(F.bit_or("new").alias("come"))
+        both = step.join(level.select("node", "word", "seen"), ["node", "word"], "full")
+        come, seen = F.coalesce("come", F.lit(0).cast("long")), F.coalesce("seen", F.lit(0).cast("long"))
+        level = settled(both.select("node", "word", come.bitwiseAND(F.bitwise_not(seen)).alias("new"), come.bitwiseOR(seen).alias("seen")))
+        fresh = level.where("new != 0")
+        if fresh.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        found = found.unionByName(fresh.select("node", "word", "new", F.lit(d).alias("distance")))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("new"), i) == 1)
+    out = found.select("node", "distance", "word", F.explode(bits).alias("bit")).withColumn("number", F.col("word") * 64 + F.col("bit"))
+    return out.join(numbered, "number").select("root", "node", "distance")
 
 
 #: Pairs that a task makes of one signal.
@@ -233,6 +245,35 @@ def search(nodes: DataFrame, q: str, limit: int = 60) -> DataFrame:
     return nodes.where(F.lit(q != "") & (F.col("t") != "frpage")).withColumn("class", cls).where("class is not null").withColumn("kind_rank", kind).orderBy("kind_rank", F.length("name"), "class", "id").limit(limit)
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n letters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n))))
+
+
+def search_many(nodes: DataFrame, queries: DataFrame, limit: int = 60) -> DataFrame:
+    """(query, id, t, name, class, pos): ``search`` for every row of queries(query), by an inverted index of trigrams.
+
+    A query meets the nodes that hold its rarest trigram (the whole query, if it is shorter) and is compared with
+    these only. Only trigrams that occur in a query are indexed. Repeated queries count once; blank and null ones
+    find nothing. ``query`` is returned trimmed and in lower case.
+    """
+    q = queries.select(F.lower(F.regexp_replace("query", r"^\s+|\s+$", "")).alias("query")).where("query != ''").distinct()
+    q = settled(q.withColumn("n", F.least(F.length("query"), F.lit(3))).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("query") - F.col("n") + 1), lambda i: F.substr("query", i, F.col("n")))))))
+    texts = nodes.where("t != 'frpage'").select("id", "t", "name", F.lower(F.coalesce("name", F.lit(""))).alias("low"), F.lower(F.coalesce("description", F.lit(""))).alias("text"))
+    # Names and descriptions do not run together: their grams are taken apart.
+    grams = lambda c: F.flatten(F.array(*(_grams(F.col(c), n) for n in (1, 2, 3))))
+    index = texts.select("id", F.explode(F.array_distinct(F.concat(grams("low"), grams("text")))).alias("gram"))
+    index = settled(index.join(q.select("gram").distinct(), "gram", "left_semi"))
+    often = index.groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = q.join(often, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    hits = rarest.join(index, "gram").select("query", "id").join(texts, "id")
+    low, text, x = F.col("low"), F.col("text"), F.col("query")
+    cls = F.when(low == x, 0).when(F.startswith(low, x), 1).when(F.contains(low, x), 2).when(F.contains(text, x), 3)
+    kind = F.when(F.col("t") == "param", 0).when(F.col("t") == "func", 1).otherwise(2)
+    ranked = hits.withColumn("class", cls).where("class is not null").withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy(kind, F.length("name"), "class", "id")))
+    return ranked.where(F.col("pos") <= limit).select("query", "id", "t", "name", "class", "pos")
+
+
 def top_statements(statements: DataFrame, most: int = 12) -> DataFrame:
     """Per block the most telling statements in source order, and how many are hidden. statements(block, ord, expr, interp)."""
     bare = F.col("expr").rlike(r"^\s*-?(0x[0-9a-fA-F]+|\d+)\s*$")

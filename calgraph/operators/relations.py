@@ -55,13 +55,20 @@ def operand_scan(operands: DataFrame, addresses: DataFrame) -> DataFrame:
     return hit.select(F.col("func").alias("s"), F.col("node").alias("d"), F.lit("read").alias("k"), F.lit("scan").alias("o")).distinct()
 
 
-def owner_of(points: DataFrame, ranges: DataFrame, shift: int = 8) -> DataFrame:
-    """points(bank, addr) in ranges(bank, start, size, func): an equi-join over blocks of 2**shift, then the exact test."""
-    block = 1 << shift
-    end = F.col("start") + F.col("size") - 1
-    r = ranges.where("size > 0").withColumn("blk", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(end / block)))).withColumn("end", end)
-    p = points.withColumn("blk", F.floor(F.col("addr") / block))
-    return p.join(r, ["bank", "blk"]).where("addr >= start and addr <= end").drop("blk", "end", "start", "size")
+def owner_of(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """points(bank, addr) with every range(bank, start, size, func) that covers them, as an equi-join and the exact test.
+
+    A range lies in one or two blocks of the least power of 16 that is not below its size, so its length costs no
+    rows and a block holds few ranges of its level that do not overlap. Points look up the levels that occur, 16 at
+    most. Ranges that overlap give a row each; null addresses, starts and sizes, and sizes under 1, give none.
+    """
+    bits = F.length(F.bin(F.col("size") - 1)) + F.when(F.col("size") == 1, -1).otherwise(0)
+    r = ranges.where("size > 0 and start is not null").withColumns({"start": F.col("start").cast("long"), "end": F.col("start").cast("long") + F.col("size") - 1, "level": (F.ceil(bits / 4) * 4).cast("int")})
+    levels = sorted(x[0] for x in r.select("level").distinct().collect())
+    block = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.least("level", F.lit(63)))
+    r = r.withColumn("blk", F.explode(F.array_distinct(F.array(block("start"), block("end")))))
+    p = points.where("addr is not null").withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("blk", block("addr"))
+    return p.join(r, ["bank", "level", "blk"]).where("addr >= start and addr <= end").drop("level", "blk", "end", "start", "size")
 
 
 def name_index(params: DataFrame, functions: DataFrame, ram: DataFrame) -> DataFrame:
@@ -204,6 +211,34 @@ def address_collisions(items: DataFrame) -> DataFrame:
     return a.join(b, "mapped").where("bank1 < bank2")
 
 
+def name_classes(items: DataFrame, block: str) -> DataFrame:
+    """items(id, name, block) with ``class``: the least id of the items of their block whose plain names are equal."""
+    plain = items.withColumn("plain", F.replace(F.upper("name"), F.lit("_"), F.lit("")))
+    first = plain.groupBy(block, "plain").agg(F.min("id").alias("class"), F.count("*").alias("members"))
+    return plain.join(first, [block, "plain"])
+
+
+def confusable_classes(items: DataFrame, block: str, most: int = 2) -> DataFrame:
+    """(class1, class2, edits, members1, members2): ``confusable_names`` between classes of equal names.
+
+    Items of one name are one class, so their pairs are not written out: with ``name_classes`` they follow.
+    """
+    first = name_classes(items, block).groupBy(block, F.col("class").alias("id")).agg(F.min("plain").alias("name"), F.max("members").alias("members"))
+    pairs = confusable_names(first.withColumn("addr", F.lit(None).cast("long")), block, most).select(F.col("id1").alias("class1"), F.col("id2").alias("class2"), "edits")
+    size = lambda i: first.select(F.col("id").alias(f"class{i}"), F.col("members").alias(f"members{i}"))
+    return pairs.join(size(1), "class1").join(size(2), "class2")
+
+
+def collision_classes(items: DataFrame, image: str | None = None) -> DataFrame:
+    """Per mapped address (of an image, if items name one) that several banks hold: (mapped, class, members, banks), class being the least id.
+
+    Members are the items of that address; they are not paired with each other.
+    """
+    key = [*([image] if image else []), "mapped"]
+    out = items.withColumn("mapped", S.program_address(F.col("addr"))).groupBy(*key).agg(F.min("id").alias("class"), F.count("*").alias("members"), F.array_sort(F.collect_set("bank")).alias("banks"))
+    return out.where(F.size("banks") > 1)
+
+
 def verify_rows(lines: DataFrame, decoded: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """lines '| name | address | value |' of a document against decoded(name, addr, value)."""
     cells = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))

@@ -330,7 +330,7 @@ STATE_BITS = {
 def guard_gloss(guard: Column, meanings: dict[str, str] = STATE_BITS, words: list[str] | None = None) -> Column:
     """'(WORD & (A|B)) != 0' in words, with or without its outer brackets; null unless every bit is known, and for words not in ``words`` if given."""
     part = lambda i: F.regexp_extract(guard, r"^\s*\(?\s*([A-Z][A-Z0-9_]*)\s*&\s*\(?([^()]+?)\)?\s*\)?\s*(==|!=)\s*0\s*$", i)
-    bits = F.filter(F.transform(F.split(part(2), r"\|"), F.trim), lambda b: b != "")
+    bits = F.filter(F.transform(F.split(part(2), r"\|"), lambda b: F.trim(b)), lambda b: b != "")
     table = F.create_map(*(F.lit(x) for kv in meanings.items() for x in kv))
     text = F.array_join(F.transform(bits, lambda b: F.try_element_at(table, b)), " or ")
     known = (F.size(bits) > 0) & F.forall(bits, lambda b: F.array_contains(F.map_keys(table), b))

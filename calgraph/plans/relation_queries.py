@@ -454,3 +454,37 @@ def page_links(spark, sf):
 def label_agreement(spark, sf):
     j = b.t(spark, sf, "labels").join(b.t(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return j.cube("quality", "toxic").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+
+
+@query(""", q AS (SELECT DISTINCT lower(w) AS query FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark UNION SELECT unnest(regexp_split_to_array(p_name || ' ' || p_type || ' ' || substring(p_name, 2, 5), ' ')) FROM part) WHERE w <> ''),
+h AS (SELECT query, id, t, name, CASE WHEN lower(name) = query THEN 0 WHEN starts_with(lower(name), query) THEN 1 WHEN contains(lower(name), query) THEN 2 WHEN contains(lower(coalesce(description, '')), query) THEN 3 END AS class FROM q JOIN nodes ON t <> 'frpage' AND (contains(lower(name), query) OR contains(lower(coalesce(description, '')), query)))
+SELECT * FROM (SELECT query, id, t, name, class, CAST(row_number() OVER (PARTITION BY query ORDER BY CASE t WHEN 'param' THEN 0 WHEN 'func' THEN 1 ELSE 2 END, length(name), class, id) AS INTEGER) AS pos FROM h) WHERE pos <= 20""")
+def search_many(spark, sf):
+    """Words of benchmarks, items and parts of their names, each searched for."""
+    words = b.t(spark, sf, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("query"))
+    names = b.t(spark, sf, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type", F.substring("p_name", 2, 5)), " ")).alias("query"))
+    return _shown(G.search_many(b.nodes(spark, sf), words.union(names), 20), "id")
+
+
+#: Items by brand and size, their names without the last word, so that many are equal.
+_SHORT = ", i AS (SELECT p_partkey AS id, upper(split_part(p_name, ' ', 1)) AS plain, p_brand AS block FROM part), c AS (SELECT block, plain, min(id) AS class, count(*) AS members FROM i GROUP BY 1, 2)"
+
+
+def _short(spark, sf):
+    return b.t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.substring_index("p_name", " ", 1).alias("name"), F.col("p_brand").alias("block"))
+
+
+@query(_SHORT + " SELECT id, class FROM i JOIN c USING (block, plain)")
+def name_classes(spark, sf):
+    return R.name_classes(_short(spark, sf), "block").select("id", "class")
+
+
+@query(_SHORT + " SELECT a.class AS class1, d.class AS class2, CAST(levenshtein(a.plain, d.plain) AS INTEGER) AS edits, a.members AS members1, d.members AS members2 FROM c a JOIN c d ON a.block = d.block AND a.class < d.class WHERE levenshtein(a.plain, d.plain) <= 2")
+def confusable_classes(spark, sf):
+    return R.confusable_classes(_short(spark, sf), "block")
+
+
+@query(", i AS (SELECT p_partkey AS id, p_partkey % 3 AS bank, 557056 + p_retailprice::BIGINT % 32768 AS mapped, p_size AS image FROM part) SELECT image, mapped, min(id) AS class, count(*) AS members, array_to_string(list_sort(list(DISTINCT bank)), ',') AS banks FROM i GROUP BY 1, 2 HAVING count(DISTINCT bank) > 1")
+def collision_classes(spark, sf):
+    items = b.t(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("bank"), F.rint("p_retailprice").cast("long").alias("addr"), F.col("p_size").alias("image"))
+    return R.collision_classes(items, "image").withColumn("banks", F.array_join(F.col("banks").cast("array<string>"), ","))

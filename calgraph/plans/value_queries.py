@@ -110,14 +110,12 @@ def excerpts(spark, sf):
 
 @query("SELECT vec_id, min(z) AS low, max(z) AS high, count(*) AS n FROM cells GROUP BY 1", views=True)
 def grid_extent(spark, sf):
-    c = b.cells(spark, sf)
-    return D.extent(c, ["vec_id"]).join(c.groupBy("vec_id").agg(F.count("*").alias("n")), "vec_id")
+    return D.extent(b.cells(spark, sf), ["vec_id"])
 
 
 @query("SELECT vec_id, row, col, round((z - min(z) OVER w) / (max(z) OVER w - min(z) OVER w), 6) AS heat FROM cells WINDOW w AS (PARTITION BY vec_id)", views=True)
 def grid_heat(spark, sf):
-    c = b.cells(spark, sf)
-    return c.join(D.extent(c, ["vec_id"]), "vec_id").select("vec_id", "row", "col", F.round(M.heat(F.col("z"), F.col("low"), F.col("high")), 6).alias("heat"))
+    return D.with_extent(b.cells(spark, sf), ["vec_id"]).select("vec_id", "row", "col", F.round(M.heat(F.col("z"), F.col("low"), F.col("high")), 6).alias("heat"))
 
 
 @query("SELECT label, min(q) = 0 AS zero, count(*) AS n FROM (SELECT vec_id, label, row, floor(abs(z) * 2) AS q FROM cells) GROUP BY vec_id, row, label HAVING min(q) = max(q)", views=True)
@@ -325,7 +323,7 @@ def declared_locals(spark, sf):
 _LISTED = """WITH l AS (SELECT conv_id * 1000 + turn AS func, conv_id + turn AS k, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: len(x) >= 4) AS w FROM conversations),
 d AS (SELECT func, i, w[i] AS w, (k + i) % 5 AS f FROM (SELECT func, k, w, unnest(range(1, least(len(w), 3) + 1)) AS i FROM l)),
 own AS (SELECT DISTINCT func, w AS name FROM d WHERE f <> 4),
-s AS (SELECT func, i + 3 AS line, w[i] AS w, upper(w[i]) AS u, (k + i) % 9 AS f FROM (SELECT func, k, w, unnest(range(4, len(w) + 1)) AS i FROM l)),
+s AS (SELECT func, i + 4 AS line, w[i] AS w, upper(w[i]) AS u, (k + i) % 9 AS f FROM (SELECT func, k, w, unnest(range(4, len(w) + 1)) AS i FROM l)),
 a AS (SELECT func, least(len(w), 3) + 3 AS line, 'STATE' AS lhs, '1' AS rhs FROM l WHERE k % 3 = 1
 UNION ALL SELECT func, line, CASE f WHEN 0 THEN u WHEN 1 THEN 'p->' || u WHEN 5 THEN u || '[2]' WHEN 6 THEN w || '.x' ELSE w END, CASE f WHEN 0 THEN w WHEN 1 THEN '3' WHEN 5 THEN 'f(' || w || ',' || u || ')' WHEN 6 THEN 'a = ' || u ELSE u || ' & (ushort)iVar1' END FROM s WHERE f IN (0, 1, 5, 6, 8))
 """
@@ -510,3 +508,22 @@ def written_listings(spark, sf):
     d = b.t(spark, sf, "documents").select(F.when(F.col("doc_id") % 2 == 0, "master").otherwise("slave").alias("bank"), F.col("doc_id").alias("addr"), F.coalesce("text", F.lit("")).alias("code"))
     io.write_listings(d, path)
     return spark.read.parquet(path).groupBy("bank").agg(F.count("*").alias("n"), F.sum(F.octet_length("code")).alias("bytes"))
+
+
+@query(""", p AS (SELECT label, vec_id, row, col, (300 + 200 * z) / degrees(atan(2.5 / (5 + row))) AS ratio FROM cells), m AS (SELECT label, median(ratio) AS typical FROM p GROUP BY 1)
+SELECT label, vec_id, row, col, round(ratio, 6) AS ratio, round(typical, 6) AS typical FROM p JOIN m USING (label) WHERE abs(ratio - typical) > 0.6 * abs(typical)""", views=True)
+def ratio_outliers(spark, sf):
+    """Cells as angles over rows as radii."""
+    p = b.cells(spark, sf).withColumns({"radius": 5.0 + F.col("row"), "angle": 300 + 200 * F.col("z")})
+    return D.ratio_outliers(p, "label", "radius", "angle", 2.5, 0.6).select("label", "vec_id", "row", "col", F.round("ratio", 6).alias("ratio"), F.round("typical", 6).alias("typical"))
+
+
+@query("""SELECT image, (i - 1) * 2 AS at, raw1, (raw1 + 1) % 65536 AS raw2 FROM (SELECT vec_id AS image, i, (CAST(trunc(embedding[i] * 1000) AS INTEGER) + 65536) % 65536 AS raw1 FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)) WHERE (image + i) % 97 = 0""")
+def changed_words(spark, sf):
+    """Grids as images, and again with some cells one higher."""
+    word = lambda x: F.lpad(F.hex(F.pmod(x, F.lit(65536))), 4, "0")
+    at = lambda i: F.when((F.col("vec_id") + i + 1) % 97 == 0, 1).otherwise(0)
+    e = b.t(spark, sf, "embeddings")
+    image = lambda f: e.select(F.col("vec_id").alias("image"), F.unhex(F.array_join(F.transform("embedding", f), "")).alias("content"))
+    old, new = image(lambda x: word((x * 1000).cast("long"))), image(lambda x, i: word((x * 1000).cast("long") + at(i)))
+    return D.changed_words(D.changed_blocks(old, new, 32), 32)
