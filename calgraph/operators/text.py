@@ -194,7 +194,9 @@ def listing_statements(listings: DataFrame) -> DataFrame:
 
     Assignments to temporaries and declared locals are left out, and expr, the cleaned right side, reads neither.
     """
-    rows = listings.select("func", locals_of(F.col("code")).alias("locals"), F.posexplode(F.split("code", "\r?\n")).alias("line", "text"))
+    # The locals are bound once a listing and travel with its lines; beside a generator they would be computed for each.
+    lines = lambda own: F.transform(F.split("code", "\r?\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"), own.alias("locals")))
+    rows = listings.select("func", F.explode(F.flatten(F.transform(F.array(locals_of(F.col("code"))), lines))).alias("l")).select("func", "l.*")
     part = lambda i: F.regexp_extract("text", ASSIGNMENT, i)
     rows = rows.select("func", "line", "locals", part(1).alias("output"), clean_expression(part(2)).alias("expr"))
     kept = rows.where((F.col("output") != "") & ~S.is_temporary(F.col("output")) & ~F.array_contains("locals", F.col("output")))
