@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -153,6 +154,32 @@ def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kinds.unionByName(per_edge).unionByName(long_(params, "params", "bank", "n")).unionByName(long_(params, "params_referenced", "bank", "hit")).unionByName(long_(params, "params_referenced_pct", "bank", "pct"))
 
 
+def coverage_figures(nodes: DataFrame, edges: DataFrame, statements: DataFrame, resolved: DataFrame, matches: DataFrame) -> DataFrame:
+    """(metric, value) of the whole graph: one pass over each table, then a row a figure.
+
+    nodes(id, t, named, dense), edges(s, d, o), statements(block, interp), resolved(addr, d) with a null d where a
+    target has no node, matches(matches) as ``signal_ram_matches`` gives them. Percentages have one place and are null
+    without items; null flags count as false.
+    """
+    of = lambda t: F.col("t") == t
+    counted = nodes.agg(
+        F.count_if(of("func")).alias("functions"), F.count_if(of("func") & F.col("named")).alias("named_functions"), F.count_if(of("ram")).alias("ram_symbols"),
+        F.count_if(of("frpage")).alias("pages"), F.count_if(of("frpage") & F.col("dense")).alias("dense_pages"), F.count_if(of("unknown")).alias("names_only_in_documents"),
+    )
+    # One bit tells that code refers to an item, the other that a document names it.
+    flagged = edges.select(F.when(F.col("o") == "fr", F.struct(F.col("s").alias("id"), F.lit(2).alias("bit"))).when(F.col("o").isin("xref", "scan"), F.struct(F.col("d").alias("id"), F.lit(1).alias("bit"))).alias("f")).where("f is not null")
+    bits = flagged.groupBy("f.id").agg(F.bit_or("f.bit").alias("bits"))
+    share = lambda c: F.bround(F.try_divide(100.0 * F.col(c), F.col("params")), 1)
+    params = nodes.where(of("param")).select("id").join(bits, "id", "left")
+    params = params.agg(F.count("*").alias("params"), F.count_if(F.col("bits").bitwiseAND(F.lit(1)) != 0).alias("params_referenced"), F.count_if(F.col("bits").bitwiseAND(F.lit(2)) != 0).alias("params_documented"))
+    params = params.withColumns({"params_referenced_pct": share("params_referenced"), "params_documented_pct": share("params_documented")})
+    logic = statements.agg(F.count_distinct("block").alias("blocks_with_formulas"), F.coalesce(F.sum(F.greatest(F.size("interp"), F.lit(0))), F.lit(0)).alias("lookups_found"))
+    signals = matches.agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("signals_matching_ram"))
+    figures = [counted, params, logic, unresolved_targets(resolved), signals]
+    rows = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns))).alias("f")).select("f.*")
+    return reduce(DataFrame.unionByName, map(rows, figures))
+
+
 ORIGINS = ("fr", "scan", "xref")
 
 
@@ -171,6 +198,23 @@ def degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("d").pivot("k", ["call", "read", "write", "documents"]).count().na.fill(0)
 
 
+def degree_by_origin(edges: DataFrame) -> DataFrame:
+    """Edges into a node by origin and kind: (d, o, call, read, write, documents, documented)."""
+    return edges.groupBy("d", "o").pivot("k", ["call", "read", "write", "documents", "documented"]).count().na.fill(0)
+
+
+def page_links(edges: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, section, page, id, title, place): the pages that name a node, in order of section, page and id.
+
+    pages(id, section, page), documents(section, title); a page without a document has no title, a target that is no
+    page gives no row.
+    """
+    named = edges.where("o = 'fr'").select(F.col("s").alias("node"), F.col("d").alias("id")).distinct().join(pages.select("id", "section", "page"), "id")
+    order = W.partitionBy("node").orderBy("section", "page", "id")
+    titled = named.join(documents.groupBy("section").agg(F.min("title").alias("title")), "section", "left")
+    return titled.withColumn("place", F.row_number().over(order)).select("node", "section", "page", "id", "title", "place")
+
+
 def documents_only_items(edges: DataFrame, items: DataFrame) -> DataFrame:
     """Items named on a page that no measured edge touches."""
     named = edges.where("o = 'fr'").select(F.col("d").alias("id")).distinct()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -488,3 +490,52 @@ def confusable_classes(spark, sf):
 def collision_classes(spark, sf):
     items = b.t(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("bank"), F.rint("p_retailprice").cast("long").alias("addr"), F.col("p_size").alias("image"))
     return R.collision_classes(items, "image").withColumn("banks", F.array_join(F.col("banks").cast("array<string>"), ","))
+
+
+@query("SELECT d, o, count(*) FILTER (k = 'call') AS call, count(*) FILTER (k = 'read') AS read, count(*) FILTER (k = 'write') AS write, count(*) FILTER (k = 'documents') AS documents, count(*) FILTER (k = 'documented') AS documented FROM edges GROUP BY 1, 2")
+def degree_by_origin(spark, sf):
+    return _shown(R.degree_by_origin(b.edges(spark, sf)), "d")
+
+
+@query(""" SELECT s AS node, o_orderpriority AS section, o_orderkey % 100 AS page, d AS id, CASE WHEN o_orderpriority <> '5-LOW' THEN lower(o_orderpriority) END AS title,
+CAST(row_number() OVER (PARTITION BY s ORDER BY o_orderpriority, o_orderkey % 100, d) AS INTEGER) AS place FROM edges JOIN orders ON d = printf('d:%06x', o_orderkey) WHERE o = 'fr'""")
+def node_pages(spark, sf):
+    """Orders as pages of sections by priority; one section has no document."""
+    orders = b.t(spark, sf, "orders")
+    pages = orders.select(b.ident("frpage", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("section"), (F.col("o_orderkey") % 100).alias("page"))
+    docs = pages.select("section").distinct().where("section != '5-LOW'").withColumn("title", F.lower("section"))
+    return _shown(R.page_links(b.edges(spark, sf), pages, docs), "node", "id")
+
+
+_FIGURES = """, every AS (SELECT id, t, name FROM nodes UNION ALL SELECT n_name, 'unknown', n_name FROM nation), params AS (SELECT count(*) AS n, count(*) FILTER (id IN (SELECT d FROM edges WHERE o <> 'fr')) AS ref, count(*) FILTER (id IN (SELECT s FROM edges WHERE o = 'fr' AND k = 'documented' AND s LIKE '%1')) AS doc FROM nodes WHERE t = 'param'),
+words AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM documents) WHERE length(w) >= 4 AND lower(w) IN (SELECT lower(w) FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> '')),
+figures AS (SELECT 'functions' AS metric, (SELECT count(*) FROM supplier) AS value UNION ALL SELECT 'named_functions', (SELECT count(*) FROM supplier WHERE s_name LIKE '%3') UNION ALL SELECT 'ram_symbols', (SELECT count(*) FROM customer) UNION ALL SELECT 'pages', (SELECT count(*) FROM orders)
+UNION ALL SELECT 'dense_pages', (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') UNION ALL SELECT 'names_only_in_documents', (SELECT count(*) FROM nation) UNION ALL SELECT 'params', n FROM params UNION ALL SELECT 'params_referenced', ref FROM params UNION ALL SELECT 'params_documented', doc FROM params
+UNION ALL SELECT 'params_referenced_pct', round_even(100.0 * ref / n, 1) FROM params UNION ALL SELECT 'params_documented_pct', round_even(100.0 * doc / n, 1) FROM params UNION ALL SELECT 'blocks_with_formulas', (SELECT count(DISTINCT block) FROM statements)
+UNION ALL SELECT 'lookups_found', (SELECT sum(len(list_filter(reads, lambda x: starts_with(x, 'th')))) FROM statements) UNION ALL SELECT 'unresolved', (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 5 = 0) UNION ALL SELECT 'signals_matching_ram', (SELECT count(*) FROM words))
+SELECT metric, CAST(value AS DOUBLE) AS value FROM figures"""
+
+
+@query(_FIGURES)
+def coverage_figures(spark, sf):
+    """The figures of the graph with nation names as names of no node, conversations as statements and orders as references."""
+    unknown = b.t(spark, sf, "nation").select(F.lit(-1).cast("long").alias("id"), F.lit("unknown").alias("t"), F.col("n_name").alias("name"))
+    n = b.nodes(spark, sf).select("id", "t", "name").unionByName(unknown)
+    n = n.withColumns({"named": F.endswith("name", F.lit("3")), "dense": F.col("name") == "1-URGENT"})
+    e = b.edges(spark, sf).where(F.when(F.col("o") == "fr", (F.col("k") == "documented") & F.endswith(b.shown("s"), F.lit("1"))).otherwise(True))
+    refs = b.t(spark, sf, "orders").select(F.col("o_custkey").alias("addr"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("d"))
+    return R.coverage_figures(n, e, _told(spark, sf), refs, signal_ram_matches(spark, sf))
+
+
+@query("SELECT 'nodes' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'documents', (SELECT count(DISTINCT o_orderpriority) FROM orders) UNION ALL SELECT 'categories', count(*) FROM nation UNION ALL SELECT 'names', (SELECT count(DISTINCT name) FROM nodes WHERE t <> 'frpage') UNION ALL SELECT 'coverage', 15")
+def written_tables(spark, sf):
+    """The whole graph written and read again: rows of each table."""
+    path = f"{io.shared_folder(spark)}/written-tables-{uuid.uuid4().hex}"
+    n = b.nodes(spark, sf)
+    tables = {
+        "documents": b.t(spark, sf, "orders").select(F.col("o_orderpriority").alias("section")).distinct(), "categories": b.t(spark, sf, "nation").select("n_nationkey", "n_name"),
+        "names": R.first_wins(n.where("t != 'frpage'").select("name", F.col("id").alias("node"), F.col("id").alias("ord")), ["name"], "node"), "coverage": coverage_figures(spark, sf),
+    }
+    io.write_graph(n, b.edges(spark, sf), path, **tables)
+    count = lambda name: spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return reduce(DataFrame.unionByName, map(count, ("nodes", "edges", *tables)))

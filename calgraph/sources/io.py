@@ -109,9 +109,12 @@ def read_log(spark: SparkSession, path: str, schema: str = LOG, stream: bool = F
     return (spark.readStream if stream else spark.read).schema(schema).option("header", True).csv(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, **tables: DataFrame) -> None:
+    """Nodes by kind and edges by origin, and further tables (documents, coverage, categories, names) in folders of their names."""
     nodes.write.mode("overwrite").partitionBy("t").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").partitionBy("o").parquet(f"{path}/edges")
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_listings(listings: DataFrame, path: str) -> None:
