@@ -13,13 +13,12 @@ the others go.
 2. Instead of probing every place of the other line, both lines give the segment at a few places whose
    differences make up all shifts (a difference cover), so t = 2 takes 4 keys a line and t = 5 takes 12.
    A key is the hash of the substring, its segment and the class.
-3. Keys are reduced to least and greatest line hash before they are shuffled, so repeats of a line cost one
-   row per task. Keys that two lines or more share are then looked up by the lines, and only these meet.
-4. Groups of at most ``ALL_PAIRS`` lines give all pairs, larger ones are held against two leaders. In a
-   second round the members outside a group's most frequent class are held against all of other classes,
-   so no link between classes is lost; there the distance itself is the end of the join condition, so only
-   links leave the join, while the comparisons grow with the members outside times all. Letter counts, which
-   an edit changes by one, are part of both conditions.
+3. Lines are made distinct first, so a repeated line costs one row a task. Their keys are shuffled once; both the
+   keys that two lines or more share and the lines that have them are read from that exchange.
+4. All lines that share a key are paired, however many they are: they are dealt to blocks of some ``BLOCK`` lines and
+   the pairs of blocks to tasks. Letter counts prune pairs inside the join, so few leave it: an edit changes the
+   counts of a line's first and of its last half by two together, and in the halves' codes a count of one more
+   differs in one bit, so that a comparison is a bit count; counts of whole lines follow.
 5. Candidates are verified over what is left between the common prefix and suffix: up to ``BITS_UP_TO`` code
    points by a banded bit-parallel recurrence (2 * EDITS + 1 bits that slide along the diagonal), more by
    Spark's own banded distance. A column of the recurrence takes some 8 microseconds in lambda functions, so
@@ -52,8 +51,12 @@ COVERS = {0: (0,), 1: (0, 1), 2: (0, 1, 2), 3: (0, 1, 3), 4: (0, 1, 4, 6)}
 LETTERS = ("etanors", "hilducm")
 #: What is left of a pair may have so many code points to be compared bit-parallel.
 BITS_UP_TO = 32
-#: Lines of a key's group that are paired freely.
-ALL_PAIRS = 16
+#: Letters whose counts in each half prune candidates, a byte each in two longs.
+CODED = (" etanors", "hildwucm")
+#: Lines of a key that make a block.
+BLOCK = 128
+#: What candidates know of a line.
+KNOWN = ("h", "len", *(f"letters{i}" for i in range(len(LETTERS))), *(f"half{i}" for i in range(2 * len(CODED))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -80,17 +83,26 @@ def places(edits: int) -> list[int]:
     return [i * 256 + a * 16 + COVERS[m][-1] for i in range(edits + 1) for m in [min(i, edits - i)] for a in COVERS[m]]
 
 
-def keyed(lines: DataFrame) -> DataFrame:
-    """(key, h, len, line), a row for each key of each line."""
+def entered(lines: DataFrame) -> DataFrame:
+    """(h, len, line, c), a row for each class that a line enters."""
     c = _div(F.col("len"), STEP)
     below = (c > 0) & (F.pmod(F.col("len"), F.lit(STEP)) < _class_budget(c - 1))
     rows = lines.select("h", "len", "line", F.explode(F.when(below, F.array(c, c - 1)).otherwise(F.array(c))).alias("c"))
-    rows = rows.withColumn("t", _class_budget(F.col("c"))).where("t > 0").withColumn("size", _div(F.col("c") * STEP, F.col("t") + 1))
+    return rows.where(_class_budget(F.col("c")) > 0)
+
+
+def keyed(lines: DataFrame) -> DataFrame:
+    """(key, h, c), a row for each key of each line; a line of equal signs may give a key twice."""
+    rows = entered(lines).withColumn("t", _class_budget(F.col("c"))).withColumn("size", _div(F.col("c") * STEP, F.col("t") + 1))
     every = F.array(*(F.array(*(F.lit(x) for x in places(t))) for t in range(EDITS + 1)))
-    rows = rows.select("h", "len", "line", "c", "t", "size", F.explode(F.get(every, F.col("t"))).alias("x"))
+    # Where each sign is a byte, a substring of the bytes is cut without counting code points.
+    rows = rows.select("h", "c", "t", "len", "size", F.col("line").cast("binary").alias("raw"), (F.octet_length("line") == F.col("len")).alias("plain"), F.explode(F.get(every, F.col("t"))).alias("x"))
     i, place, last = F.shiftright("x", 8), F.shiftright("x", 4).bitwiseAND(F.lit(15)), F.col("x").bitwiseAND(F.lit(15))
     start = F.when(i * 2 <= F.col("t"), i * F.col("size")).otherwise(F.col("len") - (F.col("t") + 1 - i) * F.col("size"))
-    return rows.select(F.xxhash64(F.substring("line", start + place + 1, F.col("size") - last), "c", i).alias("key"), "h", "len", "line")
+    rows = rows.select("h", "c", "raw", "plain", i.alias("i"), (start + place + 1).alias("from"), (F.col("size") - last).alias("n"))
+    cut = lambda x: F.substring(x, F.col("from"), F.col("n"))
+    piece = F.when(F.col("plain"), cut(F.col("raw"))).otherwise(cut(F.col("raw").cast("string")).cast("binary"))
+    return rows.select(F.xxhash64(piece, "c", "i").alias("key"), "h", "c")
 
 
 def _letters(line: Column, letters: str) -> Column:
@@ -103,72 +115,62 @@ def _apart(a: Column, b: Column) -> Column:
     """Sum of the differences of two lines' letter counts, all bytes at once: a join compares many pairs."""
     every = lambda byte: F.lit(int.from_bytes([byte] * 7, "big")).cast("long")
     more, less = (x.bitwiseOR(every(0x80)) - y for x, y in ((a, b), (b, a)))  # bytes 128 + a - b and 128 + b - a
-    up = F.shiftright(more.bitwiseAND(every(0x80)), 7)
-    low = up * 127  # all value bits where a is not less
+    low = F.shiftright(more.bitwiseAND(every(0x80)), 7) * 127  # all value bits where a is not less
     gap = more.bitwiseAND(low).bitwiseOR(less.bitwiseAND(low.bitwiseXOR(every(0x7F))))
     twos = gap.bitwiseAND(F.lit(0x00FF00FF00FF00FF)) + F.shiftright(gap, 8).bitwiseAND(F.lit(0x00FF00FF00FF00FF))
-    fours = twos + F.shiftright(twos, 16)
-    return (fours + F.shiftright(fours, 32)).bitwiseAND(F.lit(0xFFFF))
+    return twos % F.lit(0xFFFF)  # its four parts' sum, as 1 << 16 leaves 1
 
 
-def shared(lines: DataFrame) -> DataFrame:
-    """(key, h): the lines of every key that two lines or more have."""
-    keys = keyed(lines).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
-    return written(keyed(lines).join(small(written(keys)), "key").select("key", "h").distinct())
+def _codes(part: Column, letters: str) -> Column:
+    """Counts of eight letters, a byte each, coded so that a count and the next one differ in one bit: as many bits of two codes differ as the counts do, or fewer."""
+    ring = F.array(*(F.lit((1 << k) - 1 if k <= 8 else 0xFF ^ ((1 << k - 8) - 1)).cast("long") for k in range(16)))
+    count = lambda c: F.length(part) - F.length(F.replace(part, c, F.lit("")))
+    return F.aggregate(F.array(*(F.lit(c) for c in letters)), F.lit(0).cast("long"), lambda s, c: F.shiftleft(s, 8).bitwiseOR(F.get(ring, count(c).bitwiseAND(F.lit(15)))))
+
 
+def halves(line: Column, c: Column) -> list[Column]:
+    """Letter codes of a line's first and of its last code points, as many as half of class c's least length."""
+    n = c * (STEP // 2)
+    return [_codes(part, letters) for part in (F.substring(line, F.lit(1), n), F.right(line, n)) for letters in CODED]
 
-def texts_of(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """(h, line, len, letters0, letters1) of the lines in rows(key, h), each once."""
-    wanted = small(written(rows.select("h").distinct()))
-    texts = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    return written(texts.select("h", "line", F.length("line").alias("len"), *(_letters(F.col("line"), x).alias(f"letters{i}") for i, x in enumerate(LETTERS))))
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(h, len, line) of the lines that have a budget, each once."""
+    return written(lines_of(docs).where(F.col("len") >= STEP).select("h", "len", "line").distinct())
 
-def members(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, h, len, letters0, letters1, n, lead): n lines have the key; lead: the line is one of the group's leaders."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1")
-    lead = (F.col("n") <= ALL_PAIRS) | F.col("h").isin(F.col("lo"), F.col("hi"))
-    return written(rows.join(small(written(sizes)), "key").join(small(texts.select("h", "len", "letters0", "letters1")), "h").select("key", "h", "len", "letters0", "letters1", "n", lead.alias("lead")))
+
+def shared(lines: DataFrame) -> DataFrame:
+    """(key, h, c, n): the lines of every key that two lines or more have, n or fewer."""
+    # Both sides are dealt by key alike, so the keys are made and shuffled once.
+    keys = keyed(lines).repartition("key")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key", "n")
+    return written(keys.join(sizes.hint("shuffle_hash"), "key").select("key", "h", "c", "n").distinct())
 
 
-def _sides(rows: DataFrame, extra: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("h", "len", "letters0", "letters1", extra))) for side in ("a", "b"))
+def members(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines (h, line) that share a key, and rows of (key, h, n, len) with what letters they have."""
+    wanted = small(written(rows.select("h", "c").distinct()))
+    texts = entered(lines).join(wanted, ["h", "c"])
+    texts = texts.select("h", "c", "len", "line", *(_letters(F.col("line"), x).alias(f"letters{i}") for i, x in enumerate(LETTERS)), *(x.alias(f"half{i}") for i, x in enumerate(halves(F.col("line"), F.col("c")))))
+    texts = written(texts)
+    return texts.select("h", "line").distinct(), written(rows.join(small(texts.drop("line")), ["h", "c"]).drop("c"))
 
 
 def _alike() -> Column:
     """What the lengths and letters of two lines within the budget allow."""
     most = budget(F.least("a_len", "b_len"))
-    return (F.abs(F.col("a_len") - F.col("b_len")) <= most) & (sum((_apart(F.col(f"a_letters{i}"), F.col(f"b_letters{i}")) for i in range(len(LETTERS))), F.lit(0)) <= 2 * most)
+    bits = sum((F.bit_count(F.col(f"a_half{i}").bitwiseXOR(F.col(f"b_half{i}"))) for i in range(2 * len(CODED))), F.lit(0))
+    return (F.abs(F.col("a_len") - F.col("b_len")) <= most) & (bits <= 2 * most) & (sum((_apart(F.col(f"a_letters{i}"), F.col(f"b_letters{i}")) for i in range(len(LETTERS))), F.lit(0)) <= 2 * most)
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of each key's lines with its leaders."""
-    a, b = _sides(rows, "lead")
-    pairs = a.join(b.where("b_lead"), "key").where((F.col("a_h") != F.col("b_h")) & (~F.col("a_lead") | (F.col("a_h") < F.col("b_h"))) & _alike())
-    return pairs.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")).distinct()
-
-
-def more_links(rows: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of a large group's lines outside its most frequent class to those of other classes.
-
-    Spark's banded distance is the last part of the join condition, so that only links leave the join. A pair
-    is compared under the least key that both lines have.
-    """
-    rows = rows.where(F.col("n") > ALL_PAIRS).join(known.select(F.col("id").alias("h"), "label"), "h", "left").withColumn("label", F.coalesce("label", "h"))
-    rows = written(rows)
-    counts = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
-    open_ = counts.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
-    rows = rows.join(small(written(open_)), "key")
-    # A line has no more keys than it gives, so the arrays are short.
-    keys = rows.groupBy("h").agg(F.collect_set("key").alias("keys"))
-    rows = written(rows.join(keys, "h").join(texts.select("h", "line"), "h"))
-    names = ["h", "len", "letters0", "letters1", "label", "keys", "line"]
-    a, b = (df.select("key", *more, *(F.col(c).alias(f"{side}_{c}") for c in names)) for df, side, more in ((rows.where("label != main"), "a", ["main"]), (rows, "b", [])))
-    once = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("main")) | (F.col("a_h") < F.col("b_h")))
-    least = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
-    near = F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), budget(F.least("a_len", "b_len"))) >= 0
-    pairs = a.join(b, "key").where(once & _alike() & least & near)
-    return pairs.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b"))
+    """Pairs (a, b), a < b, of all lines that share a key. A key's lines are dealt to blocks, and its pairs of blocks to tasks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    side = lambda name, low, high, *at: rows.withColumn("j", F.explode(F.sequence(low, high))).select("key", *(F.col(x).alias(y) for x, y in zip(at, ("low", "high"), strict=True)), *(F.col(x).alias(f"{name}_{x}") for x in KNOWN))
+    a, b = side("a", F.col("i"), F.col("blocks") - 1, "i", "j"), side("b", F.lit(0), F.col("i"), "j", "i")
+    pairs = a.join(b, ["key", "low", "high"]).where(((F.col("low") < F.col("high")) | (F.col("a_h") < F.col("b_h"))) & (F.col("a_h") != F.col("b_h")) & _alike())
+    return written(pairs.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")).distinct())
 
 
 def common_prefix(a: Column, b: Column, top: int = 1 << 16) -> Column:
@@ -238,36 +240,31 @@ def within(a: Column, b: Column, most: Column) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of line hashes that are within the budget."""
-    a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("x")), texts.select(F.col("h").alias("b"), F.col("line").alias("y"))
+    a, b = (texts.select(F.col("h").alias(at), F.col("line").alias(line), F.length("line").alias(f"{line}_len")) for at, line in (("a", "x"), ("b", "y")))
     x, y = F.col("x"), F.col("y")
-    return written(pairs.join(a, "a").join(b, "b").where(within(x, y, budget(F.least(F.length("x"), F.length("y"))))).select("a", "b"))
+    most = budget(F.least("x_len", "y_len"))
+    return written(pairs.join(a, "a").join(b, "b").where(within(x, y, most)).select("a", "b"))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of hashes of lines within the budget, and the classes (id, label) that they make up."""
-    lines = lines_of(docs)
-    rows = shared(lines)
-    texts = texts_of(lines, rows)
-    rows = members(rows, texts)
+    """All pairs (a, b) of hashes of lines within the budget, and the classes (id, label) that they make up."""
+    lines = texts_of(docs)
+    texts, rows = members(shared(lines), lines)
     found = verified(candidates(rows), texts)
-    known = components(found)
-    more = written(more_links(rows, known, texts))
-    if not more.isEmpty():
-        found = found.unionByName(more)
-        known = components(found)
-    return found, known
+    return found, components(found)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_lines, n_removed, n_near (removed, and not equal to an earlier line), n_links (other texts in its lines' classes), chars, kept_chars, class_id (smallest id that a class of its lines starts in)."""
+    """Per document: id, n_lines, n_removed, n_near (removed, and not equal to an earlier line), n_links (other texts in its lines' classes), n_pairs (other texts within the budget of its lines), chars, kept_chars, class_id (smallest id that a class of its lines starts in)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # Tells documents of one id apart, and those without an id row by row.
     keyed = docs.withColumn("key", F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text")))
-    _, known = links(docs)
+    found, known = links(docs)
     sizes = small(written(known.groupBy("label").agg((F.count("*") - 1).alias("links"))))
-    near = small(written(known.join(sizes, "label").select(F.col("id").alias("h"), "label", "links")))
+    pairs = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
+    near = small(written(known.join(sizes, "label").join(pairs, "id").select(F.col("id").alias("h"), "label", "links", "pairs")))
     lines = lines_of(keyed).select("id", "key", "no", "h", "len").distinct().join(near, "h", "left")
-    lines = written(lines.select("id", "key", "no", "h", "len", F.coalesce("label", "h").alias("c"), F.coalesce("links", F.lit(0)).alias("links")))
+    lines = written(lines.select("id", "key", "no", "h", "len", F.coalesce("label", "h").alias("c"), *(F.coalesce(x, F.lit(0)).alias(x) for x in ("links", "pairs"))))
     at = F.struct("id", "key", "no")
     first = lines.groupBy("c").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("_c"), "first")
     # Where a line has no links, its class holds its repeats only.
@@ -275,10 +272,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = lines.join(small(written(first)), F.col("c") == F.col("_c"), "left").join(small(written(equal)), F.col("h") == F.col("_h"), "left")
     gone, again = (F.coalesce(at > c, F.lit(False)) for c in (F.col("first"), F.coalesce("same", "first")))
     total = lines.groupBy("id").agg(
-        F.count("*").alias("n_lines"), F.count_if(gone).alias("n_removed"), F.count_if(gone & ~again).alias("n_near"), F.sum("links").alias("n_links"),
+        F.count("*").alias("n_lines"), F.count_if(gone).alias("n_removed"), F.count_if(gone & ~again).alias("n_near"), F.sum("links").alias("n_links"), F.sum("pairs").alias("n_pairs"),
         F.sum("len").alias("chars"), F.sum(F.when(gone, 0).otherwise(F.col("len"))).alias("kept_chars"), F.min(F.coalesce("first.id", "id")).alias("class_id"),
     )
-    counts = ["n_lines", "n_removed", "n_near", "n_links", "chars", "kept_chars"]
+    counts = ["n_lines", "n_removed", "n_near", "n_links", "n_pairs", "chars", "kept_chars"]
     total = total.withColumnRenamed("id", "_id")
     out = docs.select("id").distinct().join(total, F.col("id").eqNullSafe(F.col("_id")), "left")
     return out.select(F.col("id").alias(id_col), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("class_id", "id").alias("class_id"))

@@ -92,3 +92,35 @@ def test_letter_differences_against_plain(spark):
     df = spark.createDataFrame(rows, "x string, y string").select("x", "y", line_dedup._apart(line_dedup._letters(F.col("x"), line_dedup.LETTERS[0]), line_dedup._letters(F.col("y"), line_dedup.LETTERS[0])).alias("n"))
     for r in df.collect():
         assert r.n == sum(abs(min(127, r.x.count(c)) - min(127, r.y.count(c))) for c in line_dedup.LETTERS[0])
+
+
+def test_large_groups_lose_no_pair(spark, monkeypatch):
+    """All pairs within the budget, inside classes too, in groups of one block and of many; n_pairs counts them by document."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(2, 8)))
+    base = [" ".join(word() for _ in range(n)) for n in (9, 16, 40)]
+    lines = sorted({spread(b, rng.randrange(5), rng) for b in base for _ in range(40)})
+    want = {(a, b) for i, b in enumerate(lines) for a in lines[:i] if (t := H.line_budget(min(len(a), len(b)))) and H.near(a, b, t)}
+    rows = [(i, f"{x}\n{x}\nshort {i}", None, None, 0) for i, x in enumerate(lines)]
+    docs = H.frame(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    h = {r.h: r.line for r in line_dedup.lines_of(docs).collect()}
+    for block in (128, 16):
+        monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+        got = [tuple(sorted((h[r.a], h[r.b]))) for r in line_dedup.links(docs)[0].collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 250
+    got = {r.doc_id: r.n_pairs for r in line_dedup.dedup_lines(H.frame(spark, rows)).collect()}
+    assert got == {i: 2 * sum(x in p for p in want) for i, x in enumerate(lines)}
+
+
+def test_letter_codes_never_exceed_the_edits(spark):
+    """Bits of the halves' codes in which two lines differ are two an edit at most."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(150):
+        x = "".join(rng.choice(" etanorshildwucmé") for _ in range(rng.randrange(64, 400)))
+        k = rng.randrange(6)
+        rows.append((x, spread(x, k, rng) if k else x, k))
+    df = spark.createDataFrame(rows, "x string, y string, k int").withColumn("c", F.floor(F.least(F.length("x"), F.length("y")) / 32).cast("int"))
+    both = zip(*(line_dedup.halves(F.col(side), F.col("c")) for side in ("x", "y")), strict=True)
+    for r in df.select("k", sum((F.bit_count(a.bitwiseXOR(b)) for a, b in both), F.lit(0)).alias("n")).collect():
+        assert r.n <= 2 * r.k
