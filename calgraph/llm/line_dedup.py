@@ -19,9 +19,10 @@ the others go.
    the pairs of blocks to tasks. Letter counts prune pairs inside the join, so few leave it: an edit changes the
    counts of a line's first and of its last half by two together, and in the halves' codes a count of one more
    differs in one bit, so that a comparison is a bit count; counts of whole lines follow.
-5. Candidates are verified over what is left between the common prefix and suffix: up to ``BITS_UP_TO`` code
-   points by a banded bit-parallel recurrence (2 * EDITS + 1 bits that slide along the diagonal), more by
-   Spark's own banded distance. A column of the recurrence takes some 8 microseconds in lambda functions, so
+5. In groups of more than ``FREE`` lines Spark's banded distance is the end of the join condition, so that only links
+   leave the join. Other candidates are verified over what is left between the common prefix and suffix: up to
+   ``BITS_UP_TO`` code points by a banded bit-parallel recurrence (2 * EDITS + 1 bits that slide along the diagonal),
+   more by Spark's own banded distance. A column of the recurrence takes some 8 microseconds in lambda functions, so
    pairs that differ at both ends of a long line would take milliseconds.
 Lines are known by a 64-bit hash; texts are fetched only for candidates.
 
@@ -53,6 +54,8 @@ LETTERS = ("etanors", "hilducm")
 BITS_UP_TO = 32
 #: Letters whose counts in each half prune candidates, a byte each in two longs.
 CODED = (" etanors", "hildwucm")
+#: Lines of a key whose pairs may leave the join before their distance is known.
+FREE = 16
 #: Lines of a key that make a block.
 BLOCK = 128
 #: What candidates know of a line.
@@ -84,25 +87,26 @@ def places(edits: int) -> list[int]:
 
 
 def entered(lines: DataFrame) -> DataFrame:
-    """(h, len, line, c), a row for each class that a line enters."""
+    """(e, h, len, line, c), a row for each class that a line enters; e is h, or its complement in the class below."""
     c = _div(F.col("len"), STEP)
     below = (c > 0) & (F.pmod(F.col("len"), F.lit(STEP)) < _class_budget(c - 1))
     rows = lines.select("h", "len", "line", F.explode(F.when(below, F.array(c, c - 1)).otherwise(F.array(c))).alias("c"))
-    return rows.where(_class_budget(F.col("c")) > 0)
+    rows = rows.where(_class_budget(F.col("c")) > 0)
+    return rows.withColumn("e", F.when(F.col("c") == _div(F.col("len"), STEP), F.col("h")).otherwise(F.bitwise_not("h")))
 
 
 def keyed(lines: DataFrame) -> DataFrame:
-    """(key, h, c), a row for each key of each line; a line of equal signs may give a key twice."""
+    """(key, e), a row for each key of each line; a line of equal signs may give a key twice."""
     rows = entered(lines).withColumn("t", _class_budget(F.col("c"))).withColumn("size", _div(F.col("c") * STEP, F.col("t") + 1))
     every = F.array(*(F.array(*(F.lit(x) for x in places(t))) for t in range(EDITS + 1)))
     # Where each sign is a byte, a substring of the bytes is cut without counting code points.
-    rows = rows.select("h", "c", "t", "len", "size", F.col("line").cast("binary").alias("raw"), (F.octet_length("line") == F.col("len")).alias("plain"), F.explode(F.get(every, F.col("t"))).alias("x"))
+    rows = rows.select("e", "c", "t", "len", "size", F.col("line").cast("binary").alias("raw"), (F.octet_length("line") == F.col("len")).alias("plain"), F.explode(F.get(every, F.col("t"))).alias("x"))
     i, place, last = F.shiftright("x", 8), F.shiftright("x", 4).bitwiseAND(F.lit(15)), F.col("x").bitwiseAND(F.lit(15))
     start = F.when(i * 2 <= F.col("t"), i * F.col("size")).otherwise(F.col("len") - (F.col("t") + 1 - i) * F.col("size"))
-    rows = rows.select("h", "c", "raw", "plain", i.alias("i"), (start + place + 1).alias("from"), (F.col("size") - last).alias("n"))
+    rows = rows.select("e", "c", "raw", "plain", i.alias("i"), (start + place + 1).alias("from"), (F.col("size") - last).alias("n"))
     cut = lambda x: F.substring(x, F.col("from"), F.col("n"))
     piece = F.when(F.col("plain"), cut(F.col("raw"))).otherwise(cut(F.col("raw").cast("string")).cast("binary"))
-    return rows.select(F.xxhash64(piece, "c", "i").alias("key"), "h", "c")
+    return rows.select(F.xxhash64(piece, "c", "i").alias("key"), "e")
 
 
 def _letters(line: Column, letters: str) -> Column:
@@ -140,20 +144,20 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def shared(lines: DataFrame) -> DataFrame:
-    """(key, h, c, n): the lines of every key that two lines or more have, n or fewer."""
-    # Both sides are dealt by key alike, so the keys are made and shuffled once.
+    """(key, e, n): the lines of every key that two lines or more have, n or fewer."""
+    # Both sides are dealt by key and hold the same columns, so the keys are made and shuffled once.
     keys = keyed(lines).repartition("key")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key", "n")
-    return written(keys.join(sizes.hint("shuffle_hash"), "key").select("key", "h", "c", "n").distinct())
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo < hi").select("key", "n")
+    return written(keys.join(sizes.hint("shuffle_hash"), "key").select("key", "e", "n").distinct())
 
 
 def members(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines (h, line) that share a key, and rows of (key, h, n, len) with what letters they have."""
-    wanted = small(written(rows.select("h", "c").distinct()))
-    texts = entered(lines).join(wanted, ["h", "c"])
-    texts = texts.select("h", "c", "len", "line", *(_letters(F.col("line"), x).alias(f"letters{i}") for i, x in enumerate(LETTERS)), *(x.alias(f"half{i}") for i, x in enumerate(halves(F.col("line"), F.col("c")))))
+    """The lines (h, line) that share a key, and rows of (key, n, h, len) with what letters they have."""
+    wanted = small(written(rows.select("e").distinct()))
+    texts = entered(lines).join(wanted, "e")
+    texts = texts.select("e", "h", "len", "line", *(_letters(F.col("line"), x).alias(f"letters{i}") for i, x in enumerate(LETTERS)), *(x.alias(f"half{i}") for i, x in enumerate(halves(F.col("line"), F.col("c")))))
     texts = written(texts)
-    return texts.select("h", "line").distinct(), written(rows.join(small(texts.drop("line")), ["h", "c"]).drop("c"))
+    return texts.select("h", "line").distinct(), written(rows.join(small(texts.drop("line")), "e").drop("e"))
 
 
 def _alike() -> Column:
@@ -163,14 +167,30 @@ def _alike() -> Column:
     return (F.abs(F.col("a_len") - F.col("b_len")) <= most) & (bits <= 2 * most) & (sum((_apart(F.col(f"a_letters{i}"), F.col(f"b_letters{i}")) for i in range(len(LETTERS))), F.lit(0)) <= 2 * most)
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of all lines that share a key. A key's lines are dealt to blocks, and its pairs of blocks to tasks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    side = lambda name, low, high, *at: rows.withColumn("j", F.explode(F.sequence(low, high))).select("key", *(F.col(x).alias(y) for x, y in zip(at, ("low", "high"), strict=True)), *(F.col(x).alias(f"{name}_{x}") for x in KNOWN))
+def _paired(rows: DataFrame, known: tuple[str, ...], more: Column | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of all lines that share a key and meet ``more``. A key's lines are dealt to blocks, and its pairs of blocks to tasks."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    side = lambda name, low, high, *at: rows.withColumn("j", F.explode(F.sequence(low, high))).select("key", *(F.col(x).alias(y) for x, y in zip(at, ("low", "high"), strict=True)), *(F.col(x).alias(f"{name}_{x}") for x in known))
     a, b = side("a", F.col("i"), F.col("blocks") - 1, "i", "j"), side("b", F.lit(0), F.col("i"), "j", "i")
-    pairs = a.join(b, ["key", "low", "high"]).where(((F.col("low") < F.col("high")) | (F.col("a_h") < F.col("b_h"))) & (F.col("a_h") != F.col("b_h")) & _alike())
-    return written(pairs.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")).distinct())
+    near = ((F.col("low") < F.col("high")) | (F.col("a_h") < F.col("b_h"))) & (F.col("a_h") != F.col("b_h")) & _alike()
+    pairs = a.join(b, ["key", "low", "high"]).where(near if more is None else near & more)
+    return pairs.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")).distinct()
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs of all lines that share a key of ``FREE`` lines at most; there are few for each line."""
+    return _paired(rows.where(F.col("n") <= FREE), KNOWN)
+
+
+def crowded(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of all lines that share a key of more lines. Spark's banded distance is the last part of the join condition, so that only links leave the join; a pair is compared under the least such key that both have."""
+    rows = rows.where(F.col("n") > FREE)
+    # A line has no more keys than it gives, so the arrays are short.
+    keys = written(rows.groupBy("h").agg(F.collect_set("key").alias("keys")))
+    rows = written(rows.join(keys, "h").join(texts, "h"))
+    least = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
+    near = F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), budget(F.least("a_len", "b_len"))) >= 0
+    return written(_paired(rows, (*KNOWN, "keys", "line"), least & near))
 
 
 def common_prefix(a: Column, b: Column, top: int = 1 << 16) -> Column:
@@ -250,7 +270,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All pairs (a, b) of hashes of lines within the budget, and the classes (id, label) that they make up."""
     lines = texts_of(docs)
     texts, rows = members(shared(lines), lines)
-    found = verified(candidates(rows), texts)
+    found = written(verified(candidates(rows), texts).unionByName(crowded(rows, texts)).distinct())
     return found, components(found)
 
 
