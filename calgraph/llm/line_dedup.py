@@ -13,8 +13,10 @@ the others go.
 2. Instead of probing every place of the other line, both lines give the segment at a few places whose
    differences make up all shifts (a difference cover), so t = 2 takes 4 keys a line and t = 5 takes 12.
    A key is the hash of the substring, its segment and the class.
-3. Lines are made distinct first, so a repeated line costs one row a task. Their keys are shuffled once; both the
-   keys that two lines or more share and the lines that have them are read from that exchange.
+3. Texts are not shuffled to make lines distinct: keys come straight from the documents and are made distinct where
+   they are shared. Only lines of more than ``COPIES`` copies are made distinct before, so a repeated line costs one row a
+   task. Keys are shuffled once; both the keys that two lines or more share and the lines that have them are read from
+   that exchange.
 4. All lines that share a key are paired, however many they are: they are dealt to blocks of some ``BLOCK`` lines and
    the pairs of blocks to tasks. Letter counts prune pairs inside the join, so few leave it: an edit changes the
    counts of a line's first and of its last half by two together, and in the halves' codes a count of one more
@@ -36,6 +38,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import let, small, table, written
@@ -54,6 +57,9 @@ LETTERS = ("etanors", "hilducm")
 BITS_UP_TO = 32
 #: Letters whose counts in each half prune candidates, a byte each in two longs.
 CODED = (" etanors", "hildwucm")
+#: Copies that a line may have to be keyed copy by copy, and as a share of all lines; few lines can have more than both.
+COPIES = 16
+SHARE = 500_000
 #: Lines of a key whose pairs may leave the join before their distance is known.
 FREE = 16
 #: Lines of a key that make a block.
@@ -138,23 +144,36 @@ def halves(line: Column, c: Column) -> list[Column]:
     return [_codes(part, letters) for part in (F.substring(line, F.lit(1), n), F.right(line, n)) for letters in CODED]
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """(h, len, line) of the lines that have a budget, each once."""
-    return written(lines_of(docs).where(F.col("len") >= STEP).select("h", "len", "line").distinct())
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(id, key, no, h, len, copies), a row for each line of each document; copies counts rows that repeat an id and a text."""
+    # Tells documents of one id apart, and those without an id row by row.
+    keyed = docs.withColumn("key", F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text")))
+    return written(lines_of(keyed).groupBy("id", "key", "no", "h", "len").agg(F.count("*").alias("copies")))
+
+
+def texts_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(h, len, line) of the lines that have a budget; lines of many copies once, the others copy by copy."""
+    lines = lines_of(docs.select("text")).where(F.col("len") >= STEP).select("h", "len", "line")
+    seen = seen.where(F.col("len") >= STEP)
+    most = max(COPIES, (seen.agg(F.sum("copies")).first()[0] or 0) // SHARE)
+    # SHARE rows at most, however many lines there are.
+    often = F.broadcast(written(seen.groupBy("h").agg(F.sum("copies").alias("n")).where(F.col("n") > most).select("h")))
+    return lines.join(often, "h", "left_anti").unionByName(written(lines.join(often, "h", "left_semi").distinct()))
 
 
 def shared(lines: DataFrame) -> DataFrame:
-    """(key, e, n): the lines of every key that two lines or more have, n or fewer."""
+    """(key, e, n): the n lines of every key that two lines or more have."""
     # Both sides are dealt by key and hold the same columns, so the keys are made and shuffled once.
     keys = keyed(lines).repartition("key")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo < hi").select("key", "n")
-    return written(keys.join(sizes.hint("shuffle_hash"), "key").select("key", "e", "n").distinct())
+    sizes = keys.groupBy("key").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).where("lo < hi").select("key")
+    rows = keys.join(sizes.hint("shuffle_hash"), "key").select("key", "e").distinct()
+    return written(rows.withColumn("n", F.count("*").over(W.partitionBy("key"))))
 
 
 def members(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines (h, line) that share a key, and rows of (key, n, h, len) with what letters they have."""
     wanted = small(written(rows.select("e").distinct()))
-    texts = entered(lines).join(wanted, "e")
+    texts = entered(lines).join(wanted, "e").select("e", "h", "len", "line", "c").distinct()
     texts = texts.select("e", "h", "len", "line", *(_letters(F.col("line"), x).alias(f"letters{i}") for i, x in enumerate(LETTERS)), *(x.alias(f"half{i}") for i, x in enumerate(halves(F.col("line"), F.col("c")))))
     texts = written(texts)
     return texts.select("h", "line").distinct(), written(rows.join(small(texts.drop("line")), "e").drop("e"))
@@ -266,9 +285,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(pairs.join(a, "a").join(b, "b").where(within(x, y, most)).select("a", "b"))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All pairs (a, b) of hashes of lines within the budget, and the classes (id, label) that they make up."""
-    lines = texts_of(docs)
+    lines = texts_of(docs, occurrences(docs) if seen is None else seen)
     texts, rows = members(shared(lines), lines)
     found = written(verified(candidates(rows), texts).unionByName(crowded(rows, texts)).distinct())
     return found, components(found)
@@ -277,13 +296,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_lines, n_removed, n_near (removed, and not equal to an earlier line), n_links (other texts in its lines' classes), n_pairs (other texts within the budget of its lines), chars, kept_chars, class_id (smallest id that a class of its lines starts in)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Tells documents of one id apart, and those without an id row by row.
-    keyed = docs.withColumn("key", F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text")))
-    found, known = links(docs)
+    seen = occurrences(docs)
+    found, known = links(docs, seen)
     sizes = small(written(known.groupBy("label").agg((F.count("*") - 1).alias("links"))))
     pairs = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
     near = small(written(known.join(sizes, "label").join(pairs, "id").select(F.col("id").alias("h"), "label", "links", "pairs")))
-    lines = lines_of(keyed).select("id", "key", "no", "h", "len").distinct().join(near, "h", "left")
+    lines = seen.join(near, "h", "left")
     lines = written(lines.select("id", "key", "no", "h", "len", F.coalesce("label", "h").alias("c"), *(F.coalesce(x, F.lit(0)).alias(x) for x in ("links", "pairs"))))
     at = F.struct("id", "key", "no")
     first = lines.groupBy("c").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("_c"), "first")

@@ -1,10 +1,13 @@
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import helpers as H
 import pytest
 from pyspark.sql import functions as F
 
 from calgraph.llm import line_dedup
+from calgraph.llm.common import written
 
 
 def classes_of(spark, lines):
@@ -124,3 +127,34 @@ def test_letter_codes_never_exceed_the_edits(spark):
     both = zip(*(line_dedup.halves(F.col(side), F.col("c")) for side in ("x", "y")), strict=True)
     for r in df.select("k", sum((F.bit_count(a.bitwiseXOR(b)) for a, b in both), F.lit(0)).alias("n")).collect():
         assert r.n <= 2 * r.k
+
+
+def test_texts_are_not_moved_to_make_lines_distinct(spark, monkeypatch):
+    """Lines that have no partner leave no text in the operator's tables, and lines of many copies count as before."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    rows = [(i, "\n".join(" ".join(word() for _ in range(120)) for _ in range(8)), None, None, 0) for i in range(400)]
+    made = []
+    monkeypatch.setattr(line_dedup, "written", lambda df: made.append(written(df)) or made[-1])
+    got = line_dedup.dedup_lines(H.frame(spark, rows)).collect()
+    assert len(got) == 400 and all(r.n_lines == 8 and r.n_removed == 0 for r in got)
+    kept = sum(Path(urlparse(f).path).stat().st_size for df in made for f in df.inputFiles())
+    assert kept < 0.25 * sum(len(r[1]) for r in rows)
+
+
+@pytest.mark.parametrize(("copies", "share"), [(0, 500_000), (16, 500_000), (16, 1)])
+def test_copies_are_keyed_once_or_one_by_one(spark, monkeypatch, copies, share):
+    monkeypatch.setattr(line_dedup, "COPIES", copies)
+    monkeypatch.setattr(line_dedup, "SHARE", share)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    base = [" ".join(word() for _ in range(20)) for _ in range(3)]
+    lines = [x for b in base for x in (b, spread(b, 2, rng), spread(b, 4, rng))]
+    times = [1, 40, 3, 2, 1, 17, 16, 1, 1]
+    rows = [(i, x, None, None, 0) for i, x in enumerate(x for x, k in zip(lines, times, strict=True) for _ in range(k))]
+    docs = H.frame(spark, rows + rows[:50]).select(F.col("doc_id").alias("id"), "text")
+    want = {(a, b) for a in lines for b in lines if a < b and H.near(a, b, H.line_budget(min(len(a), len(b))))}
+    groups = line_dedup.shared(line_dedup.texts_of(docs, line_dedup.occurrences(docs))).collect()
+    assert len(groups) == len({(r.key, r.e) for r in groups}) and all(r.n == sum(s.key == r.key for s in groups) for r in groups)
+    got = {r.doc_id: (r.n_lines, r.n_pairs) for r in line_dedup.dedup_lines(H.frame(spark, rows + rows[:50])).collect()}
+    assert got == {r[0]: (1, sum(r[1] in p for p in want)) for r in rows} and len(want) >= 6
