@@ -78,10 +78,15 @@ def hysteresis(samples: DataFrame, x: Column, on: Column, off: Column, out: str
     return samples.withColumn(out, F.coalesce(F.last(edge, ignorenulls=True).over(so_far(by_session())), F.lit(start)))
 
 
-def engine_state(samples: DataFrame, x: Column, full: Column, full_width: float, idle: Column, idle_width: float) -> DataFrame:
-    """VL, LL or TL from two hysteresis pairs, VL first; grey where x is within the upper pair's width."""
-    out = hysteresis(samples, x, full, full - full_width, "_vl")
-    out = out.withColumn("_ll", F.coalesce(F.last(F.when(x < idle - idle_width, 1).when(x >= idle, 0), ignorenulls=True).over(so_far(by_session())), F.lit(0)))
+def engine_state(samples: DataFrame, x: Column, full: Column, full_width: float, idle: Column, idle_width: float, full_off: Column | None = None, idle_on: Column | None = None) -> DataFrame:
+    """VL, LL or TL from two hysteresis pairs, VL first; grey where x is within the upper pair's width.
+
+    ``full_off`` and ``idle_on`` are the lower thresholds of the pairs where they are known by themselves: a difference of
+    two thresholds is rounded, so a value on the lower one can come out on its other side.
+    """
+    full_off, idle_on = full - full_width if full_off is None else full_off, idle - idle_width if idle_on is None else idle_on
+    out = hysteresis(samples, x, full, full_off, "_vl")
+    out = out.withColumn("_ll", F.coalesce(F.last(F.when(x < idle_on, 1).when(x >= idle, 0), ignorenulls=True).over(so_far(by_session())), F.lit(0)))
     return out.withColumn("state", F.when(F.col("_vl") == 1, "VL").when(F.col("_ll") == 1, "LL").otherwise("TL")).withColumn("grey", (x >= full - full_width) & (x <= full)).drop("_vl", "_ll")
 
 

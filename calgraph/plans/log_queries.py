@@ -68,8 +68,8 @@ def hysteresis_flag(spark, sf):
 f AS (SELECT *, coalesce(last_value(v IGNORE NULLS) OVER w, 0) AS vl, coalesce(last_value(l IGNORE NULLS) OVER w, 0) AS ll FROM e WINDOW w AS (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
 SELECT seq, CASE WHEN vl = 1 THEN 'VL' WHEN ll = 1 THEN 'LL' ELSE 'TL' END AS state, value >= full_ - 6 AND value <= full_ AS grey FROM f""")
 def engine_state(spark, sf):
-    full = 20 + F.col("k") / 5.0
-    return L.engine_state(b.samples(spark, sf), F.col("value"), full, 6.0, F.lit(2.0), 0.2).select("seq", "state", "grey")
+    full, off = 20 + F.col("k") / 5.0, 14 + F.col("k") / 5.0
+    return L.engine_state(b.samples(spark, sf), F.col("value"), full, 6.0, F.lit(2.0), 0.2, full_off=off, idle_on=F.lit(1.8)).select("seq", "state", "grey")
 
 
 @query(_ISLANDS.format(state="upper(kind[1])") + """, s AS (SELECT session, string_agg(state, '' ORDER BY ts, seq) AS text FROM i WHERE changed = 1 GROUP BY 1) SELECT session, len(regexp_extract_all(text, 'CVE')) AS hits FROM s""")
