@@ -71,14 +71,14 @@ def hex_index(text: Column) -> Column:
     return F.conv(F.regexp_replace(text, "^0[xX]", ""), 16, 10).cast("long")
 
 
-def description_address(desc: Column) -> Column:
-    """The hex address on the first line 'NAME HEX', or null."""
-    found = F.regexp_extract(F.get(F.split(desc, "\n"), F.lit(0)), r"^\S+\s+(?:0x)?([0-9A-Fa-f]{2,6})\s*$", 1)
+def description_address(desc: Column, digits: int = 6) -> Column:
+    """The hex address of at most ``digits`` digits on the first line 'NAME HEX', or null."""
+    found = F.regexp_extract(F.get(F.split(desc, "\n"), F.lit(0)), rf"^\S+\s+(?:0x)?([0-9A-Fa-f]{{2,{digits}}})\s*$", 1)
     return F.when(found != "", F.conv(found, 16, 10).cast("long"))
 
 
-def address_mismatch(desc: Column, owned: Column) -> Column:
-    stated = description_address(desc)
+def address_mismatch(desc: Column, owned: Column, digits: int = 6) -> Column:
+    stated = description_address(desc, digits)
     return F.coalesce(stated.isNotNull() & ~F.array_contains(owned, stated), F.lit(False))
 
 

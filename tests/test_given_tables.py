@@ -37,3 +37,11 @@ def test_values_on_a_threshold_keep_the_state(spark, tmp_path):
     """A session for each k: above the upper threshold, then on the lower one, then by the idle pair."""
     at = "CASE i % 7 WHEN 0 THEN 20.2 + k / 5.0 WHEN 1 THEN 14 + k / 5.0 WHEN 2 THEN 20 + k / 5.0 - 6.0 WHEN 3 THEN 1.7 WHEN 4 THEN 1.8 WHEN 5 THEN 20 + k / 5.0 ELSE 2 END"
     held(spark, tmp_path, "engine_state", events=f"SELECT (k * 100 + i)::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, k::BIGINT AS user_id, 'view' AS event_type, CAST({at} AS DOUBLE) AS value, '{{\"k\": ' || k || '}}' AS props FROM range(100) AS a(k), range(14) AS b(i)")
+
+
+#: Items whose keys, and sixteen times the keys, have more and more hexadecimal digits.
+_FAR = "SELECT k::BIGINT AS p_partkey, 'red bolt' AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, (k % 50 + 1)::INTEGER AS p_size, 900.5 AS p_retailprice FROM (SELECT unnest([0, 1, 15, 65535, 1048575, 1048576, 1199999, 16777215, 16777216, 268435456, 7000000000]) AS k)"
+
+
+def test_addresses_of_more_than_six_digits(spark, tmp_path):
+    held(spark, tmp_path, "description_checks", part=_FAR)
