@@ -1,9 +1,12 @@
 """Queries on small tables whose rows the given tables have only at size, against their SQL."""
 
 import duckdb
+import pytest
 from compare import assert_same
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from calgraph.plans import base as b
 
 
 def held(spark, folder, query, **tables):
@@ -45,3 +48,30 @@ _FAR = "SELECT k::BIGINT AS p_partkey, 'red bolt' AS p_name, 'Brand#1' AS p_bran
 
 def test_addresses_of_more_than_six_digits(spark, tmp_path):
     held(spark, tmp_path, "description_checks", part=_FAR)
+
+
+#: Tables that the SQL's views name and these queries have no need of.
+_OTHERS = {
+    "part": "SELECT 0 AS p_partkey, '' AS p_name, '' AS p_type WHERE false", "supplier": "SELECT 0 AS s_suppkey, '' AS s_name WHERE false", "customer": "SELECT 0 AS c_custkey, '' AS c_name, '' AS c_mktsegment WHERE false",
+    "orders": "SELECT 0 AS o_orderkey, '' AS o_orderpriority WHERE false", "events": "SELECT 0 AS user_id, now()::TIMESTAMP AS ts, 0 AS event_id, 0 AS value, '' AS event_type, '' AS props WHERE false",
+    "conversations": "SELECT 0 AS conv_id, 0 AS turn, '' AS role, '' AS text WHERE false", "embeddings": "SELECT 0 AS vec_id, 0 AS label, [0.5] AS embedding WHERE false",
+}
+#: Lines of functions and pages whose keys, and those of their items, pass the digits that an id has.
+_LINES = """SELECT o::BIGINT AS l_orderkey, p::BIGINT AS l_partkey, s::BIGINT AS l_suppkey, CASE (p + s) % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END AS l_returnflag, CASE p % 2 WHEN 0 THEN 'O' ELSE 'F' END AS l_linestatus
+FROM (SELECT unnest(range(1048560, 1048600)) AS p), (SELECT unnest([1, 2, 16777215, 16777216]) AS s), (SELECT unnest([16777214, 16777215, 16777216, 16777300]) AS o)"""
+
+
+def test_children_of_long_keys_are_in_order_of_their_ids(spark, tmp_path):
+    held(spark, tmp_path, "rank_children", lineitem=_LINES, **_OTHERS)
+
+
+def test_ids_are_numbers_in_order_of_what_they_show(spark):
+    keys = [0, 1, 15, 16, 0xFFFFF, 0x100000, 0xFFFFFF, 0x1000000, 0x1000001, 0xABCDEF01, 16**14 - 1]
+    for kind, form in b.KINDS:
+        rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", b.ident(kind, "k").alias("id")).select("k", "id", b.shown("id").alias("s")).collect()
+        assert [(r.id, r.s) for r in rows] == [(b.number(kind, k), form % k) for k in keys]
+        assert [r.s for r in sorted(rows, key=lambda r: r.id)] == sorted(form % k for k in keys)
+    assert spark.sql("SELECT CAST(NULL AS LONG) AS k").select(b.ident("ram", "k").alias("id")).collect() == [(None,)]
+    for wrong in (-1, 16**14):
+        with pytest.raises(Exception, match="no key of a node"):
+            spark.range(1).select(F.lit(wrong).alias("k")).select(b.ident("ram", "k")).collect()
