@@ -65,6 +65,10 @@ def test_children_of_long_keys_are_in_order_of_their_ids(spark, tmp_path):
     held(spark, tmp_path, "rank_children", lineitem=_LINES, **_OTHERS)
 
 
+def test_tree_of_long_keys(spark, tmp_path):
+    held(spark, tmp_path, "expand_tree", lineitem=_LINES, **_OTHERS)
+
+
 def test_ids_are_numbers_in_order_of_what_they_show(spark):
     keys = [0, 1, 15, 16, 0xFFFFF, 0x100000, 0xFFFFFF, 0x1000000, 0x1000001, 0xABCDEF01, 16**14 - 1]
     for kind, form in b.KINDS:
