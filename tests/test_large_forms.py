@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from calgraph.operators import decode as D
 from calgraph.operators import graph as G
 from calgraph.operators import relations as R
@@ -86,3 +88,26 @@ def test_equal_names_are_one_class(spark):
 def test_collisions_are_classes_of_an_image(spark):
     items = spark.createDataFrame([(1, 0, 16, "i"), (2, 1, 16, "i"), (3, 1, 16, "j"), (4, 0, 20, "i"), (5, 0, 20, "i")], "id long, bank int, addr long, image string")
     assert [(r.image, r["class"], r.members, r.banks) for r in R.collision_classes(items, "image").collect()] == [("i", 1, 2, [0, 1])]
+
+
+def partitions(spark, make):
+    """Rows in each partition where nothing is broadcast."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return rows(make())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def rows(df):
+    return [x[0] for x in df.groupBy(F.spark_partition_id().alias("p")).count().select("count").collect()]
+
+
+def test_one_address_is_dealt_over_tasks(spark):
+    """Banks 0 to 2 of one address and an item without a bank; a task has some of the pairs and none of equal banks is made."""
+    items = spark.range(1501).select("id", F.when(F.col("id") < 1500, F.col("id") % 3).alias("bank"), (F.col("id") * 32768 + 16).alias("addr"))
+    got = partitions(spark, lambda: R.address_collisions(items, each=100))
+    assert sum(got) == 3 * 500 * 500 and len(got) > 1 and max(got) < sum(got) * 0.6
+    out = R.address_collisions(items, each=100)
+    assert out.distinct().count() == sum(got) and out.where("bank1 >= bank2 or id1 % 3 != bank1 or id2 % 3 != bank2").isEmpty()
