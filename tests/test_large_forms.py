@@ -111,3 +111,18 @@ def test_one_address_is_dealt_over_tasks(spark):
     assert sum(got) == 3 * 500 * 500 and len(got) > 1 and max(got) < sum(got) * 0.6
     out = R.address_collisions(items, each=100)
     assert out.distinct().count() == sum(got) and out.where("bank1 >= bank2 or id1 % 3 != bank1 or id2 % 3 != bank2").isEmpty()
+
+
+def test_one_name_is_dealt_over_tasks(spark):
+    items = spark.range(1200).select("id", F.when(F.col("id") < 1000, "KF_TZ").when(F.col("id") < 1199, "KFTX").alias("name"), (F.col("id") * 2).alias("addr"), F.lit(0).alias("block"))
+    got = partitions(spark, lambda: R.confusable_names(items, "block", each=100))
+    assert sum(got) == 1000 * 999 // 2 + 199 * 198 // 2 + 1000 * 199 and len(got) > 1 and max(got) < sum(got) * 0.6
+    out = R.confusable_names(items, "block", each=100)
+    assert out._jdf.queryExecution().sparkPlan().toString().lstrip().startswith("Project"), "pairs are brought together again"
+    assert out.select("id1", "id2").distinct().count() == sum(got)
+    assert out.where("id1 >= id2 or gap != (id2 - id1) * 2 or edits != case when id1 < 1000 and id2 >= 1000 then 1 else 0 end").isEmpty()
+
+
+def test_pairs_of_a_repeated_id_count_once(spark):
+    items = spark.createDataFrame([(1, "AB", 0, 0), (1, "ABCD", 9, 0), (2, "ABC", 4, 0), (2, "AB", 4, 0), (3, "ZZZZZ", 1, 0), (3, None, 1, 0), (None, "AB", 2, 0)], "id long, name string, addr long, block int")
+    assert [tuple(r) for r in R.confusable_names(items, "block").collect()] == [(1, 2, 0, 4)]
