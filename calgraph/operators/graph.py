@@ -59,6 +59,12 @@ def expand_blocks(pairs: DataFrame, scores: DataFrame, root: str, depth: int = 3
     return _grown(ranked_blocks(pairs, scores, most), root, depth)
 
 
+def expand_linked(links: DataFrame, scores: DataFrame, depth: int = 3, most: int = 24) -> DataFrame:
+    """``expand_blocks`` of the blocks that links join, from the least block that has a neighbour; no pairs are written."""
+    children = settled(best_neighbours(links, scores, most).select(F.col("block").alias("parent"), "next", "pos", (F.col("n") > most).alias("truncated")))
+    return _grown(children, children.agg(F.min("parent")).first()[0], depth)
+
+
 def _grown(children: DataFrame, root, depth: int) -> DataFrame:
     children = settled(children)
     spark, kind = children.sparkSession, children.schema["next"].dataType
@@ -156,6 +162,55 @@ def block_neighbours(chain: DataFrame, edges: DataFrame, kind: str) -> DataFrame
     return chain.groupBy(F.col("src").alias("block"), F.col("dst").alias("next")).agg(F.min("signal").alias("via"))
 
 
+#: Readers of a signal that travel as one list, and pairs of a block that one task brings together.
+LIST, BROUGHT = 1024, 1 << 22
+
+
+def _read_lists(writers: DataFrame, readers: DataFrame, each: int, most: int) -> DataFrame:
+    """(src, sub, own, signal, held): what readers(signal, at) of its signals are, by each of writers(src, own, signal), in tasks by src and sub.
+
+    A signal's readers travel as lists of some ``each``, not as a row a pair. A block of more than ``most`` pairs is dealt over
+    several ``sub``, each with the readers of some hashes, so an ``at`` of a block is in one task.
+    """
+    n = int(readers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = readers.repartition(n, "signal")
+    sizes = read.groupBy("signal").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / each))
+    lists = read.join(sizes, "signal").groupBy("signal", F.pmod(F.xxhash64("at"), "parts").alias("part")).agg(F.collect_list("at").alias("held"))
+    w = writers.join(sizes, "signal")
+    fans = w.groupBy("src").agg(F.ceil(F.sum("n") / most).alias("fan"))
+    count = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    both = w.join(fans, "src").select("src", "own", "signal", "fan", count("parts").alias("part")).join(lists, ["signal", "part"]).withColumn("sub", count("fan"))
+    some = F.filter("held", lambda x: F.pmod(F.xxhash64(x), F.col("fan")) == F.col("sub"))
+    return both.select("src", "sub", "own", "signal", F.when(F.col("fan") == 1, F.col("held")).otherwise(some).alias("held")).repartition(n, "src", "sub")
+
+
+def neighbours(links: DataFrame, each: int = LIST, most: int = BROUGHT) -> DataFrame:
+    """``block_neighbours`` of the chain of links, without the chain: (block, next, via), by the least shared signal."""
+    writers = links.where("dir = 'write'").select(F.col("block").alias("src"), F.col("block").alias("own"), "signal")
+    lists = _read_lists(writers, links.where("dir = 'read'").select("signal", F.col("block").alias("at")), each, most)
+    pairs = lists.select("src", "sub", "signal", F.explode("held").alias("next")).where("src != next")
+    return pairs.groupBy("src", "sub", "next").agg(F.min("signal").alias("via")).select(F.col("src").alias("block"), "next", "via")
+
+
+def best_neighbours(links: DataFrame, scores: DataFrame, cap: int, each: int = LIST, most: int = BROUGHT) -> DataFrame:
+    """(block, next, score, pos, n): of the n neighbours of a block by shared signals the ``cap`` best scored, then by id.
+
+    Blocks are numbered in the order of score and id, lists hold these numbers, and a block keeps its least ones.
+    """
+    read = links.where("dir = 'read'").select("block", "signal")
+    rated = read.select("block").distinct().join(scores.select("block", "score"), "block", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
+    # Partitions of a sorted table follow each other, so the numbers rise with the order.
+    places = settled(rated.orderBy(F.desc("score"), "block").withColumn("at", F.monotonically_increasing_id()))
+    own = places.select("block", F.col("at").alias("own"))
+    writers = links.where("dir = 'write'").select("block", "signal").join(own, "block", "left").select(F.col("block").alias("src"), F.coalesce("own", F.lit(-1).cast("long")).alias("own"), "signal")
+    lists = _read_lists(writers, read.join(places, "block").select("signal", "at"), each, most)
+    met = lists.groupBy("src", "sub").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.max("own").alias("own")).withColumn("held", F.array_remove("held", F.col("own")))
+    some = met.select("src", F.size("held").cast("long").alias("n"), F.slice(F.sort_array("held"), 1, cap).alias("held"))
+    best = some.groupBy("src").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("held"))), 1, cap).alias("held"))
+    rows = best.select(F.col("src").alias("block"), "n", F.posexplode("held").alias("pos", "at"))
+    return rows.join(places.withColumnRenamed("block", "next"), "at").select("block", "next", "score", (F.col("pos") + 1).alias("pos"), "n")
+
+
 def block_score(statements: DataFrame, named_bonus: int = 3, per_interp: int = 10, per_name: int = 4, count_cap: int = 5) -> DataFrame:
     """(block, score): statements that interpolate or name a calibration item, a name of its own, and how many there are."""
     cal = F.col("expr").rlike(r"\bK[FL]?_")
